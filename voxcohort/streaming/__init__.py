@@ -1,0 +1 @@
+"""Incremental variants of the aggregations that merge."""

@@ -24,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = tempfile.mkdtemp(prefix="spark-voxcohort-")
         spark.sparkContext.setCheckpointDir(where)
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
 
 
@@ -53,6 +53,6 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     hot = groups.filter(F.col(size) > line).select(F.col(key).alias("_hk"), *(F.col(c).alias(f"_h_{c}") for c in new))
     cold = groups.filter(F.col(size) <= line).select(F.col(key).alias("_ck"), *(F.col(c).alias(f"_c_{c}") for c in new))
     found: Column = F.col("_hk").isNotNull()
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn("_k", F.when(found, F.concat(F.lit("\x00"), F.rand(7).cast("string"))).otherwise(F.col(key)))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn("_k", F.when(found, F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))).otherwise(F.col(key)))
     out = out.join(cold, F.col("_k") == F.col("_ck"), "left")
     return out.select(*rows.columns, *(F.when(found, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in new))

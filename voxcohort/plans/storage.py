@@ -46,13 +46,13 @@ def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int,
     groups: key, size (its number of rows) and columns to attach; sizes add up to total at most.
     A group of more than total / share rows is hot. There are fewer than share of them, so they are
     broadcast; the rest join by a shuffle in which no key has more than total / share rows. Rows already
-    matched by a hot group get a key of their own in it, so they are spread out.
+    matched by a hot group, and rows whose key is null, get a key of their own in it, so they are spread out.
     """
     new = [c for c in groups.columns if c != key]
     line = max(1, total // share)
     hot = groups.filter(F.col(size) > line).select(F.col(key).alias("_hk"), *(F.col(c).alias(f"_h_{c}") for c in new))
     cold = groups.filter(F.col(size) <= line).select(F.col(key).alias("_ck"), *(F.col(c).alias(f"_c_{c}") for c in new))
     found: Column = F.col("_hk").isNotNull()
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn("_k", F.when(found, F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))).otherwise(F.col(key)))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn("_k", F.when(found | F.col(key).isNull(), F.concat(F.lit("\x00"), F.xxhash64(*rows.columns).cast("string"))).otherwise(F.col(key)))
     out = out.join(cold, F.col("_k") == F.col("_ck"), "left")
     return out.select(*rows.columns, *(F.when(found, F.col(f"_h_{c}")).otherwise(F.col(f"_c_{c}")).alias(c) for c in new))

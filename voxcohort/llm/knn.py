@@ -12,7 +12,8 @@ and so are the summaries, which go to the driver; nothing else does.
 
 Components become floor(scale * x), as doubles. Vectors that are null or hold a null, NaN or infinity take
 no part. Shorter vectors count as padded with zeros. A vector is not its own candidate, by id: other rows
-with a query's id are left out for it too. Repeated ids are separate candidates. With fewer than k
+with a query's id are left out for it too. Repeated ids are separate candidates; the rows of a repeated query
+id are answered as one query, by the best scores that any of them has. With fewer than k
 candidates all are returned; an empty table gives an empty result. Other columns play no part.
 """
 

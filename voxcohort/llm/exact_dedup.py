@@ -24,7 +24,7 @@ def bare(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
-def survivors(rows: DataFrame, prefix: int = PREFIX) -> DataFrame:
+def survivors(rows: DataFrame) -> DataFrame:
     """n_bare, prefix_hash of the groups that have two rows or more after both cheap steps."""
     lengths = rows.groupBy("n_bare").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("n_bare")
     left = rows.join(small_or_not(lengths), "n_bare", "left_semi")
@@ -41,7 +41,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_text"), bare(text).alias("_bare"))
     narrow = narrow.select("doc_id", "n_text", F.length("_bare").alias("n_bare"), F.xxhash64(F.substring("_bare", 1, prefix)).alias("prefix_hash"), "_bare")
-    again = survivors(narrow.drop("_bare"), prefix).withColumn("_again", F.lit(True))
+    # The cheap keys are written once, so that the steps don't read and strip the texts again.
+    again = survivors(stored(narrow.select("n_bare", "prefix_hash"), "exact-keys")).withColumn("_again", F.lit(True))
     # A small list of surviving keys goes to the rows; a large one meets them by a shuffle, which AQE splits.
     rows = narrow.join(small_or_not(again), ["n_bare", "prefix_hash"], "left")
     digest = F.sha2(F.col("_bare").cast("binary"), 256)

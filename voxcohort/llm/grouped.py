@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
@@ -36,3 +37,20 @@ def _cut(t: pa.Table, k: list[np.ndarray], cuts: np.ndarray, columns: tuple[str,
     cols = [t[c].to_numpy() if pa.types.is_primitive(t.schema.field(c).type) else t[c].combine_chunks() for c in columns]
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield tuple(x[i] for x in k), [c[i:j] for c in cols]
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch whose values of a string or binary column have about so many bytes; a longer value stands alone."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run, one after another."""
+    sizes = sizes.astype(np.int64)
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)

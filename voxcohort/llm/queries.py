@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcohort.llm import exact_dedup, html, knn, mixing, secrets, sentencepiece, sharding, simhash
+from voxcohort.llm import context_mixing, exact_dedup, html, knn, mixing, quality, secrets, sentencepiece, sharding, simhash
 from voxcohort.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html.extract(table(spark, sf_dir, "pages"))
@@ -61,6 +66,11 @@ def op6_popcount_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = mixing.quality_weights(table(spark, sf_dir, "labels"))

@@ -56,7 +56,7 @@ def test_windows_and_scorer():
     assert n.tolist() == [3, 1, 1, 9]
     assert code[:4].tolist() == [ord("a"), ord("a") << 8 | ord("b"), (ord("a") << 8 | ord("b")) << 8, 0]
     code, _ = cm.windows([b"One LONG words"])
-    assert [int(c).to_bytes(8).lstrip(b"\0") for c in code[[0, 2, 5, 13]]] == [b"O", b"one", b"one lO", b"g words"]
+    assert [int(c).to_bytes(8).lstrip(b"\0") for c in code[[0, 2, 5, 13]]] == [b"O", b"one", b"one lO", b" words"]
     m = cm.Mixer(np.zeros(cm.SLOTS, np.int32), np.zeros(cm.SLOTS, np.int32))
     s = cm.Scorer(m)
     want = -8 * n * math.log10(2)

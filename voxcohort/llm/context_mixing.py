@@ -1,7 +1,7 @@
 """Language-model scores by online logistic context mixing.
 
-A text is coded byte by byte, each byte as eight binary decisions, and closed by a zero byte. Seven
-predictors look at the one to six bytes before and at the bytes of the word so far (letters A-Z in contexts
+A text is coded byte by byte, each byte as eight binary decisions, and closed by a zero byte. Six
+predictors look at the one to five bytes before and at the bytes of the word so far (letters A-Z in contexts
 count as lower case). A predictor's counts for (context, bits so far) stand in a table with a fixed number
 of slots, to which longer contexts are hashed. A table of states (small counts of zeros and ones) turns them
 into calibrated logits, which are mixed with weights chosen (gated) by how much the longest context and the
@@ -9,7 +9,7 @@ word have been seen; the weights are learned online, by logistic gradient steps
 stage refines the mix: a table of (bits so far, quantised logit) adapts the probability to what was observed
 there. The sum of logs is the text's score.
 
-Learning is a chain of Spark jobs over all training rows. Counts: windows of seven bytes are counted in each
+Learning is a chain of Spark jobs over all training rows. Counts: windows of six bytes are counted in each
 task, summed by window, then turned into table slots. Weights: every task takes the windows of its part in
 order, online, starting from the current weights; their results are averaged by the events they saw, some
 rounds over. A window predicts itself from counts without its own occurrence, as an online model that
@@ -30,9 +30,11 @@ play no part.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +45,9 @@ from voxcohort.llm.grouped import slices
 from voxcohort.plans.storage import stored
 
 #: Bytes of context of each predictor (the last one sees the word so far) and bits of a slot's number in its table.
-CONTEXT = (1, 2, 3, 4, 5, 6, 6)
-SLOT_BITS = (16, 20, 21, 21, 22, 22, 22)
+LONGEST = 5
+CONTEXT = (1, 2, 3, 4, LONGEST, LONGEST)
+SLOT_BITS = (16, 20, 21, 21, 22, 22)
 PREDICTORS = len(CONTEXT)
 FIRST = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in SLOT_BITS)]))
 SLOTS = FIRST[-1]
@@ -66,24 +69,24 @@ MEMO_BITS = 20
 
 
 def windows(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Seven-byte windows, one per byte of each text and one for its end, and how many each text has; the last byte is the one to predict."""
-    buf = np.frombuffer(b"".join(b"\0" * 6 + (t or b"") + b"\0" for t in texts), np.uint8)
+    """Six-byte windows, one per byte of each text and one for its end, and how many each text has; the last byte is the one to predict."""
+    buf = np.frombuffer(b"".join(b"\0" * LONGEST + (t or b"") + b"\0" for t in texts), np.uint8)
     low = buf + 32 * ((buf >= 65) & (buf <= 90)).astype(np.uint8)
     n = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-    at = np.arange(int(n.sum())) + np.repeat(6 * np.arange(1, len(texts) + 1), n)
+    at = np.arange(int(n.sum())) + np.repeat(LONGEST * np.arange(1, len(texts) + 1), n)
     code = np.zeros(len(at), np.uint64)
-    for back in range(6, 0, -1):
+    for back in range(LONGEST, 0, -1):
         code = (code << np.uint64(8)) | low[at - back]
     return code << np.uint64(8) | buf[at], n
 
 
 def _words_so_far(context: np.ndarray) -> np.ndarray:
     """The context's bytes after its last white space, with their number."""
-    n = np.full(len(context), 6)
-    for i in range(5, -1, -1):
+    n = np.full(len(context), LONGEST)
+    for i in range(LONGEST - 1, -1, -1):
         byte = (context >> np.uint64(8 * i)) & np.uint64(255)
         n = np.where((byte == 32) | (byte < 14), i, n)
-    masks = np.array([(1 << 8 * k) - 1 for k in range(7)], np.uint64)
+    masks = np.array([(1 << 8 * k) - 1 for k in range(LONGEST + 1)], np.uint64)
     return context & masks[n] | (n.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
 
 
@@ -183,6 +186,17 @@ class Mixer:
                 self.weights += RATE * slope / np.sqrt(past)
 
 
+def packed(zeros: np.ndarray, ones: np.ndarray) -> bytes:
+    """The counts, mostly zeros in small corpora, compressed for the way to the executors."""
+    return zlib.compress(np.stack((zeros, ones)).tobytes(), 1)
+
+
+@lru_cache(maxsize=1)
+def unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
+    zeros, ones = np.frombuffer(zlib.decompress(held), np.uint16).reshape(2, -1)
+    return zeros, ones
+
+
 def state(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return np.digitize(n0, STATES) * SIDE + np.digitize(n1, STATES)
 
@@ -256,12 +270,12 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> Mixer:
     at = table["slot"].to_numpy()
     zeros[at], ones[at] = table["zeros"].to_numpy(), table["ones"].to_numpy()
     del table, at
-    held = spark.sparkContext.broadcast((zeros, ones))
     model = Mixer(zeros, ones)
+    held = spark.sparkContext.broadcast(packed(zeros, ones))
     size = PREDICTORS * SIDE**2
 
     def states(chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        own, seen, one = Mixer(*held.value), np.zeros(size), np.zeros(size)
+        own, seen, one = Mixer(*unpacked(held.value)), np.zeros(size), np.zeros(size)
         for code, n in chunks:
             for bit in range(8):
                 at = (state(*own.counts(code, bit, True)) + SIDE**2 * np.arange(PREDICTORS)[:, None]).ravel()
@@ -276,7 +290,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> Mixer:
         now = (model.states, model.weights)
 
         def learn(chunks: Iterator[tuple[np.ndarray, np.ndarray]], now: tuple = now) -> list[np.ndarray]:
-            own, total = Mixer(*held.value, now[0], now[1].copy()), 0.0
+            own, total = Mixer(*unpacked(held.value), now[0], now[1].copy()), 0.0
             for code, n in chunks:
                 own.learn(code, n)
                 total += float(n.sum())
@@ -288,7 +302,7 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> Mixer:
     now = (model.states, model.weights)
 
     def observe(chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        own, seen, one = Mixer(*held.value, *now), np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
+        own, seen, one = Mixer(*unpacked(held.value), *now), np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
         for code, n in chunks:
             for bit in range(8):
                 low, part = _bucket(own.mixed(*own.inputs(code, bit, True)))
@@ -360,12 +374,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     model = train(taught, rounds)
     line = max(1, -(-total // HOT))
     hot = {bytes(r[0]): r[1] for r in vocabulary.filter(F.col("c") >= line).toLocalIterator()} if total else {}
-    held = spark.sparkContext.broadcast((model, hot, math.log10(total + 0.5 * (distinct + 1))))
+    held = spark.sparkContext.broadcast((packed(model.zeros, model.ones), model.states, model.weights, model.refine, hot, math.log10(total + 0.5 * (distinct + 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, hot, whole = held.value
+        counts, states, weights, refine, hot, whole = held.value
         logs = {t: math.log10(c + 0.5) - whole for t, c in hot.items()}
-        scorer = Scorer(model)
+        scorer = Scorer(Mixer(*unpacked(counts), states, weights, refine))
         for batch in batches:
             for b in slices(batch, "text"):
                 texts, row = b.column("text").to_pylist(), b.column("row").to_pylist()

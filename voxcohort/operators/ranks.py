@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from voxcohort.functions import tails
 from voxcohort.operators.summary import _meet
+from voxcohort.plans.storage import stored
 
 PIECES = 64
 
@@ -42,14 +43,13 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def kruskal(long: DataFrame, class_col: str, least: int = 3) -> DataFrame:
-    """feature, n, k, kw_h, kw_p, eta_squared over classes of least values or more; features with two such classes that vary."""
+    """feature, n, k, kw_h, kw_p, eta_squared over classes of least values or more; features with two such classes whose values vary."""
     sizes = long.filter("value IS NOT NULL").groupBy("feature", class_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).drop("_n")
     kept = _meet(long, sizes, ["feature", class_col])
     cells = ranked_counts(kept, ["feature"], "value", [class_col])
-    per_class = cells.groupBy("feature", class_col).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("rank")).alias("r"))
-    ties = ranked_counts(kept, ["feature"], "value").groupBy("feature").agg(F.sum(F.pow(F.col("total").cast("double"), F.lit(3)) - F.col("total")).alias("t"), F.stddev_pop("v").alias("_sd"))
-    whole = per_class.groupBy("feature").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"))
-    out = whole.join(ties, "feature").filter("k >= 2 AND _sd >= 1e-10")
+    tied = F.col("total").cast("double")
+    per_class = cells.groupBy("feature", class_col).agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum(F.col("n") * (tied * tied - 1)).alias("t"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    out = per_class.groupBy("feature").agg(F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("r") * F.col("r") / F.col("m")).alias("s"), F.sum("t").alias("t"), (F.max("hi") - F.min("lo")).alias("_range")).filter("k >= 2 AND _range >= 2e-10")
     n = F.col("n").cast("double")
     h = (F.lit(12) / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("t") / (F.pow(n, F.lit(3)) - n))
     out = out.select("feature", "n", "k", h.alias("kw_h"))
@@ -71,9 +71,9 @@ def mannwhitney_pairs(long: DataFrame, class_col: str, pairs: Sequence[tuple[str
         F.sum(F.when(F.col("_first"), F.col("n")).otherwise(0)).alias("n_a"),
         F.sum(F.when(F.col("_first"), 0).otherwise(F.col("n"))).alias("n_b"),
         F.sum(F.when(F.col("_first"), F.col("n") * F.col("rank")).otherwise(0.0)).alias("_r"),
+        F.sum(F.col("n") * (F.col("total").cast("double") * F.col("total") - 1)).alias("_t"),
     )
-    ties = ranked_counts(rows, keys, "value").groupBy(*keys).agg(F.sum(F.pow(F.col("total").cast("double"), F.lit(3)) - F.col("total")).alias("_t"))
-    out = _meet(sums.filter("n_a > 0 AND n_b > 0"), ties, keys)
+    out = sums.filter("n_a > 0 AND n_b > 0")
     a, b, n = F.col("n_a").cast("double"), F.col("n_b").cast("double"), (F.col("n_a") + F.col("n_b")).cast("double")
     out = out.withColumn("u", F.col("_r") - a * (a + 1) / 2)
     sd = F.sqrt(a * b / 12 * (n + 1 - F.col("_t") / (n * (n - 1))))
@@ -161,6 +161,6 @@ def significant(stats: DataFrame, alpha: float = 0.05, q: str = "kw_q", by: str
 def concordance(stats: DataFrame, attribution: DataFrame, effect: str = "eta_squared", score: str = "shap_weighted_mean_abs") -> DataFrame:
     """Rows of both tables by trimmed feature name, with Spearman's rho and p of effect and score on each row."""
     a = stats.select(F.trim("feature").alias("feature"), *(c for c in stats.columns if c != "feature"))
-    both = a.join(attribution.select(F.trim("feature").alias("feature"), score), "feature").dropna()
+    both = stored(a.join(attribution.select(F.trim("feature").alias("feature"), score), "feature").dropna(), "concordance")
     rho = spearman(both.withColumn("_all", F.lit(1)), ["_all"], effect, score).select(F.col("rho").alias("spearman_rho"), F.col("p").alias("spearman_p"))
     return both.join(F.broadcast(rho), F.lit(True), "left")  # one row

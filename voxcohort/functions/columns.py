@@ -48,7 +48,7 @@ def bucket_label(value: Column, cuts: Sequence[float], labels: Sequence[str], mi
 def digitize(value: Column, low: float, high: float, bins: int) -> Column:
     """Index of the equal bin of [low, high] that value lies in, clipped to 0 .. bins - 1."""
     at = F.floor((value - low) / ((high - low) / bins)).cast("int")
-    return F.greatest(F.lit(0), F.least(F.lit(bins - 1), at))
+    return F.when(value.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(bins - 1), at)))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -56,7 +56,7 @@ def safe_ratio(a: Column, b: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
 
 def in_range(value: Column, low: float, high: float) -> Column:

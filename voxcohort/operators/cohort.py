@@ -57,7 +57,7 @@ def geometry_qc(meta: DataFrame, id_col: str = "patient_id", most: float = 0.20)
     """id, n_mismatch (phases whose sizes differ between kinds), spacing_cv (population deviation of sz over phases by mean), spacing_flag."""
     size = F.struct("nx", "ny", "nz")
     phase = meta.groupBy(id_col, "phase").agg((F.count_distinct(size) > 1).alias("_bad"), F.first(F.when(F.col("kind") == "ct", F.col("sz")), ignorenulls=True).alias("_sz"))
-    out = phase.groupBy(id_col).agg(F.count_if("_bad").alias("n_mismatch"), (F.stddev_pop("_sz") / F.avg("_sz")).alias("spacing_cv"))
+    out = phase.groupBy(id_col).agg(F.count_if("_bad").alias("n_mismatch"), F.try_divide(F.stddev_pop("_sz"), F.avg("_sz")).alias("spacing_cv"))
     return out.withColumn("spacing_flag", (F.col("spacing_cv") > most).cast("int"))
 
 

@@ -68,7 +68,7 @@ def roc_points(pred: DataFrame, classes: Sequence[str], true: str = "true_label"
     cells = long.groupBy("class", "threshold").agg(F.count_if(F.col(true) == F.col("class")).alias("_tp"), F.count_if(F.col(true) != F.col("class")).alias("_fp"))
     down = Window.partitionBy("class").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("class")
-    rate = lambda c: F.sum(c).over(down) / F.sum(c).over(whole)
+    rate = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(whole))
     return cells.select("class", "threshold", rate("_tp").alias("tpr"), rate("_fp").alias("fpr"))
 
 
@@ -79,7 +79,7 @@ def confusion(pred: DataFrame, classes: Sequence[str], true: str = "true_label",
 
 def weighted_importance(df: DataFrame, value: str = "shap_mean_abs", weight: str = "n_test") -> DataFrame:
     """feature, importance: the mean over folds weighted by their sizes, largest first."""
-    return df.groupBy("feature").agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("importance")).orderBy(F.col("importance").desc(), "feature")
+    return df.groupBy("feature").agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias("importance")).orderBy(F.col("importance").desc(), "feature")
 
 
 def arm_summary(folds: DataFrame, metrics: Sequence[str], count: str = "n_features") -> DataFrame:

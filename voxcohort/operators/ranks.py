@@ -107,7 +107,8 @@ def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """keys, n, rho, p over complete pairs."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
     both = average_rank(average_rank(pairs, keys, "_x").withColumnRenamed("rank", "_rx"), keys, "_y").withColumnRenamed("rank", "_ry")
-    out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.when((F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0), F.corr("_rx", "_ry")).alias("rho"))
+    out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_rho"))
+    out = out.withColumn("rho", F.when(F.col("_rho").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_rho"))))).drop("_rho")
     t = F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))).when(F.col("rho").isNotNull(), F.lit(float("inf")))
     return out.withColumn("p", F.when(F.col("n") > 2, tails.t_sf2(t, (F.col("n") - 2).cast("double"))))
 

@@ -72,7 +72,9 @@ def linregress(df: DataFrame, keys: Keys, x: str, y: str) -> DataFrame:
     With two pairs or more; r is null for a constant y, all but n are null for a constant x.
     """
     pair = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    out = pair.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.when((F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y)).alias("r"))
+    out = pair.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.covar_pop(x, y).alias("_c"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+    out = out.withColumn("slope", F.when(F.col("_vx") > 0, F.col("_c") / F.col("_vx")))
+    out = out.withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx")).withColumn("r", F.when((F.col("_vx") > 0) & (F.col("_vy") > 0), F.col("_c") / F.sqrt(F.col("_vx") * F.col("_vy"))))
     return out.filter("n >= 2").select(*keys, "n", "slope", "intercept", "r", (F.col("r") * F.col("r")).alias("r2"), (F.col("n") - 2).alias("df"))
 
 
@@ -105,13 +107,14 @@ def icc2(df: DataFrame, keys: Keys, a: str, b: str, least: int = 10) -> DataFram
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
     s = df.filter(x.isNotNull() & y.isNotNull()).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.var_pop(x + y).alias("_vs"), F.var_pop(x - y).alias("_vd"), (F.avg(x) - F.avg(y)).alias("_d"))
     n = F.col("n")
-    rows, raters, rest = n * F.col("_vs") / 2 / (n - 1), n * F.pow("_d", F.lit(2)) / 2, n * F.col("_vd") / 2 / (n - 1)
+    free = F.when(n > 1, n - 1)
+    rows, raters, rest = n * F.col("_vs") / 2 / free, n * F.pow("_d", F.lit(2)) / 2, n * F.col("_vd") / 2 / free
     denom = rows + rest + F.lit(2) / n * (raters - rest)
     s = s.withColumn("_icc", F.when((n >= least) & (denom >= 1e-10), (rows - rest) / denom))
     i = F.col("_icc")
-    se = F.sqrt(4 * F.pow(1 - i, F.lit(2)) * F.pow(1 + i, F.lit(2)) / (2 * (n - 1) * F.pow(2 * i + n * (1 - i), F.lit(2)) + 1e-10))
-    z = F.atanh(F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), i)))
-    return s.select(*keys, "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), i)).alias("icc"), F.round(F.tanh(z - 1.96 * se), 3).alias("low"), F.round(F.tanh(z + 1.96 * se), 3).alias("high"))
+    se = F.sqrt(4 * F.pow(1 - i, F.lit(2)) * F.pow(1 + i, F.lit(2)) / (2 * free * F.pow(2 * i + n * (1 - i), F.lit(2)) + 1e-10))
+    z = F.when(i.isNotNull(), F.atanh(F.greatest(F.lit(-0.9999), F.least(F.lit(0.9999), i))))
+    return s.select(*keys, "n", F.when(i.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), i))).alias("icc"), F.round(F.tanh(z - 1.96 * se), 3).alias("low"), F.round(F.tanh(z + 1.96 * se), 3).alias("high"))
 
 
 def mean_pct_change(df: DataFrame, keys: Keys, before: str, after: str) -> DataFrame:

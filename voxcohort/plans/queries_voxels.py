@@ -1 +1,146 @@
-"""Queries."""
+"""Voxel blocks on volumes derived from the supplier table: each supplier is a patient with four phases, a box of
+voxels around an ellipsoid mask, intensities and radii by integer arithmetic on the key."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from voxcohort.operators import robust
+from voxcohort.operators import voxels as vx
+from voxcohort.plans.registry import query, rounded
+from voxcohort.plans.storage import stored, table
+
+NZ, NY, NX = 10, 20, 20
+SPACING = {"sz": 2.5, "sy": 1.0, "sx": 1.0}
+VOX = f"""vox AS (SELECT s_suppkey::VARCHAR AS patient_id, phase, z::INTEGER AS z, y::INTEGER AS y, x::INTEGER AS x,
+  ((z * 31 + y * 17 + x * 13 + s_suppkey * 7 + p * 11) % 97 + CASE WHEN m THEN 40 ELSE 0 END + 10 * p)::DOUBLE AS hu, m::INTEGER AS mask
+  FROM (SELECT *, power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + s_nationkey % 3, 2) OR (s_suppkey % 2 = 0 AND z = 0 AND y < 2 AND x < 2) AS m
+    FROM supplier, (VALUES ('P', 0), ('C1', 1), ('C2', 2)) q(phase, p), range({NZ}) a(z), range({NY}) b(y), range({NX}) c(x)))"""
+
+
+def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array(*(F.struct(F.lit(n).alias("phase"), F.lit(i).alias("p")) for i, n in enumerate(("P", "C1", "C2"))))).alias("q"))
+    s = s.select("s_suppkey", "s_nationkey", "q.*")
+    for name, n in (("z", NZ), ("y", NY), ("x", NX)):
+        s = s.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    z, y, x, k = F.col("z"), F.col("y"), F.col("x"), F.col("s_suppkey")
+    ellipsoid = F.pow((z - 4.5) * 2, F.lit(2)) + F.pow(y - 9.5, F.lit(2)) + F.pow(x - 9.5, F.lit(2)) <= F.pow(5 + F.col("s_nationkey") % 3, F.lit(2))
+    m = ellipsoid | ((k % 2 == 0) & (z == 0) & (y < 2) & (x < 2))
+    hu = (z * 31 + y * 17 + x * 13 + k * 7 + F.col("p") * 11) % 97 + F.when(m, 40).otherwise(0) + 10 * F.col("p")
+    return s.select(k.cast("string").alias("patient_id"), "phase", "z", "y", "x", hu.cast("double").alias("hu"), m.cast("int").alias("mask"), F.lit(None).cast("int").alias("liver"))
+
+
+def meta(df: DataFrame) -> DataFrame:
+    return df.select("patient_id", "phase").distinct().withColumns({k: F.lit(v) for k, v in SPACING.items()})
+
+
+def fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Voxels with distances and the rest, written once, and their spacing."""
+    v = voxels(spark, sf_dir)
+    return stored(vx.with_fields(v, meta(v)), "voxel-fields"), meta(v)
+
+
+@query(f"""
+WITH {VOX}, o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
+nb AS (SELECT patient_id, phase, z + a AS z, y + b AS y, x + c AS x FROM vox, o WHERE mask = 1 AND phase = 'C1'), fc AS (SELECT patient_id, phase, z, y, x, count(*) AS fg FROM nb GROUP BY ALL),
+v AS (SELECT vox.*, coalesce(fg, 0) AS fg FROM vox LEFT JOIN fc USING (patient_id, phase, z, y, x) WHERE phase = 'C1' AND patient_id::INTEGER <= 4),
+e AS (SELECT patient_id, z, y, x, mask FROM v WHERE (mask = 1 AND fg < 6) OR (mask = 0 AND fg > 0)),
+d AS (SELECT v.patient_id, v.z, v.y, v.x, v.mask, min(sqrt(power((v.z - e.z) * 2.5, 2) + power(v.y - e.y, 2) + power(v.x - e.x, 2))) AS d FROM v JOIN e USING (patient_id, mask) GROUP BY ALL)
+SELECT patient_id, z, y, x, round(CASE WHEN mask = 1 THEN d ELSE 0 END, 6) AS dist_in, round(CASE WHEN mask = 1 THEN 0 ELSE d END, 6) AS dist_out FROM d""")
+def signed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All voxels' distances in one phase of the first patients, which the SQL can check by brute force."""
+    v = voxels(spark, sf_dir).filter("phase = 'C1' AND cast(patient_id AS int) <= 4")
+    return rounded(vx.with_fields(v, meta(v), fields=("dist_in", "dist_out")).select("patient_id", "z", "y", "x", "dist_in", "dist_out"))
+
+
+@query(f"""
+WITH {VOX}, m AS (SELECT patient_id, phase, median(hu) AS med, quantile_cont(hu, 0.75) - quantile_cont(hu, 0.25) AS iqr, quantile_cont(hu, 0.1) AS p10, quantile_cont(hu, 0.9) AS p90, avg(hu) AS a FROM vox WHERE mask = 1 GROUP BY ALL)
+SELECT patient_id, phase, round(med, 6) AS enh_median, round(iqr, 6) AS enh_iqr, round(p10, 6) AS enh_p10, round(p90, 6) AS enh_p90, round(median(abs(hu - med)), 6) AS enh_mad,
+  round(avg(power(hu - a, 3)) / power(avg(power(hu - a, 2)), 1.5), 6) AS enh_skewness FROM vox JOIN m USING (patient_id, phase) WHERE mask = 1 GROUP BY patient_id, phase, med, iqr, p10, p90""")
+def enhancement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vx.enhancement_stats(voxels(spark, sf_dir)).select("patient_id", "phase", "enh_median", "enh_iqr", "enh_p10", "enh_p90", "enh_mad", "enh_skewness"))
+
+
+@query(f"""
+WITH {VOX} SELECT a.patient_id, a.phase, a.z, a.y, a.x, a.hu - greatest(-200, least(200, b.hu)) AS enhancement FROM vox a LEFT JOIN vox b ON a.patient_id = b.patient_id AND b.phase = 'P' AND a.z = b.z AND a.y = b.y AND a.x = b.x WHERE a.phase <> 'P'""")
+def enhancement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vx.enhancement(voxels(spark, sf_dir)).select("patient_id", "phase", "z", "y", "x", "enhancement")
+
+
+@query(f"""
+WITH {VOX}, c AS (SELECT patient_id, count(*) FILTER (mask = 1) AS n, count(*) FILTER (mask = 1 AND z = 0 AND y < 2 AND x < 2) AS small FROM vox WHERE phase = 'C1' GROUP BY ALL)
+SELECT patient_id, CASE WHEN small > 0 THEN 2 ELSE 1 END AS n_lesions, (small > 0)::INTEGER AS is_multifocal, round((n - small) / n, 6) AS largest_lesion_fraction, 'C1' AS multifocal_auth_phase FROM c""")
+def multifocality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vx.multifocality(fields(spark, sf_dir)[0]))
+
+
+@query(f"""
+WITH {VOX}, o(a, b, c) AS (SELECT z, y, x FROM range(-1, 2) p(z), range(-1, 2) q(y), range(-1, 2) r(x) WHERE power(z / 1.5, 2) + power(y / 1.5, 2) + power(x / 1.5, 2) <= 1),
+g AS (SELECT DISTINCT patient_id, phase, z + a AS z, y + b AS y, x + c AS x FROM vox, o WHERE mask = 1),
+s AS (SELECT patient_id, phase, z - a AS z, y - b AS y, x - c AS x, count(*) AS n FROM vox, o WHERE mask = 1 GROUP BY ALL),
+v AS (SELECT vox.*, g.z IS NOT NULL AS grown, vox.mask = 1 AND coalesce(n, 0) = (SELECT count(*) FROM o) AS shrunk FROM vox LEFT JOIN g USING (patient_id, phase, z, y, x) LEFT JOIN s USING (patient_id, phase, z, y, x))
+SELECT patient_id, phase, z, y, x, mask, grown::INTEGER AS dilated, CASE WHEN sum(shrunk::INTEGER) OVER (PARTITION BY patient_id, phase) >= 50 THEN shrunk::INTEGER END AS eroded FROM v""")
+def mask_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir)
+    offsets = vx.ball(1.0, tuple(SPACING.values()))
+    at = ["patient_id", "phase", "z", "y", "x"]
+    d = vx.dilate(v, offsets).select(*at, F.col("mask").alias("dilated"))
+    return v.select(*at, "mask").join(d, at).join(vx.erode(v, offsets).select(*at, F.col("mask").alias("eroded")), at)
+
+
+@query(f"""
+WITH {VOX}, g AS (SELECT DISTINCT patient_id, phase, z::INTEGER AS z, y::INTEGER AS y, x::INTEGER AS x FROM (SELECT DISTINCT patient_id, phase FROM vox), range(5) a(z), range(10) b(y), range(12) c(x))
+SELECT g.patient_id, g.phase, g.z, g.y, g.x, coalesce(v.mask, 0) AS mask FROM g LEFT JOIN vox v ON v.patient_id = g.patient_id AND v.phase = g.phase
+  AND v.z = round(g.z * 5.0 / 2.5) AND v.y = round((g.y * 2.2 - 1) / 1.0) AND v.x = round((g.x * 1.7 + 0.4) / 1.0)""")
+def resample_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir)
+    grid = v.filter("z < 5 AND y < 10 AND x < 12").select("patient_id", "phase", "z", "y", "x").withColumns({"sz": F.lit(5.0), "sy": F.lit(2.2), "sx": F.lit(1.7), "oz": F.lit(0.0), "oy": F.lit(-1.0), "ox": F.lit(0.4)})
+    source = v.select("patient_id", "phase", "z", "y", "x", "mask").withColumns({**{k: F.lit(s) for k, s in SPACING.items()}, "oz": F.lit(0.0), "oy": F.lit(0.0), "ox": F.lit(0.0)})
+    return vx.resample_nearest(grid, source).select("patient_id", "phase", "z", "y", "x", "mask")
+
+
+@query(f"""
+WITH {VOX}, g AS (SELECT patient_id, phase, z, y, x FROM vox WHERE z < 9 AND y < 19 AND x < 19),
+p AS (SELECT g.*, avg(v.hu) AS hu FROM g JOIN vox v ON v.patient_id = g.patient_id AND v.phase = g.phase AND v.z IN (g.z, g.z + 1) AND v.y IN (g.y, g.y + 1) AND v.x IN (g.x, g.x + 1) GROUP BY ALL)
+SELECT patient_id, phase, z, y, x, round(hu, 6) AS hu FROM p""")
+def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid half a voxel further on: each value is the mean of eight."""
+    v = voxels(spark, sf_dir)
+    grid = v.filter("z < 9 AND y < 19 AND x < 19").select("patient_id", "phase", "z", "y", "x").withColumns({**{k: F.lit(s) for k, s in SPACING.items()}, "oz": F.lit(1.25), "oy": F.lit(0.5), "ox": F.lit(0.5)})
+    source = v.select("patient_id", "phase", "z", "y", "x", "hu").withColumns({**{k: F.lit(s) for k, s in SPACING.items()}, "oz": F.lit(0.0), "oy": F.lit(0.0), "ox": F.lit(0.0)})
+    return rounded(vx.resample_linear(grid, source).select("patient_id", "phase", "z", "y", "x", "hu"))
+
+
+@query(f"""
+WITH {VOX}, t AS (SELECT patient_id, phase, z * 2.5 AS z, y::DOUBLE AS y, x::DOUBLE AS x, hu FROM vox WHERE mask = 1), c AS (SELECT patient_id, phase, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx FROM t GROUP BY ALL),
+r AS (SELECT patient_id, phase, hu, z - cz AS dz, y - cy AS dy, x - cx AS dx, sqrt((z - cz) * (z - cz) + (y - cy) * (y - cy) + (x - cx) * (x - cx)) AS r FROM t JOIN c USING (patient_id, phase)),
+f AS (SELECT *, max(r) OVER (PARTITION BY patient_id, phase) AS rm FROM r QUALIFY r > 0.1 * rm),
+s AS (SELECT patient_id, phase, greatest(0, least(7, floor((atan2(dy, dx) + pi()) / (2 * pi() / 8)))) AS a, CASE WHEN acos(greatest(-1, least(1, dz / r))) < pi() / 2 THEN 0 ELSE 1 END AS p, median(hu) AS m, count(*) AS n FROM f GROUP BY ALL HAVING n >= 3)
+SELECT patient_id, phase, count(*) AS n_sectors, round(stddev_pop(m) / (avg(m) + 1e-5), 6) AS angular_median_cv, round(max(m) - min(m), 6) AS angular_range FROM s GROUP BY ALL HAVING count(*) >= 4""")
+def angular_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir)
+    return rounded(vx.angular_heterogeneity(v, meta(v)).select("patient_id", "phase", "n_sectors", "angular_median_cv", "angular_range"))
+
+
+@query()
+def voxel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All blocks that go by distance, gradient or local deviation, side by side; unit tests compare them with arrays."""
+    v, m = fields(spark, sf_dir)
+    keys = list(vx.VOLUME)
+    out = v.select(*keys).distinct()
+    for block in (vx.radial_profile(v), vx.rim_core(v), vx.local_heterogeneity(v), vx.boundary(v), vx.capsule(v), vx.invasion_profile(v), vx.peritumoral(v, m, 5), vx.lesion_reference(v)):
+        out = out.join(stored(block, "voxel-block"), keys, "left")
+    return out
+
+
+@query()
+def necrosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vx.necrosis(vx.enhancement(fields(spark, sf_dir)[0])))
+
+
+@query()
+def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = voxels(spark, sf_dir)
+    each = stored(robust.robustness(v, meta(v), vx.ball(1.0, tuple(SPACING.values()))), "robustness")
+    return rounded(robust.robustness_summary(each))

@@ -232,7 +232,7 @@ def _window_counts(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 c, m = np.unique(windows(b.column("text").to_pylist())[0], return_counts=True)
                 both = np.concatenate((code, c))
                 code, at = np.unique(both, return_inverse=True)
@@ -381,7 +381,7 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
         logs = {t: math.log10(c + 0.5) - whole for t, c in hot.items()}
         scorer = Scorer(Mixer(*unpacked(counts), states, weights, refine))
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 1 << 20):
                 texts, row = b.column("text").to_pylist(), b.column("row").to_pylist()
                 many, known, base = [], [], []
                 cold_row: list[int] = []

@@ -1 +1 @@
-"""Incremental variants of the aggregations that merge."""
+"""Nothing here yet: the work this library follows has no streams; resuming by id is operators.cohort.pending."""

@@ -34,7 +34,7 @@ MARK = "▁"
 #: What an uncovered character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 #: Words that a task keeps encoded.
-KEPT = 400_000
+KEPT = 250_000
 
 
 @dataclass
@@ -252,7 +252,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(held.value), Decoder(held.value)
         for batch in batches:
-            for b in slices(batch, "text"):
+            for b in slices(batch, "text", 2 << 20):
                 texts = b.column("text").to_pylist()
                 ids, per = encoder(texts)
                 back = pa.array([d == (t or "").replace(MARK, " ") for d, t in zip(decoder(ids, per), texts, strict=True)])

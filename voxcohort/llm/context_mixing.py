@@ -226,21 +226,30 @@ def _summed(counts: DataFrame, add: Callable[[Iterator[tuple[np.ndarray, np.ndar
     return [t[c].to_numpy() for c in names]
 
 
+def _window_batch(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
+
+
 def _window_counts(texts: DataFrame) -> DataFrame:
     """code, n of the distinct windows of column text (binary)."""
 
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        parts, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                c, m = np.unique(windows(b.column("text").to_pylist())[0], return_counts=True)
-                both = np.concatenate((code, c))
-                code, at = np.unique(both, return_inverse=True)
-                n = np.bincount(at, np.concatenate((n, m))).astype(np.int64)
-                if len(code) > 1_000_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
-                    code, n = code[:0], n[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
+                parts.append(np.unique(windows(b.column("text").to_pylist())[0], return_counts=True))
+                held += len(parts[-1][0])
+                if held > 2_000_000:  # merged rarely, as that sorts all that is held
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if held > 1_000_000:
+                        yield _window_batch(*parts[0])
+                        parts, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        yield _window_batch(*merged(parts))
 
     return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 

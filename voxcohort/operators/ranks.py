@@ -21,7 +21,8 @@ PIECES = 64
 def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
     """keys, v, total (rows of the value), rank (average rank of ties), and for by: by, n (rows of the value in by)."""
     rows = df.filter(F.col(value).isNotNull())
-    cells = rows.groupBy(*keys, *by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    # Written once: the cuts, the pieces and the ranks below all start from the distinct values.
+    cells = stored(rows.groupBy(*keys, *by, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "distinct-values")
     values = cells.groupBy(*keys, "v").agg(F.sum("n").alias("total"))
     cuts = values.groupBy(*keys).agg(F.percentile_approx("v", [i / PIECES for i in range(1, PIECES)], 1000).alias("_cuts"))
     values = _meet(values, cuts, keys).withColumn("_piece", F.size(F.filter("_cuts", lambda c: c < F.col("v")))).drop("_cuts")

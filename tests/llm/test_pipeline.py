@@ -51,3 +51,10 @@ def test_empty(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for name, f in corpus_pipeline.STAGES:
         assert f(spark, docs, SF).count() == 0, name
+
+
+def test_columns_named_like_the_operators_own(spark):
+    docs = spark.createDataFrame([(i, f"word{i} and then some more words {i * 7}", "en", "s", 1, 2, 3) for i in range(40)], "doc_id long, text string, lang string, source string, _id long, _n int, _hash int")
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        out = f(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0, name

@@ -69,11 +69,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     reduced to one.
     """
     found = stored(exact_dedup(docs, id_col, text_col), "exact-found")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_id")).distinct()
-    both = stored(found.filter("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_hash"), F.col("n_text").alias("_length")).distinct(), "exact-both")
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_llm_id")).distinct()
+    both = stored(found.filter("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_semi").select(F.col("doc_id").alias("_llm_id"), F.col("text_sha256").alias("_llm_hash"), F.col("n_text").alias("_llm_length")).distinct(), "exact-both")
+    same = F.col(id_col).eqNullSafe(F.col("_llm_id"))
     out = docs.join(small_or_not(gone), same, "left_anti")
     if both.isEmpty():
         return out
-    some = docs.join(small_or_not(both), same & (F.sha2(bare(F.col(text_col)).cast("binary"), 256) == F.coalesce("_hash", F.sha2(bare(F.col(text_col)).cast("binary"), 256))) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_length")))
-    return out.unionByName(some.dropDuplicates(["_id", "_hash", "_length"]).select(*docs.columns))
+    some = docs.join(small_or_not(both), same & (F.sha2(bare(F.col(text_col)).cast("binary"), 256) == F.coalesce("_llm_hash", F.sha2(bare(F.col(text_col)).cast("binary"), 256))) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_llm_length")))
+    return out.unionByName(some.dropDuplicates(["_llm_id", "_llm_hash", "_llm_length"]).select(*docs.columns))

@@ -94,7 +94,7 @@ def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Rows of one id are alike in size and key, so the copies of an id are added up and dealt to its rows.
     """
-    times = mixed.filter(F.col("size") > 0).groupBy(F.col("doc_id").alias("_id")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_times"), F.count(F.lit(1)).alias("_rows")).filter("_times > 0")
-    out = docs.join(small_or_not(times), F.col("doc_id").eqNullSafe(F.col("_id")))
-    n = F.ceil(F.col("_times") / F.col("_rows")).cast("int")
-    return out.withColumn("_n", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    times = mixed.filter(F.col("size") > 0).groupBy(F.col("doc_id").alias("_llm_id")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_llm_times"), F.count(F.lit(1)).alias("_llm_rows")).filter("_llm_times > 0")
+    out = docs.join(small_or_not(times), F.col("doc_id").eqNullSafe(F.col("_llm_id")))
+    n = F.ceil(F.col("_llm_times") / F.col("_llm_rows")).cast("int")
+    return out.withColumn("_llm_n", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)

@@ -163,5 +163,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The rows of docs whose id is their component's; docs' columns. Components without any id stay whole."""
     found = near_duplicates(docs, id_col, text_col, **parameters)
-    gone = stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "simhash-gone")
-    return docs.join(small_or_not(gone), F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
+    gone = stored(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_llm_id")).distinct(), "simhash-gone")
+    return docs.join(small_or_not(gone), F.col(id_col).eqNullSafe(F.col("_llm_id")), "left_anti")

@@ -27,7 +27,8 @@ def with_fields(voxels: DataFrame, meta: DataFrame, keys: Sequence[str] = VOLUME
     One task holds a volume, so volumes should be cropped to the mask's surroundings before; missing voxels
     of the box count as background with the volume's least intensity.
     """
-    joined = voxels.join(meta.select(*keys, "sz", "sy", "sx"), list(keys))
+    # Sorted by the keys that the groups need anyhow; derived voxels look small to the planner, which would broadcast them.
+    joined = voxels.join(meta.select(*keys, "sz", "sy", "sx").hint("merge"), list(keys))
     kind = {"component": "int"}
     schema = ", ".join(f"{c} {t}" for c, t in voxels.dtypes) + "".join(f", {f} {kind.get(f, 'double')}" for f in fields)
     columns = voxels.columns

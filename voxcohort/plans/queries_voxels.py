@@ -49,11 +49,18 @@ e AS (SELECT patient_id, z, y, x, mask FROM v WHERE (mask = 1 AND fg < 6) OR (ma
 d AS (SELECT v.patient_id, v.z, v.y, v.x, v.mask, min(sqrt(power((v.z - e.z) * 2.5, 2) + power(v.y - e.y, 2) + power(v.x - e.x, 2))) AS d FROM v JOIN e USING (patient_id, mask) GROUP BY ALL)
 SELECT patient_id, z, y, x, round(CASE WHEN mask = 1 THEN d ELSE 0 END, 6) AS dist_in, round(CASE WHEN mask = 1 THEN 0 ELSE d END, 6) AS dist_out FROM d""")
 def signed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All voxels' distances in one phase of the first patients, which the SQL can check by brute force."""
+    """All voxels' distances in one phase of the first patients, which the SQL can check by brute force; signed_distances_all is the whole job."""
     v = voxels(spark, sf_dir).filter("phase = 'C1' AND cast(patient_id AS int) <= 4")
     return rounded(vx.with_fields(v, meta(v), fields=("dist_in", "dist_out")).select("patient_id", "z", "y", "x", "dist_in", "dist_out"))
 
 
+@query()
+def signed_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All voxels' distances in all phases of all patients; a test compares them with brute force."""
+    v = voxels(spark, sf_dir)
+    return rounded(vx.with_fields(v, meta(v), fields=("dist_in", "dist_out")).select("patient_id", "phase", "z", "y", "x", "dist_in", "dist_out"))
+
+
 @query(f"""
 WITH {VOX}, m AS (SELECT patient_id, phase, median(hu) AS med, quantile_cont(hu, 0.75) - quantile_cont(hu, 0.25) AS iqr, quantile_cont(hu, 0.1) AS p10, quantile_cont(hu, 0.9) AS p90, avg(hu) AS a FROM vox WHERE mask = 1 GROUP BY ALL)
 SELECT patient_id, phase, round(med, 6) AS enh_median, round(iqr, 6) AS enh_iqr, round(p10, 6) AS enh_p10, round(p90, 6) AS enh_p90, round(median(abs(hu - med)), 6) AS enh_mad,

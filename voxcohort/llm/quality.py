@@ -137,7 +137,8 @@ def repetition(words: list[str]) -> float:
 
 
 def perplexities(docs: DataFrame, known: np.ndarray, logs: np.ndarray) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity (null for blank texts), repeats of every row; docs: doc_id, lang, text."""
+    """n_symbols, perplexity (null for blank texts), repeats of every row beside docs' columns but text; docs: doc_id, lang, text and others."""
+    own = {c: kind for c, kind in docs.dtypes if c != "text"}
     held = docs.sparkSession.sparkContext.broadcast((known, logs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,9 +153,9 @@ def perplexities(docs: DataFrame, known: np.ndarray, logs: np.ndarray) -> DataFr
                     total[some] = np.add.reduceat(logs[gram].astype(np.float64), (np.cumsum(n) - n)[some])
                 value = np.exp(-total / np.maximum(n, 1))
                 repeats = pa.array([repetition((t or "").split()) for t in texts])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(n), pa.array(value, mask=~some), repeats], ["doc_id", "lang", "n_symbols", "perplexity", "repeats"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n), pa.array(value, mask=~some), repeats], [*own, "n_symbols", "perplexity", "repeats"])
 
-    return docs.mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, n_symbols long, perplexity double, repeats double")
+    return docs.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in own.items()) + ", n_symbols long, perplexity double, repeats double")
 
 
 def _band() -> Column:
@@ -171,9 +172,9 @@ def thresholds(scored: DataFrame, trusted: DataFrame, low: float = LOW, high: fl
     return cut.select("_lang", "_band", "_level", "n", (a - margin * (m - a)).alias("low"), (z + margin * (z - m)).alias("high"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, low, high, accepted, repeats of every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+def classify(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, low, high, accepted, repeats of every row, and docs' columns named in keep."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *keep)
     everyone = stored(trusted_ids(labels), "trusted-ids")
     some = everyone if (n := everyone.count()) <= (most or n) else everyone.filter(F.pmod(F.xxhash64("_id"), F.lit(n)) < most)
     known, logs = train(rows.select("doc_id", "text"), some)
@@ -188,11 +189,12 @@ def classify(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_
     low, high = F.coalesce("_l0", "_l1", "_l2"), F.coalesce("_h0", "_h1", "_h2")
     x = F.log("perplexity")
     fits = F.coalesce((x >= low) & (x <= high), F.lit(True))
-    return out.select("doc_id", "lang", "n_symbols", "perplexity", F.exp(low).alias("low"), F.exp(high).alias("high"), (F.col("perplexity").isNotNull() & fits & (F.col("repeats") < REPEATS)).alias("accepted"), "repeats")
+    return out.select("doc_id", "lang", "n_symbols", "perplexity", F.exp(low).alias("low"), F.exp(high).alias("high"), (F.col("perplexity").isNotNull() & fits & (F.col("repeats") < REPEATS)).alias("accepted"), "repeats", *keep)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are accepted, with docs' columns; rows of one id go together if any of them is rejected."""
-    judged = classify(docs, labels, most, id_col, text_col, lang_col)
-    gone = stored(judged.filter(~F.col("accepted")).select(F.col("doc_id").alias("_llm_id")).distinct(), "rejected")
-    return docs.join(small_or_not(gone), F.col(id_col).eqNullSafe(F.col("_llm_id")), "left_anti")
+    """The rows of docs that are accepted, with docs' columns; a key written with the rows tells those of one id, or of none, apart."""
+    keyed = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()), "quality-rows")
+    judged = classify(keyed, labels, most, id_col, text_col, lang_col, ("_llm_row",))
+    gone = stored(judged.filter(~F.col("accepted")).select(F.col("_llm_row").alias("_llm_gone")), "rejected")
+    return keyed.join(small_or_not(gone), F.col("_llm_row") == F.col("_llm_gone"), "left_anti").select(*docs.columns)

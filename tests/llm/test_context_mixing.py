@@ -3,9 +3,10 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
 from voxcohort.llm import context_mixing as cm
 
@@ -17,55 +18,126 @@ def tokens(text):
     return [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w] + ["\n"]
 
 
+def held(doc_id):
+    return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % 5 == 1
+
+
 def unigram(rows):
     """doc_id -> (held_out, n_tokens, n_known, train_tokens, base_score), word by word."""
-    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
     c = Counter(t for d, x in rows if not held(d) for t in tokens(x))
     n, v = sum(c.values()), len(c)
     return {d: (held(d), len(tokens(x)), sum(c[t] > 0 for t in tokens(x)), n, sum(math.log10((c[t] + 0.5) / (n + 0.5 * (v + 1))) for t in tokens(x))) for d, x in rows}
 
 
-def test_whole_table(spark, monkeypatch):
+def windows_of(text):
+    """Six-byte windows of a text, one by one, with the token each belongs to."""
+    words = [w.encode() for w in tokens(text)[:-1]]
+    spelled = b"\0" * 5 + b"".join(w + b" " for w in words) + b"\0"
+    place = [i for i, w in enumerate(words) for _ in range(len(w) + 1)] + [len(words)]
+    return [(int.from_bytes(spelled[i : i + 6]), t) for i, t in zip(range(len(spelled) - 5), place, strict=True)]
+
+
+def plain_scores(rows, spark):
+    """Scores by loops over bytes and tokens, given the table of window values."""
+    n = Counter(code for d, x in rows if not held(d) for code, _ in windows_of(x))
+    every = {code for _, x in rows for code, _ in windows_of(x)}
+    counts = spark.createDataFrame([(code, n[code]) for code in sorted(every)], "key long, n long")
+    value = {r.key: r.value for r in cm.valued(*cm.train(counts)).collect()}
+    c = Counter(t for d, x in rows if not held(d) for t in tokens(x))
+    total, out = sum(c.values()), {}
+    for d, x in rows:
+        letters = defaultdict(float)
+        for code, t in windows_of(x):
+            letters[t] += value[code] * math.log10(2)
+        told = told_before = score = 0.0
+        for i, t in enumerate(tokens(x)):
+            if i % cm.BLOCK == 0:
+                told_before = told
+            share = (cm.START * cm.FIRST + told_before) / (cm.START + i // cm.BLOCK * cm.BLOCK)
+            a, b = share * c[t] / total, (1 - share) * 10 ** letters[i]
+            score += math.log10(a + b)
+            told += a / (a + b)
+        out[d] = score
+    return out
+
+
+def test_whole_table_against_plain_loops(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    want = unigram(rows)
-    for hot in (cm.HOT, 200):  # most words looked up where the text is, or by the join
-        monkeypatch.setattr(cm, "HOT", hot)
-        got = cm.score(docs, rounds=2).collect()
-        assert len(got) == len(rows)
-        for r in got:
-            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
-            assert abs(r.base_score - want[r.doc_id][4]) < 1e-6 * abs(want[r.doc_id][4])
-    held = [r for r in got if r.held_out]
-    assert held
-    assert 0 < sum(r.score for r in held) / -math.log10(2) / 8 / sum(len(dict(rows)[r.doc_id].encode()) for r in held) < 0.5
+    want, scores = unigram(rows), plain_scores(rows, spark)
+    got = cm.score(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == want[r.doc_id][:4]
+        assert r.base_score == pytest.approx(want[r.doc_id][4], rel=1e-9)
+        assert r.score == pytest.approx(scores[r.doc_id], rel=1e-6)
+
+
+def test_partitions_and_chunks_do_not_matter(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    one = {r.doc_id: r.score for r in cm.score(docs.repartition(3), chunk=20_000).collect()}
+    other = {r.doc_id: r.score for r in cm.score(docs.repartition(17)).collect()}
+    assert one == other
+
+
+def test_held_out_texts_score_above_the_base(spark):
+    """Of tokens that the training texts have; the base gives any other string alike, so it is no distribution of them."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = [r for r in cm.score(docs).collect() if r.held_out and r.n_known >= 0.85 * r.n_tokens]
+    assert len(got) > 50
+    assert sum(r.score for r in got) > sum(r.base_score for r in got)
+    assert sum(r.score > r.base_score for r in got) > 0.5 * len(got)
+
+
+def test_counts_against_dictionaries():
+    rng = np.random.default_rng(1)
+    texts = [bytes(rng.choice(list(b"ab e"), 40)) for _ in range(20)]
+    code, n = np.unique(cm.windows([cm.spelled(t) for t in texts])[0], return_counts=True)
+    shard = cm.Shard(code, n, (np.zeros(cm.LOW, np.float32), np.zeros(cm.LOW, np.float32)))
+
+    def context(c, k):
+        before = int(c).to_bytes(6)[:5]
+        if k < cm.PREDICTORS - 1:
+            return before[5 - cm.CONTEXT[k] :]
+        return before[min(before.rfind(b" ") + 1, 5 - cm.NEAR) :]
+
+    for bit in range(8):
+        zeros, ones = shard.counts(bit)
+        for k in range(2, cm.PREDICTORS):
+            seen = Counter()
+            for c, m in zip(code.tolist(), n.tolist(), strict=True):
+                seen[context(c, k), (c & 255) >> 8 - bit, c >> 7 - bit & 1] += m
+            for i, c in enumerate(code.tolist()):
+                assert (zeros[k, i], ones[k, i]) == tuple(seen[context(c, k), (c & 255) >> 8 - bit, y] for y in (0, 1))
 
 
 def test_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    m = cm.Mixer(rng.integers(0, 3, cm.SLOTS).astype(np.int32), rng.integers(0, 3, cm.SLOTS).astype(np.int32))
-    m.refine = rng.uniform(0.1, 0.9, (256, cm.BUCKETS))
+    low = tuple(rng.integers(0, 3, cm.LOW).astype(np.float32) for _ in range(2))
+    model = cm.Mixer(refine=rng.uniform(0.1, 0.9, (256, cm.BUCKETS)))
     for context in (0, 0x61626364, 0xFFFFFFFF):
         code = (np.uint64(context) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
-        assert abs((2 ** m.bits(code)).sum() - 1) < 1e-9
+        assert abs((2 ** cm.Shard(code, rng.integers(0, 4, 256), low).log2(model)).sum() - 1) < 1e-9
+
+
+def test_windows():
+    texts = ["ab", None, "", "hello é", " One\tLONG  words"]
+    code, n = cm.windows([cm.spelled(t and t.encode()) for t in texts])
+    assert code.tolist() == [c for t in texts for c, _ in windows_of(t)]
+    assert n.tolist() == [len(windows_of(t)) for t in texts]
 
 
-def test_windows_and_scorer():
-    texts = [b"ab", None, b"", b"hello \xc3\xa9"]
-    code, n = cm.windows(texts)
-    assert n.tolist() == [3, 1, 1, 9]
-    assert code[:4].tolist() == [ord("a"), ord("a") << 8 | ord("b"), (ord("a") << 8 | ord("b")) << 8, 0]
-    code, _ = cm.windows([b"One LONG words"])
-    assert [int(c).to_bytes(8).lstrip(b"\0") for c in code[[0, 2, 5, 13]]] == [b"O", b"one", b"one lO", b" words"]
-    m = cm.Mixer(np.zeros(cm.SLOTS, np.int32), np.zeros(cm.SLOTS, np.int32))
-    s = cm.Scorer(m)
-    want = -8 * n * math.log10(2)
-    assert np.allclose(s(texts), want) and np.allclose(s(texts), want)
+def test_lookup_tells_keys_apart():
+    rng = np.random.default_rng(2)
+    key = np.unique(rng.integers(0, 2**48, 5000, np.uint64))
+    value = rng.random(len(key)).astype(np.float32)
+    at = rng.integers(0, len(key), 20_000)
+    assert (cm.Lookup(key, value)(key[at]) == value[at]).all()
 
 
 def test_edge_rows(spark):
-    docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "Some words some", "z"), (3, "Some words some", "z"), (None, "other words", "z"), (7, "\u0000", "q")], "doc_id long, text string, row string")
-    got = {(r.doc_id, r.n_tokens) for r in cm.score(docs, rounds=1).collect()}
-    assert got == {(1, 1), (2, 1), (3, 4), (None, 3), (7, 2)}
-    assert cm.score(docs, rounds=1).count() == 6
+    docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (3, "Some words some", "z"), (3, "Some words some", "z"), (None, "other words", "z"), (7, "\u0000", "q"), (8, "w" * 30_000, "q")], "doc_id long, text string, row string")
+    got = sorted(((r.doc_id is None, r.doc_id, r.n_tokens) for r in cm.score(docs, rounds=1).collect()), key=str)
+    assert got == sorted([(False, 1, 1), (False, 2, 1), (False, 3, 4), (False, 3, 4), (True, None, 3), (False, 7, 2), (False, 8, 2)], key=str)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in cm.score(docs, rounds=1).collect())
     assert cm.score(docs.limit(0), rounds=1).count() == 0

@@ -1,29 +1,29 @@
 """Language-model scores by online logistic context mixing.
 
-A text is coded byte by byte, each byte as eight binary decisions, and closed by a zero byte. Six
-predictors look at the one to five bytes before and at the bytes of the word so far (letters A-Z in contexts
-count as lower case). A predictor's counts for (context, bits so far) stand in a table with a fixed number
-of slots, to which longer contexts are hashed. A table of states (small counts of zeros and ones) turns them
-into calibrated logits, which are mixed with weights chosen (gated) by how much the longest context and the
-word have been seen; the weights are learned online, by logistic gradient steps of adaptive size. A last
-stage refines the mix: a table of (bits so far, quantised logit) adapts the probability to what was observed
-there. The sum of logs is the text's score.
-
-Learning is a chain of Spark jobs over all training rows. Counts: windows of six bytes are counted in each
-task, summed by window, then turned into table slots. Weights: every task takes the windows of its part in
-order, online, starting from the current weights; their results are averaged by the events they saw, some
-rounds over. A window predicts itself from counts without its own occurrence, as an online model that
-predicts before it learns does; so slots seen once are left empty. What the driver sees is bounded by the
-tables' size (SLOTS), not by the corpus.
-
-In scoring the model is fixed, so a window's probability is computed once per task and looked up after that.
-
-The unigram base counts words [^\\x20\\x09-\\x0D]+ (A-Z lower-cased) and one end per text. Words that make
-up a large part of the training tokens (at most HOT of them, by their count) are scored where the text is;
-only the others are shuffled, to a join with the counts.
+The model codes the same tokens as the unigram base: words [^\\x20\\x09-\\x0D]+ (A-Z lower-cased), then one
+end. A word is its bytes and a space, the end a zero byte; each byte is eight binary decisions.
+
+Bit predictors look at the one to five bytes before (these may reach into words before) and at the bytes of
+the word so far. A table of states (small counts of zeros and ones) turns a predictor's counts into
+calibrated logits, which are mixed with weights chosen (gated) by how much the longest context and the word
+have been seen; the weights are learned online, by logistic gradient steps of adaptive size. A refining table
+of (bits so far, quantised logit) adapts the mix to what was observed there. Along each text a last mixer
+weighs these spelled words against the words' own frequencies; its weight starts at FIRST and is updated after
+every BLOCK tokens from how well either has told the tokens of this text so far.
+
+What is gathered grows with the corpus, and none of it comes to the driver or into every executor: windows of
+six bytes are counted in each chunk of texts, then summed; the distinct ones are hashed by the three bytes
+before the last into shards of about SHARD windows, in which all longer contexts meet and are counted
+exactly. Only the counts of the contexts of one and two bytes (LOW slots whatever the corpus, hashed), the
+states, weights and refining table are sent out. Each chunk gets back, by a join, the values of the windows
+and words that it holds, and with them scores its texts.
+
+Learning passes take each window without its own occurrence, as an online model that predicts before it
+learns does. Shards depend on the data alone, are learned in the order of hashes and averaged as whole
+numbers, so scores don't depend on partitions. Scoring uses all counts, of windows seen once too.
 
 Nulls: a null text is empty; a null id is hashed as 'null'. Repeated rows are scored each. An empty table
-gives an empty result. Without training rows all counts are zero and the model is uniform. Other columns
+gives an empty result. Without training rows all counts are zero and the bytes are uniform. Other columns
 play no part.
 """
 
@@ -38,22 +38,25 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcohort.llm.grouped import slices
+from voxcohort.llm.grouped import groups, slices
 from voxcohort.plans.storage import stored
 
-#: Bytes of context of each predictor (the last one sees the word so far) and bits of a slot's number in its table.
+#: Bytes of context of each predictor; the last one sees the word so far, at least NEAR bytes of it and before it.
 LONGEST = 5
 CONTEXT = (1, 2, 3, 4, LONGEST, LONGEST)
-SLOT_BITS = (16, 20, 21, 21, 22, 22)
 PREDICTORS = len(CONTEXT)
-FIRST = tuple(int(x) for x in np.cumsum([0, *(1 << b for b in SLOT_BITS)]))
-SLOTS = FIRST[-1]
+NEAR = 3
+#: Slots of the contexts of one byte (each its own) and of two bytes (hashed).
+LOW_BITS = (16, 20)
+LOW = sum(1 << b for b in LOW_BITS)
 #: Counts from which on a state holds more than one count; counts beyond the last are used as they are.
 STATES = np.array([1, 2, 3, 4, 6, 9, 15, 30, 60])
 SIDE = len(STATES) + 1
+STATE_OF = np.digitize(np.arange(STATES[-1] + 1), STATES)
 LONG_SEEN, WORD_SEEN = (1, 2, 4, 8, 20, 100), (1, 4, 30)
 GATES = (len(LONG_SEEN) + 1) * (len(WORD_SEEN) + 1)
 PRIOR = 0.4
@@ -61,48 +64,52 @@ BUCKETS = 33
 ROUNDS = 2
 RATE = 0.03
 STEP = 1024
-CHUNK = 65536
-#: Words of at least 1 / HOT of the training tokens are scored without a shuffle; there are at most HOT.
-HOT = 1 << 18
+#: Distinct windows of a shard, about.
+SHARD = 1 << 18
+#: Bytes of text of a chunk, about.
+CHUNK = 32 << 20
+#: Tokens after which a text's last mixer is updated; the weight of words it starts with, and how many tokens that counts for.
+BLOCK, FIRST, START = 16, 0.2, 4.0
 END = b"\n"  # not a word
-MEMO_BITS = 20
+WINDOWS, WORDS, TEXTS = 1, 2, 3
+#: Fixed-point units of averaged weights and of shares in the refining table.
+UNIT, SHARE = 1 << 24, 64
 
 
-def windows(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Six-byte windows, one per byte of each text and one for its end, and how many each text has; the last byte is the one to predict."""
-    buf = np.frombuffer(b"".join(b"\0" * LONGEST + (t or b"") + b"\0" for t in texts), np.uint8)
-    low = buf + 32 * ((buf >= 65) & (buf <= 90)).astype(np.uint8)
-    n = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-    at = np.arange(int(n.sum())) + np.repeat(LONGEST * np.arange(1, len(texts) + 1), n)
-    code = np.zeros(len(at), np.uint64)
-    for back in range(LONGEST, 0, -1):
-        code = (code << np.uint64(8)) | low[at - back]
-    return code << np.uint64(8) | buf[at], n
+def tokens(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
 
 
-def _words_so_far(context: np.ndarray) -> np.ndarray:
-    """The context's bytes after its last white space, with their number."""
-    n = np.full(len(context), LONGEST)
-    for i in range(LONGEST - 1, -1, -1):
-        byte = (context >> np.uint64(8 * i)) & np.uint64(255)
-        n = np.where((byte == 32) | (byte < 14), i, n)
-    masks = np.array([(1 << 8 * k) - 1 for k in range(LONGEST + 1)], np.uint64)
-    return context & masks[n] | (n.astype(np.uint64) + np.uint64(1)) << np.uint64(56)
+def spelled(text: bytes | None) -> bytes:
+    """The words, each with a space after it."""
+    words = tokens(text)
+    return b" ".join(words) + b" " if words else b""
+
 
+def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Six-byte windows, one per byte of each spelled text and one for its end, and how many each has; the last byte is the one to predict."""
+    buf = np.frombuffer(b"".join(b"\0" * LONGEST + t + b"\0" for t in texts), np.uint8)
+    n = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
+    code = np.zeros(max(len(buf) - LONGEST, 0), np.uint64)
+    for back in range(LONGEST, -1, -1):
+        code <<= np.uint64(8)
+        code |= buf[LONGEST - back : len(buf) - back]
+    real = np.ones(len(code), bool)  # windows that predict the zeros before the next text are none
+    ends = np.cumsum(n + LONGEST)[:-1]
+    for i in range(LONGEST):
+        real[ends - LONGEST + i] = False
+    return code[real], n
 
-def slots(code: np.ndarray, bit: int) -> np.ndarray:
-    """Table slots of all predictors for a bit of each window's last byte: one row per predictor."""
-    partial = np.uint64(1 << bit) | ((code & np.uint64(255)) >> np.uint64(8 - bit))
+
+def _words_so_far(code: np.ndarray) -> np.ndarray:
+    """The window, its context cut after the last white space (NEAR bytes stay) and marked with its length."""
     context = code >> np.uint64(8)
-    out = np.empty((PREDICTORS, len(code)), np.int64)
-    for k, (size, bits) in enumerate(zip(CONTEXT, SLOT_BITS, strict=True)):
-        seen = _words_so_far(context) if k == PREDICTORS - 1 else context & np.uint64((1 << 8 * size) - 1)
-        h = seen << np.uint64(8) | partial
-        if 8 * size + 8 > bits:
-            h = (seen * np.uint64(0xD6E8FEB86659FD93) ^ partial) * np.uint64(0x9E3779B97F4A7C15)
-            h = ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - bits)
-        out[k] = h.astype(np.int64) + FIRST[k]
-    return out
+    n = np.full(len(code), LONGEST)
+    for i in range(LONGEST - 1, -1, -1):
+        n = np.where((context >> np.uint64(8 * i)) & np.uint64(255) == 32, i, n)
+    n = np.maximum(n, NEAR)
+    masks = np.array([(1 << 8 * (k + 1)) - 1 for k in range(LONGEST + 1)], np.uint64)
+    return code & masks[n] | n.astype(np.uint64) << np.uint64(56)
 
 
 def bit_of(code: np.ndarray, bit: int) -> np.ndarray:
@@ -110,9 +117,35 @@ def bit_of(code: np.ndarray, bit: int) -> np.ndarray:
 
 
 def _partial(code: np.ndarray, bit: int) -> np.ndarray:
+    """The bits of the last byte so far, with a one before them."""
     return (1 << bit) | ((code & np.uint64(255)) >> np.uint64(8 - bit)).astype(np.int64)
 
 
+def low_slots(code: np.ndarray, bit: int) -> np.ndarray:
+    """Slots of the contexts of one and two bytes: two rows."""
+    partial = _partial(code, bit).astype(np.uint64)
+    one = code & np.uint64(0xFF00) | partial
+    h = (code & np.uint64(0xFFFF00) | partial) * np.uint64(0x9E3779B97F4A7C15)
+    two = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - LOW_BITS[1])
+    return np.stack((one, two + np.uint64(1 << LOW_BITS[0]))).astype(np.int64)
+
+
+def counted(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """zeros, ones [bit, window]: what n counts for each bit among the windows of equal context and bits before; key: context, then the byte."""
+    order = np.argsort(key, kind="stable")
+    k, w = key[order], n[order].astype(np.float64)
+    out = np.empty((2, 8, len(key)))
+    for bit in range(8):
+        head = k >> np.uint64(8 - bit)
+        starts = np.concatenate(([0], np.flatnonzero(head[1:] != head[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(k)))
+        one = np.where(bit_of(k, bit) == 1, w, 0)
+        ones = np.add.reduceat(one, starts)
+        out[0, bit, order] = np.repeat(np.add.reduceat(w, starts) - ones, sizes)
+        out[1, bit, order] = np.repeat(ones, sizes)
+    return out[0], out[1]
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -125,28 +158,27 @@ def _first_weights() -> np.ndarray:
     return w
 
 
+def state(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    most = STATES[-1]
+    return STATE_OF[np.minimum(n0, most).astype(np.int64)] * SIDE + STATE_OF[np.minimum(n1, most).astype(np.int64)]
+
+
+def _bucket(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    place = (np.clip(logit, -8, 8) + 8) * (BUCKETS - 1) / 16
+    low = np.minimum(place.astype(np.int64), BUCKETS - 2)
+    return low, place - low
+
+
 @dataclass
 class Mixer:
-    """Counts of zeros and ones per slot, logits of states, gated weights and the refining table."""
+    """Logits of states, gated weights and the refining table; as small for any corpus."""
 
-    zeros: np.ndarray
-    ones: np.ndarray
     states: np.ndarray | None = None
     weights: np.ndarray = field(default_factory=_first_weights)
     refine: np.ndarray | None = None
 
-    def counts(self, code: np.ndarray, bit: int, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Zeros and ones of each predictor; left_out: without one occurrence of the window."""
-        at = slots(code, bit)
-        n0, n1 = self.zeros[at].astype(np.float64), self.ones[at].astype(np.float64)
-        if left_out:
-            y = bit_of(code, bit)
-            n0, n1 = np.maximum(n0 - (1 - y), 0), np.maximum(n1 - y, 0)
-        return n0, n1
-
-    def inputs(self, code: np.ndarray, bit: int, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Logits of the predictors, and gates."""
-        n0, n1 = self.counts(code, bit, left_out)
+    def inputs(self, n0: np.ndarray, n1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits of the predictors, and gates, from counts [predictor, window]."""
         x = np.log((n1 + PRIOR) / (n0 + PRIOR))
         if self.states is not None:
             known = np.take_along_axis(self.states, state(n0, n1), 1)
@@ -165,285 +197,353 @@ class Mixer:
         refined = self.refine[partial, low] * (1 - part) + self.refine[partial, low + 1] * part
         return np.clip((p + refined) / 2, 1e-6, 1 - 1e-6)
 
-    def bits(self, code: np.ndarray) -> np.ndarray:
+
+class Shard:
+    """Windows that share shards of contexts, with the counts of all predictors."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray]) -> None:
+        self.code, self.n, self.low = code, n, low
+        keys = [code & np.uint64((1 << 8 * (size + 1)) - 1) for size in CONTEXT[2:-1]] + [_words_so_far(code)]
+        self.high = [counted(k, n) for k in keys]
+
+    def counts(self, bit: int, at: np.ndarray | None = None, left_out: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Zeros and ones [predictor, window] of the windows at; left_out: without one occurrence of the window."""
+        at = slice(None) if at is None else at
+        code = self.code[at]
+        low = low_slots(code, bit)
+        n0, n1 = (np.concatenate((self.low[i][low], [h[i][bit][at] for h in self.high])) for i in (0, 1))
+        if left_out:
+            y = bit_of(code, bit)
+            n0, n1 = np.maximum(n0 - (1 - y), 0), np.maximum(n1 - y, 0)
+        return n0, n1
+
+    def seen(self) -> np.ndarray:
+        """Places of the windows of training texts, in the order of a hash."""
+        at = np.flatnonzero(self.n > 0)
+        h = self.code[at] * np.uint64(0x9E3779B97F4A7C15)
+        return at[np.argsort((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), kind="stable")]
+
+    def log2(self, model: Mixer) -> np.ndarray:
         """log2 probability of each window's last byte."""
-        out = np.zeros(len(code))
+        out = np.zeros(len(self.code))
         for bit in range(8):
-            p = self.probability(self.mixed(*self.inputs(code, bit, False)), _partial(code, bit))
-            out += np.log2(np.where(bit_of(code, bit) == 1, p, 1 - p))
+            p = model.probability(model.mixed(*model.inputs(*self.counts(bit))), _partial(self.code, bit))
+            out += np.log2(np.where(bit_of(self.code, bit) == 1, p, 1 - p))
         return out
 
-    def learn(self, code: np.ndarray, n: np.ndarray) -> None:
-        """One online pass: a gradient step for each gate after every STEP windows, divided by the root of past squares."""
-        past = np.full(self.weights.shape, 1e-4)
-        for at in range(0, len(code), STEP):
-            c, w = code[at : at + STEP], n[at : at + STEP].astype(np.float64)
+    def state_sums(self, model: Mixer) -> list[np.ndarray]:
+        size, at = PREDICTORS * SIDE**2, self.seen()
+        n, seen, one = np.tile(self.n[at], PREDICTORS), np.zeros(size), np.zeros(size)
+        for bit in range(8):
+            s = (state(*self.counts(bit, at, True)) + SIDE**2 * np.arange(PREDICTORS)[:, None]).ravel()
+            seen += np.bincount(s, n, size)
+            one += np.bincount(s, n * np.tile(bit_of(self.code[at], bit), PREDICTORS), size)
+        return [seen, one]
+
+    def learned(self, model: Mixer) -> list[np.ndarray]:
+        """One online pass over the shard: a gradient step for each gate after every STEP windows, divided by the root of past squares."""
+        at, w = self.seen(), model.weights.copy()
+        model, past = Mixer(model.states, w), np.full(w.shape, 1e-4)
+        counts = [self.counts(bit, at, True) for bit in range(8)]
+        for i in range(0, len(at), STEP):
+            c, n = self.code[at[i : i + STEP]], self.n[at[i : i + STEP]]
             for bit in range(8):
-                x, gate = self.inputs(c, bit, True)
-                miss = w * (bit_of(c, bit) - _sigmoid(self.mixed(x, gate)))
+                x, gate = model.inputs(*(m[:, i : i + STEP] for m in counts[bit]))
+                miss = n * (bit_of(c, bit) - _sigmoid(model.mixed(x, gate)))
                 slope = np.stack([np.bincount(gate, miss * x[k], GATES) for k in range(PREDICTORS)], 1)
                 past += slope * slope
-                self.weights += RATE * slope / np.sqrt(past)
+                w += RATE * slope / np.sqrt(past)
+        return [np.rint(w.ravel() * UNIT) * len(at), np.full(w.size, len(at))]
+
+    def refine_sums(self, model: Mixer) -> list[np.ndarray]:
+        at, size = self.seen(), 256 * BUCKETS
+        code, n, seen, one = self.code[at], self.n[at], np.zeros(size), np.zeros(size)
+        for bit in range(8):
+            low, part = _bucket(model.mixed(*model.inputs(*self.counts(bit, at, True))))
+            up, cell = np.rint(part * SHARE), _partial(code, bit) * BUCKETS + low
+            for add, share in ((0, n * (SHARE - up)), (1, n * up)):
+                seen += np.bincount(cell + add, share, size)
+                one += np.bincount(cell + add, share * bit_of(code, bit), size)
+        return [seen, one]
 
 
 def packed(zeros: np.ndarray, ones: np.ndarray) -> bytes:
     """The counts, mostly zeros in small corpora, compressed for the way to the executors."""
-    return zlib.compress(np.stack((zeros, ones)).tobytes(), 1)
+    return zlib.compress(np.stack((zeros, ones)).astype(np.float32).tobytes(), 1)
 
 
 @lru_cache(maxsize=1)
 def unpacked(held: bytes) -> tuple[np.ndarray, np.ndarray]:
-    zeros, ones = np.frombuffer(zlib.decompress(held), np.uint16).reshape(2, -1)
+    zeros, ones = np.frombuffer(zlib.decompress(held), np.float32).reshape(2, -1)
     return zeros, ones
 
 
-def state(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    return np.digitize(n0, STATES) * SIDE + np.digitize(n1, STATES)
-
-
-def _bucket(logit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    place = (np.clip(logit, -8, 8) + 8) * (BUCKETS - 1) / 16
-    low = np.minimum(place.astype(np.int64), BUCKETS - 2)
-    return low, place - low
-
-
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for b in batches:
-        code, n = b.column("code").to_numpy().view(np.uint64), b.column("n").to_numpy().astype(np.float64)
-        for at in range(0, len(code), CHUNK):
-            yield code[at : at + CHUNK], n[at : at + CHUNK]
-
-
-def _summed(counts: DataFrame, add: Callable[[Iterator[tuple[np.ndarray, np.ndarray]]], list[np.ndarray]], many: int) -> list[np.ndarray]:
-    """Sums over all tasks of the arrays of fixed length that add makes of a task's windows."""
+def _low_counts(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Zeros and ones in the LOW slots, from windows (key, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arrays = add(_chunks(batches))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(arrays[0]), dtype=np.int32)), *map(pa.array, arrays)], ["i", *(f"s{j}" for j in range(many))])
+        for b in batches:
+            code, n = b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy()
+            key = np.concatenate([(low_slots(code, bit) * 2 + bit_of(code, bit)).ravel() for bit in range(8)])
+            key, at = np.unique(key, return_inverse=True)
+            sums = np.bincount(at, np.tile(n, 16), len(key)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(sums)], ["slot", "n"])
 
-    names = [f"s{j}" for j in range(many)]
-    t = counts.mapInArrow(run, "i int, " + ", ".join(f"{c} double" for c in names)).groupBy("i").agg(*(F.sum(c).alias(c) for c in names)).orderBy("i").toArrow()
-    return [t[c].to_numpy() for c in names]
+    short = counts.groupBy((F.col("key").bitwiseAND(F.lit(0xFFFFFF))).alias("key")).agg(F.sum("n").alias("n")).filter("n > 0")
+    t = short.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    flat = np.zeros(2 * LOW)
+    flat[t["slot"].to_numpy()] = t["n"].to_numpy()
+    return flat[0::2], flat[1::2]
 
 
-def _window_batch(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], ["code", "n"])
+def _in_shards(counts: DataFrame, held, work: Callable[[Shard, tuple], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What work makes of each shard of the windows (shard, key, n); held: a broadcast of the packed low counts and the model."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low, model = held.value
+        for _, (key, n) in groups(batches, ("shard",), ("key", "n")):
+            yield work(Shard(key.view(np.uint64), n, unpacked(low)), model)
 
-def _window_counts(texts: DataFrame) -> DataFrame:
-    """code, n of the distinct windows of column text (binary)."""
+    return counts.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(run, schema)
 
-    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return code, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
-        for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                parts.append(np.unique(windows(b.column("text").to_pylist())[0], return_counts=True))
-                held += len(parts[-1][0])
-                if held > 2_000_000:  # merged rarely, as that sorts all that is held
-                    parts = [merged(parts)]
-                    held = len(parts[0][0])
-                    if held > 1_000_000:
-                        yield _window_batch(*parts[0])
-                        parts, held = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
-        yield _window_batch(*merged(parts))
+def _summed(counts: DataFrame, low: bytes, model: Mixer, name: str) -> list[np.ndarray]:
+    """Sums over all shards of the arrays (whole numbers) that a method of Shard returns."""
+    held = counts.sparkSession.sparkContext.broadcast((low, model))
 
-    return texts.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def work(shard: Shard, model: Mixer) -> pa.RecordBatch:
+        a, b = getattr(shard, name)(model)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(a), dtype=np.int32)), pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["i", "a", "b"])
 
+    t = _in_shards(counts, held, work, "i int, a long, b long").groupBy("i").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy("i").toArrow()
+    held.unpersist()
+    return [t["a"].to_numpy().astype(np.float64), t["b"].to_numpy().astype(np.float64)]
 
-def _slot_counts(counts: DataFrame) -> DataFrame:
-    """slot, zeros, ones: the windows' counts in table slots, at most SLOTS rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for code, n in _chunks(batches):
-            key = np.concatenate([(slots(code, bit) * 2 + bit_of(code, bit)[None]).ravel() for bit in range(8)])
-            key, at = np.unique(key, return_inverse=True)
-            sums = np.bincount(at, np.tile(n, 8 * PREDICTORS)).astype(np.int64)
-            one = key & 1 == 1
-            yield pa.RecordBatch.from_arrays([pa.array((key >> 1).astype(np.int32)), pa.array(np.where(one, 0, sums)), pa.array(np.where(one, sums, 0))], ["slot", "zeros", "ones"])
-
-    summed = counts.mapInArrow(run, "slot int, zeros long, ones long").groupBy("slot").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"))
-    both = F.greatest(F.greatest("zeros", "ones") / F.lit(32000.0), F.lit(1.0))  # large counts keep their ratio in 15 bits
-    return summed.filter("zeros + ones > 1").select("slot", F.ceil(F.col("zeros") / both).cast("short").alias("zeros"), F.ceil(F.col("ones") / both).cast("short").alias("ones"))
-
-
-def train(texts: DataFrame, rounds: int = ROUNDS) -> Mixer:
-    """The model of all texts (column text, binary)."""
-    spark = texts.sparkSession
-    counts = stored(_window_counts(texts).repartition("code").sortWithinPartitions(F.xxhash64("code"), "code"), "lm-windows")
-    table = _slot_counts(counts).toArrow()
-    zeros, ones = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.uint16)
-    at = table["slot"].to_numpy()
-    zeros[at], ones[at] = table["zeros"].to_numpy(), table["ones"].to_numpy()
-    del table, at
-    model = Mixer(zeros, ones)
-    held = spark.sparkContext.broadcast(packed(zeros, ones))
+def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, bytes, Mixer]:
+    """The windows in shards, the packed low counts and the mixer, from windows (key, n)."""
+    shards = max(1, -(-counts.count() // SHARD))
+    counts = counts.withColumn("shard", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(shards)).cast("int"))
+    low, model = packed(*_low_counts(counts)), Mixer()
+    seen, one = _summed(counts, low, model, "state_sums")
     size = PREDICTORS * SIDE**2
-
-    def states(chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        own, seen, one = Mixer(*unpacked(held.value)), np.zeros(size), np.zeros(size)
-        for code, n in chunks:
-            for bit in range(8):
-                at = (state(*own.counts(code, bit, True)) + SIDE**2 * np.arange(PREDICTORS)[:, None]).ravel()
-                seen += np.bincount(at, np.tile(n, PREDICTORS), size)
-                one += np.bincount(at, np.tile(n * bit_of(code, bit), PREDICTORS), size)
-        return [seen, one]
-
-    seen, one = _summed(counts, states, 2)
     p = (one + PRIOR) / (seen + 2 * PRIOR) if len(seen) else np.full(size, 0.5)
     model.states = np.log(p / (1 - p)).reshape(PREDICTORS, -1)
     for _ in range(rounds):
-        now = (model.states, model.weights)
-
-        def learn(chunks: Iterator[tuple[np.ndarray, np.ndarray]], now: tuple = now) -> list[np.ndarray]:
-            own, total = Mixer(*unpacked(held.value), now[0], now[1].copy()), 0.0
-            for code, n in chunks:
-                own.learn(code, n)
-                total += float(n.sum())
-            return [own.weights.ravel() * total, np.full(own.weights.size, total)]
-
-        sums, total = _summed(counts, learn, 2)
+        sums, total = _summed(counts, low, model, "learned")
         if len(sums) and total[0] > 0:
-            model.weights = (sums / total).reshape(model.weights.shape)
-    now = (model.states, model.weights)
-
-    def observe(chunks: Iterator[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
-        own, seen, one = Mixer(*unpacked(held.value), *now), np.zeros(256 * BUCKETS), np.zeros(256 * BUCKETS)
-        for code, n in chunks:
-            for bit in range(8):
-                low, part = _bucket(own.mixed(*own.inputs(code, bit, True)))
-                for add, share in ((0, n * (1 - part)), (1, n * part)):
-                    seen += np.bincount(_partial(code, bit) * BUCKETS + low + add, share, 256 * BUCKETS)
-                    one += np.bincount(_partial(code, bit) * BUCKETS + low + add, share * bit_of(code, bit), 256 * BUCKETS)
-        return [seen, one]
-
-    seen, one = _summed(counts, observe, 2)
+            model.weights = (sums / total / UNIT).reshape(model.weights.shape)
+    seen, one = _summed(counts, low, model, "refine_sums")
     centre = np.tile(_sigmoid(np.linspace(-8, 8, BUCKETS)), 256)
     if len(seen):
-        model.refine = ((one + 20 * centre) / (seen + 20)).reshape(256, BUCKETS)
-    held.unpersist()
-    return model
-
-
-class Scorer:
-    """Scores texts, keeping the windows it has computed in a table of fixed size."""
-
-    def __init__(self, model: Mixer) -> None:
-        self.model = model
-        self.code = np.full(1 << MEMO_BITS, ~np.uint64(0))
-        self.value = np.zeros(1 << MEMO_BITS)
-
-    def __call__(self, texts: list[bytes | None]) -> np.ndarray:
-        """log10 probability of each text with its end."""
-        code, n = windows(texts)
-        at = (code * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - MEMO_BITS)).astype(np.int64)
-        value = self.value[at]
-        miss = np.flatnonzero(self.code[at] != code)
-        if len(miss):
-            new, back = np.unique(code[miss], return_inverse=True)
-            bits = np.concatenate([self.model.bits(new[i : i + CHUNK]) for i in range(0, len(new), CHUNK)])
-            value[miss] = bits[back]
-            self.code[at[miss]], self.value[at[miss]] = code[miss], value[miss]
-        return np.add.reduceat(value, np.cumsum(n) - n) * math.log10(2)
-
-
-def words(text: bytes | None) -> list[bytes]:
-    return (text or b"").lower().split()
+        model.refine = ((one / SHARE + 20 * centre) / (seen / SHARE + 20)).reshape(256, BUCKETS)
+    return counts, low, model
+
+
+def valued(counts: DataFrame, low: bytes, model: Mixer) -> DataFrame:
+    """key, value (log2 probability of the last byte) of each window (shard, key, n)."""
+    held = counts.sparkSession.sparkContext.broadcast((low, model))
+
+    def work(shard: Shard, model: Mixer) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard.code.view(np.int64)), pa.array(shard.log2(model).astype(np.float32))], ["key", "value"])
+
+    return _in_shards(counts, held, work, "key long, value float")
+
+
+class Chunk:
+    """Gathers the windows and words of a chunk's texts; those of held-out texts count zero."""
+
+    def __init__(self) -> None:
+        self.bytes = self.held = 0
+        self.words: Counter[bytes] = Counter()
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, texts: list[bytes | None], held_out: list[bool]) -> None:
+        for out in (False, True):
+            own = [t for t, h in zip(texts, held_out, strict=True) if h == out]
+            if not own:
+                continue
+            split = [tokens(t) for t in own]
+            for w in split:
+                if out:
+                    for x in w:
+                        self.words.setdefault(x, 0)
+                else:
+                    self.words.update(w)
+            self.words[END] += 0 if out else len(own)
+            code, n = np.unique(windows([b" ".join(w) + b" " if w else b"" for w in split])[0], return_counts=True)
+            self.parts.append((code, n * (not out)))
+            self.held += len(code)
+        self.bytes += sum(len(t or b"") for t in texts)
+        if self.held > 2_000_000:  # merged rarely, as that sorts all that is held
+            self.parts = [self.windows()]
+            self.held = len(self.parts[0][0]) // 2
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray]:
+        code = np.concatenate([c for c, _ in self.parts])
+        order = np.argsort(code, kind="stable")
+        code, n = code[order], np.concatenate([n for _, n in self.parts])[order]
+        starts = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
+        return code[starts], np.add.reduceat(n, starts)
+
+
+def _batch(chunk: int, kind: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch of the gathered table, with nulls in the columns not given."""
+    types = {"key": pa.int64(), "word": pa.binary(), "n": pa.int64(), "row": pa.int64(), "text": pa.binary()}
+    own = [pa.array(np.full(rows, chunk)), pa.array(np.full(rows, kind, np.int8))]
+    return pa.RecordBatch.from_arrays(own + [columns.get(c, pa.nulls(rows, t)) for c, t in types.items()], ["chunk", "kind", *types])
+
+
+def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """chunk, kind and the windows (key, n), words (word, n) and texts (row, text) of each chunk; rows: row, held_out, text."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, own = TaskContext.get().partitionId() << 24, Chunk()  # type: ignore[union-attr]
 
-def token_counts(texts: DataFrame) -> DataFrame:
-    """token (binary), c of all words and ends of column text."""
+        def close() -> Iterator[pa.RecordBatch]:
+            if own.parts:
+                code, n = own.windows()
+                yield _batch(name, WINDOWS, len(code), key=pa.array(code.view(np.int64)), n=pa.array(n))
+                yield _batch(name, WORDS, len(own.words), word=pa.array(list(own.words), pa.binary()), n=pa.array(list(own.words.values()), pa.int64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in slices(batch, "text", 16 << 20):
-                n: Counter[bytes] = Counter()
-                for t in b.column("text").to_pylist():
-                    n.update(words(t))
-                n[END] = b.num_rows
-                yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], ["token", "n"])
+            for b in slices(batch, "text", 1 << 20):
+                own.add(b.column("text").to_pylist(), b.column("held_out").to_pylist())
+                yield _batch(name, TEXTS, b.num_rows, row=b.column("row"), text=b.column("text"))
+                if own.bytes >= chunk:
+                    yield from close()
+                    name, own = name + 1, Chunk()
+        yield from close()
+
+    return rows.mapInArrow(run, "chunk long, kind byte, key long, word binary, n long, row long, text binary")
+
+
+class Lookup:
+    """Values of 64-bit keys: hash tables level by level, each with the keys that met another one in the level before."""
+
+    def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
+        self.levels = []
+        while len(key):
+            bits = max(4, int(len(key) * 3).bit_length())
+            held, values = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, value.dtype)
+            factor = np.uint64((0x9E3779B97F4A7C15 * (2 * len(self.levels) + 1)) & (1 << 64) - 1)
+            at = (key * factor >> np.uint64(64 - bits)).astype(np.int64)
+            held[at], values[at] = key, value
+            self.levels.append((factor, np.uint64(64 - bits), held, values))
+            left = held[at] != key
+            key, value = key[left], value[left]
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        out, open_ = np.zeros(len(key)), None
+        for factor, shift, held, values in self.levels:
+            k = key if open_ is None else key[open_]
+            at = (k * factor >> shift).astype(np.int64)
+            out[slice(None) if open_ is None else open_] = values[at]
+            miss = np.flatnonzero(held[at] != k)
+            open_ = miss if open_ is None else open_[miss]
+            if not len(open_):
+                break
+        return out
 
-    return texts.mapInArrow(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
+
+def last_mix(word: np.ndarray, letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """log10 probability of each text from its tokens' log10 probabilities as words (-inf: unknown) and as letters; sizes: tokens of each text.
+
+    The weight of words in a block of BLOCK tokens is the share that words had in telling the text's tokens
+    before it (their posterior), with FIRST for START tokens.
+    """
+    start = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    first, size = start[order], sizes[order]
+    told, out = np.zeros(len(sizes)), np.zeros(len(sizes))
+    for at in range(0, int(size.max(initial=0)), BLOCK):
+        m = int(np.searchsorted(-size, -at, side="left"))  # texts that reach this block
+        own = np.minimum(size[:m] - at, BLOCK)
+        flat = np.arange(int(own.sum())) + np.repeat(first[:m] + at - (np.cumsum(own) - own), own)
+        share = np.repeat((START * FIRST + told[:m]) / (START + at), own)
+        a, b = np.log10(share) + word[flat], np.log10(1 - share) + letters[flat]
+        apart = 10.0 ** -np.abs(a - b)
+        cuts = np.cumsum(own) - own
+        out[:m] += np.add.reduceat(np.maximum(a, b) + np.log10(1 + apart), cuts)
+        told[:m] += np.add.reduceat(np.where(a >= b, 1, apart) / (1 + apart), cuts)
+    back = np.empty(len(sizes))
+    back[order] = out
+    return back
 
 
 def held_out(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).cast("binary")) % 5 == 1
 
 
-def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row; held-out rows teach nothing."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    taught = rows.filter(~held_out("doc_id")).select("text")
-    vocabulary = stored(token_counts(taught), "lm-tokens")
-    total, distinct = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    model = train(taught, rounds)
-    line = max(1, -(-total // HOT))
-    hot = {bytes(r[0]): r[1] for r in vocabulary.filter(F.col("c") >= line).toLocalIterator()} if total else {}
-    held = spark.sparkContext.broadcast((packed(model.zeros, model.ones), model.states, model.weights, model.refine, hot, math.log10(total + 0.5 * (distinct + 1))))
+def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Scores a partition of (chunk, kind, a, value, x) in order: a chunk's windows, words and texts."""
+    smooth, whole = math.log10(total + 0.5 * (distinct + 1)), math.log10(max(total, 1))
+
+    def texts(row: np.ndarray, held: list[bytes | None], known: dict[bytes, int], letters: Lookup) -> pa.RecordBatch:
+        split = [tokens(t) for t in held]
+        code, n = windows([b" ".join(w) + b" " if w else b"" for w in split])
+        bits = letters(code)
+        stops = np.flatnonzero((code & np.uint64(255) == 32) | (code & np.uint64(255) == 0)) if len(code) else np.zeros(0, np.int64)
+        spelled = np.add.reduceat(bits, np.concatenate(([0], stops[:-1] + 1))) * math.log10(2) if len(code) else bits
+        sizes = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
+        c = np.fromiter((known[x] for w in split for x in (*w, END)), np.float64, int(sizes.sum()))
+        with np.errstate(divide="ignore"):
+            word = np.log10(c) - whole
+        cuts = np.cumsum(sizes) - sizes
+        base = np.add.reduceat(np.log10(c + 0.5) - smooth, cuts)
+        seen = np.add.reduceat((c > 0).astype(np.int64), cuts)
+        size = np.fromiter((len(t or b"") for t in held), np.int64, len(held))
+        columns = [row, sizes, seen, base, last_mix(word, spelled, sizes), size]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, states, weights, refine, hot, whole = held.value
-        logs = {t: math.log10(c + 0.5) - whole for t, c in hot.items()}
-        scorer = Scorer(Mixer(*unpacked(counts), states, weights, refine))
+        now, keys, values, known, letters = None, [], [], {}, None
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                texts, row = b.column("text").to_pylist(), b.column("row").to_pylist()
-                many, known, base = [], [], []
-                cold_row: list[int] = []
-                cold: list[bytes] = []
-                cold_n: list[int] = []
-                for r, t in zip(row, texts, strict=True):
-                    n = Counter(words(t))
-                    n[END] = 1
-                    k, s = 0, 0.0
-                    for w, m in n.items():
-                        if (g := logs.get(w)) is not None:
-                            k += m
-                            s += m * g
-                        else:
-                            cold_row.append(r)
-                            cold.append(w)
-                            cold_n.append(m)
-                    many.append(n.total())
-                    known.append(k)
-                    base.append(s)
-                mixed = scorer(texts)
-                # A row for the document itself, under a key that is no word, and one for each word still to be looked up.
-                own, rest = len(row), len(cold)
-                add = lambda x, kind, rest=rest: pa.concat_arrays([pa.array(x, kind) if isinstance(x, list) else x, pa.nulls(rest, kind)])
-                columns = {
-                    "token": pa.array([END + str(r).encode() for r in row] + cold, pa.binary()),
-                    "row": pa.array(row + cold_row, pa.int64()),
-                    "n": pa.concat_arrays([pa.nulls(own, pa.int64()), pa.array(cold_n, pa.int64())]),
-                    "doc_id": add(b.column("doc_id"), b.column("doc_id").type),
-                    "held_out": add(b.column("held_out"), pa.bool_()),
-                    "n_tokens": add(many, pa.int64()),
-                    "known": add(known, pa.int64()),
-                    "base": add(base, pa.float64()),
-                    "mixed": add(pa.array(mixed), pa.float64()),
-                    "n_bytes": add([len(t) for t in texts], pa.int64()),
-                }
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    keyed = rows.select("doc_id", held_out("doc_id").alias("held_out"), F.monotonically_increasing_id().alias("row"), "text")
-    schema = f"token binary, row long, n long, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, known long, base double, mixed double, n_bytes long"
-    parts = keyed.mapInArrow(run, schema)
-    cold = vocabulary.filter(F.col("c") < line).select(F.col("token").alias("_token"), "c").hint("shuffle_hash")
-    met = parts.join(cold, F.col("token") == F.col("_token"), "left")
-    seen = F.coalesce("c", F.lit(0))
-    whole = math.log10(total + 0.5 * (distinct + 1))
-    out = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("known") + F.coalesce(F.sum(F.when(seen > 0, F.col("n"))), F.lit(0))).alias("n_known"),
-        (F.sum("base") + F.coalesce(F.sum(F.col("n") * (F.log10(seen + F.lit(0.5)) - F.lit(whole))), F.lit(0.0))).alias("base_score"),
-        F.sum("mixed").alias("score"),
-        F.sum("n_bytes").alias("n_bytes"),
-    )
+            chunk, kind = batch.column("chunk").to_numpy(), batch.column("kind").to_numpy()
+            change = np.flatnonzero((chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for i, j in zip([0, *change.tolist()], [*change.tolist(), len(chunk)], strict=True):
+                if i == j:
+                    continue
+                b = batch.slice(i, j - i)
+                if chunk[i] != now:
+                    now, keys, values, known, letters = chunk[i], [], [], {}, None
+                if kind[i] == WINDOWS:
+                    keys.append(b.column("a").to_numpy().view(np.uint64))
+                    values.append(b.column("value").to_numpy())
+                elif kind[i] == WORDS:
+                    known.update(zip(b.column("x").to_pylist(), b.column("a").to_pylist(), strict=True))
+                else:
+                    if letters is None:
+                        letters = Lookup(np.concatenate(keys), np.concatenate(values))
+                        keys, values = [], []
+                    for s in slices(b, "x", 4 << 20):
+                        yield texts(s.column("a").to_numpy(), s.column("x").to_pylist(), known, letters)
+
+    return run
+
+
+def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row; held-out rows teach nothing.
+
+    score: log10 probability of the tokens. Bits are per byte of the text as given.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # Names and texts are written together, once, so that row means the same in both.
+    kept = stored(rows, "lm-rows")
+    all_ = stored(gathered(kept.select("row", "held_out", "text"), chunk), "lm-gathered")
+    asked = all_.filter(F.col("kind") == WINDOWS)
+    counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "lm-windows")
+    values = valued(*train(counts, rounds))
+    letters = asked.select("chunk", "key").join(values.hint("shuffle_hash"), "key").select("chunk", F.lit(WINDOWS).cast("byte").alias("kind"), F.col("key").alias("a"), "value", F.lit(None).cast("binary").alias("x"))
+    of_word = Window.partitionBy("word")
+    words = all_.filter(F.col("kind") == WORDS).select("chunk", "word", F.sum("n").over(of_word).alias("c"), (F.min("chunk").over(of_word) == F.col("chunk")).alias("first"))
+    words = stored(words, "lm-words")
+    total, distinct = words.filter(F.col("first") & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    known = words.select("chunk", F.lit(WORDS).cast("byte").alias("kind"), F.col("c").alias("a"), F.lit(None).cast("float").alias("value"), F.col("word").alias("x"))
+    texts = all_.filter(F.col("kind") == TEXTS).select("chunk", "kind", F.col("row").alias("a"), F.lit(None).cast("float").alias("value"), F.col("text").alias("x"))
+    met = letters.unionByName(known).unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
+    found = met.mapInArrow(_scored(total, distinct), "row long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.lit(math.log10(2)) / F.greatest("n_bytes", F.lit(1))
+    out = kept.select("row", "doc_id", "held_out").join(found, "row")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

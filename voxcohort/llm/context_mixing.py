@@ -65,7 +65,7 @@ ROUNDS = 2
 RATE = 0.03
 STEP = 1024
 #: Distinct windows of a shard, about.
-SHARD = 1 << 18
+SHARD = 1 << 16
 #: Bytes of text of a chunk, about.
 CHUNK = 32 << 20
 #: Tokens after which a text's last mixer is updated; the weight of words it starts with, and how many tokens that counts for.
@@ -304,7 +304,7 @@ def _in_shards(counts: DataFrame, held, work: Callable[[Shard, tuple], Iterator[
         for _, (key, n) in groups(batches, ("shard",), ("key", "n")):
             yield work(Shard(key.view(np.uint64), n, unpacked(low)), model)
 
-    return counts.repartition("shard").sortWithinPartitions("shard", "key").mapInArrow(run, schema)
+    return counts.sortWithinPartitions("shard", "key").mapInArrow(run, schema)
 
 
 def _summed(counts: DataFrame, low: bytes, model: Mixer, name: str) -> list[np.ndarray]:
@@ -323,7 +323,8 @@ def _summed(counts: DataFrame, low: bytes, model: Mixer, name: str) -> list[np.n
 def train(counts: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, bytes, Mixer]:
     """The windows in shards, the packed low counts and the mixer, from windows (key, n)."""
     shards = max(1, -(-counts.count() // SHARD))
-    counts = counts.withColumn("shard", F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(shards)).cast("int"))
+    of_key = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFFFF))), F.lit(shards)).cast("int")
+    counts = counts.withColumn("shard", of_key).repartition(shards, "shard")  # a number given, as small tasks would else be made one
     low, model = packed(*_low_counts(counts)), Mixer()
     seen, one = _summed(counts, low, model, "state_sums")
     size = PREDICTORS * SIDE**2
@@ -387,35 +388,36 @@ class Chunk:
         return code[starts], np.add.reduceat(n, starts)
 
 
-def _batch(chunk: int, kind: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+def _batch(chunk: int, kind: int, rows: int, types: dict[str, pa.DataType], **columns: pa.Array) -> pa.RecordBatch:
     """A batch of the gathered table, with nulls in the columns not given."""
-    types = {"key": pa.int64(), "word": pa.binary(), "n": pa.int64(), "row": pa.int64(), "text": pa.binary()}
     own = [pa.array(np.full(rows, chunk)), pa.array(np.full(rows, kind, np.int8))]
     return pa.RecordBatch.from_arrays(own + [columns.get(c, pa.nulls(rows, t)) for c, t in types.items()], ["chunk", "kind", *types])
 
 
 def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """chunk, kind and the windows (key, n), words (word, n) and texts (row, text) of each chunk; rows: row, held_out, text."""
+    """chunk, kind and the windows (key, n), words (x, n) and texts (x, doc_id, held_out) of each chunk; rows: doc_id, held_out, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, own = TaskContext.get().partitionId() << 24, Chunk()  # type: ignore[union-attr]
+        types = {"key": pa.int64(), "n": pa.int64(), "x": pa.binary()}
 
         def close() -> Iterator[pa.RecordBatch]:
             if own.parts:
                 code, n = own.windows()
-                yield _batch(name, WINDOWS, len(code), key=pa.array(code.view(np.int64)), n=pa.array(n))
-                yield _batch(name, WORDS, len(own.words), word=pa.array(list(own.words), pa.binary()), n=pa.array(list(own.words.values()), pa.int64()))
+                yield _batch(name, WINDOWS, len(code), types, key=pa.array(code.view(np.int64)), n=pa.array(n))
+                yield _batch(name, WORDS, len(own.words), types, x=pa.array(list(own.words), pa.binary()), n=pa.array(list(own.words.values()), pa.int64()))
 
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
+                types |= {c: b.column(c).type for c in ("doc_id", "held_out")}
                 own.add(b.column("text").to_pylist(), b.column("held_out").to_pylist())
-                yield _batch(name, TEXTS, b.num_rows, row=b.column("row"), text=b.column("text"))
+                yield _batch(name, TEXTS, b.num_rows, types, x=b.column("text"), doc_id=b.column("doc_id"), held_out=b.column("held_out"))
                 if own.bytes >= chunk:
                     yield from close()
                     name, own = name + 1, Chunk()
         yield from close()
 
-    return rows.mapInArrow(run, "chunk long, kind byte, key long, word binary, n long, row long, text binary")
+    return rows.mapInArrow(run, f"chunk long, kind byte, key long, n long, x binary, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean")
 
 
 class Lookup:
@@ -476,12 +478,13 @@ def held_out(id_col: str) -> Column:
 
 
 def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores a partition of (chunk, kind, a, value, x) in order: a chunk's windows, words and texts."""
+    """Scores a partition of (chunk, kind, a, value, x, doc_id, held_out) in order: a chunk's windows (a, value), words (x, a) and texts (x)."""
     smooth, whole = math.log10(total + 0.5 * (distinct + 1)), math.log10(max(total, 1))
 
-    def texts(row: np.ndarray, held: list[bytes | None], known: dict[bytes, int], letters: Lookup) -> pa.RecordBatch:
+    def texts(b: pa.RecordBatch, known: dict[bytes, int], letters: Lookup) -> pa.RecordBatch:
+        held = b.column("x").to_pylist()
         split = [tokens(t) for t in held]
-        code, n = windows([b" ".join(w) + b" " if w else b"" for w in split])
+        code, _ = windows([b" ".join(w) + b" " if w else b"" for w in split])
         bits = letters(code)
         stops = np.flatnonzero((code & np.uint64(255) == 32) | (code & np.uint64(255) == 0)) if len(code) else np.zeros(0, np.int64)
         spelled = np.add.reduceat(bits, np.concatenate(([0], stops[:-1] + 1))) * math.log10(2) if len(code) else bits
@@ -493,8 +496,8 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
         base = np.add.reduceat(np.log10(c + 0.5) - smooth, cuts)
         seen = np.add.reduceat((c > 0).astype(np.int64), cuts)
         size = np.fromiter((len(t or b"") for t in held), np.int64, len(held))
-        columns = [row, sizes, seen, base, last_mix(word, spelled, sizes), size]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["row", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+        columns = [sizes, seen, base, last_mix(word, spelled, sizes), size]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, values, known, letters = None, [], [], {}, None
@@ -517,7 +520,7 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
                         letters = Lookup(np.concatenate(keys), np.concatenate(values))
                         keys, values = [], []
                     for s in slices(b, "x", 4 << 20):
-                        yield texts(s.column("a").to_numpy(), s.column("x").to_pylist(), known, letters)
+                        yield texts(s, known, letters)
 
     return run
 
@@ -528,22 +531,20 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     score: log10 probability of the tokens. Bits are per byte of the text as given.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    # Names and texts are written together, once, so that row means the same in both.
-    kept = stored(rows, "lm-rows")
-    all_ = stored(gathered(kept.select("row", "held_out", "text"), chunk), "lm-gathered")
+    all_ = stored(gathered(rows, chunk), "lm-gathered")
     asked = all_.filter(F.col("kind") == WINDOWS)
     counts = stored(asked.groupBy("key").agg(F.sum("n").alias("n")), "lm-windows")
     values = valued(*train(counts, rounds))
-    letters = asked.select("chunk", "key").join(values.hint("shuffle_hash"), "key").select("chunk", F.lit(WINDOWS).cast("byte").alias("kind"), F.col("key").alias("a"), "value", F.lit(None).cast("binary").alias("x"))
-    of_word = Window.partitionBy("word")
-    words = all_.filter(F.col("kind") == WORDS).select("chunk", "word", F.sum("n").over(of_word).alias("c"), (F.min("chunk").over(of_word) == F.col("chunk")).alias("first"))
+    of_word = Window.partitionBy("x")
+    words = all_.filter(F.col("kind") == WORDS).select("chunk", "x", F.sum("n").over(of_word).alias("c"), (F.min("chunk").over(of_word) == F.col("chunk")).alias("first"))
     words = stored(words, "lm-words")
     total, distinct = words.filter(F.col("first") & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = words.select("chunk", F.lit(WORDS).cast("byte").alias("kind"), F.col("c").alias("a"), F.lit(None).cast("float").alias("value"), F.col("word").alias("x"))
-    texts = all_.filter(F.col("kind") == TEXTS).select("chunk", "kind", F.col("row").alias("a"), F.lit(None).cast("float").alias("value"), F.col("text").alias("x"))
-    met = letters.unionByName(known).unionByName(texts).repartition("chunk").sortWithinPartitions("chunk", "kind")
-    found = met.mapInArrow(_scored(total, distinct), "row long, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    kind, none = dict(rows.dtypes)["doc_id"], F.lit(None)
+    same = lambda df, k, **given: df.select("chunk", F.lit(k).cast("byte").alias("kind"), *(given.get(c, none).cast(t).alias(c) for c, t in (("a", "long"), ("value", "float"), ("x", "binary"), ("doc_id", kind), ("held_out", "boolean"))))
+    met = same(asked.select("chunk", "key").join(values.hint("shuffle_hash"), "key"), WINDOWS, a=F.col("key"), value=F.col("value"))
+    met = met.unionByName(same(words, WORDS, a=F.col("c"), x=F.col("x")))
+    met = met.unionByName(same(all_.filter(F.col("kind") == TEXTS), TEXTS, x=F.col("x"), doc_id=F.col("doc_id"), held_out=F.col("held_out")))
+    met = met.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    out = met.mapInArrow(_scored(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.lit(math.log10(2)) / F.greatest("n_bytes", F.lit(1))
-    out = kept.select("row", "doc_id", "held_out").join(found, "row")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -519,7 +519,7 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
                     if letters is None:
                         letters = Lookup(np.concatenate(keys), np.concatenate(values))
                         keys, values = [], []
-                    for s in slices(b, "x", 4 << 20):
+                    for s in slices(b, "x", 1 << 20):
                         yield texts(s, known, letters)
 
     return run

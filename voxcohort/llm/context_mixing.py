@@ -67,7 +67,7 @@ STEP = 1024
 #: Distinct windows of a shard, about.
 SHARD = 1 << 16
 #: Bytes of text of a chunk, about.
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Tokens after which a text's last mixer is updated; the weight of words it starts with, and how many tokens that counts for.
 BLOCK, FIRST, START = 16, 0.2, 4.0
 END = b"\n"  # not a word
@@ -426,7 +426,7 @@ class Lookup:
     def __init__(self, key: np.ndarray, value: np.ndarray) -> None:
         self.levels = []
         while len(key):
-            bits = max(4, int(len(key) * 3).bit_length())
+            bits = max(4, int(len(key) * 2).bit_length())
             held, values = np.full(1 << bits, ~np.uint64(0)), np.zeros(1 << bits, value.dtype)
             factor = np.uint64((0x9E3779B97F4A7C15 * (2 * len(self.levels) + 1)) & (1 << 64) - 1)
             at = (key * factor >> np.uint64(64 - bits)).astype(np.int64)

@@ -58,3 +58,12 @@ def test_one_group_with_most_rows(spark):
     got = ed.exact_dedup(docs)
     assert got.filter("kept").count() == 1001
     assert got.filter("group_size = 2000 AND keep_id = 0").count() == 2000
+
+
+def test_ids_that_stay_and_go(spark):
+    """A row goes only for its own text, whatever ids repeat and however rows are dealt."""
+    rows = [(1, "aaaaa"), (0, "bbbbb"), (1, "bbbbb"), (1, "ccccc"), (None, "d e"), (None, "de"), (1, "aaaaa"), (None, "fffff"), (None, "ggggg")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 3, 8):
+        kept = sorted(((r.doc_id is None, r.doc_id or 0), r.text) for r in ed.deduplicated(docs.repartition(parts)).collect())
+        assert kept == [((False, 0), "bbbbb"), ((False, 1), "aaaaa"), ((False, 1), "ccccc"), ((True, 0), "d e"), ((True, 0), "fffff"), ((True, 0), "ggggg")]

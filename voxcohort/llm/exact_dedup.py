@@ -5,8 +5,9 @@ on, so the full content is hashed only for rows whose length and prefix occur mo
 compared without white space ([\\x20\\x09-\\x0D]). Equality is decided by SHA-256 of the whole text.
 
 Nulls: a null text counts as empty, and empty texts form a group like any other. A null id sorts first.
-Ties: of rows equal in text, length and id, one stays. An empty table gives an empty result. Other columns
-play no part.
+Ties: of rows equal in text, length and id, one stays; deduplicated tells rows apart by a key written with
+them, so a row goes only for its own text, whatever ids repeat. An empty table gives an empty result. Other
+columns play no part.
 """
 
 from __future__ import annotations
@@ -31,22 +32,21 @@ def survivors(rows: DataFrame) -> DataFrame:
     return left.groupBy("n_bare", "prefix_hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, all_hashes: bool = False) -> DataFrame:
-    """doc_id, n_text, text_sha256, keep_id, group_size, kept, n_alike for every row.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = PREFIX, all_hashes: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_text, text_sha256, keep_id, group_size, kept for every row, and docs' columns named in keep.
 
     The row with the most code points, then the smallest id, stays. text_sha256 is null for rows that no
-    other row can equal, unless all_hashes. n_alike: rows of the group with the id and length of the one
-    that stays.
+    other row can equal, unless all_hashes.
     """
     text = F.col(text_col)
-    narrow = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_text"), bare(text).alias("_bare"))
-    narrow = narrow.select("doc_id", "n_text", F.length("_bare").alias("n_bare"), F.xxhash64(F.substring("_bare", 1, prefix)).alias("prefix_hash"), "_bare")
+    narrow = docs.select(F.col(id_col).alias("doc_id"), F.length(F.coalesce(text, F.lit(""))).alias("n_text"), bare(text).alias("_bare"), *keep)
+    narrow = narrow.select("doc_id", "n_text", F.length("_bare").alias("n_bare"), F.xxhash64(F.substring("_bare", 1, prefix)).alias("prefix_hash"), "_bare", *keep)
     # The cheap keys are written once, so that the steps don't read and strip the texts again.
     again = survivors(stored(narrow.select("n_bare", "prefix_hash"), "exact-keys")).withColumn("_again", F.lit(True))
     # A small list of surviving keys goes to the rows; a large one meets them by a shuffle, which AQE splits.
     rows = narrow.join(small_or_not(again), ["n_bare", "prefix_hash"], "left")
     digest = F.sha2(F.col("_bare").cast("binary"), 256)
-    rows = rows.select("doc_id", "n_text", (digest if all_hashes else F.when(F.col("_again"), digest)).alias("text_sha256"), F.coalesce("_again", F.lit(False)).alias("_again"))
+    rows = rows.select("doc_id", "n_text", (digest if all_hashes else F.when(F.col("_again"), digest)).alias("text_sha256"), F.coalesce("_again", F.lit(False)).alias("_again"), *keep)
     rows = stored(rows.withColumn("_tag", F.monotonically_increasing_id()), "exact-rows")
     best = F.struct((-F.col("n_text")).alias("n"), F.col("doc_id").alias("id"), F.col("_tag").alias("tag"))
     groups = rows.filter("_again").groupBy("text_sha256").agg(F.min(best).alias("_best"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
@@ -58,22 +58,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.when(F.col("_best").isNull(), F.col("doc_id")).otherwise(F.col("_best.id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(F.col("_best.tag") == F.col("_tag"), F.lit(True)).alias("kept"),
+        *keep,
     )
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns.
-
-    Only the ids of rows that go are joined to the texts, by a broadcast if they are few. Rows that repeat
-    an id which both stays and goes are told apart by their full hash, and repeats of a row that stays are
-    reduced to one.
-    """
-    found = stored(exact_dedup(docs, id_col, text_col), "exact-found")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_llm_id")).distinct()
-    both = stored(found.filter("kept").join(gone, F.col("doc_id").eqNullSafe(F.col("_llm_id")), "left_semi").select(F.col("doc_id").alias("_llm_id"), F.col("text_sha256").alias("_llm_hash"), F.col("n_text").alias("_llm_length")).distinct(), "exact-both")
-    same = F.col(id_col).eqNullSafe(F.col("_llm_id"))
-    out = docs.join(small_or_not(gone), same, "left_anti")
-    if both.isEmpty():
-        return out
-    some = docs.join(small_or_not(both), same & (F.sha2(bare(F.col(text_col)).cast("binary"), 256) == F.coalesce("_llm_hash", F.sha2(bare(F.col(text_col)).cast("binary"), 256))) & (F.length(F.coalesce(F.col(text_col), F.lit(""))) == F.col("_llm_length")))
-    return out.unionByName(some.dropDuplicates(["_llm_id", "_llm_hash", "_llm_length"]).select(*docs.columns))
+    """The rows of docs that stay, with docs' columns; only the keys of rows that go are joined to the texts."""
+    keyed = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()), "exact-docs")
+    found = exact_dedup(keyed, id_col, text_col, keep=("_llm_row",))
+    gone = stored(found.filter(~F.col("kept")).select(F.col("_llm_row").alias("_llm_gone")), "exact-gone")
+    return keyed.join(small_or_not(gone), F.col("_llm_row") == F.col("_llm_gone"), "left_anti").select(*docs.columns)

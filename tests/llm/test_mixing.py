@@ -67,9 +67,9 @@ def test_edge_rows(spark):
     docs = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, source string, key double")
     out = mixing.mix(docs)
     check(out.collect(), rows)
-    kept = mixing.repeated(docs, out)
+    kept = mixing.repeated(docs)
     assert kept.columns == docs.columns
-    assert sum(words(r.text) for r in kept.collect()) >= out.agg(F.sum("taken")).first()[0]
+    assert sum(words(r.text) for r in kept.collect()) == out.agg(F.sum("taken")).first()[0]
     assert mixing.mix(docs.limit(0)).count() == 0
     assert mixing.mix(docs.filter("text = ''")).collect()[0].taken == 0
 
@@ -78,4 +78,21 @@ def test_repeated_follows_taken(spark):
     docs = spark.range(300).selectExpr("id AS doc_id", "repeat('w ', cast(id % 7 AS int)) AS text", "concat('s', id % 4) AS source")
     out = mixing.mix(docs)
     want = {r.doc_id: r.taken // r.size for r in out.collect() if r.size and r.taken}
-    assert Counter(r.doc_id for r in mixing.repeated(docs, out).collect()) == Counter(want)
+    assert Counter(r.doc_id for r in mixing.repeated(docs).collect()) == Counter(want)
+
+
+def test_repeated_ids_take_what_the_mix_takes(spark):
+    """44 rows, four of each id, with texts of different length: as many words as taken, in any partitions."""
+    docs = spark.range(44).selectExpr("id div 4 AS doc_id", "repeat('w ', cast(5 + id % 21 AS int)) AS text", "concat('s', id % 3) AS source")
+    docs = docs.unionByName(docs.selectExpr("cast(NULL AS long) AS doc_id", "concat(text, doc_id) AS text", "source"))
+    for parts in (1, 8):
+        dealt = docs.repartition(parts)
+        taken = mixing.mix(dealt).agg(F.sum("taken")).first()[0]
+        assert sum(words(r.text) for r in mixing.repeated(dealt).collect()) == taken
+
+
+def test_bucket_number_does_not_matter(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 9 AS int)) AS text", "if(id % 3 < 2, 'hot', concat('s', id % 7)) AS source")
+    weights = mixing.quality_weights(docs.selectExpr("doc_id", "cast(doc_id % 3 AS int) AS quality"))
+    one, many = (sorted(mixing.mix(docs, weights, buckets=b).collect(), key=str) for b in (1, 500))
+    assert one == many

@@ -6,11 +6,12 @@ fractional one. The budgets are weights of the sources applied to a total, cut a
 the excess reshared (water filling), worked out on the table of sources.
 
 The prefix sum of a source runs in two levels, since one source may hold a third of all rows: the key's
-range is cut into buckets, whose totals are summed first; rows are sorted only inside a bucket.
+range is cut into buckets, at least one for each BUCKET rows, whose totals are summed first; rows are sorted
+only inside a bucket. With weights from 1/2 to 2 no bucket expects more than three times its even part.
 
-Nulls: a null text has no words and takes none; null sources form one source, ordered last; a null id is
-hashed as a value. Documents without words are taken 0 times. Repeated rows have the same key and follow
-each other. An empty table gives an empty result. Other columns play no part.
+Nulls: a null text has no words and takes none; null sources form one source, ordered last; a row without an
+id draws its key by its text. Documents without words are taken 0 times. Repeated rows have the same key and
+follow each other. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SOURCE_WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_EPOCHS = 2
-BUCKETS = 1024
+#: Least number of buckets, and rows for which there is one at least.
+BUCKETS, BUCKET = 1024, 16_384
 #: Quality weights by label; documents without one weigh 1.
 LABEL_WEIGHTS = {1: 2.0, 0: 0.5}
 
@@ -54,26 +56,31 @@ def budgets(sizes: DataFrame, weights=SOURCE_WEIGHTS, share: float = SHARE, epoc
     return s.select("source", "source_size", F.least(F.col("_cap").cast("double"), F.coalesce(F.col("_level") * F.col("_w"), F.col("_cap").cast("double"))).alias("target"))
 
 
-def keyed(docs: DataFrame, weights: DataFrame | None, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """doc_id, source, size and the sampling key of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    name = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+def keyed(docs: DataFrame, weights: DataFrame | None, seed: int, id_col: str, text_col: str, source_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size and the sampling key of each row, and docs' columns named in keep."""
+    own = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.coalesce(F.md5(F.col(text_col)), F.lit(""))))
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), own.alias("_own"), *keep)
+    name = F.concat_ws(":", F.lit(str(seed)), F.col("_own"))
     u = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     w = F.lit(1.0)
     if weights is not None:
         rows = rows.join(weights, F.col("doc_id") == F.col("_id"), "left")
         w = F.coalesce(F.col("_weight"), w)
-    return rows.select("doc_id", "source", "size", (-F.log(u) / w).alias("key"))
+    return rows.select("doc_id", "source", "size", (-F.log(u) / w).alias("key"), *keep)
 
 
-def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42, source_weights=SOURCE_WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for every row.
+def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42, source_weights=SOURCE_WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS, buckets: int | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken for every row, and docs' columns named in keep.
 
     taken = size times whole epochs, plus size again for the documents of the fractional epoch: those whose
     middle lies within what is left of the target, so a source ends within half a document of it.
     """
-    rows = keyed(docs, weights, seed, id_col, text_col, source_col)
-    rows = stored(rows.withColumn("bucket", F.floor(F.exp(-F.col("key")) * buckets).cast("int")), "mix-rows")
+    rows = stored(keyed(docs, weights, seed, id_col, text_col, source_col, keep), "mix-rows")
+    buckets = buckets or max(BUCKETS, rows.count() // BUCKET)
+    # A document of weight w has exp(-key) <= x with probability x^w: the mean of x^2, x and x^(1/2) spreads those of 2, 1 and 1/2.
+    x = F.exp(-F.col("key"))
+    rows = rows.withColumn("bucket", F.floor((x * x + x + F.sqrt(x)) / 3 * buckets).cast("int"))
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("_in_bucket"))
     plan = budgets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), source_weights, share, epochs)
     down = Window.partitionBy("source").orderBy(F.col("bucket").desc()).rowsBetween(Window.unboundedPreceding, -1)
@@ -86,15 +93,16 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, seed: int = 42, sourc
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     rest = F.col("target") - whole * F.col("source_size")
     again = F.when(F.col("_start") + F.col("_before") + F.col("size") / 2 <= rest, F.lit(1)).otherwise(F.lit(0))
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(whole + again, F.lit(epochs))).cast("long").alias("taken"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.least(whole + again, F.lit(epochs))).cast("long").alias("taken"), *keep)
 
 
-def repeated(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs that the mix takes, each as often as it is taken; docs' columns only.
+def repeated(docs: DataFrame, weights: DataFrame | None = None, **parameters) -> DataFrame:
+    """The rows of docs that mix takes, each as often as it is taken; docs' columns only.
 
-    Rows of one id are alike in size and key, so the copies of an id are added up and dealt to its rows.
+    A key written with the rows tells those of one id, or of none, apart.
     """
-    times = mixed.filter(F.col("size") > 0).groupBy(F.col("doc_id").alias("_llm_id")).agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("_llm_times"), F.count(F.lit(1)).alias("_llm_rows")).filter("_llm_times > 0")
-    out = docs.join(small_or_not(times), F.col("doc_id").eqNullSafe(F.col("_llm_id")))
-    n = F.ceil(F.col("_llm_times") / F.col("_llm_rows")).cast("int")
-    return out.withColumn("_llm_n", F.explode(F.sequence(F.lit(1), n))).select(*docs.columns)
+    keyed = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()), "mix-docs")
+    times = mix(keyed, weights, keep=("_llm_row",), **parameters).filter("taken > 0")
+    times = stored(times.select(F.col("_llm_row").alias("_llm_taken"), F.expr("cast(taken div size as int)").alias("_llm_times")), "mix-times")
+    out = keyed.join(small_or_not(times), F.col("_llm_row") == F.col("_llm_taken"))
+    return out.withColumn("_llm_n", F.explode(F.sequence(F.lit(1), F.col("_llm_times")))).select(*docs.columns)

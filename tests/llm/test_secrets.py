@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 
 from voxcohort.llm import queries, secrets
 
@@ -68,3 +69,14 @@ def test_edge_rows(spark):
     assert secrets.scan(docs.limit(0)).count() == 0
     many = " ".join("AKIA" + "A" * 12 for _ in range(3000))
     assert spans(spark, many)[0].count("access") == 3000
+
+
+def test_findings_of_one_text_cost_in_proportion(spark):
+    """Five times the findings take well under 25 times the time."""
+    took = []
+    for n in (8_000, 40_000):
+        text = " ".join("AKIA" + "A" * 12 for _ in range(n))
+        began = time.perf_counter()
+        assert spans(spark, text)[0].count("access") == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]

@@ -84,7 +84,8 @@ def linked(rows: DataFrame, scope: int = SCOPE) -> DataFrame:
     each = each.withColumn("_id", one_of(IDENTIFIERS)).withColumn("_secret", one_of(SECRETS))
     # Base spans that begin before or with a part and reach into it, and those that begin inside it.
     before = F.max(F.when(F.col("base"), F.col("end"))).over(by_start.rangeBetween(Window.unboundedPreceding, 0)) > F.col("start")
-    inside = F.min(F.when(F.col("base"), F.col("start"))).over(by_start.rangeBetween(1, Window.unboundedFollowing)) < F.col("end")
+    after = Window.partitionBy("_row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, -1)  # from the end, so that the frame only grows
+    inside = F.min(F.when(F.col("base"), F.col("start"))).over(after) < F.col("end")
     each = each.withColumn("_again", F.coalesce(before, F.lit(False)) | F.coalesce(inside, F.lit(False)))
     kind = F.col("kind")
     co = F.when(kind == RANK["user"], F.col("_secret")).when(kind == RANK["key"], F.col("_id")).otherwise(F.col("_id") & F.col("_secret"))

@@ -90,3 +90,12 @@ def test_whole_table_round_trip_and_edges(spark):
     assert {r.n_tokens for r in out.filter("doc_id in (1)").collect()} == {0}
     assert sp.encode(edge.limit(0)).count() == 0
     assert [r.text for r in sp.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).collect()] == [""]
+
+
+def test_kept_words_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(sp, "KEPT_BYTES", 1000)
+    e = sp.Encoder(sp.vocabulary(sp.MODEL))
+    first = [x.tolist() for x in e(["q" * 5000])]
+    e(["short"])
+    assert sum(map(len, e.number)) < 100
+    assert [x.tolist() for x in e(["q" * 5000])] == first

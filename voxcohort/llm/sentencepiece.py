@@ -8,7 +8,7 @@ itself, which comes back as a space.
 Pieces never cross into a marker from other characters (checked when a vocabulary is read; otherwise texts
 are encoded whole), so the best path of a text is that of its words. Words are encoded together, in arrays:
 first all positions walk the trie side by side, then the paths advance one position of every word at a time.
-Encoded words are kept for the next batches up to a number of words, a matter of speed only.
+Encoded words are kept for the next batches up to a number of words and of bytes, a matter of speed only.
 
 The vocabulary is read from a given model file and is the only thing broadcast; it is as large as that file.
 Nothing is trained here. A null or empty text has no pieces and decodes to an empty text. Repeated rows are
@@ -33,8 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: What an uncovered character scores below the lowest piece.
 UNKNOWN_PENALTY = 10.0
-#: Words that a task keeps encoded.
-KEPT = 250_000
+#: Words that a task keeps encoded, and how many bytes of them (text without spaces is one long word).
+KEPT, KEPT_BYTES = 250_000, 16 << 20
 
 
 @dataclass
@@ -203,10 +203,11 @@ class Encoder:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.bytes = 0
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        if len(self.number) > KEPT:
+        if len(self.number) > KEPT or self.bytes > KEPT_BYTES:
             self.forget()
         number, had = self.number, len(self.number)
         seen, counts = [], []
@@ -221,6 +222,7 @@ class Encoder:
             new = [x.replace(" ", MARK).encode() for x in list(number)[had:]]
             ids, size = best_paths(self.v, new)
             self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
+            self.bytes += sum(map(len, new))
         start = np.cumsum(self.size) - self.size
         w = np.concatenate(seen) if seen else np.zeros(0, np.int64)
         n = self.size[w]

@@ -5,19 +5,27 @@ holds which slot. Only the map changes when shards are added or loads drift, so
 its slot does. The map has one row per slot (4,096 by default, whatever the data), which bounds what the
 driver sees; the rows themselves never leave the executors.
 
+The map of version 0 deals the slots out in turn, before any record is known. shard() reads the latest version
+from the shared folder, edits it for the loads it has summed, stores the next version and places the records
+by that.
+
 Nulls: a null text has 8 bytes and the checksum of the empty text; a null id is hashed like any value.
-Repeated rows share a slot and get a position each. An empty table gives an empty result and a map that
-deals empty slots out evenly. Columns of the input other than id and text play no part.
+Repeated rows get a position each and share a slot, unless there are more of them than of an even slot: those
+are spread over all slots. An empty table gives an empty result and leaves the map as it is. Columns of the input other than id and text play no part.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
+from bisect import bisect_left
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voxcohort.plans.storage import shared_dir, stored
+
 SLOTS = 4096
 #: Bytes of a record besides its text.
 RECORD_BYTES = 8
@@ -27,7 +35,12 @@ def records(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slo
     """doc_id, size, text_crc32, virtual_slot of each row; the text itself is left behind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(RECORD_BYTES)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    return out.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    out = stored(out.withColumn("_hash", F.xxhash64("doc_id", "text_crc32")).withColumn("_row", F.monotonically_increasing_id()), "shard-records")
+    line = max(1, out.count() // slots)
+    often = out.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max(line, 64)).select(F.col("_hash").alias("_often"))  # fewer than there are slots
+    out = out.join(F.broadcast(often), F.col("_hash") == F.col("_often"), "left")
+    slot = F.pmod(F.when(F.col("_often").isNull(), F.col("_hash")).otherwise(F.xxhash64("_row")), F.lit(slots)).cast("int")
+    return out.select("doc_id", "size", "text_crc32", slot.alias("virtual_slot"))
 
 
 def slot_loads(recs: DataFrame) -> DataFrame:
@@ -46,11 +59,12 @@ def new_map(loads: Mapping[int, int], shards: int, slots: int = SLOTS) -> list[i
     return out
 
 
-def rebalanced(current: list[int], loads: Mapping[int, int], shards: int, slack: float = 0.02) -> list[int]:
+def rebalanced(current: list[int], loads: Mapping[int, int], shards: int, slack: float = 0.0005) -> list[int]:
     """The next version of a map for these loads and number of shards, by moving few slots.
 
     Slots of shards that are gone move first. Then slots move from the fullest shard to the emptiest, each
-    time the largest that narrows the gap, until every shard is within slack of the mean or no move helps.
+    time the largest that narrows the gap, or else two slots change places, until every shard is within slack of
+    the mean or no move helps.
     """
     out, held = list(current), [0] * shards
     homeless = [i for i, s in enumerate(out) if s >= shards]
@@ -69,14 +83,22 @@ def rebalanced(current: list[int], loads: Mapping[int, int], shards: int, slack:
         if held[a] <= mean * (1 + slack) and held[b] >= mean * (1 - slack):
             break
         fit = [(n, -i) for i, n in own[a].items() if 0 < n < held[a] - held[b] and n <= max(held[a] - mean, mean - held[b])]
-        if not fit:
-            break
-        n, i = max(fit)
-        i = -i
-        del own[a][i]
-        out[i], own[b][i] = b, n
-        held[a] -= n
-        held[b] += n
+        if fit:
+            n, i = max(fit)
+            pair = (-i, None)
+        else:
+            half = (held[a] - held[b]) / 2
+            here, there = sorted((n, i) for i, n in own[a].items()), sorted((n, i) for i, n in own[b].items())
+            near = [(abs(n - m - half), i, j) for n, i in here for m, j in there[max(0, bisect_left(there, (n - half, -1)) - 1) :][:2] if 0 < n - m < 2 * half]
+            if not near:
+                break
+            pair = min(near)[1:]
+        for i, to, source in ((pair[0], b, a), (pair[1], a, b)):
+            if i is not None:
+                n = own[source].pop(i)
+                out[i], own[to][i] = to, n
+                held[source] -= n
+                held[to] += n
     return out
 
 
@@ -95,10 +117,14 @@ def write_map(spark: SparkSession, slot_map: list[int], version: int, path: str)
     map_table(spark, [slot_map]).withColumn("version", F.lit(version)).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
 
 
+def last_version(spark: SparkSession, path: str) -> int:
+    return spark.read.parquet(path).agg(F.max("version")).first()[0]
+
+
 def read_map(spark: SparkSession, path: str, version: int | None = None) -> list[int]:
     """The shards of all slots in a version, the latest by default."""
     held = spark.read.parquet(path)
-    version = held.agg(F.max("version")).first()[0] if version is None else version
+    version = last_version(spark, path) if version is None else version
     return [r["shard"] for r in held.filter(F.col("version") == version).orderBy("virtual_slot").collect()]
 
 
@@ -128,13 +154,24 @@ class Totals(dict):
         return before
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", slot_map: list[int] | None = None) -> DataFrame:
-    """All rows with their shard: doc_id, size, text_crc32, virtual_slot, shard, slot.
+def first_map(shards: int, slots: int = SLOTS) -> list[int]:
+    return [i % shards for i in range(slots)]
+
+
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """All rows with their shard: doc_id, size, text_crc32, virtual_slot, shard, slot, map_version.
 
-    Without slot_map a new map is made from the bytes of the slots, so that shards have near equal bytes.
+    The latest map at path (without one, a new map in the shared folder) is edited so that shards have near
+    equal bytes, and kept as the next version.
     """
+    spark = docs.sparkSession
+    if path is None:
+        path = f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+        write_map(spark, first_map(shards, slots), 0, path)
     recs = records(docs, id_col, text_col, slots)
     loads = {r[0]: (r[1], r[2]) for r in slot_loads(recs).collect()}  # one row per slot at most
-    if slot_map is None:
-        slot_map = new_map({k: b for k, (b, _) in loads.items()}, shards, slots)
-    return place(recs, slot_map, {k: n for k, (_, n) in loads.items()})
+    version = last_version(spark, path)
+    edited = rebalanced(read_map(spark, path, version), {k: b for k, (b, _) in loads.items()}, shards)
+    write_map(spark, edited, version + 1, path)
+    placed = place(recs, read_map(spark, path, version + 1), {k: n for k, (_, n) in loads.items()})
+    return placed.withColumn("map_version", F.lit(version + 1))

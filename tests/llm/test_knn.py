@@ -3,22 +3,24 @@ from __future__ import annotations
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from voxcohort.llm import knn
 
 
 def brute(rows, k):
     ok = [(i, [math.floor(64 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q, v in ok:
+    for n, (q, v) in enumerate(ok):
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(v, x, strict=False)), i) for i, x in ok if i != q)[:k]
-            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+            scores = [(max(min(sum(a * b for a, b in zip(v, x, strict=False)), 2**63 - 1), -(2**63) + 1), i) for m, (i, x) in enumerate(ok) if m != n]
+            out += [(q, r + 1, i, s) for r, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k])]
     return sorted(out)
 
 
 def answered(spark, rows, k=knn.K, **parameters):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumnRenamed("x", "x")
-    got = knn.top_k(df, df.filter("vec_id % 20 = 0"), k, **parameters)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "0 AS row", "'x' AS cell")
+    got = knn.top_k(df, F.col("vec_id") % 20 == 0, k, **parameters)
     return sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect())
 
 
@@ -35,7 +37,7 @@ def test_against_all_pairs(spark):
 
 
 def test_ties_nulls_and_repeats(spark):
-    rows = [(i, [0.5, 0.25]) for i in range(60)] + [(100, None), (101, [float("nan"), 1.0]), (102, [None, 1.0]), (103, [float("inf"), 0.0]), (21, [0.5, 0.5]), (61, [0.5]), (None, [1.0, 1.0])]
+    rows = [(i, [0.5, 0.25]) for i in range(60)] + [(100, None), (101, [float("nan"), 1.0]), (102, [None, 1.0]), (103, [float("inf"), 0.0]), (21, [0.5, 0.5]), (40, [0.5, 0.75]), (61, [0.5]), (None, [1.0, 1.0])]
     assert answered(spark, rows, pivots=3, block=13) == brute(rows, knn.K)
     few = rows[:5]
     assert answered(spark, few) == brute(few, knn.K)
@@ -60,3 +62,8 @@ def test_bounds_never_leave_out_a_cell():
         for j in np.argsort(-s)[:10]:
             assert use[i, list(summary[:, 0]).index(cell[j])]
     assert use.mean() < 1
+
+
+def test_large_components_are_exact(spark):
+    rows = [(0, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (2, [2.0**24, 2.0]), (3, [-(2.0**24), 2.0]), (20, [2.0**60, 1.0]), (4, [2.0**30, 1.0])]
+    assert answered(spark, rows) == brute(rows, knn.K)

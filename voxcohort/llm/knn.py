@@ -7,14 +7,15 @@ bounds the scores in a cell from above and below. The lower bounds give each que
 are sure to reach; the query goes only to cells whose upper bound reaches it. Cells are solved locally and
 the best k of the local lists are the result, with ties to the smaller id.
 
-Large cells (many equal vectors, say) are cut into blocks, each solved by itself. Pivots are PIVOTS at most
-and so are the summaries, which go to the driver; nothing else does.
-
-Components become floor(scale * x), as doubles. Vectors that are null or hold a null, NaN or infinity take
-no part. Shorter vectors count as padded with zeros. A vector is not its own candidate, by id: other rows
-with a query's id are left out for it too. Repeated ids are separate candidates; the rows of a repeated query
-id are answered as one query, by the best scores that any of them has. With fewer than k
-candidates all are returned; an empty table gives an empty result. Other columns play no part.
+Large cells (many equal vectors, say) are cut into blocks, each solved by itself, and so are the queries of a
+cell: a task holds one block of each. Pivots are PIVOTS at most and so are the summaries, which go to the
+driver; nothing else does.
+
+Components become floor(scale * x), as doubles; beyond 63 bits they and the scores stop at the largest long.
+Vectors that are null or hold a null, NaN or infinity, and rows without an id, take no part. Shorter vectors
+count as padded with zeros. A row is not its own candidate; other rows with its id are. Each row of a repeated
+query id is a query. With fewer than k candidates all are returned; an empty table gives an empty result.
+Other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.llm.grouped import groups
@@ -33,14 +34,15 @@ K = 20
 SCALE = 64
 EVERY = 20
 PIVOTS = 64
-BLOCK = 8192
+#: Vectors, and queries, that one block holds; scores computed at once.
+BLOCK, SCORES = 32_768, 1 << 21
 
 
-def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, v (array of doubles with whole values) of the vectors that take part."""
+def scaled(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, v (array of doubles with whole values) of the vectors that take part, and the columns named in keep."""
     x = F.col(vec_col).cast("array<double>")
     ok = x.isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == F.lit(float("inf"))))
-    return vectors.filter(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"))
+    return vectors.filter(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"), *keep)
 
 
 def _matrix(lists: pa.Array, dims: int) -> np.ndarray:
@@ -61,17 +63,18 @@ def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
 
 
 def in_cells(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """vec_id, v, cell, far (distance from the pivot), norm (squared)."""
+    """row, vec_id, asks, v, cell, far (distance from the pivot), norm (squared)."""
     dims = pivots.shape[1]
+    same = ("row", "vec_id", "asks", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("v"), dims)
             d = _distances(x, pivots)
             cell = d.argmin(1) if len(x) else np.zeros(0, int)
-            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), pa.array((x * x).sum(1))], ["vec_id", "v", "cell", "far", "norm"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in same), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(x)), cell]), pa.array((x * x).sum(1))], [*same, "cell", "far", "norm"])
 
-    return vectors.mapInArrow(run, "vec_id long, v array<double>, cell int, far double, norm double")
+    return vectors.mapInArrow(run, "row long, vec_id long, asks boolean, v array<double>, cell int, far double, norm double")
 
 
 def needed(x: np.ndarray, pivots: np.ndarray, summary: np.ndarray, k: int) -> np.ndarray:
@@ -92,63 +95,85 @@ def needed(x: np.ndarray, pivots: np.ndarray, summary: np.ndarray, k: int) -> np
     return most >= (sure - 1e-6 * (1 + np.abs(sure)))[:, None]
 
 
-def local_best(qid: np.ndarray, q: np.ndarray, xid: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query ids, vector ids, scores of the k best of x for each query; x in the order of its ids."""
+def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products, exactly: in floats where they hold all whole numbers met, else in Python's."""
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * x.shape[1] * 2
+    if most < 2**24:
+        return np.rint(q.astype(np.float32) @ x.astype(np.float32).T).astype(np.int64)
+    if most < 2**53:
+        return np.rint(q @ x.T).astype(np.int64)
+    whole = lambda m: np.array([[int(e) for e in r] for r in m], object).reshape(m.shape)
+    exact = whole(q) @ whole(x).T
+    return np.clip(exact, -(2**63) + 1, 2**63 - 1).astype(np.int64)
+
+
+def local_best(qrow: np.ndarray, q: np.ndarray, xrow: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries, places of vectors, scores of the k best of x for each query; x in the order of its ids."""
     out: list[tuple] = []
-    for at in range(0, len(q), 256):
-        score = np.rint(q[at : at + 256] @ x.T).astype(np.int64)
-        score = np.where(qid[at : at + 256, None] == xid[None], np.iinfo(np.int64).min // (len(x) + 1), score)
-        key = score * len(x) - np.arange(len(x))  # ties: the smaller id is the larger key
-        top = np.argpartition(-key, k - 1, axis=1)[:, :k] if len(x) > k else np.tile(np.arange(len(x)), (len(key), 1))
-        rows = np.repeat(np.arange(len(key)), top.shape[1])
-        top = top.ravel()
-        use = qid[at : at + 256][rows] != xid[top]
-        rows, top = rows[use], top[use]
-        out.append((qid[at : at + 256][rows], xid[top], score[rows, top]))
+    step = max(1, SCORES // len(x))
+    for at in range(0, len(q), step):
+        score = _scores(q[at : at + step], x)
+        own = qrow[at : at + step, None] == xrow[None]
+        if len(x) > k + 1:
+            # The k + 1 best by score, and of those that tie with the last of them the ones with the smallest ids.
+            least = -np.partition(-score, k, axis=1)[:, k]
+            rows, cols = np.nonzero(score >= least[:, None])
+        else:
+            rows, cols = np.nonzero(np.ones(score.shape, bool))
+        use = ~own[rows, cols]
+        rows, cols = rows[use], cols[use]
+        order = np.lexsort((cols, -score[rows, cols], rows))
+        rows, cols = rows[order], cols[order]
+        n = np.bincount(rows, minlength=len(score))
+        top = np.arange(len(rows)) - np.repeat(np.cumsum(n) - n, n) < k
+        rows, cols = rows[top], cols[top]
+        out.append((rows + at, cols, score[rows, cols]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k largest inner products of each query with all vectors."""
+def top_k(vectors: DataFrame, asks: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k largest inner products of each row for which asks holds with all others."""
     spark = vectors.sparkSession
     empty = spark.range(0).select(F.col("id").alias("query_id"), F.col("id").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
-    data, asked = scaled(vectors, id_col, vec_col, scale), scaled(queries, id_col, vec_col, scale)
-    # The vectors with the smallest hashes, distinct ones first: as many whatever the size of the table.
-    sample = data.groupBy("v").agg(F.min(F.xxhash64("vec_id")).alias("_h")).orderBy("_h").limit(pivots).select("v").collect()
+    data = scaled(vectors.withColumn("asks", F.coalesce(asks, F.lit(False))), id_col, vec_col, scale, ("asks",))
+    # The vectors with the smallest hashes of ids, then distinct ones: as many whatever the size of the table.
+    first = data.select(F.xxhash64("vec_id").alias("_h"), "v").orderBy("_h", "v").limit(4 * pivots).collect()
+    sample = list(dict.fromkeys(tuple(r["v"]) for r in first))[:pivots]
     if not sample:
         return empty
-    dims = max(data.agg(F.max(F.size("v"))).first()[0], asked.agg(F.max(F.size("v"))).first()[0] or 0)
-    p = np.zeros((len(sample), max(dims, 1)))
+    dims = max(data.agg(F.max(F.size("v"))).first()[0], 1)
+    p = np.zeros((len(sample), dims))
     for i, r in enumerate(sample):
-        p[i, : len(r[0])] = r[0]
-    placed = stored(in_cells(data, p), "voronoi")
+        p[i, : len(r)] = r
+    placed = stored(in_cells(data.withColumn("row", F.monotonically_increasing_id()), p), "voronoi")
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far"), F.min("norm"), F.max("norm")).orderBy("cell").collect()
     summary = np.array([tuple(r) for r in cells], float)
     blocks = {r[0]: -(-r[1] // block) for r in cells}
+    many = max(1, -(-placed.filter("asks").count() // block))  # blocks of queries
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = np.array([blocks[int(c)] for c in summary[:, 0]])
         for b in batches:
-            q, s = np.nonzero(needed(_matrix(b.column("v"), p.shape[1]), p, summary, k)) if b.num_rows else (np.zeros(0, int), np.zeros(0, int))
+            q, s = np.nonzero(needed(_matrix(b.column("v"), dims), p, summary, k)) if b.num_rows else (np.zeros(0, int), np.zeros(0, int))
             times = parts[s]
             q, s = np.repeat(q, times), np.repeat(s, times)
             part = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
-            yield pa.RecordBatch.from_arrays([pa.array(summary[s, 0].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(np.zeros(len(q), np.int32)), b.column("vec_id").take(pa.array(q)), b.column("v").take(pa.array(q))], ["cell", "part", "side", "vec_id", "v"])
+            take = pa.array(q)
+            yield pa.RecordBatch.from_arrays([pa.array(summary[s, 0].astype(np.int32)), pa.array(part.astype(np.int32)), *(b.column(c).take(take) for c in ("asking", "side", "row", "vec_id", "v"))], ["cell", "part", "asking", "side", "row", "vec_id", "v"])
 
-    sent = asked.mapInArrow(route, "cell int, part int, side int, vec_id long, v array<double>")
+    asking = F.pmod(F.xxhash64("row"), F.lit(many)).cast("int").alias("asking")
+    sent = placed.filter("asks").select(asking, F.lit(0).alias("side"), "row", "vec_id", "v").mapInArrow(route, "cell int, part int, asking int, side int, row long, vec_id long, v array<double>")
     per_cell = F.element_at(F.array(*(F.lit(blocks.get(c, 1)) for c in range(len(p)))), F.col("cell") + 1)
-    kept = placed.select("cell", F.pmod(F.xxhash64("vec_id"), per_cell).cast("int").alias("part"), F.lit(1).alias("side"), "vec_id", "v")
+    kept = placed.select("cell", F.pmod(F.xxhash64("row"), per_cell).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("asking"), F.lit(1).alias("side"), "row", "vec_id", "v")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (side, ids, v) in groups(batches, ("cell", "part"), ("side", "vec_id", "v")):
+        for _, (side, row, ids, v) in groups(batches, ("cell", "part", "asking"), ("side", "row", "vec_id", "v")):
             m = int(np.searchsorted(side, 1))
             if 0 < m < len(side):
-                x = _matrix(v, p.shape[1])
-                exact = np.abs(x).max(initial=0) ** 2 * x.shape[1] < 2**24  # whole numbers that float32 holds
-                x = x.astype(np.float32) if exact else x
-                found = local_best(ids[:m], x[:m], ids[m:], x[m:], k)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["query_id", "vec_id", "score"])
-
-    met = sent.unionByName(kept).repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "vec_id").mapInArrow(solve, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+                x = _matrix(v, dims)
+                q, j, score = local_best(row[:m], x[:m], row[m:], x[m:], k)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (row[q], ids[q], ids[m:][j], row[m:][j], score)], ["asker", "query_id", "vec_id", "row", "score"])
+
+    met = sent.unionByName(kept).repartition("cell", "part", "asking").sortWithinPartitions("cell", "part", "asking", "side", "vec_id", "row").mapInArrow(solve, "asker long, query_id long, vec_id long, row long, score long")
+    best = Window.partitionBy("asker").orderBy(F.col("score").desc(), "vec_id", "row")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -104,8 +104,7 @@ FROM e
 
 @query
 def op9_voronoi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return knn.top_k(vectors, vectors.filter(F.col("vec_id") % knn.EVERY == 0))
+    return knn.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % knn.EVERY == 0)
 
 
 ORACLES["op9_voronoi_topk"] = """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.functions.columns import PHASES, parse_feature
@@ -82,8 +82,9 @@ def rank_shift(a: DataFrame, b: DataFrame, value: str = "value") -> DataFrame:
 
 
 def correlation_families(df: DataFrame, stats: DataFrame, least: float = 0.90, effect: str = "eta_squared", score: str | None = None) -> DataFrame:
-    """representative_feature, representative_effect, family_size, members (joined by ;): features linked by abs(r) >= least.
+    """family_id, representative_feature, representative_effect, family_size, members (joined by ;): features linked by abs(r) >= least.
 
+    Families are numbered by their largest effect, then its feature, and come largest family first.
     The representative has the largest (effect, score), then the last name. Features without links are families of one.
     """
     names = [c for c in df.columns]
@@ -92,4 +93,6 @@ def correlation_families(df: DataFrame, stats: DataFrame, least: float = 0.90, e
     best = F.struct(F.col(effect).alias("e"), (F.col(score) if score else F.lit(0.0)).alias("s"), F.col("feature").alias("f"))
     rows = stats.filter(F.col("feature").isin(*names)).join(linked, "feature", "left").withColumn("_family", F.coalesce("component", "feature"))
     out = rows.groupBy("_family").agg(F.max(best).alias("_b"), F.count(F.lit(1)).alias("family_size"), F.array_join(F.array_sort(F.collect_set("feature")), ";").alias("members"))
-    return out.select(F.col("_b.f").alias("representative_feature"), F.col("_b.e").alias("representative_effect"), "family_size", "members")
+    order = Window.orderBy(F.col("_b.e").desc_nulls_last(), F.col("_b.f").desc())  # one row per family of features
+    out = out.select(F.row_number().over(order).alias("family_id"), F.col("_b.f").alias("representative_feature"), F.col("_b.e").alias("representative_effect"), "family_size", "members")
+    return out.orderBy(F.col("family_size").desc(), F.col("representative_effect").desc_nulls_last(), "family_id")

@@ -12,10 +12,11 @@ import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, OneVsRest, OneVsRestModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -28,6 +29,8 @@ ARMS = ("none", "correlation", "full", "attribution")
 #: Parameter sets that the inner search draws from.
 GRID: dict[str, Sequence] = {"numTrees": (20, 50, 100), "maxDepth": (3, 4, 5), "featureSubsetStrategy": ("sqrt", "onethird"), "minInstancesPerNode": (1, 3)}
 
+BOOSTED_GRID: dict[str, Sequence] = {"maxIter": (10, 20), "maxDepth": (2, 3, 4), "stepSize": (0.05, 0.1), "subsamplingRate": (0.8, 1.0)}
+
 Factory = Callable[..., object]
 
 
@@ -40,6 +43,17 @@ def boosted(**params) -> OneVsRest:
     return OneVsRest(classifier=GBTClassifier(seed=42, **params), featuresCol="features", labelCol="label", weightCol="weight")
 
 
+def probe(factory: Factory) -> dict:
+    """Parameters of the small model that selections look at."""
+    return {"maxIter": 10, "maxDepth": 3} if factory is boosted else {"numTrees": 20, "maxDepth": 4}
+
+
+def importances(model) -> np.ndarray:
+    """Impurity importances; of one model per class their mean."""
+    parts = model.models if isinstance(model, OneVsRestModel) else [model]
+    return np.mean([m.featureImportances.toArray() for m in parts], axis=0)
+
+
 def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
@@ -81,7 +95,7 @@ def build_arm(train: DataFrame, arm: str, features: Sequence[str], class_col: st
 
 def importance_selector(train: DataFrame, features: Sequence[str], top: int, factory: Factory = forest) -> list[str]:
     """The features of largest importance in a probe fitted on train (with label and weight), in their own order."""
-    score = factory(numTrees=20, maxDepth=4).fit(assembled(train, features)).featureImportances.toArray()
+    score = importances(factory(**probe(factory)).fit(assembled(train, features)))
     best = set(np.argsort(-score, kind="stable")[:top])
     return [f for i, f in enumerate(features) if i in best]
 
@@ -89,8 +103,8 @@ def importance_selector(train: DataFrame, features: Sequence[str], top: int, fac
 def attribution_selector(train: DataFrame, features: Sequence[str], top: int, factory: Factory = forest) -> list[str]:
     """The features of largest mean absolute attribution in a probe fitted on train, in their own order."""
     rows = assembled(train, features)
-    probe = factory(numTrees=20, maxDepth=4).fit(rows)
-    score = {r["feature"]: r["importance"] for r in tree_attributions(probe, rows, features).collect()}
+    model = factory(**probe(factory)).fit(rows)
+    score = {r["feature"]: r["importance"] for r in tree_attributions(model, rows, features).collect()}
     best = set(sorted(features, key=lambda f: (-score.get(f, 0.0), f))[:top])
     return [f for f in features if f in best]
 
@@ -181,44 +195,81 @@ def nested_cv(df: DataFrame, arms: Sequence[str], features: Sequence[str], id_co
     return CvResult(stored(out, "cv-predictions"), _table(kept, "arm string, fold int, feature string", df), params)
 
 
-def fixed_cv(df: DataFrame, groups: Mapping[str, Sequence[str]], id_col: str, class_col: str, k: int = 5, rule: str = "later", factory: Factory = forest, seed: int = 42, **params) -> CvResult:
-    """Cross-validation with one parameter set for each named group of features; arm is the group's name."""
+def plain_fold(train: DataFrame, group: Sequence[str], class_col: str, rule: str = "later") -> Arm:
+    """Medians, features of any variance, correlation filter; no features where none varies."""
+    fitted = Arm([prep.median_imputer(train, group)], list(group))
+    fitted.steps.append(prep.variance_filter(fitted.transform(train), group, 1e-10, strict=True))
+    fitted.features = list(fitted.steps[-1].keep or [])
+    if fitted.features:
+        fitted.steps.append(prep.correlation_filter(fitted.transform(train), fitted.features, class_col, rule=rule))
+        fitted.features = list(fitted.steps[-1].keep or [])
+    return fitted
+
+
+def scaled_fold(train: DataFrame, group: Sequence[str], class_col: str, top: int = 30, factory: Factory = forest) -> Arm:
+    """Medians, scaling, variance filter, correlation filter by F, the top features by attribution."""
+    fitted = Arm([prep.median_imputer(train, group)], list(group))
+    fitted.steps.append(prep.standardizer(fitted.transform(train), group))
+    fitted.steps.append(prep.variance_filter(fitted.transform(train), group, 0.01, strict=True))
+    fitted.features = list(fitted.steps[-1].keep or [])
+    if fitted.features:
+        fitted.steps.append(prep.correlation_filter(fitted.transform(train), fitted.features, class_col, rule="fscore_break"))
+        fitted.features = list(fitted.steps[-1].keep or [])
+        chosen = attribution_selector(fitted.transform(train), fitted.features, top, factory)
+        fitted.steps.append(prep.Columnwise(keep=chosen, features=fitted.features))
+        fitted.features = chosen
+    return fitted
+
+
+def fixed_cv(df: DataFrame, groups: Mapping[str, Sequence[str]], id_col: str, class_col: str, k: int = 5, fold: Callable[[DataFrame, Sequence[str], str], Arm] = plain_fold, factory: Factory = forest, seed: int = 42, **params) -> CvResult:
+    """Cross-validation with one parameter set for each named group of features; arm is the group's name.
+
+    A group without features, or of which a fold leaves none, has no predictions and no features.
+    """
     every = sorted({f for g in groups.values() for f in g})
     base = stored(evaluate.stratified_folds(labelled(df.select(id_col, class_col, *every), class_col), id_col, class_col, k, seed), "cv-folds")
     classes = sorted(r[0] for r in base.select(class_col).distinct().collect())
-    parts, kept = [], []
+    out, kept = None, []
     for name, group in groups.items():
-        for i in range(k):
+        arms = []
+        for i in range(k if group else 0):
             train = evaluate.balanced_weights(base.filter(F.col("fold") != i), class_col)
-            fitted = Arm([prep.median_imputer(train, group)], list(group))
-            fitted.steps.append(prep.variance_filter(fitted.transform(train), group, 1e-10, strict=True))
-            fitted.features = list(fitted.steps[-1].keep or [])
-            fitted.steps.append(prep.correlation_filter(fitted.transform(train), fitted.features, class_col, rule=rule))
-            fitted.features = list(fitted.steps[-1].keep or [])
+            arms.append((train, fold(train, group, class_col)))
+        if not arms or not all(fitted.features for _, fitted in arms):
+            continue
+        for i, (train, fitted) in enumerate(arms):
             model = factory(**params).fit(assembled(fitted.transform(train), fitted.features))
             test = assembled(fitted.transform(base.filter(F.col("fold") == i)), fitted.features)
-            parts.append(predicted(model, test, classes, [id_col, class_col, "fold"]).withColumn("arm", F.lit(name)))
+            part = predicted(model, test, classes, [id_col, class_col, "fold"]).withColumn("arm", F.lit(name))
+            out = part if out is None else out.unionByName(part)
             kept += [(name, i, f) for f in fitted.features]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    if out is None:
+        out = base.limit(0).select(id_col, class_col, "fold", F.col(class_col).alias("pred_label"), *(F.lit(0.0).alias(f"prob_{c}") for c in classes), F.lit("").alias("arm"))
     return CvResult(stored(out.withColumnRenamed(class_col, "true_label"), "cv-predictions"), _table(kept, "arm string, fold int, feature string", df))
 
 
+def _of_all(groups: Mapping[str, Sequence[str]], found: DataFrame) -> DataFrame:
+    """found with a row for each group, of nulls for those without predictions."""
+    return _table([(g,) for g in groups], "arm string", found).join(found, "arm", "left")
+
+
 def ablation(df: DataFrame, groups: Mapping[str, Sequence[str]], id_col: str, class_col: str, classes: Sequence[str], **how) -> DataFrame:
     """arm (group of features), and mean and deviation over folds of accuracy, f1_macro and auc_ovr."""
     result = fixed_cv(df, groups, id_col, class_col, **how)
-    return evaluate.arm_summary(result.fold_metrics(classes), ["accuracy", "f1_macro", "auc_ovr"])
+    return _of_all(groups, evaluate.arm_summary(result.fold_metrics(classes), ["accuracy", "f1_macro", "auc_ovr"]))
 
 
 def model_set_comparison(df: DataFrame, groups: Mapping[str, Sequence[str]], id_col: str, class_col: str, classes: Sequence[str], **how) -> DataFrame:
     """arm (model set) and the metrics of its out-of-fold predictions as a whole."""
     p = fixed_cv(df, groups, id_col, class_col, **how).predictions
-    return evaluate.classification_metrics(p, ["arm"]).join(evaluate.auc_ovr(p, ["arm"], classes), "arm", "left")
+    return _of_all(groups, evaluate.classification_metrics(p, ["arm"]).join(evaluate.auc_ovr(p, ["arm"], classes), "arm", "left"))
 
 
-def sensitivity(df: DataFrame, features: Sequence[str], id_col: str, class_col: str, classes: Sequence[str], **how) -> DataFrame:
-    """One row: AUC before and after normalization to the reference, their difference and its verdict."""
+def sensitivity(df: DataFrame, features: Sequence[str], id_col: str, class_col: str, classes: Sequence[str], top: int = 30, **how) -> DataFrame:
+    """One row: AUC before and after normalization to the reference, their difference and its verdict.
+
+    Each fold is scaled, filtered by variance and by correlation and F, and reduced to the top features by attribution.
+    """
     from voxcohort.functions.columns import bucket_label
     from voxcohort.operators.features import normalize_to_reference
 
@@ -226,7 +277,7 @@ def sensitivity(df: DataFrame, features: Sequence[str], id_col: str, class_col:
     left = [f for f in features if f in after.columns]
     out = None
     for name, table, names in (("original", df, features), ("normalized", after, left)):
-        p = fixed_cv(table, {name: names}, id_col, class_col, rule="fscore_break", **how).predictions
+        p = fixed_cv(table, {name: names}, id_col, class_col, fold=partial(scaled_fold, top=top, factory=how.get("factory", forest)), **how).predictions
         row = evaluate.auc_ovr(p, ["arm"], classes).select(F.col("auc_ovr").alias(f"auc_{name}"))
         out = row if out is None else out.join(F.broadcast(row), F.lit(True))  # one row each
     change = F.abs(F.col("auc_normalized") - F.col("auc_original"))
@@ -257,18 +308,20 @@ class Leaf:
     share: np.ndarray
 
 
-def leaves(nodes: list[dict]) -> list[Leaf]:
-    """Leaves of one tree from its saved nodes (id, leftChild, rightChild, impurityStats, feature, threshold)."""
+def leaves(nodes: list[dict], value: Callable[[dict], np.ndarray] | None = None) -> list[Leaf]:
+    """Leaves of one tree from its saved nodes (id, left, right, stats, prediction, feature, threshold).
+
+    stats are counts of classes, and leaves hold their shares; with value they are a regression's (count first).
+    """
     by = {n["id"]: n for n in nodes}
-    cover = {i: float(sum(n["stats"])) for i, n in by.items()}
+    cover = {i: float(n["stats"][0] if value else sum(n["stats"])) for i, n in by.items()}
     out = []
 
     def walk(i: int, path: dict[int, tuple[float, float, float]]) -> None:
         n = by[i]
         if n["left"] < 0:
-            total = max(cover[i], 1e-300)
             f = list(path)
-            out.append(Leaf(np.array(n["stats"]) / total, f, *(np.array([path[x][j] for x in f]) for j in range(3))))
+            out.append(Leaf(value(n) if value else np.array(n["stats"]) / max(cover[i], 1e-300), f, *(np.array([path[x][j] for x in f]) for j in range(3))))
             return
         lo, hi, z = path.get(n["feature"], (-math.inf, math.inf, 1.0))
         for child, bounds in ((n["left"], (lo, min(hi, n["threshold"]))), (n["right"], (max(lo, n["threshold"]), hi))):
@@ -296,17 +349,27 @@ def leaf_attributions(leaf: Leaf, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def saved_trees(model, df: DataFrame) -> list[list[Leaf]]:
-    """Leaves of every tree of a fitted forest, read from its saved form: as large as the model."""
+def _nodes(model, df: DataFrame) -> list[list[dict]]:
     path = f"{shared_dir(df.sparkSession)}/model-{uuid.uuid4().hex}"
     model.write().save(path)
     rows = df.sparkSession.read.parquet(f"{path}/data")
     n = F.col("nodeData")
-    flat = rows.select("treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["impurityStats"].alias("stats"), n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"))
+    flat = rows.select("treeID", n["id"].alias("id"), n["leftChild"].alias("left"), n["rightChild"].alias("right"), n["impurityStats"].alias("stats"), n["prediction"].alias("prediction"), n["split"]["featureIndex"].alias("feature"), F.get(n["split"]["leftCategoriesOrThreshold"], 0).alias("threshold"))
     trees: dict[int, list[dict]] = {}
     for r in flat.collect():
         trees.setdefault(r["treeID"], []).append(r.asDict())
-    return [leaves(trees[t]) for t in sorted(trees)]
+    return [trees[t] for t in sorted(trees)]
+
+
+def saved_trees(model, df: DataFrame) -> list[list[Leaf]]:
+    """Leaves of every tree of a fitted forest, or of boosted trees per class, read from its saved form: as large as the model.
+
+    A boosted tree gives its class its weighted prediction times the number of all trees, as attributions are means over them.
+    """
+    if not isinstance(model, OneVsRestModel):
+        return [leaves(t) for t in _nodes(model, df)]
+    many = sum(len(m.treeWeights) for m in model.models)
+    return [leaves(t, lambda n, w=w, c=c: w * n["prediction"] * many * np.eye(len(model.models))[c]) for c, m in enumerate(model.models) for t, w in zip(_nodes(m, df), m.treeWeights, strict=True)]
 
 
 def row_attributions(trees: list[list[Leaf]], x: np.ndarray, n_features: int) -> np.ndarray:

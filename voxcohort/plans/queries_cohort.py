@@ -218,7 +218,7 @@ def rank_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH x AS (SELECT l_extendedprice AS price, l_extendedprice * (1 - l_discount) AS net, l_extendedprice * (1 + l_tax) AS gross, l_discount AS discount, l_tax AS tax FROM lineitem),
 s(feature, effect) AS (SELECT 'price', 0.3 UNION ALL SELECT 'net', 0.5 UNION ALL SELECT 'gross', 0.4 UNION ALL SELECT 'discount', 0.1 UNION ALL SELECT 'tax', 0.2),
 c AS (SELECT corr(price, net) >= 0.9 AND corr(price, gross) >= 0.9 AS ok FROM x)
-SELECT 'net' AS representative_feature, 0.5::DOUBLE AS representative_effect, 3::BIGINT AS family_size, 'gross;net;price' AS members FROM c WHERE ok UNION ALL SELECT feature, effect, 1, feature FROM s WHERE feature IN ('discount', 'tax')""")
+SELECT 1::INTEGER AS family_id, 'net' AS representative_feature, 0.5::DOUBLE AS representative_effect, 3::BIGINT AS family_size, 'gross;net;price' AS members FROM c WHERE ok UNION ALL SELECT CASE feature WHEN 'tax' THEN 2 ELSE 3 END, feature, effect, 1, feature FROM s WHERE feature IN ('discount', 'tax')""")
 def correlation_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("l_extendedprice")
     x = table(spark, sf_dir, "lineitem").select(p.alias("price"), (p * (1 - F.col("l_discount"))).alias("net"), (p * (1 + F.col("l_tax"))).alias("gross"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"))

@@ -11,7 +11,7 @@ from voxcohort.plans.storage import table
 
 FEATURES = [f"x{i}" for i in range(8)]
 CLASSES = ["0", "1", "2"]
-SMALL = {"numTrees": (5,), "maxDepth": (3,)}
+SMALL = {"numTrees": (5,), "maxDepth": (2, 3)}
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,8 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def nested_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold predictions of one arm."""
-    return models.nested_cv(matrix(spark, sf_dir), ["correlation"], FEATURES, "vec_id", "class", outer=2, inner=2, n_iter=1, grid=SMALL).predictions
+    """Out-of-fold predictions of one arm, with an inner search over two parameter sets."""
+    return models.nested_cv(matrix(spark, sf_dir), ["correlation"], FEATURES, "vec_id", "class", outer=2, inner=2, n_iter=2, grid=SMALL).predictions
 
 
 @query()

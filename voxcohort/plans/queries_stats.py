@@ -41,7 +41,17 @@ def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_returnflag, l_linestatus, count(*) AS n, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept,
   round(corr(l_quantity, l_extendedprice), 4) AS r, round(power(corr(l_quantity, l_extendedprice), 2), 4) AS r2, count(*) - 2 AS df FROM lineitem GROUP BY ALL""")
 def linregress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(summary.linregress(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice"), 4)
+    return rounded(summary.linregress(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_quantity", "l_extendedprice").drop("p"), 4)
+
+
+@query("""
+WITH g AS (SELECT p_partkey // 5 AS g, count(*) AS n, CASE WHEN var_pop(p_size) > 0 THEN CASE WHEN var_pop(p_retailprice) > 0 THEN corr(p_size, p_retailprice) ELSE 0 END END AS r FROM part GROUP BY ALL HAVING count(*) >= 2),
+t AS (SELECT *, n - 2 AS df, CASE WHEN abs(r) < 1 THEN abs(r) * sqrt((n - 2) / (1 - r * r)) END AS t FROM g)
+SELECT g, n, round(r, 6) AS r, CASE WHEN abs(r) = 1 THEN 0 WHEN r = 0 THEN 1 ELSE round(CASE df WHEN 3 THEN 1 - 2 / pi() * (atan(t / sqrt(3)) + t * sqrt(3) / (3 + t * t)) WHEN 2 THEN 1 - t / sqrt(2 + t * t) WHEN 1 THEN 1 - 2 / pi() * atan(t) WHEN 0 THEN 0 END, 6) END AS p FROM t""")
+def linregress_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of five parts, as Student's t with up to three degrees of freedom has a closed form."""
+    parts = table(spark, sf_dir, "part").withColumn("g", F.floor(F.col("p_partkey") / 5))
+    return rounded(summary.linregress(parts, ["g"], "p_size", "p_retailprice").select("g", "n", "r", "p"))
 
 
 @query(f"""

@@ -14,10 +14,20 @@ from voxcohort.plans.storage import stored, table
 NZ, NY, NX = 10, 20, 20
 SPACING = {"sz": 2.5, "sy": 1.0, "sx": 1.0}
 VOX = f"""vox AS (SELECT s_suppkey::VARCHAR AS patient_id, phase, z::INTEGER AS z, y::INTEGER AS y, x::INTEGER AS x,
-  ((z * 31 + y * 17 + x * 13 + s_suppkey * 7 + p * 11) % 97 + CASE WHEN m THEN 40 ELSE 0 END + 10 * p)::DOUBLE AS hu, m::INTEGER AS mask
+  ((z * 31 + y * 17 + x * 13 + s_suppkey * 7 + p * 11) % 97 + CASE WHEN m THEN 40 ELSE 0 END + 10 * p)::DOUBLE AS hu, m::INTEGER AS mask, s_nationkey % 3 AS rad, s_suppkey % 2 AS par
   FROM (SELECT *, power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + s_nationkey % 3, 2) OR (s_suppkey % 2 = 0 AND z = 0 AND y < 2 AND x < 2) AS m
     FROM supplier, (VALUES ('P', 0), ('C1', 1), ('C2', 2)) q(phase, p), range({NZ}) a(z), range({NY}) b(y), range({NX}) c(x)))"""
 
+#: Voxels with distances: masks have as many shapes as there are radii, with and without a second lesion, so distances are worked out per shape.
+DISTANCES = f"""{VOX},
+grd AS (SELECT rad, par, z, y, x, (power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + rad, 2) OR (par = 0 AND z = 0 AND y < 2 AND x < 2))::INTEGER AS mask
+  FROM (SELECT DISTINCT s_nationkey % 3 AS rad, s_suppkey % 2 AS par FROM supplier), range({NZ}) a(z), range({NY}) b(y), range({NX}) c(x)),
+o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
+fc AS (SELECT rad, par, z + a AS z, y + b AS y, x + c AS x, count(*) AS fg FROM grd, o WHERE mask = 1 GROUP BY ALL),
+edg AS (SELECT grd.* FROM grd LEFT JOIN fc USING (rad, par, z, y, x) WHERE (mask = 1 AND coalesce(fg, 0) < 6) OR (mask = 0 AND coalesce(fg, 0) > 0)),
+dst AS (SELECT g.rad, g.par, g.z, g.y, g.x, min(sqrt(power((g.z - e.z) * 2.5, 2) + power(g.y - e.y, 2) + power(g.x - e.x, 2))) AS d FROM grd g JOIN edg e USING (rad, par, mask) GROUP BY ALL),
+dv AS (SELECT patient_id, phase, v.z, v.y, v.x, hu, mask, CASE WHEN mask = 1 THEN d ELSE 0 END AS dist_in, CASE WHEN mask = 1 THEN 0 ELSE d END AS dist_out FROM vox v JOIN dst USING (rad, par, z, y, x))"""
+
 
 def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", F.explode(F.array(*(F.struct(F.lit(n).alias("phase"), F.lit(i).alias("p")) for i, n in enumerate(("P", "C1", "C2"))))).alias("q"))
@@ -41,22 +51,16 @@ def fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return stored(vx.with_fields(v, meta(v)), "voxel-fields"), meta(v)
 
 
-@query(f"""
-WITH {VOX}, o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
-nb AS (SELECT patient_id, phase, z + a AS z, y + b AS y, x + c AS x FROM vox, o WHERE mask = 1 AND phase = 'C1'), fc AS (SELECT patient_id, phase, z, y, x, count(*) AS fg FROM nb GROUP BY ALL),
-v AS (SELECT vox.*, coalesce(fg, 0) AS fg FROM vox LEFT JOIN fc USING (patient_id, phase, z, y, x) WHERE phase = 'C1' AND patient_id::INTEGER <= 4),
-e AS (SELECT patient_id, z, y, x, mask FROM v WHERE (mask = 1 AND fg < 6) OR (mask = 0 AND fg > 0)),
-d AS (SELECT v.patient_id, v.z, v.y, v.x, v.mask, min(sqrt(power((v.z - e.z) * 2.5, 2) + power(v.y - e.y, 2) + power(v.x - e.x, 2))) AS d FROM v JOIN e USING (patient_id, mask) GROUP BY ALL)
-SELECT patient_id, z, y, x, round(CASE WHEN mask = 1 THEN d ELSE 0 END, 6) AS dist_in, round(CASE WHEN mask = 1 THEN 0 ELSE d END, 6) AS dist_out FROM d""")
+@query(f"WITH {DISTANCES} SELECT patient_id, z, y, x, round(dist_in, 6) AS dist_in, round(dist_out, 6) AS dist_out FROM dv WHERE phase = 'C1'")
 def signed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All voxels' distances in one phase of the first patients, which the SQL can check by brute force; signed_distances_all is the whole job."""
-    v = voxels(spark, sf_dir).filter("phase = 'C1' AND cast(patient_id AS int) <= 4")
+    """All patients' distances in the phase whose masks the study measures."""
+    v = voxels(spark, sf_dir).filter("phase = 'C1'")
     return rounded(vx.with_fields(v, meta(v), fields=("dist_in", "dist_out")).select("patient_id", "z", "y", "x", "dist_in", "dist_out"))
 
 
-@query()
+@query(f"WITH {DISTANCES} SELECT patient_id, phase, z, y, x, round(dist_in, 6) AS dist_in, round(dist_out, 6) AS dist_out FROM dv")
 def signed_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All voxels' distances in all phases of all patients; a test compares them with brute force."""
+    """All voxels' distances in all phases of all patients; a test compares them with brute force too."""
     v = voxels(spark, sf_dir)
     return rounded(vx.with_fields(v, meta(v), fields=("dist_in", "dist_out")).select("patient_id", "phase", "z", "y", "x", "dist_in", "dist_out"))
 
@@ -70,7 +74,8 @@ def enhancement_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {VOX} SELECT a.patient_id, a.phase, a.z, a.y, a.x, a.hu - greatest(-200, least(200, b.hu)) AS enhancement FROM vox a LEFT JOIN vox b ON a.patient_id = b.patient_id AND b.phase = 'P' AND a.z = b.z AND a.y = b.y AND a.x = b.x WHERE a.phase <> 'P'""")
+WITH {VOX}, w AS (SELECT *, max(hu) FILTER (phase = 'P') OVER (PARTITION BY patient_id, z, y, x) AS pre FROM vox)
+SELECT patient_id, phase, z, y, x, hu - greatest(-200, least(200, pre)) AS enhancement FROM w WHERE phase <> 'P'""")
 def enhancement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vx.enhancement(voxels(spark, sf_dir)).select("patient_id", "phase", "z", "y", "x", "enhancement")
 
@@ -132,7 +137,7 @@ def angular_heterogeneity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def voxel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All blocks that go by distance, gradient or local deviation, side by side; unit tests compare them with arrays."""
+    """All blocks that go by distance, gradient or local deviation, side by side: the feature table. The blocks have queries or tests of their own."""
     v, m = fields(spark, sf_dir)
     keys = list(vx.VOLUME)
     out = v.select(*keys).distinct()
@@ -141,9 +146,104 @@ def voxel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query()
+def distances(spark: SparkSession, sf_dir: str, scale: float = 1.0, shift: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Voxels (hu shifted) with distances only, and their spacing times scale."""
+    v = voxels(spark, sf_dir).withColumn("hu", F.col("hu") + shift)
+    m = meta(v).withColumns({k: F.lit(s * scale) for k, s in SPACING.items()})
+    return stored(vx.with_fields(v, m, fields=("dist_in", "dist_out")), "voxel-distances"), m
+
+
+@query(f"""
+WITH {DISTANCES}, q AS (SELECT patient_id, phase, hu, least(floor(dist_in / max(dist_in) OVER (PARTITION BY patient_id, phase) * 5), 4)::INTEGER AS zone FROM dv WHERE dist_in > 0)
+SELECT patient_id, phase, zone, count(*) AS n, round(median(hu), 6) AS median, round(mad(hu), 6) AS mad FROM q GROUP BY ALL""")
+def radial_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = vx.radial_zone(distances(spark, sf_dir)[0])
+    counts = vx.value_table(q, [*vx.VOLUME, "zone"], "hu")
+    keys = [*vx.VOLUME, "zone"]
+    return rounded(counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.percentile("v", F.lit(0.5), F.col("n")).alias("median")).join(vx.mad(counts, keys), keys))
+
+
+@query(f"""
+WITH {DISTANCES}, q AS (SELECT patient_id, phase, hu, least(floor(dist_in / max(dist_in) OVER (PARTITION BY patient_id, phase) * 5), 4)::INTEGER AS zone FROM dv WHERE dist_in > 0),
+m AS (SELECT patient_id, phase, zone, median(hu) AS m, mad(hu) AS d FROM q GROUP BY ALL)
+SELECT patient_id, phase, {", ".join(f"round(max(m) FILTER (zone = {i}), 6) AS zone_{i}_median, round(max(d) FILTER (zone = {i}), 6) AS zone_{i}_mad" for i in range(5))},
+  CASE WHEN count(*) >= 2 THEN round(max_by(m, zone) - min_by(m, zone), 6) END AS radial_gradient, CASE WHEN count(*) >= 2 THEN round(regr_slope(m, zone), 6) END AS radial_slope,
+  CASE WHEN count(*) >= 2 THEN round(coalesce(power(CASE WHEN var_pop(m) > 0 THEN corr(zone, m) END, 2), 0), 6) END AS radial_r_squared FROM m GROUP BY ALL""")
+def radial_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vx.radial_profile(distances(spark, sf_dir)[0]))
+
+
+@query(f"""
+WITH {DISTANCES}, v AS (SELECT *, max(dist_in) OVER (PARTITION BY patient_id, phase) AS deep FROM dv),
+q AS (SELECT patient_id, phase, hu, CASE WHEN dist_in > deep * 0.5 THEN 'core' ELSE 'rim' END AS part FROM v WHERE mask = 1 AND deep >= 3 AND (dist_in > deep * 0.5 OR dist_in <= deep * 0.2)),
+e AS (SELECT *, min(hu) OVER w AS lo, max(hu) OVER w AS hi, count(*) OVER w AS n FROM q WINDOW w AS (PARTITION BY patient_id, phase, part)),
+h AS (SELECT patient_id, phase, part, CASE WHEN hi > lo THEN least(floor((hu - lo) / (hi - lo) * 32), 31) ELSE 0 END AS bin, count(*) / max(n) AS p FROM e GROUP BY ALL),
+s AS (SELECT patient_id, phase, part, -sum(p * log2(p)) AS entropy FROM h GROUP BY ALL),
+m AS (SELECT patient_id, phase, part, median(hu) AS med, mad(hu) AS mad FROM q GROUP BY ALL)
+SELECT c.patient_id, c.phase, round(c.med, 6) AS core_median, round(r.med, 6) AS rim_median, round(r.med - c.med, 6) AS rim_core_diff, round(r.med / (c.med + 1e-5::DOUBLE), 6) AS rim_core_ratio,
+  (r.med > c.med * 1.1::DOUBLE)::INTEGER AS ring_enhancement, round(c.mad, 6) AS core_mad, round(r.mad, 6) AS rim_mad, round(cs.entropy, 6) AS core_entropy, round(rs.entropy, 6) AS rim_entropy
+FROM m c JOIN m r USING (patient_id, phase) JOIN s cs USING (patient_id, phase) JOIN s rs USING (patient_id, phase) WHERE c.part = 'core' AND r.part = 'rim' AND cs.part = 'core' AND rs.part = 'rim'""")
+def rim_core(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vx.rim_core(distances(spark, sf_dir)[0]))
+
+
+@query(f"""
+WITH {DISTANCES}, w AS (SELECT *, hu - 45 AS h, hu - 45 - greatest(-200, least(200, max(hu - 45) FILTER (phase = 'P') OVER (PARTITION BY patient_id, z, y, x))) AS enh FROM dv),
+q AS (SELECT *, h BETWEEN 10 AND 40 AND enh < 15 AS dead FROM w WHERE phase <> 'P' AND mask = 1)
+SELECT patient_id, phase, round(avg(dead::INTEGER), 6) AS necrosis_fraction, 'hybrid_hu_band_plus_enhancement' AS necrosis_qc_method, round(avg(dist_in) FILTER (dead) / max(dist_in), 6) AS necrosis_centrality FROM q GROUP BY ALL""")
 def necrosis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(vx.necrosis(vx.enhancement(fields(spark, sf_dir)[0])))
+    """Intensities are shifted by -45, so that some voxels lie in the band of dead tissue."""
+    return rounded(vx.necrosis(vx.enhancement(distances(spark, sf_dir, shift=-45.0)[0])))
+
+
+@query(f"""
+WITH {DISTANCES}, q AS (SELECT patient_id, phase, hu FROM dv WHERE dist_out > 0 AND dist_out <= 5 AND hu > -50 AND hu < 200), t AS (SELECT patient_id, phase, median(hu) AS t FROM dv WHERE mask = 1 GROUP BY ALL),
+a AS (SELECT patient_id, phase, avg(hu) AS a FROM q GROUP BY ALL),
+p AS (SELECT patient_id, phase, count(*) AS n, median(hu) AS p, mad(hu) AS mad, quantile_cont(hu, [0.1, 0.25, 0.75, 0.9]) AS c, avg(power(hu - a, 2)) AS m2, avg(power(hu - a, 3)) AS m3, avg(power(hu - a, 4)) AS m4 FROM q JOIN a USING (patient_id, phase) GROUP BY ALL)
+SELECT patient_id, phase, round(p, 6) AS peri_median, round(c[3] - c[2], 6) AS peri_iqr, round(mad, 6) AS peri_mad, round(m3 / power(m2, 1.5), 6) AS peri_skewness, round(m4 / power(m2, 2) - 3, 6) AS peri_kurtosis,
+  round(c[1], 6) AS peri_p10, round(c[4], 6) AS peri_p90, round(t - p, 6) AS tumor_peri_diff, round(t / (p + 1e-5::DOUBLE), 6) AS tumor_peri_ratio, round((t - p) / (abs(t) + abs(p) + 1e-5::DOUBLE), 6) AS tumor_peri_contrast, n * 2.5::DOUBLE AS peri_volume_mm3
+FROM p JOIN t USING (patient_id, phase)""")
+def peritumoral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, m = distances(spark, sf_dir)
+    return rounded(vx.peritumoral(v, m, 5).drop("peri_entropy"))
+
+
+@query(f"""
+WITH {DISTANCES}, m AS (SELECT patient_id, phase, median(hu) FILTER (dist_out > 0 AND dist_out <= 3) AS s, median(hu) FILTER (dist_in > 5 AND mask = 1) AS c FROM dv GROUP BY ALL),
+k AS (SELECT patient_id, phase, s, c, avg((hu > c + 15)::INTEGER) FILTER (dist_out > 0 AND dist_out <= 3) AS k FROM dv JOIN m USING (patient_id, phase) GROUP BY ALL),
+u AS (SELECT *, phase IN ('C2', 'C3') AND s IS NOT NULL AND c IS NOT NULL AS use, s - c AS diff, s / (c + 1e-5::DOUBLE) AS ratio FROM k)
+SELECT patient_id, phase, CASE WHEN use THEN round(diff, 6) END AS capsule_hu_diff, CASE WHEN use THEN round(ratio, 6) END AS capsule_enh_ratio, CASE WHEN use THEN round(k, 6) END AS capsule_continuity,
+  CASE WHEN use THEN (diff > 15 AND ratio > 1.15 AND k > 0.30)::INTEGER END AS has_capsule FROM u""")
+def capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vx.capsule(distances(spark, sf_dir)[0]))
+
+
+@query(f"""
+WITH {DISTANCES}, b AS (SELECT patient_id, phase, lo, hu FROM dv, (VALUES (0), (3), (6), (9), (12)) q(lo) WHERE dist_out > 0 AND dist_out >= lo AND dist_out <= lo + 3 AND hu > -50 AND hu < 200),
+m AS (SELECT patient_id, phase, lo, median(hu) AS m, mad(hu) AS d FROM b GROUP BY ALL),
+l AS (SELECT patient_id, phase, {", ".join(f"round(max(m) FILTER (lo = {a}), 6) AS ring_{a}_{a + 3}mm_median, round(max(d) FILTER (lo = {a}), 6) AS ring_{a}_{a + 3}mm_mad" for a in (0, 3, 6, 9, 12))},
+  count(*) - 2 AS df, regr_slope(m, lo + 1.5::DOUBLE) AS slope, CASE WHEN var_pop(m) > 0 THEN corr(lo + 1.5::DOUBLE, m) ELSE 0 END AS r FROM m GROUP BY ALL),
+t AS (SELECT *, CASE WHEN abs(r) < 1 THEN abs(r) * sqrt(df / (1 - r * r)) END AS t FROM l)
+SELECT * EXCLUDE (df, slope, r, t), CASE WHEN df >= 0 THEN round(slope, 6) END AS invasion_slope, CASE WHEN df >= 0 THEN round(r, 6) END AS invasion_r,
+  CASE WHEN abs(r) = 1 THEN 0 WHEN r = 0 THEN 1 ELSE round(CASE df WHEN 3 THEN 1 - 2 / pi() * (atan(t / sqrt(3)) + t * sqrt(3) / (3 + t * t)) WHEN 2 THEN 1 - t / sqrt(2 + t * t) WHEN 1 THEN 1 - 2 / pi() * atan(t) WHEN 0 THEN 0 END, 6) END AS invasion_p FROM t""")
+def invasion_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(vx.invasion_profile(distances(spark, sf_dir)[0]))
+
+
+@query(f"""
+WITH {DISTANCES}, m AS (SELECT patient_id, phase, median(hu) FILTER (mask = 1) AS t, median(hu) FILTER (mask = 0 AND 3 * dist_out BETWEEN 20 AND 30) AS r, mad(hu) FILTER (mask = 0 AND 3 * dist_out BETWEEN 20 AND 30) AS d,
+  count(*) FILTER (mask = 0 AND 3 * dist_out BETWEEN 20 AND 30) AS n FROM dv GROUP BY ALL)
+SELECT patient_id, phase, round(t / (r + 1e-5::DOUBLE), 6) AS tumor_liver_ratio, round(t - r, 6) AS tumor_liver_diff, round(r, 6) AS liver_ref_median, round(d, 6) AS liver_ref_mad, 'ring_fallback' AS tlr_ref_source, 0 AS tlr_liver_mask_available
+FROM m WHERE n >= 50 AND t IS NOT NULL""")
+def lesion_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels three times as large, so that the ring of 20 to 30 mm lies in the box."""
+    return rounded(vx.lesion_reference(distances(spark, sf_dir, scale=3.0)[0]))
+
+
+@query(f"""
+WITH {DISTANCES} SELECT patient_id, phase, lo::DOUBLE AS inner, lo + 3::DOUBLE AS outer, count(*) AS n FROM dv, (VALUES (0), (3), (6), (9), (12)) q(lo) WHERE dist_out > 0 AND dist_out >= lo AND dist_out <= lo + 3 GROUP BY ALL""")
+def assign_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vx.assign_bands(distances(spark, sf_dir)[0], vx.BANDS).groupBy(*vx.VOLUME, "inner", "outer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query()

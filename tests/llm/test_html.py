@@ -94,3 +94,24 @@ def _inside(c, b):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extract(df).count() == 0
+
+
+def test_repeated_rows_and_runs_of_copies(spark):
+    """A row given twice is one page among its neighbours; pages among copies lose their template and keep their text."""
+    page = lambda *body: f"<div>The Daily</div><div>Menu</div>{''.join(f'<p>{b}</p>' for b in body)}<div>All rights</div>"
+    rows = [(i, f"http://h/{i:02}", page(f"story {i} of the day", f"its end {i}"), None) for i in range(8)]
+    rows += [rows[3], rows[3]]
+    same = page("one story", "on many pages")
+    rows += [(20 + i, f"http://h/05{i}", same, None) for i in range(2)]
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").repartition(parts)
+        got = [(r.page_id, r.text) for r in html.extract(df).collect()]
+        want = [(i, f"story {i} of the day\n\nits end {i}") for i in (*range(8), 3, 3)] + [(20 + i, "one story\n\non many pages") for i in range(2)]
+        assert sorted(got) == sorted(want)
+
+
+def test_shared_lines_by_votes():
+    assert html.shared([1, 5, 6, 9], [0] * 4, [[1, 7, 9], [1, 8, 5, 9], [1, 2, 9]]) == [0, 3]  # 5 is shared with one of three
+    assert html.shared([1, 5, 9], [0] * 3, [[1, 5, 9], [1, 5, 9]]) == []  # copies
+    assert html.shared([1, 5, 9], [0, 2, 1], [[1, 5, 9, 4]]) == [2]  # all open lines are shared: a near copy
+    assert html.shared([1], [0], []) == []

@@ -1,19 +1,19 @@
 """Main text of web pages by nearest-URL page differencing.
 
-Pages are paired with their neighbours in the order of URL paths within a host; the text lines (blocks) of a
-pair are aligned by their longest common subsequence, and shared lines are template, not text, so they go.
-Markup helps in two ways: containers that name themselves as menus, headers, footers, sidebars, notices,
-adverts, forms or comments go whatever the neighbours hold, and lines inside an element that names the
-article (article, main) stay even if shared, since pages that carry copies of one article sit side by side
-and would otherwise lose it. Pages whose text outside such containers is mostly shared with a neighbour are
-taken as copies of it, not as template.
+Pages are paired with their NEAR neighbours on either side in the order of URL paths within a host; the text
+lines (blocks) of a pair are aligned by their longest common subsequence. A line that at least half of the
+different neighbours share (two of them, where there are two) is template, not text, and goes. Neighbours with
+the same lines throughout are copies and don't count, so a page among its copies keeps its text; and if nearly
+all open lines would go (COPY), the page is taken for a near copy of its neighbours and keeps them. Markup is a hint either way: containers that name themselves as
+menus, headers, footers, sidebars, notices, adverts, forms or comments go whatever the neighbours hold, and
+where an element names the article (article, main) its lines are the text, even if shared.
 
 The order by host and path is made by range partitions of narrow rows (hashes of lines); neighbours inside a
 partition come from a window over the partition, those across a border from the borders' rows alone, so one
 host with most pages is no hot key and the result doesn't depend on where borders fall.
 
-A null or empty page gives an empty text. A null URL has the empty host and path. Repeated rows get the same
-result each. An empty table gives an empty result. Other columns play no part.
+A null or empty page gives an empty text. A null URL has the empty host and path. Repeated rows are one page
+among neighbours and get the same result each. An empty table gives an empty result. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -45,8 +45,10 @@ NAMES = re.compile(
     re.I,
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-#: Share of a page's open characters that, if a neighbour has them, makes the pages copies.
-COPY = 0.5
+#: Pages on either side, in the order of URLs, that a page is compared with.
+NEAR = 3
+#: Share of a page's open lines beyond which shared lines are copied text, not template.
+COPY = 0.8
 
 
 @dataclass
@@ -166,16 +168,19 @@ def common(a: list[int], b: list[int]) -> list[int]:
     return out[::-1]
 
 
-def shared(own: list[int], sizes: list[int], flags: list[int], neighbours: list[list[int] | None]) -> list[int]:
+def shared(own: list[int], flags: list[int], neighbours: list[list[int]]) -> list[int]:
     """Places of the lines to delete as shared. flags: 0 open, 1 in a container that goes, 2 in the article."""
-    gone: set[int] = set()
-    open_chars = sum(n for n, f in zip(sizes, flags, strict=True) if f != 1)
-    for other in neighbours:
-        if other:
-            found = common(own, other)
-            copies = sum(sizes[i] for i in found if flags[i] != 1) > COPY * open_chars
-            gone.update(i for i in found if flags[i] == 1 or flags[i] == 0 and not copies)
-    return sorted(gone)
+    others = [list(o) for o in {tuple(o) for o in neighbours if o and o != own}]
+    votes = [0] * len(own)
+    for other in others:
+        for i in common(own, other):
+            votes[i] += 1
+    need = max(min(2, len(others)), -(-len(others) // 2))
+    gone = [i for i, v in enumerate(votes) if others and v >= need and flags[i] != 2]
+    open_ = flags.count(0)
+    if sum(flags[i] == 0 for i in gone) > COPY * open_:
+        gone = [i for i in gone if flags[i] == 1]
+    return gone
 
 
 def _host_and_path(url: str) -> list:
@@ -184,18 +189,17 @@ def _host_and_path(url: str) -> list:
 
 
 def _outlines(pages: DataFrame) -> DataFrame:
-    """row, host, path, own (line hashes), sizes, flags of distinct pages."""
+    """row, host, path, own (line hashes), flags of the pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "html"):
                 parsed = [lines(h.as_py()) for h in b.column("html")]
                 own = pa.array([[line_hash(x.text) for x in p] for p in parsed], pa.list_(pa.int64()))
-                sizes = pa.array([[len(x.text) for x in p] for p in parsed], pa.list_(pa.int32()))
                 flags = pa.array([[1 if x.away else 2 * x.main for x in p] for p in parsed], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "host", "path")), own, sizes, flags], ["row", "host", "path", "own", "sizes", "flags"])
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("row", "host", "path")), own, flags], ["row", "host", "path", "own", "flags"])
 
-    return pages.mapInArrow(run, "row long, host string, path string, own array<long>, sizes array<int>, flags array<int>")
+    return pages.mapInArrow(run, "row long, host string, path string, own array<long>, flags array<int>")
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
@@ -204,23 +208,33 @@ def template_lines(pages: DataFrame) -> DataFrame:
     narrow = _outlines(pages).repartitionByRange(*order).withColumn("part", F.spark_partition_id())
     narrow = stored(narrow, "page-lines")
     within = Window.partitionBy("part").orderBy(*order)
-    me = F.struct("host", "own").alias("me")
-    near = narrow.select("*", F.lag(me).over(within).alias("before"), F.lead(me).over(within).alias("after"))
-    key = F.struct(*order)
-    borders = narrow.groupBy("part").agg(F.min_by(F.struct("host", "own"), key).alias("first"), F.max_by(F.struct("host", "own"), key).alias("last"))
-    along = Window.orderBy("part")  # one row per partition
-    borders = borders.select("part", F.lag("last").over(along).alias("_up"), F.lead("first").over(along).alias("_down"))
-    near = near.join(F.broadcast(borders), "part")
-    same = lambda c: F.when(c["host"] == F.col("host"), c["own"])
-    near = near.select("row", "own", "sizes", "flags", same(F.coalesce("before", "_up")).alias("up"), same(F.coalesce("after", "_down")).alias("down"))
+    # Equal rows have equal keys, so they are in one part, one after another.
+    narrow = narrow.withColumn("_before", F.lag("row").over(within)).filter(~F.col("row").eqNullSafe(F.col("_before"))).drop("_before")
+    me = F.struct("host", "own")
+    near = narrow.select("*", F.array(*(F.lag(me, i).over(within) for i in range(NEAR, 0, -1))).alias("up"), F.array(*(F.lead(me, i).over(within) for i in range(1, NEAR + 1))).alias("down"))
+    # The first and last rows of every part, for its neighbours: a few rows a part, met in one task.
+    back = Window.partitionBy("part").orderBy(*(F.col(c).desc() for c in order))
+    edge = narrow.select("part", *order, "own", F.row_number().over(within).alias("_i"), F.row_number().over(back).alias("_j")).filter((F.col("_i") <= NEAR) | (F.col("_j") <= NEAR))
+    edge = stored(edge, "page-edges")
+    along = Window.orderBy("part", *order)
+    last = lambda rows, w: F.collect_list(F.when(rows, me)).over(w)
+    edge = edge.select("part", last(F.col("_j") <= NEAR, along.rowsBetween(-2 * NEAR * NEAR, -1)).alias("_u"), last(F.col("_i") <= NEAR, along.rowsBetween(1, 2 * NEAR * NEAR)).alias("_d"), "_i", "_j")
+    up = edge.filter("_i = 1").select("part", F.expr(f"slice(_u, greatest(1, size(_u) - {NEAR - 1}), {NEAR})").alias("_up"))
+    down = edge.filter("_j = 1").select("part", F.expr(f"slice(_d, 1, {NEAR})").alias("_down"))
+    near = near.join(F.broadcast(up), "part").join(F.broadcast(down), "part")
+    # A row short of neighbours in its part takes those of the parts beside it that are nearest.
+    have = lambda c: F.filter(c, lambda x: x.isNotNull())
+    near = near.withColumn("_u", F.concat("_up", have(F.col("up")))).withColumn("_d", F.concat(have(F.col("down")), F.col("_down")))
+    both = F.concat(F.expr(f"slice(_u, greatest(1, size(_u) - {NEAR - 1}), {NEAR})"), F.expr(f"slice(_d, 1, {NEAR})"))
+    near = near.select("row", "own", "flags", F.transform(F.filter(both, lambda x: x["host"] == F.col("host")), lambda x: x["own"]).alias("others"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             r = b.to_pydict()
-            gone = [shared(o, s, f, [u, d]) for o, s, f, u, d in zip(r["own"], r["sizes"], r["flags"], r["up"], r["down"], strict=True)]
+            gone = [shared(*x) for x in zip(r["own"], r["flags"], r["others"], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(gone, pa.list_(pa.int32()))], ["row", "gone"])
 
-    return near.mapInArrow(run, "row long, gone array<int>").filter(F.size("gone") > 0).dropDuplicates(["row"])
+    return near.mapInArrow(run, "row long, gone array<int>").filter(F.size("gone") > 0)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -38,6 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,7 +68,7 @@ STEP = 1024
 #: Distinct windows of a shard, about.
 SHARD = 1 << 16
 #: Bytes of text of a chunk, about.
-CHUNK = 16 << 20
+CHUNK = 32 << 20
 #: Tokens after which a text's last mixer is updated; the weight of words it starts with, and how many tokens that counts for.
 BLOCK, FIRST, START = 16, 0.2, 4.0
 END = b"\n"  # not a word
@@ -395,7 +396,10 @@ def _batch(chunk: int, kind: int, rows: int, types: dict[str, pa.DataType], **co
 
 
 def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """chunk, kind and the windows (key, n), words (x, n) and texts (x, doc_id, held_out) of each chunk; rows: doc_id, held_out, text."""
+    """chunk, kind and the windows (key, n), words (x, n) and texts of each chunk; rows: doc_id, held_out, text.
+
+    Texts come some together: x holds them one after another, compressed; ids, outs and sizes are arrays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, own = TaskContext.get().partitionId() << 24, Chunk()  # type: ignore[union-attr]
@@ -409,15 +413,18 @@ def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                types |= {c: b.column(c).type for c in ("doc_id", "held_out")}
-                own.add(b.column("text").to_pylist(), b.column("held_out").to_pylist())
-                yield _batch(name, TEXTS, b.num_rows, types, x=b.column("text"), doc_id=b.column("doc_id"), held_out=b.column("held_out"))
+                texts, ids, outs = b.column("text").to_pylist(), b.column("doc_id"), b.column("held_out")
+                own.add(texts, outs.to_pylist())
+                together = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                columns = {"ids": together(ids), "outs": together(outs), "sizes": together(pa.array([len(t) for t in texts], pa.int32()))}
+                types |= {c: x.type for c, x in columns.items()}
+                yield _batch(name, TEXTS, 1, types, x=pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary()), **columns)
                 if own.bytes >= chunk:
                     yield from close()
                     name, own = name + 1, Chunk()
         yield from close()
 
-    return rows.mapInArrow(run, f"chunk long, kind byte, key long, n long, x binary, doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean")
+    return rows.mapInArrow(run, f"chunk long, kind byte, key long, n long, x binary, ids array<{dict(rows.dtypes)['doc_id']}>, outs array<boolean>, sizes array<int>")
 
 
 class Lookup:
@@ -478,11 +485,12 @@ def held_out(id_col: str) -> Column:
 
 
 def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores a partition of (chunk, kind, a, value, x, doc_id, held_out) in order: a chunk's windows (a, value), words (x, a) and texts (x)."""
+    """Scores a partition of (chunk, kind, a, value, x, ids, outs, sizes) in order: a chunk's windows (a, value), words (x, a) and texts (x)."""
     smooth, whole = math.log10(total + 0.5 * (distinct + 1)), math.log10(max(total, 1))
 
-    def texts(b: pa.RecordBatch, known: dict[bytes, int], letters: Lookup) -> pa.RecordBatch:
-        held = b.column("x").to_pylist()
+    def texts(x: bytes, ids: pa.Array, outs: pa.Array, many: list[int], known: dict[bytes, int], letters: Lookup) -> pa.RecordBatch:
+        whole_x, ends = zstandard.decompress(x) if x else b"", np.cumsum(many)
+        held = [whole_x[e - n : e] for e, n in zip(ends.tolist(), many, strict=True)]
         split = [tokens(t) for t in held]
         code, _ = windows([b" ".join(w) + b" " if w else b"" for w in split])
         bits = letters(code)
@@ -495,9 +503,8 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
         cuts = np.cumsum(sizes) - sizes
         base = np.add.reduceat(np.log10(c + 0.5) - smooth, cuts)
         seen = np.add.reduceat((c > 0).astype(np.int64), cuts)
-        size = np.fromiter((len(t or b"") for t in held), np.int64, len(held))
-        columns = [sizes, seen, base, last_mix(word, spelled, sizes), size]
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+        columns = [sizes, seen, base, last_mix(word, spelled, sizes), np.array(many, np.int64)]
+        return pa.RecordBatch.from_arrays([ids, outs, *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, values, known, letters = None, [], [], {}, None
@@ -519,8 +526,9 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
                     if letters is None:
                         letters = Lookup(np.concatenate(keys), np.concatenate(values))
                         keys, values = [], []
-                    for s in slices(b, "x", 1 << 20):
-                        yield texts(s, known, letters)
+                    for k in range(j - i):
+                        lists = [b.column(c)[k] for c in ("ids", "outs", "sizes")]
+                        yield texts(b.column("x")[k].as_py(), lists[0].values, lists[1].values, lists[2].as_py(), known, letters)
 
     return run
 
@@ -540,11 +548,14 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     words = stored(words, "lm-words")
     total, distinct = words.filter(F.col("first") & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     kind, none = dict(rows.dtypes)["doc_id"], F.lit(None)
-    same = lambda df, k, **given: df.select("chunk", F.lit(k).cast("byte").alias("kind"), *(given.get(c, none).cast(t).alias(c) for c, t in (("a", "long"), ("value", "float"), ("x", "binary"), ("doc_id", kind), ("held_out", "boolean"))))
+    types = {"a": "long", "value": "float", "x": "binary", "ids": f"array<{kind}>", "outs": "array<boolean>", "sizes": "array<int>"}
+    same = lambda df, k, **given: df.select("chunk", F.lit(k).cast("byte").alias("kind"), *(given.get(c, none).cast(t).alias(c) for c, t in types.items()))
     met = same(asked.select("chunk", "key").join(values.hint("shuffle_hash"), "key"), WINDOWS, a=F.col("key"), value=F.col("value"))
     met = met.unionByName(same(words, WORDS, a=F.col("c"), x=F.col("x")))
-    met = met.unionByName(same(all_.filter(F.col("kind") == TEXTS), TEXTS, x=F.col("x"), doc_id=F.col("doc_id"), held_out=F.col("held_out")))
-    met = met.repartition("chunk").sortWithinPartitions("chunk", "kind")
+    blobs = all_.filter(F.col("kind") == TEXTS)
+    met = met.unionByName(same(blobs, TEXTS, **{c: F.col(c) for c in ("x", "ids", "outs", "sizes")}))
+    many = max(1, blobs.select("chunk").distinct().count())  # a number given, as tasks of several chunks would hold them all to sort them
+    met = met.repartition(many, "chunk").sortWithinPartitions("chunk", "kind")
     out = met.mapInArrow(_scored(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.lit(math.log10(2)) / F.greatest("n_bytes", F.lit(1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

@@ -389,8 +389,9 @@ class Chunk:
         return code[starts], np.add.reduceat(n, starts)
 
 
-def _batch(chunk: int, kind: int, rows: int, types: dict[str, pa.DataType], **columns: pa.Array) -> pa.RecordBatch:
+def _batch(chunk: int, kind: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
     """A batch of the gathered table, with nulls in the columns not given."""
+    types = {"key": pa.int64(), "n": pa.int64(), "x": pa.binary()}
     own = [pa.array(np.full(rows, chunk)), pa.array(np.full(rows, kind, np.int8))]
     return pa.RecordBatch.from_arrays(own + [columns.get(c, pa.nulls(rows, t)) for c, t in types.items()], ["chunk", "kind", *types])
 
@@ -398,33 +399,31 @@ def _batch(chunk: int, kind: int, rows: int, types: dict[str, pa.DataType], **co
 def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """chunk, kind and the windows (key, n), words (x, n) and texts of each chunk; rows: doc_id, held_out, text.
 
-    Texts come some together: x holds them one after another, compressed; ids, outs and sizes are arrays.
+    Texts come some together, as a compressed Arrow stream of the rows in x.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, own = TaskContext.get().partitionId() << 24, Chunk()  # type: ignore[union-attr]
-        types = {"key": pa.int64(), "n": pa.int64(), "x": pa.binary()}
 
         def close() -> Iterator[pa.RecordBatch]:
             if own.parts:
                 code, n = own.windows()
-                yield _batch(name, WINDOWS, len(code), types, key=pa.array(code.view(np.int64)), n=pa.array(n))
-                yield _batch(name, WORDS, len(own.words), types, x=pa.array(list(own.words), pa.binary()), n=pa.array(list(own.words.values()), pa.int64()))
+                yield _batch(name, WINDOWS, len(code), key=pa.array(code.view(np.int64)), n=pa.array(n))
+                yield _batch(name, WORDS, len(own.words), x=pa.array(list(own.words), pa.binary()), n=pa.array(list(own.words.values()), pa.int64()))
 
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                texts, ids, outs = b.column("text").to_pylist(), b.column("doc_id"), b.column("held_out")
-                own.add(texts, outs.to_pylist())
-                together = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
-                columns = {"ids": together(ids), "outs": together(outs), "sizes": together(pa.array([len(t) for t in texts], pa.int32()))}
-                types |= {c: x.type for c, x in columns.items()}
-                yield _batch(name, TEXTS, 1, types, x=pa.array([zstandard.compress(b"".join(texts), 3)], pa.binary()), **columns)
+                own.add(b.column("text").to_pylist(), b.column("held_out").to_pylist())
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as stream:
+                    stream.write_batch(b)
+                yield _batch(name, TEXTS, 1, x=pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary()))
                 if own.bytes >= chunk:
                     yield from close()
                     name, own = name + 1, Chunk()
         yield from close()
 
-    return rows.mapInArrow(run, f"chunk long, kind byte, key long, n long, x binary, ids array<{dict(rows.dtypes)['doc_id']}>, outs array<boolean>, sizes array<int>")
+    return rows.mapInArrow(run, "chunk long, kind byte, key long, n long, x binary")
 
 
 class Lookup:
@@ -485,12 +484,12 @@ def held_out(id_col: str) -> Column:
 
 
 def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Scores a partition of (chunk, kind, a, value, x, ids, outs, sizes) in order: a chunk's windows (a, value), words (x, a) and texts (x)."""
+    """Scores a partition of (chunk, kind, a, value, x) in order: a chunk's windows (a, value), words (x, a) and texts (x)."""
     smooth, whole = math.log10(total + 0.5 * (distinct + 1)), math.log10(max(total, 1))
 
-    def texts(x: bytes, ids: pa.Array, outs: pa.Array, many: list[int], known: dict[bytes, int], letters: Lookup) -> pa.RecordBatch:
-        whole_x, ends = zstandard.decompress(x) if x else b"", np.cumsum(many)
-        held = [whole_x[e - n : e] for e, n in zip(ends.tolist(), many, strict=True)]
+    def texts(x: bytes, known: dict[bytes, int], letters: Lookup) -> pa.RecordBatch:
+        rows = pa.ipc.open_stream(zstandard.decompress(x)).read_next_batch()
+        held = rows.column("text").to_pylist()
         split = [tokens(t) for t in held]
         code, _ = windows([b" ".join(w) + b" " if w else b"" for w in split])
         bits = letters(code)
@@ -503,8 +502,8 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
         cuts = np.cumsum(sizes) - sizes
         base = np.add.reduceat(np.log10(c + 0.5) - smooth, cuts)
         seen = np.add.reduceat((c > 0).astype(np.int64), cuts)
-        columns = [sizes, seen, base, last_mix(word, spelled, sizes), np.array(many, np.int64)]
-        return pa.RecordBatch.from_arrays([ids, outs, *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+        columns = [sizes, seen, base, last_mix(word, spelled, sizes), np.fromiter(map(len, held), np.int64, len(held))]
+        return pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("held_out"), *map(pa.array, columns)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, values, known, letters = None, [], [], {}, None
@@ -526,9 +525,8 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
                     if letters is None:
                         letters = Lookup(np.concatenate(keys), np.concatenate(values))
                         keys, values = [], []
-                    for k in range(j - i):
-                        lists = [b.column(c)[k] for c in ("ids", "outs", "sizes")]
-                        yield texts(b.column("x")[k].as_py(), lists[0].values, lists[1].values, lists[2].as_py(), known, letters)
+                    for x in b.column("x"):
+                        yield texts(x.as_py(), known, letters)
 
     return run
 
@@ -548,12 +546,12 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     words = stored(words, "lm-words")
     total, distinct = words.filter(F.col("first") & (F.col("c") > 0)).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     kind, none = dict(rows.dtypes)["doc_id"], F.lit(None)
-    types = {"a": "long", "value": "float", "x": "binary", "ids": f"array<{kind}>", "outs": "array<boolean>", "sizes": "array<int>"}
+    types = {"a": "long", "value": "float", "x": "binary"}
     same = lambda df, k, **given: df.select("chunk", F.lit(k).cast("byte").alias("kind"), *(given.get(c, none).cast(t).alias(c) for c, t in types.items()))
     met = same(asked.select("chunk", "key").join(values.hint("shuffle_hash"), "key"), WINDOWS, a=F.col("key"), value=F.col("value"))
     met = met.unionByName(same(words, WORDS, a=F.col("c"), x=F.col("x")))
     blobs = all_.filter(F.col("kind") == TEXTS)
-    met = met.unionByName(same(blobs, TEXTS, **{c: F.col(c) for c in ("x", "ids", "outs", "sizes")}))
+    met = met.unionByName(same(blobs, TEXTS, x=F.col("x")))
     many = max(1, blobs.select("chunk").distinct().count())  # a number given, as tasks of several chunks would hold them all to sort them
     met = met.repartition(many, "chunk").sortWithinPartitions("chunk", "kind")
     out = met.mapInArrow(_scored(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")

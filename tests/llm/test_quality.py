@@ -4,22 +4,19 @@ import math
 import random
 from collections import Counter
 
-import numpy as np
-
 from voxcohort.llm import quality
 
 SF = "/root/testdata/sf0.01"
 
 
-def test_kneser_ney_is_a_distribution_and_matches_a_plain_version():
-    rng = np.random.default_rng(3)
-    counts = np.zeros((quality.SYMBOLS,) * 3, np.int64)
-    text = rng.choice(12, 4000, p=np.arange(12, 0, -1) / 78)
-    grams = Counter(zip(text, text[1:], text[2:], strict=False))
-    for g, n in grams.items():
-        counts[g] = n
-    p = quality.kneser_ney(counts)
-    assert np.allclose(p.sum(-1), 1) and (p > 0).all()
+def test_logs_are_a_distribution_and_match_a_plain_version(spark):
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdeé字😀 ", [9, 8, 7, 6, 5, 4, 2, 1, 9], k=60)).strip() for _ in range(40)]
+    counts = quality.trigram_counts(spark.createDataFrame([(t,) for t in texts], "text string")).cache()
+    border = quality.BORDER
+    grams = Counter(g for t in texts for s in [[border, border, *map(ord, t), border]] for g in zip(s, s[1:], s[2:], strict=False))
+    number = lambda a, b, c: (a << 2 * quality.BITS) | (b << quality.BITS) | c
+    assert {r.gram: r.n for r in counts.collect()} == {number(*g): n for g, n in grams.items()}
 
     pairs, singles = Counter(), Counter()
     for _, b, c in grams:
@@ -32,31 +29,46 @@ def test_kneser_ney_is_a_distribution_and_matches_a_plain_version():
         y = n[0] / (n[0] + 2 * n[1])
         return [0] + [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) for i in range(3)]
 
-    def level(table, context, c, below):
+    def level(table, d, context, c, below):
         row = {g[-1]: v for g, v in table.items() if g[:-1] == context}
         if not row:
             return below
-        d = discounts(table)
         freed = sum(d[min(v, 3)] for v in row.values())
         v = row.get(c, 0)
         return (max(v - d[min(v, 3)], 0) + freed * below) / sum(row.values())
 
     one = {(c,): n for c, n in singles.items()}
-    r = random.Random(1)
-    for _ in range(60):
-        a, b, c = (r.randrange(14) for _ in range(3))
-        want = level(grams, (a, b), c, level(pairs, (b,), c, level(one, (), c, 1 / quality.SYMBOLS)))
-        assert math.isclose(p[a, b, c], want, rel_tol=1e-9)
+    tables = [(t, discounts(t)) for t in (grams, pairs, one)]
+    symbols = [*singles, ord("Ж")]  # and one never seen
+    contexts = [*{g[:2] for g in grams}][:15] + [(ord("Ж"), ord("a")), (ord("a"), ord("Ж"))]
+    asked = [(a, b, c) for a, b in contexts for c in symbols]
+    got = {r.gram: r.log for r in quality.logs(spark.createDataFrame([(number(*g),) for g in asked], "gram long"), counts).collect()}
+    assert len(got) == len(asked)
+    for a, b, c in asked:
+        p1 = level(*tables[2], (), c, 1 / len(symbols))
+        want = level(*tables[0], (a, b), c, level(*tables[1], (b,), c, p1))
+        assert math.isclose(math.exp(got[number(a, b, c)]), want, rel_tol=1e-9)
+    for a, b in contexts:
+        assert math.isclose(sum(math.exp(got[number(a, b, c)]) for c in symbols), 1, rel_tol=1e-9)
 
 
 def test_trigram_numbers():
-    known = np.array(sorted(map(ord, "abé")), np.uint32)
-    gram, n = quality.coded(["ab", None, " ", "", "é😀", "a"], known)
-    s = quality.SYMBOLS
+    gram, n = quality.coded(["ab", None, " ", "", "é😀", "a"])
     assert n.tolist() == [3, 0, 0, 0, 3, 2]
-    a, b, e, other, border = 2, 3, 4, quality.OTHER, quality.BORDER
-    want = [(border, border, a), (border, a, b), (a, b, border), (border, border, e), (border, e, other), (e, other, border), (border, border, a), (border, a, border)]
-    assert gram.tolist() == [(x * s + y) * s + z for x, y, z in want]
+    x, a, b, e, o = quality.BORDER, *map(ord, "abé😀")
+    want = [(x, x, a), (x, a, b), (a, b, x), (x, x, e), (x, e, o), (e, o, x), (x, x, a), (x, a, x)]
+    assert gram.tolist() == [(i << 42) | (j << 21) | k for i, j, k in want]
+    assert quality.coded([None])[0].size == 0
+
+
+def test_perplexity_is_the_same_for_any_chunks_and_partitions(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = docs.select("doc_id", "lang", "text")
+    counts = quality.train(rows, quality.trusted_ids(labels))
+    got = [{r.doc_id: (r.n_symbols, r.perplexity) for r in quality.perplexities(d, counts, size).collect()} for d, size in ((rows.coalesce(1), 1 << 30), (rows.repartition(7), 1 << 12))]
+    assert got[0].keys() == got[1].keys() and len(got[0]) == docs.count()
+    for i, (n, p) in got[0].items():
+        assert got[1][i][0] == n and (p is None) == (got[1][i][1] is None) and (p is None or math.isclose(p, got[1][i][1], rel_tol=1e-9))
 
 
 def test_held_out_accuracy(spark):

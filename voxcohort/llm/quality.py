@@ -1,11 +1,12 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a character trigram model. Trusted documents (labelled of good quality and not toxic; at most
-about TRUSTED of them, chosen by a hash of the id) give the trigram counts, which are added up in each task
-and then by trigram, sharded over the cluster. Symbols are the most frequent SYMBOLS - 2 characters of the
-trusted text, one for all others and one for the borders of a text, so there are at most SYMBOLS^3 counts
-whatever the data: the smoothed probabilities are one array of that size, and the count join of a document's
-trigrams with it is a lookup by index where the document is.
+The model is a character trigram model over all code points and one border. Trusted documents (labelled of good
+quality and not toxic; at most about TRUSTED of them, chosen by a hash of the id) give the trigram counts, which
+are added up in each task and then by trigram; counts and contexts stay tables, sharded over the cluster. Documents
+are gathered into chunks of about CHUNK bytes. A chunk asks once for each trigram it holds; the distinct ones meet
+the counts of trigrams, pairs and symbols and of their contexts by joins, and each chunk gets the logs of its
+trigrams back by a join, with which its texts are scored. Nothing of the model comes to the driver but the
+discounts of the three orders.
 
 A document's perplexity is compared with the quantiles of all trusted documents of its language and length
 band (few trusted documents: of the band in all languages; of all), widened by a margin. Too high a
@@ -24,14 +25,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxcohort.llm.context_mixing import Lookup
 from voxcohort.llm.grouped import slices
 from voxcohort.plans.storage import small_or_not, stored
 
-SYMBOLS = 96
-BORDER, OTHER = 0, 1
+#: Bits of a symbol in a trigram's number: a code point, or BORDER, which is none.
+BITS = 21
+BORDER = (1 << BITS) - 1
+#: Bytes of text of a chunk, about.
+CHUNK = 16 << 20
 TRUSTED = 20_000
 LOW, HIGH = 0.01, 0.99
 #: How far beyond a quantile a document may be, in units of the distance from the median to it.
@@ -53,82 +60,102 @@ def characters(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
 
 
-def alphabet(texts: DataFrame, symbols: int = SYMBOLS) -> np.ndarray:
-    """The most frequent characters of column text, at most symbols - 2, as code points in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                c, n = np.unique(characters("".join(t or "" for t in b.column("text").to_pylist())), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(n.astype(np.int64))], ["c", "n"])
-
-    top = texts.mapInArrow(run, "c int, n long").groupBy("c").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "c").limit(symbols - 2)
-    return np.sort(np.array([r["c"] for r in top.collect()], np.uint32))
-
-
-def coded(texts: list[str | None], known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def coded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Trigram numbers of each text with two borders before and one after it, and how many each has (0 for blank texts)."""
     parts = [characters(t) if t and not t.isspace() else None for t in texts]
     n = np.array([0 if p is None else len(p) + 1 for p in parts], np.int64)
     used = [p for p in parts if p is not None]
     if not used:
         return np.zeros(0, np.int64), n
-    border = np.full(3, 0xFFFFFFFF, np.uint32)
-    flat = np.concatenate([x for p in used for x in (border[:2], p, border[:1])])
-    table = np.full(0x11000, OTHER, np.int32)  # the planes beyond hold no character of an alphabet here
-    small = known[known < len(table)]
-    table[small] = np.searchsorted(known, small) + 2
-    sym = np.where(flat == 0xFFFFFFFF, BORDER, table[np.minimum(flat, len(table) - 1)])
-    sym = np.where((flat >= len(table)) & (flat != 0xFFFFFFFF), OTHER, sym).astype(np.int64)
-    size = n[n > 0]
-    end = np.repeat(2 + 3 * np.arange(len(size)) + np.cumsum(size) - size - np.arange(len(size)), size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    return (sym[end - 2] * SYMBOLS + sym[end - 1]) * SYMBOLS + sym[end], n
+    border = np.full(2, BORDER, np.uint32)
+    sym = np.concatenate([x for p in used for x in (border, p, border[:1])]).astype(np.int64)
+    gram = (sym[:-2] << 2 * BITS) | (sym[1:-1] << BITS) | sym[2:]
+    real = np.ones(len(gram), bool)  # trigrams that end in the borders before the next text are none
+    ends = np.cumsum(n[n > 0] + 2)[:-1]
+    real[ends - 2] = real[ends - 1] = False
+    return gram[real], n
 
 
-def trigram_counts(texts: DataFrame, known: np.ndarray) -> DataFrame:
-    """gram, n of the trigrams of column text; at most SYMBOLS^3 rows."""
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """gram, n of the trigrams of column text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**3, np.int64)
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                total += np.bincount(coded(b.column("text").to_pylist(), known)[0], minlength=SYMBOLS**3)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
+            for b in slices(batch, "text", 4 << 20):
+                gram, n = np.unique(coded(b.column("text").to_pylist())[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], ["gram", "n"])
 
-    return texts.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _level(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities of the last axis from counts and the probabilities of the shorter context."""
-    n = [max(int((counts == i).sum()), 1) for i in (1, 2, 3, 4)]
+def _discount(counts: DataFrame) -> Column:
+    """What modified Kneser-Ney takes off a count n, from how many counts are 1, 2, 3 and 4."""
+    n = [max(c, 1) for c in counts.agg(*(F.count_if(F.col("n") == i) for i in (1, 2, 3, 4))).first()]
     y = n[0] / (n[0] + 2 * n[1])
-    d = np.array([0.0, *(min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) for i in range(3))])
-    kind = np.minimum(counts, 3)
-    total = counts.sum(-1, keepdims=True)
-    kept = np.maximum(counts - d[kind], 0)
-    freed = d[kind].sum(-1, keepdims=True)
-    seen = np.maximum(total, 1)
-    return np.where(total > 0, (kept + freed * below) / seen, below)
-
-
-def kneser_ney(counts: np.ndarray) -> np.ndarray:
-    """P(c | a b) as an array [a, b, c] from trigram counts: modified discounts for counts of 1, 2 and more, continuation counts below."""
-    pairs = (counts > 0).sum(0)
-    singles = (pairs > 0).sum(0)
-    one = _level(singles, np.full(SYMBOLS, 1 / SYMBOLS))
-    two = _level(pairs, np.broadcast_to(one, pairs.shape))
-    return _level(counts, np.broadcast_to(two, counts.shape))
-
-
-def train(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The alphabet and the logs of the trigram probabilities; docs: doc_id, text."""
-    texts = stored(docs.join(small_or_not(trusted), F.col("doc_id") == F.col("_id")).select("text"), "trusted-texts")
-    known = alphabet(texts)
-    table = trigram_counts(texts, known).toArrow()
-    counts = np.zeros(SYMBOLS**3, np.int64)
-    counts[table["gram"].to_numpy()] = table["n"].to_numpy()
-    return known, np.log(kneser_ney(counts.reshape((SYMBOLS,) * 3))).astype(np.float32).ravel()
+    d = [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0.05), i + 0.95) for i in range(3)]
+    return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+
+
+def _last(gram: str, symbols: int) -> Column:
+    return F.col(gram).bitwiseAND(F.lit((1 << BITS * symbols) - 1))
+
+
+def logs(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, log P(c | a b) for each distinct gram of asked: discounted trigram counts over the number of different symbols before a pair, and before a symbol."""
+    pairs = stored(counts.groupBy(_last("gram", 2).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "pairs")
+    singles = stored(pairs.groupBy(_last("gram", 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "singles")
+    out = asked.select("gram", F.shiftright("gram", BITS).alias("_ab"), _last("gram", 2).alias("_bc"), _last("gram", 1).alias("_c")).withColumn("_b", F.shiftright("_bc", BITS))
+    below = None
+    for table, key, context in ((singles, "_c", None), (pairs, "_bc", "_b"), (counts, "gram", "_ab")):
+        taken = _discount(table)
+        kept = table.select(F.col("gram").alias("_k"), F.greatest(F.col("n") - taken, F.lit(0.0)).alias("_kept"))
+        out = out.join(kept, F.col(key) == F.col("_k"), "left").drop("_k")
+        if context is None:
+            total, freed, distinct = table.agg(F.sum("n"), F.sum(taken), F.count(F.lit(1))).first()
+            below = F.lit(1 / (distinct + 1))  # symbols never seen share what one would have
+            p = (F.coalesce("_kept", F.lit(0.0)) + freed * below) / total if total else below
+        else:
+            held = table.groupBy(F.shiftright("gram", BITS).alias("_k")).agg(F.sum("n").alias("_total"), F.sum(taken).alias("_freed"))
+            out = out.join(held, F.col(context) == F.col("_k"), "left").drop("_k")
+            p = F.when(F.col("_total").isNull(), F.col("_p")).otherwise((F.coalesce("_kept", F.lit(0.0)) + F.col("_freed") * F.col("_p")) / F.col("_total"))
+        out = out.withColumn("_p", p).drop("_kept", "_total", "_freed")
+    return out.select("gram", F.log("_p").alias("log"))
+
+
+def train(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """The trigram counts of the trusted documents; docs: doc_id, text."""
+    texts = docs.join(small_or_not(trusted), F.col("doc_id") == F.col("_id")).select("text")
+    return stored(trigram_counts(texts), "trigrams")
+
+
+def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """chunk, and in gram its distinct trigrams, or in texts some of its rows as a compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, size, parts = TaskContext.get().partitionId() << 24, 0, []  # type: ignore[union-attr]
+
+        def batch_of(gram: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), name)), gram, texts], ["chunk", "gram", "texts"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if parts:
+                gram = np.unique(np.concatenate(parts))
+                yield batch_of(pa.array(gram), pa.nulls(len(gram), pa.binary()))
+
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                parts.append(np.unique(coded(b.column("text").to_pylist())[0]))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as stream:
+                    stream.write_batch(b)
+                size += b.column("text").nbytes
+                yield batch_of(pa.nulls(1, pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary()))
+                if size >= chunk:
+                    yield from close()
+                    name, size, parts = name + 1, 0, []
+        yield from close()
+
+    return rows.mapInArrow(run, "chunk long, gram long, texts binary")
 
 
 def repetition(words: list[str]) -> float:
@@ -136,26 +163,50 @@ def repetition(words: list[str]) -> float:
     return sum(a == b for a, b in zip(words, words[1:], strict=False)) / (len(words) - 1) if len(words) >= SHORT else 0.0
 
 
-def perplexities(docs: DataFrame, known: np.ndarray, logs: np.ndarray) -> DataFrame:
+def perplexities(docs: DataFrame, counts: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """n_symbols, perplexity (null for blank texts), repeats of every row beside docs' columns but text; docs: doc_id, lang, text and others."""
     own = {c: kind for c, kind in docs.dtypes if c != "text"}
-    held = docs.sparkSession.sparkContext.broadcast((known, logs))
+    all_ = stored(gathered(docs, chunk), "texts-and-trigrams")
+    asked = all_.filter(F.col("gram").isNotNull()).select("chunk", "gram")
+    # A trigram is asked for once by a chunk, so none has more rows than there are chunks.
+    valued = asked.join(stored(logs(asked.select("gram").distinct(), counts), "logs"), "gram")
+    none = F.lit(None)
+    texts = all_.filter(F.col("texts").isNotNull()).select("chunk", none.cast("long").alias("gram"), none.cast("double").alias("log"), "texts")
+    met = valued.select("chunk", "gram", "log", none.cast("binary").alias("texts")).unionByName(texts)
+    many = max(1, texts.select("chunk").distinct().count())
+    met = met.repartition(many, "chunk").sortWithinPartitions("chunk", F.col("gram").asc_nulls_last())
+
+    def scored(held: bytes, value: Lookup) -> pa.RecordBatch:
+        b = pa.ipc.open_stream(zstandard.decompress(held)).read_next_batch()
+        texts = b.column("text").to_pylist()
+        gram, n = coded(texts)
+        total, some = np.zeros(len(n)), n > 0
+        if some.any():
+            total[some] = np.add.reduceat(value(gram.view(np.uint64)), (np.cumsum(n) - n)[some])
+        mean = np.exp(-total / np.maximum(n, 1))
+        repeats = pa.array([repetition((t or "").split()) for t in texts])
+        return pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n), pa.array(mean, mask=~some), repeats], [*own, "n_symbols", "perplexity", "repeats"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, logs = held.value
+        now, keys, values, value = None, [], [], None
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                texts = b.column("text").to_pylist()
-                gram, n = coded(texts, known)
-                total = np.zeros(len(n))
-                some = n > 0
-                if some.any():
-                    total[some] = np.add.reduceat(logs[gram].astype(np.float64), (np.cumsum(n) - n)[some])
-                value = np.exp(-total / np.maximum(n, 1))
-                repeats = pa.array([repetition((t or "").split()) for t in texts])
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n), pa.array(value, mask=~some), repeats], [*own, "n_symbols", "perplexity", "repeats"])
-
-    return docs.mapInArrow(run, ", ".join(f"{c} {kind}" for c, kind in own.items()) + ", n_symbols long, perplexity double, repeats double")
+            name = batch.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if name[i] != now:
+                    now, keys, values, value = name[i], [np.zeros(0, np.int64)], [np.zeros(0)], None
+                part = batch.slice(i, j - i)
+                grams = part.num_rows - part.column("gram").null_count  # they come before the texts
+                keys.append(part.column("gram").slice(0, grams).to_numpy())
+                values.append(part.column("log").slice(0, grams).to_numpy())
+                for held in part.column("texts").slice(grams):
+                    if value is None:
+                        value, keys, values = Lookup(np.concatenate(keys).view(np.uint64), np.concatenate(values)), [], []
+                    yield scored(held.as_py(), value)
+
+    return met.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in own.items()) + ", n_symbols long, perplexity double, repeats double")
 
 
 def _band() -> Column:
@@ -177,8 +228,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *keep)
     everyone = stored(trusted_ids(labels), "trusted-ids")
     some = everyone if (n := everyone.count()) <= (most or n) else everyone.filter(F.pmod(F.xxhash64("_id"), F.lit(n)) < most)
-    known, logs = train(rows.select("doc_id", "text"), some)
-    scored = stored(perplexities(rows, known, logs), "perplexities")
+    scored = stored(perplexities(rows, train(rows.select("doc_id", "text"), some)), "perplexities")
     cuts = stored(thresholds(scored, everyone), "thresholds")
     own = cuts.filter(f"_level = 0 AND n >= {ENOUGH}").select("_lang", F.col("_band").alias("_b"), F.col("low").alias("_l0"), F.col("high").alias("_h0"))
     band = cuts.filter(f"_level = 2 AND n >= {ENOUGH}").select(F.col("_band").alias("_b1"), F.col("low").alias("_l1"), F.col("high").alias("_h1"))

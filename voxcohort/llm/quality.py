@@ -149,7 +149,7 @@ def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
                 with pa.ipc.new_stream(sink, b.schema) as stream:
                     stream.write_batch(b)
                 size += b.column("text").nbytes
-                yield batch_of(pa.nulls(1, pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary()))
+                yield batch_of(pa.nulls(1, pa.int64()), pa.array([zstandard.compress(sink.getvalue(), 9)], pa.binary()))
                 if size >= chunk:
                     yield from close()
                     name, size, parts = name + 1, 0, []

@@ -7,25 +7,63 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxcohort.operators.ranks import ranked_counts
+from voxcohort.operators.ranks import PIECES, ranked_counts
 from voxcohort.operators.summary import _meet
+from voxcohort.plans.storage import stored
 
 
 def _shuffled(id_col: str, *salt: object) -> Column:
     return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), *(x if isinstance(x, Column) else F.lit(str(x)) for x in salt)))
 
 
+#: Parts that a group is numbered in; no task sorts a whole group.
+PARTS = 256
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], part: Column, name: str) -> DataFrame:
+    """df with name: the place from 1 in order of each row among the rows of keys.
+
+    part must grow with the order: rows are sorted inside their part only, and parts start after the rows before them.
+    """
+    rows = df.withColumn("_part", part)
+    sizes = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = rows.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    return _meet(inside, starts, [*keys, "_part"]).withColumn(name, F.col("_start") + F.col("_i")).drop("_part", "_start", "_i")
+
+
+def _by_hash(df: DataFrame, keys: Sequence[str], id_col: str, *salt: object) -> DataFrame:
+    """df with _place, the place among the rows of keys in the order of the md5 of id and salt; its first two digits are the part."""
+    rows = df.withColumn("_h", _shuffled(id_col, *salt))
+    return numbered(rows, keys, [F.col("_h"), F.col(id_col)], F.substring("_h", 1, 2), "_place").drop("_h")
+
+
 def stratified_folds(df: DataFrame, id_col: str, class_col: str, k: int, seed: int = 42) -> DataFrame:
     """df with fold 0 .. k-1: classes are dealt in the order of md5(id|seed), so each class is spread evenly."""
-    return df.withColumn("fold", ((F.row_number().over(Window.partitionBy(class_col).orderBy(_shuffled(id_col, seed), id_col)) - 1) % k).cast("int"))
+    return _by_hash(df, [class_col], id_col, seed).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place")
+
+
+def _by_id(ids: DataFrame, id_col: str) -> DataFrame:
+    """ids with _place, in the order of id_col: parts are ranges between ids drawn by hash, the count of those at or below an id."""
+    total = max(1, ids.count())
+    drawn = ids.filter(F.pmod(F.xxhash64(id_col), F.lit(total)) < 8 * PARTS).groupBy(F.lit(1)).agg(F.array_sort(F.collect_set(id_col)).alias("_drawn"))
+    cuts = drawn.select(F.filter("_drawn", lambda x, i: i % 8 == 7).alias("_cuts"))  # one row of about PARTS ids
+    parted = ids.join(F.broadcast(cuts), F.lit(True), "left")
+    part = F.when(F.col(id_col).isNotNull(), F.size(F.filter(F.coalesce("_cuts", F.array().cast(f"array<{dict(ids.dtypes)[id_col]}>")), lambda c: c < F.col(id_col)))).otherwise(-1)
+    return numbered(parted.withColumn("_at", part).drop("_cuts"), [], [F.col(id_col)], F.col("_at"), "_place").drop("_at")
 
 
 def permute_labels(df: DataFrame, id_col: str, class_col: str, b: int, seed: int = 42) -> DataFrame:
-    """b, id, class for b = 1 .. B: the class of the row with the same place in the order of md5(id|b|seed)."""
-    each = df.select(id_col, class_col).withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    left = each.select("b", id_col, F.row_number().over(Window.partitionBy("b").orderBy(id_col)).alias("_i"))
-    right = each.select("b", F.col(class_col), F.row_number().over(Window.partitionBy("b").orderBy(_shuffled(id_col, F.col("b").cast("string"), seed), id_col)).alias("_i"))
-    return left.join(right, ["b", "_i"]).drop("_i")
+    """b, id, class for b = 1 .. B: the class of the row with the same place in the order of md5(id|b|seed).
+
+    Places by id are numbered once, in parts cut at a sample's quantiles.
+    """
+    own = df.select(id_col, class_col)
+    each = F.explode(F.sequence(F.lit(1), F.lit(b)))
+    left = _by_id(own.select(id_col), id_col).withColumn("b", each)
+    right = _by_hash(own.withColumn("b", each), ["b"], id_col, F.col("b").cast("string"), seed).select("b", "_place", class_col)
+    return left.join(right, ["b", "_place"]).select("b", id_col, class_col)
 
 
 def balanced_weights(df: DataFrame, class_col: str) -> DataFrame:
@@ -63,13 +101,23 @@ def auc_ovr(pred: DataFrame, keys: Sequence[str], classes: Sequence[str], true:
 
 
 def roc_points(pred: DataFrame, classes: Sequence[str], true: str = "true_label", prefix: str = "prob_") -> DataFrame:
-    """class, threshold, tpr, fpr: one point per distinct score, largest first."""
+    """class, threshold, tpr, fpr: one point per distinct score, largest first.
+
+    Scores of a class are cut at approximate quantiles; sums run inside a piece and start from the pieces above it.
+    """
     long = pred.select(true, *(F.col(prefix + c).cast("double").alias(c) for c in classes)).unpivot([true], list(classes), "class", "threshold")
-    cells = long.groupBy("class", "threshold").agg(F.count_if(F.col(true) == F.col("class")).alias("_tp"), F.count_if(F.col(true) != F.col("class")).alias("_fp"))
-    down = Window.partitionBy("class").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    cells = stored(long.groupBy("class", "threshold").agg(F.count_if(F.col(true) == F.col("class")).alias("_tp"), F.count_if(F.col(true) != F.col("class")).alias("_fp")), "scores")
+    cuts = cells.groupBy("class").agg(F.percentile_approx("threshold", [i / PIECES for i in range(1, PIECES)], 1000).alias("_cuts"))
+    cells = _meet(cells, cuts, ["class"])
+    cells = cells.withColumn("_piece", F.when(F.col("threshold").isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col("threshold"))))).drop("_cuts")
+    above = Window.partitionBy("class").orderBy(F.col("_piece").desc()).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("class")
-    rate = lambda c: F.try_divide(F.sum(c).over(down), F.sum(c).over(whole))
-    return cells.select("class", "threshold", rate("_tp").alias("tpr"), rate("_fp").alias("fpr"))
+    sums = cells.groupBy("class", "_piece").agg(F.sum("_tp").alias("_t"), F.sum("_fp").alias("_f"))
+    sums = sums.select("class", "_piece", *(x for c in ("_t", "_f") for x in (F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above"), F.sum(c).over(whole).alias(f"{c}_all"))))
+    inside = Window.partitionBy("class", "_piece").orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    run = cells.select("class", "_piece", "threshold", F.sum("_tp").over(inside).alias("_tp"), F.sum("_fp").over(inside).alias("_fp"))
+    rate = lambda c, s: F.try_divide(F.col(c) + F.col(f"{s}_above"), F.col(f"{s}_all"))
+    return _meet(run, sums, ["class", "_piece"]).select("class", "threshold", rate("_tp", "_t").alias("tpr"), rate("_fp", "_f").alias("fpr"))
 
 
 def confusion(pred: DataFrame, classes: Sequence[str], true: str = "true_label", guess: str = "pred_label") -> DataFrame:

@@ -20,8 +20,9 @@ FEATURES = {"rim_core_diff": "rim_core", "rim_core_ratio": "rim_core", "enh_medi
 def variants(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]]) -> DataFrame:
     """The voxels three times, with variant orig, dil or ero and its mask; eroded masks that became too small have no rows."""
     keys = list(vx.VOLUME)
-    each = [("orig", voxels), ("dil", vx.dilate(voxels, offsets, keys)), ("ero", vx.erode(voxels, offsets, keys).filter("mask IS NOT NULL"))]
-    out = [df.select(*voxels.columns).withColumn("variant", F.lit(v)) for v, df in each]
+    moved = stored(vx.perturbed(voxels, offsets, keys), "perturbed")
+    each = [("orig", "mask"), ("dil", "dilated"), ("ero", "eroded")]
+    out = [moved.filter(f"{m} IS NOT NULL OR '{v}' <> 'ero'").select(*(F.col(m).alias("mask") if c == "mask" else F.col(c) for c in voxels.columns)).withColumn("variant", F.lit(v)) for v, m in each]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -270,21 +272,42 @@ def ball(mm: float, spacing: tuple[float, float, float]) -> list[tuple[int, int,
     return [(z, y, x) for z in axis[0] for y in axis[1] for x in axis[2] if sum((d / (k + 0.5)) ** 2 for d, k in zip((z, y, x), r, strict=True)) <= 1]
 
 
-def _moved(mask: DataFrame, offsets: Sequence[tuple[int, int, int]], keys: Sequence[str]) -> DataFrame:
-    spread = F.explode(F.array(*(F.struct(*(F.lit(d).alias(a) for a, d in zip("zyx", o, strict=True))) for o in offsets)))
-    return mask.select(*keys, "z", "y", "x", spread.alias("_o")).select(*keys, *((F.col(a) + F.col(f"_o.{a}")).alias(a) for a in "zyx"))
+def _shifted(padded: np.ndarray, offset: tuple[int, int, int], room: Sequence[int], shape: tuple[int, ...]) -> np.ndarray:
+    return padded[tuple(slice(r + d, r + d + n) for d, r, n in zip(offset, room, shape, strict=True))]
+
+
+def perturbed(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]], keys: Sequence[str] = VOLUME, least: int = 50) -> DataFrame:
+    """voxels with dilated and eroded, the mask grown and shrunk by the offsets, volume by volume: one shuffle by volume.
+
+    Outside the grid, and in voxels that are missing, is background; eroded is null where less than least voxels are left.
+    """
+    names = voxels.columns
+    room = [max((abs(o[i]) for o in offsets), default=0) for i in range(3)]
+
+    def run(t: pa.Table) -> pa.Table:
+        own = pc.fill_null(pc.greater(t["mask"], 0), False).to_numpy().astype(bool)
+        at = [t[c].to_numpy().astype(np.int64) for c in "zyx"]
+        at = tuple(i - i.min() for i in at)
+        shape = tuple(int(i.max()) + 1 for i in at)
+        padded = np.zeros([n + 2 * r for n, r in zip(shape, room, strict=True)], bool)
+        padded[tuple(i + r for i, r in zip(at, room, strict=True))] = own
+        grown, shrunk = np.zeros(shape, bool), _shifted(padded, (0, 0, 0), room, shape).copy()
+        for o in offsets:
+            grown |= _shifted(padded, tuple(-d for d in o), room, shape)
+            shrunk &= _shifted(padded, o, room, shape)
+        eroded = shrunk[at]
+        new = [pa.array(grown[at].astype(np.int32)), pa.array(eroded.astype(np.int32)) if eroded.sum() >= least else pa.nulls(len(eroded), pa.int32())]
+        return pa.table([*(t[c] for c in names), *new], [*names, "dilated", "eroded"])
+
+    schema = ", ".join(f"`{c}` {k}" for c, k in voxels.dtypes) + ", dilated int, eroded int"
+    return voxels.groupBy(*keys).applyInArrow(run, schema)
 
 
 def dilate(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]], keys: Sequence[str] = VOLUME) -> DataFrame:
     """voxels with the mask grown by the offsets, within the grid."""
-    reach = _moved(voxels.filter("mask > 0"), offsets, keys).distinct().withColumn("_on", F.lit(1))
-    return voxels.join(reach, [*keys, "z", "y", "x"], "left").select(*(F.coalesce("_on", F.lit(0)).alias("mask") if c == "mask" else F.col(c) for c in voxels.columns))
+    return perturbed(voxels, offsets, keys).select(*(F.col("dilated").alias("mask") if c == "mask" else F.col(c) for c in voxels.columns))
 
 
 def erode(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]], keys: Sequence[str] = VOLUME, least: int = 50) -> DataFrame:
     """voxels with the mask shrunk to where all offsets are foreground; outside the grid is background; a mask below least voxels becomes null."""
-    full = _moved(voxels.filter("mask > 0"), [tuple(-d for d in o) for o in offsets], keys).groupBy(*keys, "z", "y", "x").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") == len(offsets))
-    out = voxels.join(full, [*keys, "z", "y", "x"], "left").withColumn("_on", F.when((F.col("mask") > 0) & F.col("_n").isNotNull(), 1).otherwise(0))
-    left = out.groupBy(*keys).agg(F.sum("_on").alias("_left"))
-    out = _meet(out, left, keys)
-    return out.select(*(F.when(F.col("_left") >= least, F.col("_on")).alias("mask") if c == "mask" else F.col(c) for c in voxels.columns))
+    return perturbed(voxels, offsets, keys, least).select(*(F.col("eroded").alias("mask") if c == "mask" else F.col(c) for c in voxels.columns))

@@ -53,7 +53,7 @@ def fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 @query(f"WITH {DISTANCES} SELECT patient_id, z, y, x, round(dist_in, 6) AS dist_in, round(dist_out, 6) AS dist_out FROM dv WHERE phase = 'C1'")
 def signed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All patients' distances in the phase whose masks the study measures."""
+    """All patients' distances in the phase whose masks the study measures; signed_distances_all has every phase."""
     v = voxels(spark, sf_dir).filter("phase = 'C1'")
     return rounded(vx.with_fields(v, meta(v), fields=("dist_in", "dist_out")).select("patient_id", "z", "y", "x", "dist_in", "dist_out"))
 
@@ -95,10 +95,7 @@ v AS (SELECT vox.*, g.z IS NOT NULL AS grown, vox.mask = 1 AND coalesce(n, 0) =
 SELECT patient_id, phase, z, y, x, mask, grown::INTEGER AS dilated, CASE WHEN sum(shrunk::INTEGER) OVER (PARTITION BY patient_id, phase) >= 50 THEN shrunk::INTEGER END AS eroded FROM v""")
 def mask_perturbation(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = voxels(spark, sf_dir)
-    offsets = vx.ball(1.0, tuple(SPACING.values()))
-    at = ["patient_id", "phase", "z", "y", "x"]
-    d = vx.dilate(v, offsets).select(*at, F.col("mask").alias("dilated"))
-    return v.select(*at, "mask").join(d, at).join(vx.erode(v, offsets).select(*at, F.col("mask").alias("eroded")), at)
+    return vx.perturbed(v, vx.ball(1.0, tuple(SPACING.values()))).select("patient_id", "phase", "z", "y", "x", "mask", "dilated", "eroded")
 
 
 @query(f"""

@@ -61,14 +61,15 @@ def test_trigram_numbers():
     assert quality.coded([None])[0].size == 0
 
 
-def test_perplexity_is_the_same_for_any_chunks_and_partitions(spark):
+def test_perplexity_is_the_same_sent_or_joined_in_any_chunks(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = docs.select("doc_id", "lang", "text")
     counts = quality.train(rows, quality.trusted_ids(labels))
-    got = [{r.doc_id: (r.n_symbols, r.perplexity) for r in quality.perplexities(d, counts, size).collect()} for d, size in ((rows.coalesce(1), 1 << 30), (rows.repartition(7), 1 << 12))]
-    assert got[0].keys() == got[1].keys() and len(got[0]) == docs.count()
+    got = [{r.doc_id: (r.n_symbols, r.perplexity) for r in quality.perplexities(d, counts, size, most).collect()} for d, size, most in ((rows, 1, 10**6), (rows.coalesce(1), 1 << 30, 0), (rows.repartition(7), 1 << 12, 0))]
+    assert got[0].keys() == got[1].keys() == got[2].keys() and len(got[0]) == docs.count()
     for i, (n, p) in got[0].items():
-        assert got[1][i][0] == n and (p is None) == (got[1][i][1] is None) and (p is None or math.isclose(p, got[1][i][1], rel_tol=1e-9))
+        for other in got[1:]:
+            assert other[i][0] == n and (p is None) == (other[i][1] is None) and (p is None or math.isclose(p, other[i][1], rel_tol=1e-9))
 
 
 def test_held_out_accuracy(spark):

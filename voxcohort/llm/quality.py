@@ -2,11 +2,11 @@
 
 The model is a character trigram model over all code points and one border. Trusted documents (labelled of good
 quality and not toxic; at most about TRUSTED of them, chosen by a hash of the id) give the trigram counts, which
-are added up in each task and then by trigram; counts and contexts stay tables, sharded over the cluster. Documents
-are gathered into chunks of about CHUNK bytes. A chunk asks once for each trigram it holds; the distinct ones meet
-the counts of trigrams, pairs and symbols and of their contexts by joins, and each chunk gets the logs of its
-trigrams back by a join, with which its texts are scored. Nothing of the model comes to the driver but the
-discounts of the three orders.
+are added up in each task and then by trigram; counts and contexts stay tables, sharded over the cluster. The
+distinct trigrams of all documents meet the counts of trigrams, pairs and symbols and of their contexts by joins.
+If there are few distinct trigrams (counted: BROADCAST_ROWS at most, 16 MB), their logs are sent to the documents;
+if more, documents are gathered into chunks of about CHUNK bytes, each of which asks once for every trigram that
+it holds and gets its log by a join. Both ways give the same values.
 
 A document's perplexity is compared with the quantiles of all trusted documents of its language and length
 band (few trusted documents: of the band in all languages; of all), widened by a margin. Too high a
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from voxcohort.llm.context_mixing import Lookup
 from voxcohort.llm.grouped import slices
-from voxcohort.plans.storage import small_or_not, stored
+from voxcohort.plans.storage import BROADCAST_ROWS, small_or_not, stored
 
 #: Bits of a symbol in a trigram's number: a code point, or BORDER, which is none.
 BITS = 21
@@ -128,6 +128,17 @@ def train(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     return stored(trigram_counts(texts), "trigrams")
 
 
+def asked_grams(rows: DataFrame) -> DataFrame:
+    """gram: the distinct trigrams of column text, told apart in each slice of texts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "text", 4 << 20):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(coded(b.column("text").to_pylist())[0]))], ["gram"])
+
+    return rows.select("text").mapInArrow(run, "gram long").distinct()
+
+
 def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """chunk, and in gram its distinct trigrams, or in texts some of its rows as a compressed Arrow stream."""
 
@@ -163,30 +174,53 @@ def repetition(words: list[str]) -> float:
     return sum(a == b for a, b in zip(words, words[1:], strict=False)) / (len(words) - 1) if len(words) >= SHORT else 0.0
 
 
-def perplexities(docs: DataFrame, counts: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """n_symbols, perplexity (null for blank texts), repeats of every row beside docs' columns but text; docs: doc_id, lang, text and others."""
-    own = {c: kind for c, kind in docs.dtypes if c != "text"}
+def _scored(b: pa.RecordBatch, value: Lookup) -> pa.RecordBatch:
+    """b without its text, with n_symbols, perplexity and repeats."""
+    texts = b.column("text").to_pylist()
+    gram, n = coded(texts)
+    total, some = np.zeros(len(n)), n > 0
+    if some.any():
+        total[some] = np.add.reduceat(value(gram.view(np.uint64)), (np.cumsum(n) - n)[some])
+    mean = np.exp(-total / np.maximum(n, 1))
+    own = [c for c in b.schema.names if c != "text"]
+    new = [pa.array(n), pa.array(mean, mask=~some), pa.array([repetition((t or "").split()) for t in texts])]
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *new], [*own, "n_symbols", "perplexity", "repeats"])
+
+
+def perplexities(docs: DataFrame, counts: DataFrame, chunk: int = CHUNK, most: int = BROADCAST_ROWS) -> DataFrame:
+    """n_symbols, perplexity (null for blank texts), repeats of every row beside docs' columns but text; docs: doc_id, lang, text and others.
+
+    The logs of the distinct trigrams are sent to where the documents are if they are counted to be most at most;
+    beyond, each chunk of documents is joined with its own by a shuffle.
+    """
+    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text") + ", n_symbols long, perplexity double, repeats double"
+    asked = stored(asked_grams(docs), "asked-trigrams")
+    valued = stored(logs(asked, counts), "logs")
+    if valued.count() > most:
+        return _joined(docs, valued, chunk, schema)
+    few = valued.toArrow()
+    held = docs.sparkSession.sparkContext.broadcast((few["gram"].to_numpy(), few["log"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        value = Lookup(held.value[0].view(np.uint64), held.value[1])
+        for batch in batches:
+            for b in slices(batch, "text", 1 << 20):
+                yield _scored(b, value)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _joined(docs: DataFrame, valued: DataFrame, chunk: int, schema: str) -> DataFrame:
+    """perplexities by a shuffle: chunks of documents, as compressed Arrow streams, meet the logs of their trigrams."""
     all_ = stored(gathered(docs, chunk), "texts-and-trigrams")
-    asked = all_.filter(F.col("gram").isNotNull()).select("chunk", "gram")
     # A trigram is asked for once by a chunk, so none has more rows than there are chunks.
-    valued = asked.join(stored(logs(asked.select("gram").distinct(), counts), "logs"), "gram")
+    valued = all_.filter(F.col("gram").isNotNull()).select("chunk", "gram").join(valued, "gram")
     none = F.lit(None)
     texts = all_.filter(F.col("texts").isNotNull()).select("chunk", none.cast("long").alias("gram"), none.cast("double").alias("log"), "texts")
     met = valued.select("chunk", "gram", "log", none.cast("binary").alias("texts")).unionByName(texts)
     many = max(1, texts.select("chunk").distinct().count())
     met = met.repartition(many, "chunk").sortWithinPartitions("chunk", F.col("gram").asc_nulls_last())
 
-    def scored(held: bytes, value: Lookup) -> pa.RecordBatch:
-        b = pa.ipc.open_stream(zstandard.decompress(held)).read_next_batch()
-        texts = b.column("text").to_pylist()
-        gram, n = coded(texts)
-        total, some = np.zeros(len(n)), n > 0
-        if some.any():
-            total[some] = np.add.reduceat(value(gram.view(np.uint64)), (np.cumsum(n) - n)[some])
-        mean = np.exp(-total / np.maximum(n, 1))
-        repeats = pa.array([repetition((t or "").split()) for t in texts])
-        return pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(n), pa.array(mean, mask=~some), repeats], [*own, "n_symbols", "perplexity", "repeats"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, values, value = None, [], [], None
         for batch in batches:
@@ -204,9 +238,9 @@ def perplexities(docs: DataFrame, counts: DataFrame, chunk: int = CHUNK) -> Data
                 for held in part.column("texts").slice(grams):
                     if value is None:
                         value, keys, values = Lookup(np.concatenate(keys).view(np.uint64), np.concatenate(values)), [], []
-                    yield scored(held.as_py(), value)
+                    yield _scored(pa.ipc.open_stream(zstandard.decompress(held.as_py())).read_next_batch(), value)
 
-    return met.mapInArrow(run, ", ".join(f"`{c}` {kind}" for c, kind in own.items()) + ", n_symbols long, perplexity double, repeats double")
+    return met.mapInArrow(run, schema)
 
 
 def _band() -> Column:

@@ -64,8 +64,8 @@ def test_trigram_numbers():
 def test_perplexity_is_the_same_sent_or_joined_in_any_chunks(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     rows = docs.select("doc_id", "lang", "text")
-    counts = quality.train(rows, quality.trusted_ids(labels))
-    got = [{r.doc_id: (r.n_symbols, r.perplexity) for r in quality.perplexities(d, counts, size, most).collect()} for d, size, most in ((rows, 1, 10**6), (rows.coalesce(1), 1 << 30, 0), (rows.repartition(7), 1 << 12, 0))]
+    valued = quality.asked_logs(rows, quality.train(rows, quality.trusted_ids(labels)))
+    got = [{r.doc_id: (r.n_symbols, r.perplexity) for r in quality.perplexities(d, valued, size, most).collect()} for d, size, most in ((rows, 1, 10**6), (rows.coalesce(1), 1 << 30, 0), (rows.repartition(7), 1 << 12, 0))]
     assert got[0].keys() == got[1].keys() == got[2].keys() and len(got[0]) == docs.count()
     for i, (n, p) in got[0].items():
         for other in got[1:]:

@@ -174,30 +174,33 @@ def repetition(words: list[str]) -> float:
     return sum(a == b for a, b in zip(words, words[1:], strict=False)) / (len(words) - 1) if len(words) >= SHORT else 0.0
 
 
-def _scored(b: pa.RecordBatch, value: Lookup) -> pa.RecordBatch:
-    """b without its text, with n_symbols, perplexity and repeats."""
+def _scored(b: pa.RecordBatch, value: Lookup, names: list[str]) -> pa.RecordBatch:
+    """b's columns names, with n_symbols, perplexity and repeats."""
     texts = b.column("text").to_pylist()
     gram, n = coded(texts)
     total, some = np.zeros(len(n)), n > 0
     if some.any():
         total[some] = np.add.reduceat(value(gram.view(np.uint64)), (np.cumsum(n) - n)[some])
     mean = np.exp(-total / np.maximum(n, 1))
-    own = [c for c in b.schema.names if c != "text"]
     new = [pa.array(n), pa.array(mean, mask=~some), pa.array([repetition((t or "").split()) for t in texts])]
-    return pa.RecordBatch.from_arrays([*(b.column(c) for c in own), *new], [*own, "n_symbols", "perplexity", "repeats"])
+    return pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *new], [*names, "n_symbols", "perplexity", "repeats"])
 
 
-def perplexities(docs: DataFrame, counts: DataFrame, chunk: int = CHUNK, most: int = BROADCAST_ROWS) -> DataFrame:
-    """n_symbols, perplexity (null for blank texts), repeats of every row beside docs' columns but text; docs: doc_id, lang, text and others.
+def asked_logs(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """gram, log of the distinct trigrams of column text, written."""
+    return stored(logs(stored(asked_grams(docs), "asked-trigrams"), counts), "logs")
 
-    The logs of the distinct trigrams are sent to where the documents are if they are counted to be most at most;
-    beyond, each chunk of documents is joined with its own by a shuffle.
+
+def perplexities(docs: DataFrame, valued: DataFrame, chunk: int = CHUNK, most: int = BROADCAST_ROWS, without: tuple[str, ...] = ("text",)) -> DataFrame:
+    """n_symbols, perplexity (null for blank texts), repeats of every row beside docs' columns but those named in without; docs: text and others.
+
+    The logs of the distinct trigrams (valued) are sent to where the documents are if they are counted to be most at
+    most; beyond, each chunk of documents is joined with its own by a shuffle.
     """
-    schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c != "text") + ", n_symbols long, perplexity double, repeats double"
-    asked = stored(asked_grams(docs), "asked-trigrams")
-    valued = stored(logs(asked, counts), "logs")
+    names = [c for c in docs.columns if c not in without]
+    schema = "".join(f"`{c}` {kind}, " for c, kind in docs.dtypes if c in names) + "n_symbols long, perplexity double, repeats double"
     if valued.count() > most:
-        return _joined(docs, valued, chunk, schema)
+        return _joined(docs, valued, chunk, names, schema)
     few = valued.toArrow()
     held = docs.sparkSession.sparkContext.broadcast((few["gram"].to_numpy(), few["log"].to_numpy()))
 
@@ -205,12 +208,12 @@ def perplexities(docs: DataFrame, counts: DataFrame, chunk: int = CHUNK, most: i
         value = Lookup(held.value[0].view(np.uint64), held.value[1])
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                yield _scored(b, value)
+                yield _scored(b, value, names)
 
     return docs.mapInArrow(run, schema)
 
 
-def _joined(docs: DataFrame, valued: DataFrame, chunk: int, schema: str) -> DataFrame:
+def _joined(docs: DataFrame, valued: DataFrame, chunk: int, names: list[str], schema: str) -> DataFrame:
     """perplexities by a shuffle: chunks of documents, as compressed Arrow streams, meet the logs of their trigrams."""
     all_ = stored(gathered(docs, chunk), "texts-and-trigrams")
     # A trigram is asked for once by a chunk, so none has more rows than there are chunks.
@@ -238,7 +241,7 @@ def _joined(docs: DataFrame, valued: DataFrame, chunk: int, schema: str) -> Data
                 for held in part.column("texts").slice(grams):
                     if value is None:
                         value, keys, values = Lookup(np.concatenate(keys).view(np.uint64), np.concatenate(values)), [], []
-                    yield _scored(pa.ipc.open_stream(zstandard.decompress(held.as_py())).read_next_batch(), value)
+                    yield _scored(pa.ipc.open_stream(zstandard.decompress(held.as_py())).read_next_batch(), value, names)
 
     return met.mapInArrow(run, schema)
 
@@ -257,13 +260,8 @@ def thresholds(scored: DataFrame, trusted: DataFrame, low: float = LOW, high: fl
     return cut.select("_lang", "_band", "_level", "n", (a - margin * (m - a)).alias("low"), (z + margin * (z - m)).alias("high"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang, n_symbols, perplexity, low, high, accepted, repeats of every row, and docs' columns named in keep."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), *keep)
-    everyone = stored(trusted_ids(labels), "trusted-ids")
-    some = everyone if (n := everyone.count()) <= (most or n) else everyone.filter(F.pmod(F.xxhash64("_id"), F.lit(n)) < most)
-    scored = stored(perplexities(rows, train(rows.select("doc_id", "text"), some)), "perplexities")
-    cuts = stored(thresholds(scored, everyone), "thresholds")
+def judged(scored: DataFrame, cuts: DataFrame) -> DataFrame:
+    """scored (lang, n_symbols, perplexity, repeats and others) with low, high and accepted."""
     own = cuts.filter(f"_level = 0 AND n >= {ENOUGH}").select("_lang", F.col("_band").alias("_b"), F.col("low").alias("_l0"), F.col("high").alias("_h0"))
     band = cuts.filter(f"_level = 2 AND n >= {ENOUGH}").select(F.col("_band").alias("_b1"), F.col("low").alias("_l1"), F.col("high").alias("_h1"))
     every = cuts.filter("_level = 3").select(F.col("low").alias("_l2"), F.col("high").alias("_h2"))
@@ -273,12 +271,28 @@ def classify(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_
     low, high = F.coalesce("_l0", "_l1", "_l2"), F.coalesce("_h0", "_h1", "_h2")
     x = F.log("perplexity")
     fits = F.coalesce((x >= low) & (x <= high), F.lit(True))
-    return out.select("doc_id", "lang", "n_symbols", "perplexity", F.exp(low).alias("low"), F.exp(high).alias("high"), (F.col("perplexity").isNotNull() & fits & (F.col("repeats") < REPEATS)).alias("accepted"), "repeats", *keep)
+    return out.select(*scored.columns, F.exp(low).alias("low"), F.exp(high).alias("high"), (F.col("perplexity").isNotNull() & fits & (F.col("repeats") < REPEATS)).alias("accepted"))
+
+
+def fitted(rows: DataFrame, labels: DataFrame, most: int | None = TRUSTED) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The logs of all trigrams of rows (doc_id, lang, text), what every row scores, and the thresholds."""
+    everyone = stored(trusted_ids(labels), "trusted-ids")
+    some = everyone if (n := everyone.count()) <= (most or n) else everyone.filter(F.pmod(F.xxhash64("_id"), F.lit(n)) < most)
+    valued = asked_logs(rows, train(rows, some))
+    scored = stored(perplexities(rows, valued), "perplexities")
+    return valued, scored, stored(thresholds(scored, everyone), "thresholds")
+
+
+def classify(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, lang, n_symbols, perplexity, low, high, accepted, repeats of every row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    _, scored, cuts = fitted(rows, labels, most)
+    return judged(scored, cuts).select("doc_id", "lang", "n_symbols", "perplexity", "low", "high", "accepted", "repeats")
 
 
 def accepted(docs: DataFrame, labels: DataFrame, most: int | None = TRUSTED, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that are accepted, with docs' columns; a key written with the rows tells those of one id, or of none, apart."""
-    keyed = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()), "quality-rows")
-    judged = classify(keyed, labels, most, id_col, text_col, lang_col, ("_llm_row",))
-    gone = stored(judged.filter(~F.col("accepted")).select(F.col("_llm_row").alias("_llm_gone")), "rejected")
-    return keyed.join(small_or_not(gone), F.col("_llm_row") == F.col("_llm_gone"), "left_anti").select(*docs.columns)
+    """The rows of docs that are accepted, with docs' columns. Each row is scored once more and judged by itself, so rows of one id, or of none, don't go for each other."""
+    valued, _, cuts = fitted(docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), labels, most)
+    names = {c: "text" if c == text_col else f"_own{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.select(F.col(lang_col).alias("lang"), *(F.col(c).alias(n) for c, n in names.items()))
+    return judged(perplexities(rows, valued, without=()), cuts).filter("accepted").select(*(F.col(n).alias(c) for c, n in names.items()))

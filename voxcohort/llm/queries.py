@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcohort.llm import context_mixing, exact_dedup, html, knn, mixing, quality, secrets, sentencepiece, sharding, simhash
+from voxcohort.llm import context_mixing, exact_dedup, html, knn, mixing, periodic, quality, secrets, sentencepiece, sharding, simhash
 from voxcohort.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ FROM s QUALIFY rank <= 20
 @query
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.runs(table(spark, sf_dir, "documents"))

@@ -12,7 +12,7 @@ import pyarrow.compute  # noqa: F401
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
     """(key values, [values of each column]) per group; only the group at hand is held.
 
-    Key columns become integer arrays; other columns numpy arrays where they are numeric, else Arrow arrays.
+    Key columns become integer arrays; other columns numpy arrays where they are numeric without nulls, else Arrow arrays.
     """
     held: pa.Table | None = None
     for batch in batches:
@@ -34,7 +34,7 @@ def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tu
 
 
 def _cut(t: pa.Table, k: list[np.ndarray], cuts: np.ndarray, columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
-    cols = [t[c].to_numpy() if pa.types.is_primitive(t.schema.field(c).type) else t[c].combine_chunks() for c in columns]
+    cols = [t[c].to_numpy() if pa.types.is_primitive(t.schema.field(c).type) and not t[c].null_count else t[c].combine_chunks() for c in columns]
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         yield tuple(x[i] for x in k), [c[i:j] for c in cols]
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcohort.llm import context_mixing, exact_dedup, html, knn, mixing, periodic, quality, secrets, sentencepiece, sharding, simhash
+from voxcohort.llm import context_mixing, exact_dedup, html, knn, merkle, mixing, packing, periodic, quality, secrets, sentencepiece, sharding, simhash
 from voxcohort.plans.storage import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,58 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.runs(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = merkle.manifest(table(spark, sf_dir, "documents"), tampered={"text": merkle.without_line_feeds()})
+    return out.select("doc_id", "source", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+ORACLES["op12_merkle_levels"] = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(doc_id::VARCHAR, ''),
+    lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda h, x: CASE WHEN x >= 0 THEN xor(h, x) ELSE xor(h >> 1, (h & 1) * 3988292384) END), 4294967295::BIGINT) AS h
+  FROM documents),
+f AS (
+  SELECT documents.doc_id, source, coalesce(strlen(documents.doc_id::VARCHAR) || ':' || documents.doc_id, '-')
+    || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+    || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head,
+    text, CASE WHEN h % 2 = 0 THEN replace(text, chr(10), '') ELSE text END AS seen
+  FROM documents JOIN crc USING (doc_id)),
+l AS (
+  SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(seen) || ':' || seen, '-')) AS seen_leaf FROM f),
+low AS (
+  SELECT source, 0 AS level, list(leaf ORDER BY doc_id) AS nodes FROM l GROUP BY source
+  UNION ALL
+  SELECT source, level + 1, list_transform(range(0, ((len(nodes) + 2) // 3)::BIGINT), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))
+  FROM low WHERE len(nodes) > 1),
+subs AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS k FROM low WHERE len(nodes) = 1),
+top AS (
+  SELECT 0 AS level, list(subroot ORDER BY k) AS nodes FROM subs
+  UNION ALL
+  SELECT level + 1, list_transform(range(0, ((len(nodes) + 2) // 3)::BIGINT), lambda i: sha256(array_to_string(nodes[3 * i + 1 : 3 * i + 3], '')))
+  FROM top WHERE len(nodes) > 1),
+placed AS (
+  SELECT l.*, subroot, subs.k AS source_at, row_number() OVER (PARTITION BY l.source ORDER BY doc_id) - 1 AS place
+  FROM l JOIN subs ON l.source IS NOT DISTINCT FROM subs.source),
+steps AS (
+  SELECT doc_id, level, nodes, place // (3 ** level)::BIGINT AS i FROM placed JOIN low ON placed.source IS NOT DISTINCT FROM low.source WHERE len(nodes) > 1
+  UNION ALL
+  SELECT doc_id, 1000 + level, nodes, source_at // (3 ** level)::BIGINT AS i FROM placed, top WHERE len(nodes) > 1),
+sides AS (
+  SELECT doc_id, level, coalesce(array_to_string(nodes[3 * (i // 3) + 1 : i], ''), '') AS l, coalesce(array_to_string(nodes[i + 2 : 3 * (i // 3) + 3], ''), '') AS r FROM steps),
+proof AS (SELECT doc_id, string_agg(l || r, '' ORDER BY level) AS proof, list(l || '|' || r ORDER BY level) AS path FROM sides GROUP BY doc_id),
+folded AS (
+  SELECT placed.*, (SELECT nodes[1] FROM top WHERE len(nodes) = 1) AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+    list_reduce(list_concat([seen_leaf], path), lambda d, s: sha256(split_part(s, '|', 1) || d || split_part(s, '|', 2))) AS folded_root
+  FROM placed LEFT JOIN proof USING (doc_id))
+SELECT doc_id, source, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM folded
+"""
+
+
+@query
+def op13_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))

@@ -1,4 +1,4 @@
-"""Groups of a partition that is sorted by key, streamed from Arrow batches."""
+"""Groups of a partition that is sorted by key, streamed from Arrow batches; keys for rows."""
 
 from __future__ import annotations
 
@@ -7,6 +7,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Names in with_row_key's table: the key, and a table's own columns in one, whatever they are called.
+ROW, HELD = "row", "held"
+
+
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """row, held: a key for each row, and all its columns as a struct, so that no name can clash."""
+    return docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(HELD))
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxcohort.llm.grouped import HELD, ROW, with_row_key
 from voxcohort.plans.storage import small_or_not, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -101,8 +102,11 @@ def repeated(docs: DataFrame, weights: DataFrame | None = None, **parameters) ->
 
     A key written with the rows tells those of one id, or of none, apart.
     """
-    keyed = stored(docs.withColumn("_llm_row", F.monotonically_increasing_id()), "mix-docs")
-    times = mix(keyed, weights, keep=("_llm_row",), **parameters).filter("taken > 0")
-    times = stored(times.select(F.col("_llm_row").alias("_llm_taken"), F.expr("cast(taken div size as int)").alias("_llm_times")), "mix-times")
-    out = keyed.join(small_or_not(times), F.col("_llm_row") == F.col("_llm_taken"))
-    return out.withColumn("_llm_n", F.explode(F.sequence(F.lit(1), F.col("_llm_times")))).select(*docs.columns)
+    keyed_rows = stored(with_row_key(docs), "mix-docs")
+    at = {"id_col": "doc_id", "text_col": "text", "source_col": "source"}
+    names = {k: parameters.pop(k, v) for k, v in at.items()}
+    narrow = keyed_rows.select(F.col(ROW), *(F.col(f"{HELD}.`{names[k]}`").alias(v) for k, v in at.items()))
+    times = mix(narrow, weights, keep=(ROW,), **parameters).filter("taken > 0")
+    times = stored(times.select(F.col(ROW).alias("_taken"), F.expr("cast(taken div size as int)").alias("_times")), "mix-times")
+    out = keyed_rows.join(small_or_not(times), F.col(ROW) == F.col("_taken"))
+    return out.select(HELD, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_n")).select(f"{HELD}.*")

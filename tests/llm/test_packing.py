@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from voxcohort.llm import packing, queries
 
@@ -86,11 +87,20 @@ def test_long_windows_are_filled_from_shorter_tiers():
 def test_words_are_encoded_as_in_their_text():
     words = packing.Words(packing.tokenizer_path())
     assert words.apart and words.narrow
-    texts = ["It's A  test\n\nof  <|endoftext|> things", "é ́a ΣΣ İ x\x1cy\x85z 　w", "", None, "\x0b\x0c", "don't... 12 3.5%! \U0001f600\U0001f600", "ΑΣ ΑΣ, ΑΣα", "x" * 5000]
-    ids, per = words([t.encode() if t is not None else None for t in texts])
+    texts = ["It's A  test\n\nof  <|endoftext|> things", "é ́a ΣΣ İ x\x1cy\x85z 　w", "", None, "\x0b\x0c", "don't... 12 3.5%! \U0001f600\U0001f600", "ΑΣ ΑΣ, ΑΣα", "x" * 5000, "café's NAÏVE ÿ1a2,b..c Ǆ 北京x a<|b", "é" * 20 + " " + "é" * 33, "straße's'll 'Twas rock'n'roll 1,000.5"]
+    ids, per = words(pa.array([t.encode() if t is not None else None for t in texts], pa.binary()))
     assert np.split(ids, np.cumsum(per))[:-1] and [x.tolist() for x in np.split(ids, np.cumsum(per))[:-1]] == [expected(t) for t in texts]
 
 
+def test_words_of_random_letters():
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzETAOIN'',.-0123456789éüñßøæÀÞžőǆ%€ж"
+    words = ["".join(rng.choice(letters[:26] if rng.random() < 0.5 else letters) for _ in range(rng.randrange(1, 36))) for _ in range(4000)]
+    one = packing.WordEncoder(packing.tokenizer_path())
+    ids, per = one([w.encode() for w in words])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(per))[:-1]] == [one.one(w) for w in words]
+
+
 def test_edge_rows(spark):
     rng = random.Random(2)
     long = " ".join(rng.choice("alpha beta gamma delta".split()) for _ in range(9000))

@@ -29,10 +29,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxcohort.llm.grouped import groups, runs, slices
+from voxcohort.llm.word_bpe import WordEncoder
 
 TOKENIZER = "word_bpe_49k.json"
 #: The token after each document.
@@ -46,7 +48,9 @@ STEP = 1 << 17
 #: Tokens of a long document that travel in one row; a multiple of the longest context.
 PART = 1 << 16
 #: Words that a task keeps encoded, and how many bytes of them.
-KEPT, KEPT_BYTES = 400_000, 16 << 20
+KEPT, KEPT_BYTES = 600_000, 32 << 20
+#: Bytes of texts that are encoded at once.
+SLICE = 4 << 20
 PIECES = "doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step long"
 
 
@@ -60,46 +64,52 @@ class Words(dict):
     """Encodes texts by their words; new ones are encoded when they are first met."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.narrow = self.tokenizer.get_vocab_size() <= 1 << 16
+        self.encoder = WordEncoder(path)
+        one = self.encoder.one
+        self.narrow = self.encoder.tokenizer.get_vocab_size() <= 1 << 16
         # Words may be encoded by themselves if white space leaves no token behind and parts nothing else.
-        self.apart = all(self.one(f"a{b}b") == self.one("a") + self.one("b") and not self.one(b) for b in (" ", "\n", "\t", "\r\n  "))
+        self.apart = all(one(f"a{b}b") == one("a") + one("b") and not one(b) for b in (" ", "\n", "\t", "\r\n  "))
         self.forget()
 
-    def one(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def forget(self) -> None:
         self.clear()
         self.new: list[bytes] = []
-        self.ids, self.size, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.ids, self.size, self.bytes = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
     def __missing__(self, word: bytes) -> int:
         self[word] = n = len(self)
         self.new.append(word)
         return n
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def parted(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words of all texts, and how many each text has; every different word is looked up once."""
+        texts = pc.fill_null(texts, b"").view(pa.string())
+        # Leading and trailing white space leaves an empty word.
+        lists = pc.ascii_split_whitespace(texts) if self.apart else pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32)), texts)
+        words = lists.flatten().dictionary_encode()
+        code, different = words.indices.to_numpy(), words.dictionary.cast(pa.binary()).to_pylist()
+        filled = np.fromiter(map(len, different), np.int64, len(different)) > 0
+        number = np.fromiter((self[w] if w else -1 for w in different), np.int64, len(different))
+        owner = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+        kept = filled[code]
+        return number[code[kept]], np.bincount(owner[kept], minlength=len(texts))
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with END, one after another, and how many each has."""
         if len(self) > KEPT or self.bytes > KEPT_BYTES:
             self.forget()
-        words = [((t.split() if self.apart else [t]) if t else []) for t in texts]
-        counts = np.fromiter(map(len, words), np.int64, len(words))
-        seen = [np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words]
+        seen, counts = self.parted(texts)
         if self.new:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode(errors="replace") for w in self.new], add_special_tokens=False)]
-            self.size = np.concatenate((self.size, np.fromiter(map(len, encoded), np.int64, len(encoded))))
-            self.ids = np.concatenate((self.ids, np.array([i for e in encoded for i in e], np.int64)))
+            ids, size = self.encoder(self.new)
+            self.size, self.ids = np.concatenate((self.size, size)), np.concatenate((self.ids, ids.astype(np.int32)))
             self.bytes += sum(map(len, self.new))
             self.new = []
         # The end is one word more, of one token.
         size, start = np.append(self.size, 1), np.append(np.cumsum(self.size) - self.size, len(self.ids))
-        w = np.concatenate([x for s in seen for x in (s, [len(self.size)])]).astype(np.int64)
+        w = np.insert(seen, np.cumsum(counts), len(self.size))
         n = size[w]
         per = np.add.reduceat(n, np.cumsum(counts + 1) - counts - 1)
-        return np.append(self.ids, END)[runs(start[w], n)], per
+        return np.append(self.ids, np.int32(END))[runs(start[w], n)], per
 
 
 def fill(lengths: list[int], tiers: tuple[int, ...] = TIERS) -> list[list[tuple[int, int, int]]]:
@@ -163,8 +173,8 @@ def encoded(docs: DataFrame, path: str, group: Column, id_col: str, text_col: st
         words = Words(path)
         kind = np.uint16 if words.narrow else np.uint32
         for batch in batches:
-            for b in slices(batch, "text", 1 << 20):
-                ids, per = words(b.column("text").to_pylist())
+            for b in slices(batch, "text", SLICE):
+                ids, per = words(b.column("text"))
                 ids = ids.astype(kind)
                 parts = -(-per // part)
                 at = runs(np.zeros(len(per), np.int64), parts) * part

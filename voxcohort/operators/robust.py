@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxcohort.functions.columns import bucket_label
 from voxcohort.operators import voxels as vx
 from voxcohort.operators.ranks import spearman
-from voxcohort.operators.summary import icc2, long_form, mean_pct_change
+from voxcohort.operators.summary import _meet, icc2, mean_pct_change
 from voxcohort.plans.storage import stored
 
 VARIANTS = ("orig", "dil", "ero")
-FEATURES = {"rim_core_diff": "rim_core", "rim_core_ratio": "rim_core", "enh_median": "enhancement", "tumor_peri_diff": "peritumoral", "tumor_liver_ratio": "reference"}
+#: Fixed names: the feature, the phase that it is taken in, and its block.
+FEATURES = {
+    "C1_tlr_liver_ref_median": ("C1", "ring_median"),
+    "C1_peri_10mm_peri_p90": ("C1", "peri_10_p90"),
+    "C1_peri_5mm_peri_p90": ("C1", "peri_5_p90"),
+    "C1_rim_median": ("C1", "rim_median"),
+    "P_enh_p10": ("P", "p10"),
+}
 
 
 def variants(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]]) -> DataFrame:
@@ -26,23 +33,39 @@ def variants(voxels: DataFrame, offsets: Sequence[tuple[int, int, int]]) -> Data
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def blocks(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, ring_median (20 to 30 mm outside, 50 voxels or more), peri_10_p90, peri_5_p90 (plausible intensities), rim_median
+    (the outer fifth of a mask 3 mm deep or more), p10 (of the mask); each null where its voxels are missing."""
+    deepest = df.groupBy(*keys).agg(F.max(F.when(F.col("mask") > 0, F.col("dist_in"))).alias("_deep"))
+    v, hu = _meet(df, deepest, keys), F.col("hu")
+    ring, rim = vx.shell(20.0, 30.0), (F.col("mask") > 0) & (F.col("_deep") >= 3) & (F.col("dist_in") <= F.col("_deep") * 0.2)
+    plausible = (hu > -50) & (hu < 200) & (F.col("dist_out") > 0)
+
+    def share(where: Column, q: float) -> Column:
+        return F.percentile(F.when(where, hu), F.lit(q))
+
+    return v.groupBy(*keys).agg(
+        F.when(F.count_if(ring) >= 50, share(ring, 0.5)).alias("ring_median"),
+        *(share(plausible & (F.col("dist_out") <= mm), 0.9).alias(f"peri_{mm}_p90") for mm in (10, 5)),
+        share(rim, 0.5).alias("rim_median"),
+        share(F.col("mask") > 0, 0.1).alias("p10"),
+    )
+
+
 def robustness(voxels: DataFrame, meta: DataFrame, offsets: Sequence[tuple[int, int, int]]) -> DataFrame:
-    """patient_id, phase, feature, orig, dil, ero: features of each variant; the reference is always the 20 to 30 mm ring."""
+    """patient_id, feature, orig, dil, ero: FEATURES in their phases under each variant of the mask, null where there is none."""
     keys = [*vx.VOLUME, "variant"]
+    phases = sorted({p for p, _ in FEATURES.values()})
     m = meta.crossJoin(F.broadcast(voxels.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant"))))  # three rows
-    v = stored(vx.with_fields(variants(voxels, offsets), m, keys, ("dist_in", "dist_out")), "variants")
-    rim = vx.rim_core(v, keys).select(*keys, "rim_core_diff", "rim_core_ratio")
-    enh = vx.enhancement_stats(v, keys).select(*keys, "enh_median")
-    peri = vx.peritumoral(v, m, 10, keys).select(*keys, "tumor_peri_diff")
-    ref = vx.lesion_reference(v, keys, ring_only=True).select(*keys, "tumor_liver_ratio")
-    wide = rim.join(enh, keys, "full_outer").join(peri, keys, "full_outer").join(ref, keys, "full_outer")
-    long = long_form(stored(wide, "variant-features"), keys, list(FEATURES))
-    return long.groupBy("patient_id", "phase", "feature").pivot("variant", list(VARIANTS)).agg(F.first("value"))
+    v = stored(vx.with_fields(variants(voxels.filter(F.col("phase").isin(phases)), offsets), m, keys, ("dist_in", "dist_out")), "variants")
+    each = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(p).alias("of"), F.col(b).alias("value")) for f, (p, b) in FEATURES.items()))
+    long = stored(blocks(v, keys), "variant-features").select("patient_id", "phase", "variant", F.explode(each).alias("x")).filter("x.of = phase")
+    return long.groupBy("patient_id", F.col("x.feature").alias("feature")).pivot("variant", list(VARIANTS)).agg(F.first("x.value"))
 
 
 def robustness_summary(per_patient: DataFrame) -> DataFrame:
-    """phase, feature, and for dil and ero: n, icc, low, high, pct_change, spearman_r, spearman_p, interp."""
-    keys = ["phase", "feature"]
+    """feature, and for dil and ero: n, icc, low, high, pct_change, spearman_r, spearman_p, interp."""
+    keys = ["feature"]
     out = per_patient.select(*keys).distinct()
     for v in VARIANTS[1:]:
         icc = icc2(per_patient, keys, "orig", v).select(*keys, *(F.col(c).alias(f"{c}_{v}") for c in ("n", "icc", "low", "high")))

@@ -62,18 +62,43 @@ def median(value: Column, where: Column) -> Column:
     return F.percentile(F.when(where, value), F.lit(0.5))
 
 
+def shell(inner: Column | float, outer: Column | float, distance: str = "dist_out", mask: str = "mask") -> Column:
+    """Whether a voxel lies outside the mask with inner <= distance <= outer; the first layer outside has distance 0."""
+    return (F.col(mask) == 0) & (F.col(distance) >= inner) & (F.col(distance) <= outer)
+
+
 def assign_bands(df: DataFrame, bands: Sequence[tuple[float, float]], distance: str = "dist_out") -> DataFrame:
-    """Rows with each band (inner, outer) that the distance lies in, both ends closed, distance above 0: a shared edge is in two bands."""
-    d = F.col(distance)
-    hit = F.array_compact(F.array(*(F.when((d >= a) & (d <= b) & (d > 0), F.struct(F.lit(float(a)).alias("inner"), F.lit(float(b)).alias("outer"))) for a, b in bands)))
+    """Rows outside the mask with each band (inner, outer) that the distance lies in, both ends closed: a shared edge is in two bands."""
+    hit = F.array_compact(F.array(*(F.when(shell(float(a), float(b), distance), F.struct(F.lit(float(a)).alias("inner"), F.lit(float(b)).alias("outer"))) for a, b in bands)))
     return df.select("*", F.explode(hit).alias("_b")).select(*df.columns, "_b.inner", "_b.outer")
 
 
+def join_bands(df: DataFrame, bands: DataFrame, keys: Sequence[str] = ("patient_id",), width: float = 1.0, distance: str = "dist_out") -> DataFrame:
+    """Rows outside the mask with each of their key's own bands (keys, band, inner, outer) that the distance lies in.
+
+    Both ends are closed; bands may touch, overlap and differ by key. Distances and bands meet in bins of width mm: a band stands in every
+    bin that it reaches, so the join is on equal keys and bins, and a row meets bands of its own bin only. Bands without
+    an end, with inner above outer, or with nulls match nothing.
+    """
+    own = bands.filter("inner <= outer AND outer < double('infinity')").withColumn("_bin", F.explode(F.sequence(F.floor(F.greatest(F.col("inner"), F.lit(0.0)) / width), F.greatest(F.floor(F.col("outer") / width), F.floor(F.greatest(F.col("inner"), F.lit(0.0)) / width)))))
+    own = own.filter("outer >= 0").select(*(F.col(k).alias(f"_k_{k}") for k in keys), "_bin", "band", "inner", "outer")
+    rows = df.filter((F.col("mask") == 0) & (F.col(distance) >= 0)).withColumn("_at", F.floor(F.col(distance) / width))
+    on = (F.col("_at") == F.col("_bin")) & (F.col(distance) >= F.col("inner")) & (F.col(distance) <= F.col("outer"))
+    for k in keys:
+        on = on & (F.col(k) == F.col(f"_k_{k}"))
+    return rows.join(own, on).select(*df.columns, "band", "inner", "outer")
+
+
 def radial_zone(df: DataFrame, keys: Sequence[str] = VOLUME, n: int = 5) -> DataFrame:
-    """Voxels inside (dist_in > 0) with zone 0 .. n-1 by their share of the volume's largest distance."""
+    """Voxels inside (dist_in > 0) with zone 0 .. n-1 by their share of the volume's largest distance, which is 0.001 mm or more.
+
+    A share on an edge of n equal parts of [0, 1] belongs to the zone above; edges are those of numpy's linspace.
+    """
     inside = df.filter("dist_in > 0")
-    deepest = inside.groupBy(*keys).agg(F.max("dist_in").alias("_max"))
-    return _meet(inside, deepest, keys).withColumn("zone", F.least(F.floor(F.col("dist_in") / F.col("_max") * n), F.lit(n - 1)).cast("int")).drop("_max")
+    deepest = inside.groupBy(*keys).agg(F.max("dist_in").alias("_max")).filter("_max >= 1e-3")
+    share = F.col("dist_in") / F.col("_max")
+    zone = sum((F.when(share >= float(e), 1).otherwise(0) for e in np.linspace(0, 1, n + 1)[1:-1]), F.lit(0))
+    return _meet(inside, deepest, keys).withColumn("zone", zone.cast("int")).drop("_max")
 
 
 def radial_profile(df: DataFrame, keys: Sequence[str] = VOLUME, n: int = 5) -> DataFrame:
@@ -185,10 +210,10 @@ def boundary(df: DataFrame, keys: Sequence[str] = VOLUME) -> DataFrame:
 
 
 def capsule(df: DataFrame, keys: Sequence[str] = VOLUME, phases: Sequence[str] = ("C2", "C3")) -> DataFrame:
-    """Shell of 0 to 3 mm against the core deeper than 5 mm: difference, ratio, continuity, flag; all null in other phases or without a side."""
-    shell, core = (F.col("dist_out") > 0) & (F.col("dist_out") <= 3), (F.col("dist_in") > 5) & (F.col("mask") > 0)
-    m = df.groupBy(*keys).agg(median(F.col("hu"), shell).alias("_s"), median(F.col("hu"), core).alias("_c"))
-    out = _meet(df, m, keys).groupBy(*keys).agg(F.first("_s").alias("_s"), F.first("_c").alias("_c"), F.avg(F.when(shell, (F.col("hu") > F.col("_c") + 15).cast("double"))).alias("_k"))
+    """Shell of 0 to 3 mm (its first layer too) against the core deeper than 5 mm: difference, ratio, continuity, flag; all null in other phases or without a side."""
+    near, core = shell(0.0, 3.0), (F.col("dist_in") > 5) & (F.col("mask") > 0)
+    m = df.groupBy(*keys).agg(median(F.col("hu"), near).alias("_s"), median(F.col("hu"), core).alias("_c"))
+    out = _meet(df, m, keys).groupBy(*keys).agg(F.first("_s").alias("_s"), F.first("_c").alias("_c"), F.avg(F.when(near, (F.col("hu") > F.col("_c") + 15).cast("double"))).alias("_k"))
     use = F.col("phase").isin(*phases) & F.col("_s").isNotNull() & F.col("_c").isNotNull()
     diff, ratio = F.col("_s") - F.col("_c"), F.col("_s") / (F.col("_c") + 1e-5)
     return out.select(*keys, F.when(use, diff).alias("capsule_hu_diff"), F.when(use, ratio).alias("capsule_enh_ratio"), F.when(use, F.col("_k")).alias("capsule_continuity"), F.when(use, ((diff > 15) & (ratio > 1.15) & (F.col("_k") > 0.30)).cast("int")).alias("has_capsule"))
@@ -211,8 +236,8 @@ def lesion_reference(df: DataFrame, keys: Sequence[str] = VOLUME, ring_only: boo
     """Mask median against a reference: liver voxels 30 mm away or more, or without a liver mask the ring of 20 to 30 mm; 50 voxels or more."""
     has = df.groupBy(*keys).agg((F.count("liver") > 0).alias("_has") if not ring_only else F.lit(False).alias("_has"))
     v = _meet(df, has, keys)
-    ring = (F.col("dist_out") >= 20) & (F.col("dist_out") <= 30) & (F.col("mask") == 0)
-    v = v.withColumn("_ref", F.when(F.col("_has"), (F.col("liver") > 0) & (F.col("dist_out") >= 30) & (F.col("mask") == 0)).otherwise(ring))
+    far = (F.col("liver") > 0) & (F.col("dist_out") >= 30) & (F.col("mask") == 0)
+    v = v.withColumn("_ref", F.when(F.col("_has"), far).otherwise(shell(20.0, 30.0)))
     m = v.groupBy(*keys).agg(median(F.col("hu"), F.col("mask") > 0).alias("_t"), median(F.col("hu"), F.col("_ref")).alias("r"), F.count_if("_ref").alias("_n"), F.first("_has").alias("_has")).filter("_n >= 50 AND _t IS NOT NULL")
     out = _meet(m, mad(value_table(v.filter("_ref"), keys, "hu"), keys), keys)
     t, r = F.col("_t"), F.col("r")

@@ -15,12 +15,12 @@ NZ, NY, NX = 10, 20, 20
 SPACING = {"sz": 2.5, "sy": 1.0, "sx": 1.0}
 VOX = f"""vox AS (SELECT s_suppkey::VARCHAR AS patient_id, phase, z::INTEGER AS z, y::INTEGER AS y, x::INTEGER AS x,
   ((z * 31 + y * 17 + x * 13 + s_suppkey * 7 + p * 11) % 97 + CASE WHEN m THEN 40 ELSE 0 END + 10 * p)::DOUBLE AS hu, m::INTEGER AS mask, s_nationkey % 3 AS rad, s_suppkey % 2 AS par
-  FROM (SELECT *, power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + s_nationkey % 3, 2) OR (s_suppkey % 2 = 0 AND z = 0 AND y < 2 AND x < 2) AS m
+  FROM (SELECT *, power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + 2 * (s_nationkey % 3), 2) OR (s_suppkey % 2 = 0 AND z = 0 AND y < 2 AND x < 2) AS m
     FROM supplier, (VALUES ('P', 0), ('C1', 1), ('C2', 2)) q(phase, p), range({NZ}) a(z), range({NY}) b(y), range({NX}) c(x)))"""
 
 #: Voxels with distances: masks have as many shapes as there are radii, with and without a second lesion, so distances are worked out per shape.
 DISTANCES = f"""{VOX},
-grd AS (SELECT rad, par, z, y, x, (power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + rad, 2) OR (par = 0 AND z = 0 AND y < 2 AND x < 2))::INTEGER AS mask
+grd AS (SELECT rad, par, z, y, x, (power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + 2 * rad, 2) OR (par = 0 AND z = 0 AND y < 2 AND x < 2))::INTEGER AS mask
   FROM (SELECT DISTINCT s_nationkey % 3 AS rad, s_suppkey % 2 AS par FROM supplier), range({NZ}) a(z), range({NY}) b(y), range({NX}) c(x)),
 o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
 fc AS (SELECT rad, par, z + a AS z, y + b AS y, x + c AS x, count(*) AS fg FROM grd, o WHERE mask = 1 GROUP BY ALL),
@@ -35,7 +35,7 @@ def voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, n in (("z", NZ), ("y", NY), ("x", NX)):
         s = s.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     z, y, x, k = F.col("z"), F.col("y"), F.col("x"), F.col("s_suppkey")
-    ellipsoid = F.pow((z - 4.5) * 2, F.lit(2)) + F.pow(y - 9.5, F.lit(2)) + F.pow(x - 9.5, F.lit(2)) <= F.pow(5 + F.col("s_nationkey") % 3, F.lit(2))
+    ellipsoid = F.pow((z - 4.5) * 2, F.lit(2)) + F.pow(y - 9.5, F.lit(2)) + F.pow(x - 9.5, F.lit(2)) <= F.pow(5 + 2 * (F.col("s_nationkey") % 3), F.lit(2))
     m = ellipsoid | ((k % 2 == 0) & (z == 0) & (y < 2) & (x < 2))
     hu = (z * 31 + y * 17 + x * 13 + k * 7 + F.col("p") * 11) % 97 + F.when(m, 40).otherwise(0) + 10 * F.col("p")
     return s.select(k.cast("string").alias("patient_id"), "phase", "z", "y", "x", hu.cast("double").alias("hu"), m.cast("int").alias("mask"), F.lit(None).cast("int").alias("liver"))
@@ -51,13 +51,6 @@ def fields(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return stored(vx.with_fields(v, meta(v)), "voxel-fields"), meta(v)
 
 
-@query(f"WITH {DISTANCES} SELECT patient_id, z, y, x, round(dist_in, 6) AS dist_in, round(dist_out, 6) AS dist_out FROM dv WHERE phase = 'C1'")
-def signed_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All patients' distances in the phase whose masks the study measures; signed_distances_all has every phase."""
-    v = voxels(spark, sf_dir).filter("phase = 'C1'")
-    return rounded(vx.with_fields(v, meta(v), fields=("dist_in", "dist_out")).select("patient_id", "z", "y", "x", "dist_in", "dist_out"))
-
-
 @query(f"WITH {DISTANCES} SELECT patient_id, phase, z, y, x, round(dist_in, 6) AS dist_in, round(dist_out, 6) AS dist_out FROM dv")
 def signed_distances_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All voxels' distances in all phases of all patients; a test compares them with brute force too."""
@@ -143,15 +136,17 @@ def voxel_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def distances(spark: SparkSession, sf_dir: str, scale: float = 1.0, shift: float = 0.0) -> tuple[DataFrame, DataFrame]:
-    """Voxels (hu shifted) with distances only, and their spacing times scale."""
+def distances(spark: SparkSession, sf_dir: str, scale: float = 1.0, shift: float = 0.0, liver: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Voxels (hu shifted, a liver mask by an expression) with distances only, and their spacing times scale."""
     v = voxels(spark, sf_dir).withColumn("hu", F.col("hu") + shift)
+    if liver:
+        v = v.withColumn("liver", F.expr(liver).cast("int"))
     m = meta(v).withColumns({k: F.lit(s * scale) for k, s in SPACING.items()})
     return stored(vx.with_fields(v, m, fields=("dist_in", "dist_out")), "voxel-distances"), m
 
 
 @query(f"""
-WITH {DISTANCES}, q AS (SELECT patient_id, phase, hu, least(floor(dist_in / max(dist_in) OVER (PARTITION BY patient_id, phase) * 5), 4)::INTEGER AS zone FROM dv WHERE dist_in > 0)
+WITH {DISTANCES}, q AS (SELECT patient_id, phase, hu, (SELECT count(*) FROM (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6000000000000001::DOUBLE), (0.8::DOUBLE)) e(e) WHERE dist_in / deep >= e)::INTEGER AS zone FROM (SELECT *, max(dist_in) OVER (PARTITION BY patient_id, phase) AS deep FROM dv WHERE dist_in > 0))
 SELECT patient_id, phase, zone, count(*) AS n, round(median(hu), 6) AS median, round(mad(hu), 6) AS mad FROM q GROUP BY ALL""")
 def radial_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = vx.radial_zone(distances(spark, sf_dir)[0])
@@ -161,7 +156,7 @@ def radial_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {DISTANCES}, q AS (SELECT patient_id, phase, hu, least(floor(dist_in / max(dist_in) OVER (PARTITION BY patient_id, phase) * 5), 4)::INTEGER AS zone FROM dv WHERE dist_in > 0),
+WITH {DISTANCES}, q AS (SELECT patient_id, phase, hu, (SELECT count(*) FROM (VALUES (0.2::DOUBLE), (0.4::DOUBLE), (0.6000000000000001::DOUBLE), (0.8::DOUBLE)) e(e) WHERE dist_in / deep >= e)::INTEGER AS zone FROM (SELECT *, max(dist_in) OVER (PARTITION BY patient_id, phase) AS deep FROM dv WHERE dist_in > 0)),
 m AS (SELECT patient_id, phase, zone, median(hu) AS m, mad(hu) AS d FROM q GROUP BY ALL)
 SELECT patient_id, phase, {", ".join(f"round(max(m) FILTER (zone = {i}), 6) AS zone_{i}_median, round(max(d) FILTER (zone = {i}), 6) AS zone_{i}_mad" for i in range(5))},
   CASE WHEN count(*) >= 2 THEN round(max_by(m, zone) - min_by(m, zone), 6) END AS radial_gradient, CASE WHEN count(*) >= 2 THEN round(regr_slope(m, zone), 6) END AS radial_slope,
@@ -206,8 +201,8 @@ def peritumoral(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {DISTANCES}, m AS (SELECT patient_id, phase, median(hu) FILTER (dist_out > 0 AND dist_out <= 3) AS s, median(hu) FILTER (dist_in > 5 AND mask = 1) AS c FROM dv GROUP BY ALL),
-k AS (SELECT patient_id, phase, s, c, avg((hu > c + 15)::INTEGER) FILTER (dist_out > 0 AND dist_out <= 3) AS k FROM dv JOIN m USING (patient_id, phase) GROUP BY ALL),
+WITH {DISTANCES}, m AS (SELECT patient_id, phase, median(hu) FILTER (mask = 0 AND dist_out <= 3) AS s, median(hu) FILTER (dist_in > 5 AND mask = 1) AS c FROM dv GROUP BY ALL),
+k AS (SELECT patient_id, phase, s, c, avg((hu > c + 15)::INTEGER) FILTER (mask = 0 AND dist_out <= 3) AS k FROM dv JOIN m USING (patient_id, phase) GROUP BY ALL),
 u AS (SELECT *, phase IN ('C2', 'C3') AND s IS NOT NULL AND c IS NOT NULL AS use, s - c AS diff, s / (c + 1e-5::DOUBLE) AS ratio FROM k)
 SELECT patient_id, phase, CASE WHEN use THEN round(diff, 6) END AS capsule_hu_diff, CASE WHEN use THEN round(ratio, 6) END AS capsule_enh_ratio, CASE WHEN use THEN round(k, 6) END AS capsule_continuity,
   CASE WHEN use THEN (diff > 15 AND ratio > 1.15 AND k > 0.30)::INTEGER END AS has_capsule FROM u""")
@@ -216,15 +211,16 @@ def capsule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {DISTANCES}, b AS (SELECT patient_id, phase, lo, hu FROM dv, (VALUES (0), (3), (6), (9), (12)) q(lo) WHERE dist_out > 0 AND dist_out >= lo AND dist_out <= lo + 3 AND hu > -50 AND hu < 200),
+WITH {DISTANCES}, b AS (SELECT patient_id, phase, lo, hu FROM dv, (VALUES (0), (3), (6), (9), (12)) q(lo) WHERE mask = 0 AND 1.5 * dist_out >= lo AND 1.5 * dist_out <= lo + 3 AND hu > -50 AND hu < 200),
 m AS (SELECT patient_id, phase, lo, median(hu) AS m, mad(hu) AS d FROM b GROUP BY ALL),
 l AS (SELECT patient_id, phase, {", ".join(f"round(max(m) FILTER (lo = {a}), 6) AS ring_{a}_{a + 3}mm_median, round(max(d) FILTER (lo = {a}), 6) AS ring_{a}_{a + 3}mm_mad" for a in (0, 3, 6, 9, 12))},
   count(*) - 2 AS df, regr_slope(m, lo + 1.5::DOUBLE) AS slope, CASE WHEN var_pop(m) > 0 THEN corr(lo + 1.5::DOUBLE, m) ELSE 0 END AS r FROM m GROUP BY ALL),
 t AS (SELECT *, CASE WHEN abs(r) < 1 THEN abs(r) * sqrt(df / (1 - r * r)) END AS t FROM l)
 SELECT * EXCLUDE (df, slope, r, t), CASE WHEN df >= 0 THEN round(slope, 6) END AS invasion_slope, CASE WHEN df >= 0 THEN round(r, 6) END AS invasion_r,
-  CASE WHEN abs(r) = 1 THEN 0 WHEN r = 0 THEN 1 ELSE round(CASE df WHEN 3 THEN 1 - 2 / pi() * (atan(t / sqrt(3)) + t * sqrt(3) / (3 + t * t)) WHEN 2 THEN 1 - t / sqrt(2 + t * t) WHEN 1 THEN 1 - 2 / pi() * atan(t) WHEN 0 THEN 0 END, 6) END AS invasion_p FROM t""")
+  CASE WHEN abs(r) >= 1 - 1e-12 THEN 0 WHEN r = 0 THEN 1 ELSE round(CASE df WHEN 3 THEN 1 - 2 / pi() * (atan(t / sqrt(3)) + t * sqrt(3) / (3 + t * t)) WHEN 2 THEN 1 - t / sqrt(2 + t * t) WHEN 1 THEN 1 - 2 / pi() * atan(t) WHEN 0 THEN 0 END, 6) END AS invasion_p FROM t""")
 def invasion_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(vx.invasion_profile(distances(spark, sf_dir)[0]))
+    """Voxels half as large again, so that all bands lie in the box."""
+    return rounded(vx.invasion_profile(distances(spark, sf_dir, scale=1.5)[0]))
 
 
 @query(f"""
@@ -238,13 +234,80 @@ def lesion_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {DISTANCES} SELECT patient_id, phase, lo::DOUBLE AS inner, lo + 3::DOUBLE AS outer, count(*) AS n FROM dv, (VALUES (0), (3), (6), (9), (12)) q(lo) WHERE dist_out > 0 AND dist_out >= lo AND dist_out <= lo + 3 GROUP BY ALL""")
+WITH {DISTANCES}, v AS (SELECT *, CASE WHEN patient_id::INTEGER % 2 = 0 THEN x < 15 END AS liver FROM dv),
+q AS (SELECT *, CASE WHEN liver IS NULL THEN 6 * dist_out BETWEEN 20 AND 30 ELSE liver AND 6 * dist_out >= 30 END AND mask = 0 AS ref FROM v),
+m AS (SELECT patient_id, phase, any_value(liver) IS NOT NULL AS has, median(hu) FILTER (mask = 1) AS t, median(hu) FILTER (ref) AS r, mad(hu) FILTER (ref) AS d, count(*) FILTER (ref) AS n FROM q GROUP BY ALL)
+SELECT patient_id, phase, round(t / (r + 1e-5::DOUBLE), 6) AS tumor_liver_ratio, round(t - r, 6) AS tumor_liver_diff, round(r, 6) AS liver_ref_median, round(d, 6) AS liver_ref_mad,
+  CASE WHEN has THEN 'liver_mask' ELSE 'ring_fallback' END AS tlr_ref_source, has::INTEGER AS tlr_liver_mask_available FROM m WHERE n >= 50 AND t IS NOT NULL""")
+def lesion_reference_liver(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second patient has a liver mask; voxels six times as large, so that some lie 30 mm away."""
+    return rounded(vx.lesion_reference(distances(spark, sf_dir, scale=6.0, liver="CASE WHEN cast(patient_id AS int) % 2 = 0 THEN x < 15 END")[0]))
+
+
+@query(f"""
+WITH {DISTANCES}, b AS (SELECT DISTINCT patient_id, i AS band, (patient_id::INTEGER % 3 + 2 * i - 1.5)::DOUBLE AS inner, (patient_id::INTEGER % 3 + 2 * i + 0.5 + i % 2)::DOUBLE AS outer FROM vox, range(4) r(i))
+SELECT patient_id, phase, band, "inner", "outer", count(*) AS n, round(avg(hu), 6) AS mean FROM dv JOIN b USING (patient_id) WHERE mask = 0 AND dist_out >= "inner" AND dist_out <= "outer" GROUP BY ALL""")
+def join_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of each patient's own: some touch, some overlap, some begin below 0."""
+    v, m = distances(spark, sf_dir)
+    p, i = F.col("patient_id").cast("int") % 3, F.col("band")
+    bands = m.select("patient_id").distinct().withColumn("band", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
+    bands = bands.withColumns({"inner": (p + 2 * i - 1.5).cast("double"), "outer": (p + 2 * i + 0.5 + i % 2).cast("double")})
+    out = vx.join_bands(v, bands).groupBy(*vx.VOLUME, "band", "inner", "outer").agg(F.count(F.lit(1)).alias("n"), F.avg("hu").alias("mean"))
+    return rounded(out)
+
+
+@query(f"""
+WITH {DISTANCES} SELECT patient_id, phase, lo::DOUBLE AS inner, lo + 3::DOUBLE AS outer, count(*) AS n FROM dv, (VALUES (0), (3), (6), (9), (12)) q(lo) WHERE mask = 0 AND dist_out >= lo AND dist_out <= lo + 3 GROUP BY ALL""")
 def assign_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vx.assign_bands(distances(spark, sf_dir)[0], vx.BANDS).groupBy(*vx.VOLUME, "inner", "outer").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
-def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: The masks grown and shrunk by a voxel, their distances (voxels three times as large), and the five features of each variant.
+VARIANTS = f"""{VOX},
+grd AS (SELECT rad, par, z, y, x, (power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + 2 * rad, 2) OR (par = 0 AND z = 0 AND y < 2 AND x < 2))::INTEGER AS mask
+  FROM (SELECT DISTINCT s_nationkey % 3 AS rad, s_suppkey % 2 AS par FROM supplier), range({NZ}) a(z), range({NY}) b(y), range({NX}) c(x)),
+o19(a, b, c) AS (SELECT z, y, x FROM range(-1, 2) p(z), range(-1, 2) q(y), range(-1, 2) r(x) WHERE z * z + y * y + x * x <= 2),
+near AS (SELECT rad, par, z + a AS z, y + b AS y, x + c AS x, count(*) AS k FROM grd, o19 WHERE mask = 1 GROUP BY ALL),
+mv AS (SELECT rad, par, z, y, x, variant, CASE variant WHEN 'orig' THEN mask WHEN 'dil' THEN (k > 0)::INTEGER ELSE (mask = 1 AND k = 19)::INTEGER END AS mask
+  FROM (SELECT grd.*, coalesce(k, 0) AS k FROM grd LEFT JOIN near USING (rad, par, z, y, x)), (VALUES ('orig'), ('dil'), ('ero')) v(variant)),
+msk AS (SELECT * FROM mv QUALIFY variant <> 'ero' OR sum(mask) OVER (PARTITION BY rad, par, variant) >= 50),
+o(a, b, c) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
+fc AS (SELECT rad, par, variant, z + a AS z, y + b AS y, x + c AS x, count(*) AS fg FROM msk, o WHERE mask = 1 GROUP BY ALL),
+edg AS (SELECT msk.* FROM msk LEFT JOIN fc USING (rad, par, variant, z, y, x) WHERE (mask = 1 AND coalesce(fg, 0) < 6) OR (mask = 0 AND coalesce(fg, 0) > 0)),
+dst AS (SELECT g.rad, g.par, g.variant, g.mask, g.z, g.y, g.x, 3 * min(sqrt(power((g.z - e.z) * 2.5, 2) + power(g.y - e.y, 2) + power(g.x - e.x, 2))) AS d FROM msk g JOIN edg e USING (rad, par, variant, mask) GROUP BY ALL),
+w AS (SELECT patient_id, phase, variant, hu, dst.mask, d, max(d) FILTER (dst.mask = 1) OVER (PARTITION BY patient_id, phase, variant) AS deep FROM vox v JOIN dst USING (rad, par, z, y, x) WHERE phase IN ('C1', 'P')),
+ft AS (SELECT patient_id, phase, variant, CASE WHEN count(*) FILTER (mask = 0 AND d BETWEEN 20 AND 30) >= 50 THEN median(hu) FILTER (mask = 0 AND d BETWEEN 20 AND 30) END AS ring,
+  quantile_cont(hu, 0.9) FILTER (mask = 0 AND d > 0 AND d <= 10 AND hu > -50 AND hu < 200) AS p10mm, quantile_cont(hu, 0.9) FILTER (mask = 0 AND d > 0 AND d <= 5 AND hu > -50 AND hu < 200) AS p5mm,
+  median(hu) FILTER (mask = 1 AND deep >= 3 AND d <= deep * 0.2) AS rim, quantile_cont(hu, 0.1) FILTER (mask = 1) AS low FROM w GROUP BY ALL),
+lng AS (SELECT patient_id, variant, unnest(['C1_tlr_liver_ref_median', 'C1_peri_10mm_peri_p90', 'C1_peri_5mm_peri_p90', 'C1_rim_median']) AS feature, unnest([ring, p10mm, p5mm, rim]) AS value FROM ft WHERE phase = 'C1'
+  UNION ALL SELECT patient_id, variant, 'P_enh_p10', low FROM ft WHERE phase = 'P'),
+pat AS (SELECT patient_id, feature, round(max(value) FILTER (variant = 'orig'), 6) AS orig, round(max(value) FILTER (variant = 'dil'), 6) AS dil, round(max(value) FILTER (variant = 'ero'), 6) AS ero FROM lng GROUP BY ALL)"""
+
+
+def variant_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = voxels(spark, sf_dir)
-    each = stored(robust.robustness(v, meta(v), vx.ball(1.0, tuple(SPACING.values()))), "robustness")
-    return rounded(robust.robustness_summary(each))
+    return rounded(robust.robustness(v, meta(v).withColumns({k: F.lit(3 * s) for k, s in SPACING.items()}), vx.ball(1.0, tuple(3 * s for s in SPACING.values()))))
+
+
+@query(f"WITH {VARIANTS} SELECT * FROM pat")
+def robustness_per_patient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variant_features(spark, sf_dir)
+
+
+@query(f"""
+WITH {VARIANTS}, pr AS (SELECT feature, 'dil' AS v, orig AS a, dil AS b FROM pat WHERE dil IS NOT NULL AND orig IS NOT NULL UNION ALL SELECT feature, 'ero', orig, ero FROM pat WHERE ero IS NOT NULL AND orig IS NOT NULL),
+gm AS (SELECT *, count(*) OVER w AS n, avg(a) OVER w AS ma, avg(b) OVER w AS mb, (avg(a) OVER w + avg(b) OVER w) / 2 AS g,
+  rank() OVER (PARTITION BY feature, v ORDER BY a) + (count(*) OVER (PARTITION BY feature, v, a) - 1) / 2.0 AS ra, rank() OVER (PARTITION BY feature, v ORDER BY b) + (count(*) OVER (PARTITION BY feature, v, b) - 1) / 2.0 AS rb
+  FROM pr WINDOW w AS (PARTITION BY feature, v)),
+ms AS (SELECT feature, v, n, 2 * sum(power((a + b) / 2 - g, 2)) / (n - 1) AS msr, n * (power(any_value(ma - g), 2) + power(any_value(mb - g), 2)) AS msc,
+  sum(power(a - (a + b) / 2 - ma + g, 2) + power(b - (a + b) / 2 - mb + g, 2)) / (n - 1) AS mse, avg(abs(b - a) / abs(a)) FILTER (abs(a) > 1e-6) * 100 AS pct,
+  CASE WHEN var_pop(ra) > 0 AND var_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM gm GROUP BY feature, v, n),
+ic AS (SELECT *, CASE WHEN n >= 10 AND msr + mse + 2.0 / n * (msc - mse) >= 1e-10 THEN (msr - mse) / (msr + mse + 2.0 / n * (msc - mse)) END AS i FROM ms)
+SELECT feature, {", ".join(f"max(n) FILTER (v = '{v}') AS n_{v}, round(max(greatest(-1, least(1, i))) FILTER (v = '{v}'), 6) AS icc_{v}, round(max(pct) FILTER (v = '{v}'), 6) AS pct_change_{v}, round(max(rho) FILTER (v = '{v}'), 6) AS spearman_r_{v}, max(CASE WHEN i < 0.5 THEN 'poor' WHEN i < 0.75 THEN 'moderate' WHEN i < 0.9 THEN 'good' WHEN i IS NOT NULL THEN 'excellent' END) FILTER (v = '{v}') AS interp_{v}" for v in ("dil", "ero"))}
+FROM ic GROUP BY feature""")
+def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary's limits and rank p-values have SQL of their own (icc2, spearman)."""
+    each = stored(variant_features(spark, sf_dir), "robustness")
+    out = rounded(robust.robustness_summary(each))
+    return out.select("feature", *(f"{c}_{v}" for v in ("dil", "ero") for c in ("n", "icc", "pct_change", "spearman_r", "interp")))

@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxcohort.operators.quantiles import percentiles
 from voxcohort.operators.ranks import anova_f, correlation_pairs
-from voxcohort.operators.summary import long_form
+from voxcohort.operators.summary import long_form, value_table
 
 
 @dataclass
@@ -35,8 +36,9 @@ class Columnwise:
 
 def median_imputer(train: DataFrame, features: Sequence[str]) -> Columnwise:
     """Exact medians; a feature without values is filled with 0."""
-    row = train.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in features)).first()
-    return Columnwise(fill={c: 0.0 if row[c] is None else row[c] for c in features})
+    counts = value_table(long_form(train, [], features), ["feature"], "value")
+    found = {r["feature"]: r["m"] for r in percentiles(counts, ["feature"], [0.5]).select("feature", F.col("q")[0].alias("m")).collect()}  # one row per feature
+    return Columnwise(fill={c: found.get(c, 0.0) for c in features})
 
 
 def standardizer(train: DataFrame, features: Sequence[str]) -> Columnwise:

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.functions import tails
-from voxcohort.operators.summary import _meet
-from voxcohort.plans.storage import stored
+from voxcohort.operators.quantiles import percentiles
+from voxcohort.operators.summary import _meet, value_table
+from voxcohort.plans.storage import attach, stored
 
 PIECES = 64
 
@@ -36,11 +37,13 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, by: Sequence[s
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """df with rank, the average rank of value among the rows of keys; null for null."""
-    ranks = ranked_counts(df, keys, value).select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("v").alias("_v"), "rank")
-    on = F.col(value).cast("double") == F.col("_v")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(ranks, on, "left").drop("_v", *(f"_k{i}" for i in range(len(keys))))
+    # A row's group and value in one key, so that rows of a value that very many share are spread out.
+    key = F.sha2(F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(value).cast("double").alias("v"))), 256)
+    ranks = ranked_counts(df, keys, value)
+    named = F.sha2(F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("v").alias("v"))), 256)
+    ranks = stored(ranks.select(named.alias("_value"), F.col("total").alias("_total"), "rank"), "value-ranks")
+    rows = df.withColumn("_value", F.when(F.col(value).isNotNull(), key))
+    return attach(rows, ranks, "_value", "_total", df.count()).drop("_value", "_total")
 
 
 def kruskal(long: DataFrame, class_col: str, least: int = 3) -> DataFrame:
@@ -148,9 +151,8 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def group_comparison(long: DataFrame, class_col: str, classes: Sequence[str]) -> DataFrame:
     """kruskal with q and each class's median, iqr and n."""
-    counts = long.filter("value IS NOT NULL").groupBy("feature", class_col, F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    q = F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75))), F.col("n"))
-    cell = counts.groupBy("feature", class_col).agg(q.alias("q"), F.sum("n").alias("n")).select("feature", class_col, F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "n")
+    cell = percentiles(value_table(long, ["feature", class_col], "value"), ["feature", class_col], (0.25, 0.5, 0.75))
+    cell = cell.select("feature", class_col, F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), F.col("total").alias("n"))
     wide = cell.groupBy("feature").pivot(class_col, list(classes)).agg(F.first("median").alias("median"), F.first("iqr").alias("iqr"), F.first("n").alias("n"))
     return benjamini_hochberg(kruskal(long, class_col), "kw_p", q="kw_q").join(wide, "feature")
 

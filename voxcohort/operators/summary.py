@@ -1,5 +1,5 @@
 """Grouped summaries. Values are reduced to (group, value, count) first, so exact percentiles, deviations and
-histograms work on distinct values, and every shuffle carries partial counts."""
+histograms work on distinct values, and every shuffle carries partial counts; quantiles are found by selection."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from voxcohort.functions.columns import median_text
 from voxcohort.functions.tails import t_sf2
+from voxcohort.operators.quantiles import percentiles
+from voxcohort.plans.storage import small_or_not, stored
 
 Keys = Sequence[str]
 
@@ -43,22 +45,28 @@ def hist_entropy(counts: DataFrame, keys: Keys, bins: int = 32) -> DataFrame:
 
 def mad(counts: DataFrame, keys: Keys) -> DataFrame:
     """keys, mad: the median of absolute deviations from the median, unscaled."""
-    mid = counts.groupBy(*keys).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("_m"))
-    return _meet(counts, mid, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("v") - F.col("_m")), F.lit(0.5), F.col("n")).alias("mad"))
+    return _deviation(counts, percentiles(counts, keys, [0.5]).select(*keys, F.col("q")[0].alias("_m")), keys)
+
+
+def _deviation(counts: DataFrame, middle: DataFrame, keys: Keys) -> DataFrame:
+    """keys, mad, from the medians _m by keys."""
+    away = _meet(counts, small_or_not(middle), keys).groupBy(*keys, F.abs(F.col("v") - F.col("_m")).alias("v")).agg(F.sum("n").alias("n"))
+    return percentiles(away, keys, [0.5]).select(*keys, F.col("q")[0].alias("mad"))
 
 
 def robust_stats(df: DataFrame, keys: Keys, value: str, bins: int = 32) -> DataFrame:
     """keys, n, median, iqr, mad, entropy, skewness, kurtosis (population, excess), p10, p90; nulls are left out."""
-    counts = value_table(df, keys, value)
-    q = F.percentile("v", F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))), F.col("n"))
-    first = counts.groupBy(*keys).agg(q.alias("q"), F.sum("n").alias("N"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("_mean"))
-    first = first.select(*keys, "N", F.col("q")[2].alias("median"), (F.col("q")[3] - F.col("q")[1]).alias("iqr"), F.col("q")[0].alias("p10"), F.col("q")[4].alias("p90"), "_mean")
+    counts = stored(value_table(df, keys, value), "distinct-values")
+    q = stored(percentiles(counts, keys, (0.1, 0.25, 0.5, 0.75, 0.9)), "quantiles")
+    mean = counts.groupBy(*keys).agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("_mean"))
+    first = q.select(*keys, F.col("total").alias("N"), F.col("q")[2].alias("median"), (F.col("q")[3] - F.col("q")[1]).alias("iqr"), F.col("q")[0].alias("p10"), F.col("q")[4].alias("p90"))
     d = F.col("v") - F.col("_mean")
     m = [F.sum(F.pow(d, F.lit(i)) * F.col("n")) / F.sum("n") for i in (2, 3, 4)]
-    second = _meet(counts, first.select(*keys, "_mean", "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("v") - F.col("median")), F.lit(0.5), F.col("n")).alias("mad"), *(x.alias(f"_m{i}") for i, x in zip((2, 3, 4), m, strict=True)))
+    second = _meet(counts, small_or_not(stored(mean, "means")), keys).groupBy(*keys).agg(*(x.alias(f"_m{i}") for i, x in zip((2, 3, 4), m, strict=True)))
     spread = F.col("_m2") > 0
-    second = second.select(*keys, "mad", F.when(spread, F.col("_m3") / F.pow("_m2", F.lit(1.5))).alias("skewness"), F.when(spread, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3).alias("kurtosis"))
-    out = _meet(_meet(first.drop("_mean"), second, keys), hist_entropy(counts, keys, bins), keys)
+    second = second.select(*keys, F.when(spread, F.col("_m3") / F.pow("_m2", F.lit(1.5))).alias("skewness"), F.when(spread, F.col("_m4") / (F.col("_m2") * F.col("_m2")) - 3).alias("kurtosis"))
+    second = _meet(second, _deviation(counts, q.select(*keys, F.col("q")[2].alias("_m")), keys), keys)
+    out = _meet(_meet(first, second, keys), hist_entropy(counts, keys, bins), keys)
     return out.select(*keys, F.col("N").alias("n"), "median", "iqr", "mad", "entropy", "skewness", "kurtosis", "p10", "p90")
 
 
@@ -90,9 +98,8 @@ def long_form(df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> Dat
 def descriptive_table(long: DataFrame, class_col: str, classes: Sequence[str]) -> DataFrame:
     """feature, <class>_median_iqr (text), <class>_n."""
     counts = value_table(long, ["feature", class_col], "value")
-    q = F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75))), F.col("n"))
-    cell = counts.groupBy("feature", class_col).agg(q.alias("q"), F.sum("n").alias("n"))
-    cell = cell.select("feature", class_col, median_text(F.col("q")[1], F.col("q")[0], F.col("q")[2]).alias("t"), "n")
+    cell = percentiles(counts, ["feature", class_col], (0.25, 0.5, 0.75))
+    cell = cell.select("feature", class_col, median_text(F.col("q")[1], F.col("q")[0], F.col("q")[2]).alias("t"), F.col("total").alias("n"))
     wide = long.select("feature").distinct().join(cell.groupBy("feature").pivot(class_col, list(classes)).agg(F.first("t").alias("median_iqr"), F.first("n").alias("n")), "feature", "left")
     return wide.select("feature", *(c for k in classes for c in (F.coalesce(F.col(f"{k}_median_iqr"), F.lit("N/A")).alias(f"{k}_median_iqr"), F.coalesce(F.col(f"{k}_n"), F.lit(0)).alias(f"{k}_n"))))
 

@@ -65,7 +65,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with docs' columns; only the keys of rows that go are joined to the texts."""
-    keyed = stored(with_row_key(docs), "exact-docs")
+    keyed = with_row_key(docs)
     found = exact_dedup(keyed.select(F.col(ROW), F.col(f"{HELD}.`{id_col}`").alias("id"), F.col(f"{HELD}.`{text_col}`").alias("text")), "id", "text", keep=(ROW,))
     gone = stored(found.filter(~F.col("kept")).select(F.col(ROW).alias("_llm_gone")), "exact-gone")
     return keyed.join(small_or_not(gone), F.col(ROW) == F.col("_llm_gone"), "left_anti").select(f"{HELD}.*")

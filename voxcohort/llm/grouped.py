@@ -7,16 +7,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxcohort.plans.storage import small_or_not, stored
+
 #: Names in with_row_key's table: the key, and a table's own columns in one, whatever they are called.
 ROW, HELD = "row", "held"
 
 
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether docs are the rows of files as they are, each once."""
+    return docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation" and "_metadata" not in docs.columns
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
-    """row, held: a key for each row, and all its columns as a struct, so that no name can clash."""
-    return docs.select(F.monotonically_increasing_id().alias(ROW), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(HELD))
+    """row, held: a key for each row, and all its columns as a struct, so that no name can clash.
+
+    Rows of files are told apart by their file and place in it, which any later reading gives again, so no copy is written; other
+    rows get a number and are written with it.
+    """
+    held = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(HELD)
+    if not _is_scan(docs):
+        return stored(docs.select(F.monotonically_increasing_id().alias(ROW), held), "row-keys")
+    placed = docs.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_place"), held)
+    files = docs.select(F.col("_metadata.file_path").alias("_path")).distinct()
+    files = stored(files.select("_path", (F.row_number().over(Window.orderBy("_path")) - 1).alias("_number")), "row-files")  # a row per file
+    return placed.join(small_or_not(files), F.col("_file") == F.col("_path")).select((F.shiftleft(F.col("_number").cast("long"), 40) + F.col("_place")).alias(ROW), HELD)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:

@@ -102,7 +102,7 @@ def repeated(docs: DataFrame, weights: DataFrame | None = None, **parameters) ->
 
     A key written with the rows tells those of one id, or of none, apart.
     """
-    keyed_rows = stored(with_row_key(docs), "mix-docs")
+    keyed_rows = with_row_key(docs)
     at = {"id_col": "doc_id", "text_col": "text", "source_col": "source"}
     names = {k: parameters.pop(k, v) for k, v in at.items()}
     narrow = keyed_rows.select(F.col(ROW), *(F.col(f"{HELD}.`{names[k]}`").alias(v) for k, v in at.items()))

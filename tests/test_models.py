@@ -22,7 +22,7 @@ def table(spark):
 
 def test_boosted_trees_go_through_the_selecting_arms(table, monkeypatch):
     monkeypatch.setattr(models, "probe", lambda factory: {"maxIter": 2, "maxDepth": 2})
-    got = models.nested_cv(table, ("full", "attribution"), FEATURES, "id", "class", outer=2, inner=2, n_iter=1, grid={"maxIter": (2,), "maxDepth": (2,)}, factory=models.boosted, top=2)
+    got = models.nested_cv(table, ("full", "attribution"), FEATURES, "id", "class", outer=2, inner=2, n_iter=1, grid={"maxIter": (2,), "maxDepth": (2,)}, factory=models.boosted, top=2, tops=(2,))
     kept = {}
     for r in got.features.collect():
         kept.setdefault((r.arm, r.fold), set()).add(r.feature)
@@ -42,10 +42,68 @@ def test_boosted_attributions_add_up_to_the_margin(spark, table):
         assert np.ptp(apart) < 1e-9  # what is left is the margin's mean over the cover
 
 
+def folded(table, outer=2, inner=2):
+    base = evaluate.stratified_folds(models.labelled(table, "class"), "id", "class", outer, 1)
+    return evaluate.stratified_folds(base, "id", "class", inner, 2, ["fold"], "inner_fold").withColumn("true_label", F.col("class")).cache()
+
+
 def test_inner_search_tries_its_sets(table):
-    rows = evaluate.balanced_weights(models.labelled(table, "class"), "class")
-    best = models.search(rows, FEATURES, "id", "class", 2, 2, {"numTrees": (5,), "maxDepth": (0, 4)})
-    assert best == {"numTrees": 5, "maxDepth": 4}
+    folds = models.Folds(folded(table), FEATURES, ["0", "1", "2"], 2, 2, models.forest, 30)
+    assert folds.search("none", 0, [{"numTrees": 5, "maxDepth": 0}, {"numTrees": 5, "maxDepth": 4}], 2) == {"numTrees": 5, "maxDepth": 4}
+    sets = [{"numTrees": 5, "maxDepth": 4, "top": 1}, {"numTrees": 5, "maxDepth": 4, "top": 3}]
+    assert folds.search("full", 1, sets, 2)["top"] in (1, 3)
+    assert len(models.drawn(models.GRID, 25, 42)) == 25 and len(models.drawn({"a": (1, 2)}, 25, 42)) == 2
+
+
+def with_gaps(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(240):
+        x = [float(v) for v in rng.normal(size=4) * (1, 10, 0.1, 1000) + (0, 5, 100, -3)]
+        x.append(x[0] * 3 + rng.normal() * 0.2)
+        gone = rng.random(5) < 0.15
+        gone[4] = gone[0]  # e follows a, with its gaps
+        rows.append((i, str(i % 3), *(None if g else v + (i % 3) * 0.3 for g, v in zip(gone, x, strict=True)), 4.0, None))
+    return spark.createDataFrame(rows, "id long, class string, a double, b double, c double, d double, e double, flat double, empty double")
+
+
+def test_fold_sums_give_what_a_fit_on_the_rows_gives(spark):
+    names = ["a", "b", "c", "d", "e", "flat", "empty"]
+    base = folded(with_gaps(spark), 3, 2)
+    folds = models.Folds(base, names, ["0", "1", "2"], 3, 2, models.forest, 30)
+    for k, j in ((0, None), (1, 0), (2, 1)):
+        train = folds.rows(k, j)
+        want = models.build_arm(train, "correlation", names, "class")
+        got = folds.prepared("correlation", k, j)
+        assert got.features == want.features and not {"a", "e"} <= set(got.features)
+        assert got.steps[0].fill == pytest.approx(want.steps[0].fill)
+        for c in names:
+            assert got.steps[1].centre[c] == pytest.approx(want.steps[1].centre[c], abs=1e-9)
+        weights = {r["label"]: r["weight"] for r in folds.rows(k).select("label", "weight").distinct().collect()}
+        assert weights == pytest.approx({r["label"]: r["weight"] for r in evaluate.balanced_weights(folds.rows(k).drop("weight"), "class").select("label", "weight").distinct().collect()})
+
+
+def test_no_left_out_row_enters_a_fit(spark):
+    """Other values, gaps and a feature that gives the class away in the left-out rows change nothing that is fitted without them."""
+    names = ["a", "b", "c", "d", "e"]
+    base = folded(with_gaps(spark), 3, 2)
+    fitted = models.Folds(base, names, ["0", "1", "2"], 3, 2, models.forest, 30)
+    for k, j in ((1, 0), (2, None)):
+        out = (F.col("fold") == k) if j is None else (F.col("fold") == k) | (F.col("inner_fold") == j)
+        leak = base.withColumns({"a": F.when(out, F.col("label") * 1000).otherwise(F.col("a")), "b": F.when(out, None).otherwise(F.col("b")), "c": F.when(out, F.col("e") * 7).otherwise(F.col("c"))})
+        other = models.Folds(leak, names, ["0", "1", "2"], 3, 2, models.forest, 30)
+        for arm in ("none", "correlation"):
+            x, y = fitted.prepared(arm, k, j), other.prepared(arm, k, j)
+            assert x.features == y.features and x.steps[0].fill == y.steps[0].fill
+            for c in names:
+                assert x.steps[1].centre[c] == pytest.approx(y.steps[1].centre[c], abs=1e-8)
+        assert fitted.ranking("full", fitted.prepared("full", k, j), fitted.rows(k, j)) == other.ranking("full", other.prepared("full", k, j), other.rows(k, j))
+
+
+def test_fold_metrics_name_the_parameters(table):
+    got = models.nested_cv(table, ("none",), FEATURES, "id", "class", outer=2, inner=2, n_iter=2, grid={"numTrees": (3,), "maxDepth": (2, 3)})
+    rows = got.fold_metrics(["0", "1", "2"]).collect()
+    assert len(rows) == 2 and sum(r.n_test for r in rows) == 150 and all("maxDepth=" in r.best_params and r.f1_macro > 0.3 for r in rows)
 
 
 def test_groups_without_features_have_null_metrics(table):

@@ -39,9 +39,9 @@ def _by_hash(df: DataFrame, keys: Sequence[str], id_col: str, *salt: object) ->
     return numbered(rows, keys, [F.col("_h"), F.col(id_col)], F.substring("_h", 1, 2), "_place").drop("_h")
 
 
-def stratified_folds(df: DataFrame, id_col: str, class_col: str, k: int, seed: int = 42) -> DataFrame:
-    """df with fold 0 .. k-1: classes are dealt in the order of md5(id|seed), so each class is spread evenly."""
-    return _by_hash(df, [class_col], id_col, seed).withColumn("fold", ((F.col("_place") - 1) % k).cast("int")).drop("_place")
+def stratified_folds(df: DataFrame, id_col: str, class_col: str, k: int, seed: int = 42, within: Sequence[str] = (), name: str = "fold") -> DataFrame:
+    """df with fold 0 .. k-1: classes (within groups) are dealt in the order of md5(id|seed), so each class is spread evenly."""
+    return _by_hash(df, [class_col, *within], id_col, seed).withColumn(name, ((F.col("_place") - 1) % k).cast("int")).drop("_place")
 
 
 def _by_id(ids: DataFrame, id_col: str) -> DataFrame:

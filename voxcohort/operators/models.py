@@ -22,11 +22,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxcohort.operators import evaluate, prep
+from voxcohort.operators import evaluate, foldstats, prep
 from voxcohort.plans.storage import shared_dir, stored
 
 ARMS = ("none", "correlation", "full", "attribution")
 #: Parameter sets that the inner search draws from.
+#: "top" is the number of features that the arm full keeps.
+TOPS = (20, 30, 50, 75)
 GRID: dict[str, Sequence] = {"numTrees": (20, 50, 100), "maxDepth": (3, 4, 5), "featureSubsetStrategy": ("sqrt", "onethird"), "minInstancesPerNode": (1, 3)}
 
 BOOSTED_GRID: dict[str, Sequence] = {"maxIter": (10, 20), "maxDepth": (2, 3, 4), "stepSize": (0.05, 0.1), "subsamplingRate": (0.8, 1.0)}
@@ -93,19 +95,29 @@ def build_arm(train: DataFrame, arm: str, features: Sequence[str], class_col: st
     return out
 
 
-def importance_selector(train: DataFrame, features: Sequence[str], top: int, factory: Factory = forest) -> list[str]:
-    """The features of largest importance in a probe fitted on train (with label and weight), in their own order."""
+def importance_ranking(train: DataFrame, features: Sequence[str], factory: Factory = forest) -> list[str]:
+    """The features by their importance in a probe fitted on train (with label and weight), largest first."""
     score = importances(factory(**probe(factory)).fit(assembled(train, features)))
-    best = set(np.argsort(-score, kind="stable")[:top])
-    return [f for i, f in enumerate(features) if i in best]
+    return [features[i] for i in np.argsort(-score, kind="stable")]
 
 
-def attribution_selector(train: DataFrame, features: Sequence[str], top: int, factory: Factory = forest) -> list[str]:
-    """The features of largest mean absolute attribution in a probe fitted on train, in their own order."""
+def attribution_ranking(train: DataFrame, features: Sequence[str], factory: Factory = forest) -> list[str]:
+    """The features by their mean absolute attribution in a probe fitted on train, largest first."""
     rows = assembled(train, features)
     model = factory(**probe(factory)).fit(rows)
     score = {r["feature"]: r["importance"] for r in tree_attributions(model, rows, features).collect()}
-    best = set(sorted(features, key=lambda f: (-score.get(f, 0.0), f))[:top])
+    return sorted(features, key=lambda f: (-score.get(f, 0.0), f))
+
+
+def importance_selector(train: DataFrame, features: Sequence[str], top: int, factory: Factory = forest) -> list[str]:
+    """The features of largest importance in a probe fitted on train, in their own order."""
+    best = set(importance_ranking(train, features, factory)[:top])
+    return [f for f in features if f in best]
+
+
+def attribution_selector(train: DataFrame, features: Sequence[str], top: int, factory: Factory = forest) -> list[str]:
+    """The features of largest mean absolute attribution in a probe fitted on train, in their own order."""
+    best = set(attribution_ranking(train, features, factory)[:top])
     return [f for f in features if f in best]
 
 
@@ -139,55 +151,126 @@ class CvResult:
     params: list[dict] = field(default_factory=list)
 
     def fold_metrics(self, classes: Sequence[str]) -> DataFrame:
+        """arm, fold, n_test, accuracy, f1_macro, f1_weighted, auc_ovr, n_features, best_params (as text, null without a search)."""
         keys = ["arm", "fold"]
-        m = evaluate.classification_metrics(self.predictions, keys)
-        return m.join(evaluate.auc_ovr(self.predictions, keys, classes), keys, "left").join(self.features.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_features")), keys, "left")
+        m = evaluate.classification_metrics(self.predictions, keys).withColumnRenamed("n", "n_test")
+        m = m.join(evaluate.auc_ovr(self.predictions, keys, classes), keys, "left").join(self.features.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_features")), keys, "left")
+        rows = [(p["arm"], p["fold"], ", ".join(f"{k}={v}" for k, v in sorted(p.items()) if k not in keys)) for p in self.params]
+        return m.join(F.broadcast(_table(rows, "arm string, fold int, best_params string", self.predictions)), keys, "left")  # a row per arm and fold
 
 
 def _table(rows: list[tuple], schema: str, like: DataFrame) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, schema)
 
 
-def search(train: DataFrame, features: Sequence[str], id_col: str, class_col: str, inner: int, n_iter: int, grid: Mapping[str, Sequence] = GRID, factory: Factory = forest, seed: int = 42, parallel: int = 4) -> dict:
-    """The parameters of the largest mean macro F1 over inner folds, among n_iter sets drawn without repetition."""
+def drawn(grid: Mapping[str, Sequence], n_iter: int, seed: int) -> list[dict]:
+    """n_iter parameter sets of a grid without repetition, or all if there are fewer."""
     sets = [dict(zip(grid, v, strict=True)) for v in itertools.product(*grid.values())]
-    sets = random.Random(seed).sample(sets, min(n_iter, len(sets)))
-    if len(sets) == 1:
-        return sets[0]
-    rows = assembled(evaluate.stratified_folds(train, id_col, class_col, inner, seed + 1).withColumnRenamed("fold", "_inner"), features).cache()
-    classes = sorted(r[0] for r in train.select(class_col).distinct().collect())
+    return random.Random(seed).sample(sets, min(n_iter, len(sets)))
 
-    def tried(job: tuple[int, int]) -> tuple[int, DataFrame]:
-        i, k = job
-        model = factory(**sets[i]).fit(rows.filter(F.col("_inner") != k))
-        return i, predicted(model, rows.filter(F.col("_inner") == k), classes, [class_col]).withColumns({"_set": F.lit(i), "_inner": F.lit(k)})
 
-    with ThreadPoolExecutor(parallel) as pool:
-        parts = [p for _, p in pool.map(tried, itertools.product(range(len(sets)), range(inner)))]
-    everything = parts[0]
-    for p in parts[1:]:
-        everything = everything.unionByName(p)
-    score = evaluate.classification_metrics(everything, ["_set", "_inner"], class_col).groupBy("_set").agg(F.avg("f1_macro").alias("s")).orderBy(F.col("s").desc(), "_set").first()
-    rows.unpersist()
-    return sets[score["_set"]]
+def macro_f1(cells: Sequence[tuple]) -> float:
+    """From (true, predicted, n): the mean F1 over the classes that occur as either."""
+    hit, true, guess = {}, {}, {}
+    for t, p, n in cells:
+        true[t], guess[p] = true.get(t, 0) + n, guess.get(p, 0) + n
+        hit[t] = hit.get(t, 0) + (n if t == p else 0)
+    return float(np.mean([2 * hit.get(c, 0) / (true.get(c, 0) + guess.get(c, 0)) for c in {*true, *guess}]))
+
 
+class Folds:
+    """Arms fitted on the training sets of a nested cross-validation, from statistics that add up over folds.
 
-def nested_cv(df: DataFrame, arms: Sequence[str], features: Sequence[str], id_col: str, class_col: str, outer: int = 5, inner: int = 3, n_iter: int = 25, grid: Mapping[str, Sequence] = GRID, factory: Factory = forest, seed: int = 42, top: int = 30) -> CvResult:
-    """Each arm over the same outer folds: fold-local preparation, inner search, refit, predictions of the fold left out."""
-    base = stored(evaluate.stratified_folds(labelled(df.select(id_col, class_col, *features), class_col), id_col, class_col, outer, seed), "cv-folds")
+    base has label, weight per outer fold by classes, fold and inner_fold. Every preparation, the choice of features
+    included, is fitted on the very rows that the model is fitted on: for the inner search, on those outside the inner fold.
+    """
+
+    def __init__(self, base: DataFrame, features: Sequence[str], classes: Sequence[str], outer: int, inner: int, factory: Factory, top: int) -> None:
+        self.base, self.classes, self.factory, self.top = base, list(classes), factory, top
+        self.sums = foldstats.gather(base, features, "label", len(classes), outer, inner)
+
+    def rows(self, outer: int, inner: int | None = None, left_out: bool = False) -> DataFrame:
+        """A training set with its weights, or what was left out of it: the outer fold, or an inner one of the outer training set."""
+        inside = F.col("fold") != outer
+        if inner is not None:
+            inside = inside & ((F.col("inner_fold") == inner) if left_out else (F.col("inner_fold") != inner))
+        elif left_out:
+            inside = ~inside
+        n = np.diag(self.sums.training(outer))[-len(self.classes) :]
+        weight = F.element_at(F.array(*(F.lit(float(n.sum() / (np.count_nonzero(n) * max(x, 1.0)))) for x in n)), F.col("label").cast("int") + 1)
+        return self.base.filter(inside).withColumn("weight", weight)
+
+    def prepared(self, arm: str, outer: int, inner: int | None = None) -> Arm:
+        steps, kept = foldstats.prepared(self.sums, outer, inner, 0.90 if arm in ("correlation", "full") else None)
+        return Arm(steps, kept)
+
+    def ranking(self, arm: str, fitted: Arm, train: DataFrame) -> list[str] | None:
+        """All features of the arm by a probe fitted on its training set, best first; None for arms without a choice."""
+        if arm not in ("full", "attribution") or not fitted.features:
+            return None
+        choose = importance_ranking if arm == "full" else attribution_ranking
+        return choose(fitted.transform(train), fitted.features, self.factory)
+
+    def chosen(self, fitted: Arm, ranking: list[str] | None, params: Mapping) -> tuple[list[str], dict]:
+        """The features and the model's own parameters under a parameter set."""
+        params = dict(params)
+        top = params.pop("top", self.top)
+        if ranking is None or len(fitted.features) <= top:
+            return fitted.features, params
+        best = set(ranking[:top])
+        return [f for f in fitted.features if f in best], params
+
+    def search(self, arm: str, outer: int, sets: Sequence[dict], inner: int, parallel: int = 4) -> dict:
+        """The set of the largest mean macro F1 over the inner folds; earlier sets win ties. Only class counts reach the driver."""
+        if len(sets) == 1:
+            return sets[0]
+        scores = np.zeros((len(sets), inner))
+        for j in range(inner):
+            train, left = self.rows(outer, j), self.rows(outer, j, left_out=True)
+            fitted = self.prepared(arm, outer, j)
+            ranking = self.ranking(arm, fitted, train)
+            ready, test = fitted.transform(train).persist(), fitted.transform(left).persist()
+
+            def tried(i: int, j: int = j, fitted: Arm = fitted, ranking: list[str] | None = ranking, ready: DataFrame = ready, test: DataFrame = test) -> None:
+                features, params = self.chosen(fitted, ranking, sets[i])
+                model = self.factory(**params).fit(assembled(ready, features))
+                cells = predicted(model, assembled(test, features), self.classes, ["true_label"]).groupBy("true_label", "pred_label").count().collect()
+                scores[i, j] = macro_f1(cells)
+
+            with ThreadPoolExecutor(parallel) as pool:
+                list(pool.map(tried, range(len(sets))))
+            ready.unpersist()
+            test.unpersist()
+        return sets[int(np.argmax(scores.mean(axis=1)))]
+
+
+def nested_cv(df: DataFrame, arms: Sequence[str], features: Sequence[str], id_col: str, class_col: str, outer: int = 5, inner: int = 3, n_iter: int = 25, grid: Mapping[str, Sequence] = GRID, factory: Factory = forest, seed: int = 42, top: int = 30, tops: Sequence[int] = TOPS, parallel: int = 5) -> CvResult:
+    """Each arm over the same outer folds: inner search over preparation and model as a whole, refit, predictions of the fold left out.
+
+    The arm full searches over the number of features (tops) too. Every arm draws n_iter parameter sets.
+    """
+    if wrong := set(arms) - set(ARMS):
+        raise ValueError(f"unknown arms {sorted(wrong)}")
+    base = evaluate.stratified_folds(labelled(df.select(id_col, class_col, *features), class_col), id_col, class_col, outer, seed)
+    base = evaluate.stratified_folds(base, id_col, class_col, inner, seed + 1, ["fold"], "inner_fold").withColumn("true_label", F.col(class_col))
+    base = stored(base, "cv-folds")
     classes = sorted(r[0] for r in base.select(class_col).distinct().collect())
-    parts, kept, params = [], [], []
-    for arm in arms:
-        for k in range(outer):
-            train = evaluate.balanced_weights(base.filter(F.col("fold") != k), class_col)
-            fitted = build_arm(train, arm, features, class_col, top, factory)
-            ready = fitted.transform(train)
-            best = search(ready, fitted.features, id_col, class_col, inner, n_iter, grid, factory, seed)
-            model = factory(**best).fit(assembled(ready, fitted.features))
-            test = assembled(fitted.transform(base.filter(F.col("fold") == k)), fitted.features)
-            parts.append(predicted(model, test, classes, [id_col, class_col, "fold"]).withColumn("arm", F.lit(arm)))
-            kept += [(arm, k, f) for f in fitted.features]
-            params.append({"arm": arm, "fold": k, **best})
+    folds = Folds(base, features, classes, outer, inner, factory, top)
+    def one(job: tuple[str, int]) -> tuple[DataFrame, list[tuple], dict]:
+        arm, k = job
+        sets = drawn({**grid, "top": tuple(tops)} if arm == "full" else grid, n_iter, seed)
+        best = folds.search(arm, k, sets, inner)
+        fitted, train = folds.prepared(arm, k), folds.rows(k)
+        names, own = folds.chosen(fitted, folds.ranking(arm, fitted, train), best)
+        model = factory(**own).fit(assembled(fitted.transform(train), names))
+        test = assembled(fitted.transform(folds.rows(k, left_out=True)), names)
+        part = predicted(model, test, classes, [id_col, class_col, "fold"]).withColumn("arm", F.lit(arm))
+        return part, [(arm, k, f) for f in names], {"arm": arm, "fold": k, **best}
+
+    # A fit's jobs are small beside what the cluster can do at once, so folds are searched side by side.
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(one, itertools.product(arms, range(outer))))
+    parts, kept, params = [d[0] for d in done], [x for d in done for x in d[1]], [d[2] for d in done]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -10,6 +10,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from voxcohort.functions import geometry, tails
 from voxcohort.operators import evaluate, features, models, prep, ranks, summary
@@ -189,8 +190,11 @@ def test_name_rules():
 
 def test_balls_and_bands(spark):
     assert len(vx.ball(1.0, (1.0, 1.0, 1.0))) == 19 and len(vx.ball(2.0, (1.0, 1.0, 1.0))) == 81
-    d = spark.createDataFrame([(0.0,), (3.0,), (4.0,), (16.0,)], "dist_out double")
-    assert sorted((r.dist_out, r.inner) for r in vx.assign_bands(d, vx.BANDS).collect()) == [(3.0, 0.0), (3.0, 3.0), (4.0, 3.0)]
+    d = spark.createDataFrame([(0.0, 1), (0.0, 0), (3.0, 0), (4.0, 0), (16.0, 0)], "dist_out double, mask int")
+    assert sorted((r.dist_out, r.inner) for r in vx.assign_bands(d, vx.BANDS).collect()) == [(0.0, 0.0), (3.0, 0.0), (3.0, 3.0), (4.0, 3.0)]
+    own = spark.createDataFrame([("p", "a", 0.0, 3.0), ("p", "b", 3.0, 3.0), ("p", "c", -2.0, 0.0), ("p", "d", 5.0, 4.0), ("q", "e", 0.0, 99.0), (None, "f", 0.0, 9.0), ("p", "g", None, 9.0)], "patient_id string, band string, inner double, outer double")
+    rows = d.withColumn("patient_id", F.lit("p"))
+    assert sorted((r.dist_out, r.band) for r in vx.join_bands(rows, own).collect()) == [(0.0, "a"), (0.0, "c"), (3.0, "a"), (3.0, "b")]
 
 
 @pytest.mark.parametrize("zipped", [False, True])
@@ -207,7 +211,7 @@ def test_volume_reader(spark, tmp_path, zipped):
     ending = "nii.gz" if zipped else "nii"
     for name in ("p1_C1", "p1_mask_C1"):
         (tmp_path / f"{name}.{ending}").write_bytes(gzip.compress(data) if zipped else data)
-    manifest = spark.createDataFrame([("p1", "C1", f"x/p1_C1.{ending}", f"x/p1_mask_C1.{ending}")], "patient_id string, phase string, ct_path string, mask_path string")
+    manifest = spark.createDataFrame([("p1", "C1", f"{tmp_path}/p1_C1.{ending}", f"{tmp_path}/p1_mask_C1.{ending}")], "patient_id string, phase string, ct_path string, mask_path string")
     got = volumes.read_voxels(spark, manifest, str(tmp_path)).filter("kind = 'ct'").collect()
     assert {(r.z, r.y, r.x): r.value for r in got} == {p: (a[p] + 1) * 2.0 + 1 for p in np.ndindex(a.shape)}
     assert {(r.sz, r.sy, r.sx, r.oz, r.oy, r.ox) for r in got} == {(2.0, 0.75, 0.5, 30.0, 20.0, 10.0)}

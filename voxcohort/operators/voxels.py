@@ -7,7 +7,7 @@ partitioning by (patient_id, phase)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -17,24 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxcohort.functions import geometry
+from voxcohort.operators.errors import apply_guarded
 from voxcohort.operators.summary import _meet, hist_entropy, linregress, mad, robust_stats, value_table
 
 VOLUME = ("patient_id", "phase")
 FIELDS = ("dist_in", "dist_out", "grad", "local_std", "component")
 
 
-def with_fields(voxels: DataFrame, meta: DataFrame, keys: Sequence[str] = VOLUME, fields: Sequence[str] = FIELDS) -> DataFrame:
-    """voxels with dist_in and dist_out (mm, signed by side), grad, local_std and component, volume by volume.
-
-    One task holds a volume, so volumes should be cropped to the mask's surroundings before; missing voxels
-    of the box count as background with the volume's least intensity.
-    """
-    # Sorted by the keys that the groups need anyhow; derived voxels look small to the planner, which would broadcast them.
-    joined = voxels.join(meta.select(*keys, "sz", "sy", "sx").hint("merge"), list(keys))
-    kind = {"component": "int"}
-    schema = ", ".join(f"{c} {t}" for c, t in voxels.dtypes) + "".join(f", {f} {kind.get(f, 'double')}" for f in fields)
-    columns = voxels.columns
-
+def _fields(columns: Sequence[str], fields: Sequence[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         spacing = tuple(float(pdf[c].iloc[0]) for c in ("sz", "sy", "sx"))
         at = [pdf[c].to_numpy() - pdf[c].min() for c in ("z", "y", "x")]
@@ -43,7 +33,7 @@ def with_fields(voxels: DataFrame, meta: DataFrame, keys: Sequence[str] = VOLUME
         hu[tuple(at)] = pdf["hu"]
         mask = np.zeros(shape, bool)
         mask[tuple(at)] = pdf["mask"] > 0
-        out = pdf[columns].copy()
+        out = pdf[list(columns)].copy()
         if "dist_in" in fields or "dist_out" in fields:
             inside, outside = geometry.signed_distances(mask, spacing)
             out["dist_in"], out["dist_out"] = inside[tuple(at)], outside[tuple(at)]
@@ -55,7 +45,45 @@ def with_fields(voxels: DataFrame, meta: DataFrame, keys: Sequence[str] = VOLUME
             out["component"] = geometry.components(mask)[tuple(at)]
         return out[[*columns, *fields]]
 
-    return joined.groupBy(*keys).applyInPandas(run, schema)
+    return run
+
+
+def _with_spacing(voxels: DataFrame, meta: DataFrame, keys: Sequence[str], fields: Sequence[str], how: str = "inner") -> tuple[DataFrame, str]:
+    """The voxels with their spacing, and the schema of voxels with fields."""
+    # Sorted by the keys that the groups need anyhow; derived voxels look small to the planner, which would broadcast them.
+    joined = voxels.join(meta.select(*keys, "sz", "sy", "sx").hint("merge"), list(keys), how)
+    kind = {"component": "int"}
+    return joined, ", ".join(f"{c} {t}" for c, t in voxels.dtypes) + "".join(f", {f} {kind.get(f, 'double')}" for f in fields)
+
+
+def with_fields(voxels: DataFrame, meta: DataFrame, keys: Sequence[str] = VOLUME, fields: Sequence[str] = FIELDS) -> DataFrame:
+    """voxels with dist_in and dist_out (mm, signed by side), grad, local_std and component, volume by volume.
+
+    One task holds a volume, so volumes should be cropped to the mask's surroundings before; missing voxels
+    of the box count as background with the volume's least intensity.
+    """
+    joined, schema = _with_spacing(voxels, meta, keys, fields)
+    return joined.groupBy(*keys).applyInPandas(_fields(voxels.columns, fields), schema)
+
+
+def fields_or_errors(voxels: DataFrame, meta: DataFrame, keys: Sequence[str] = VOLUME, fields: Sequence[str] = FIELDS, block: str = "fields") -> tuple[DataFrame, DataFrame]:
+    """with_fields' rows, and keys, feature_block, error_type, message, traceback_short of the volumes that failed.
+
+    A volume without spacing, with nulls or two voxels in one place, or that a field can't be worked out for is an error; the others finish.
+    """
+    joined, schema = _with_spacing(voxels, meta, keys, fields, "left")
+    own = _fields(voxels.columns, fields)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf[["sz", "sy", "sx"]].isna().any(axis=None) or (pdf[["sz", "sy", "sx"]] <= 0).any(axis=None):
+            raise ValueError("no spacing above 0")
+        if pdf[["z", "y", "x", "hu", "mask"]].isna().any(axis=None):
+            raise ValueError("voxels without place, intensity or mask")
+        if pdf.duplicated(["z", "y", "x"]).any():
+            raise ValueError("two voxels in one place")
+        return own(pdf)
+
+    return apply_guarded(joined, keys, run, schema, block)
 
 
 def median(value: Column, where: Column) -> Column:

@@ -5,12 +5,16 @@ from __future__ import annotations
 import gzip
 import struct
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voxcohort.operators.errors import ERROR, described, split
+from voxcohort.plans.storage import stored
+
 CLINICAL = "patient_id string, cancer_type string, phase string, liver_mask_path string, scanner string"
 #: Sample types of the format by their code.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
@@ -45,24 +49,82 @@ def decode_nifti(data: bytes) -> tuple[np.ndarray, tuple[float, float, float], t
     return raw, (pix[3], pix[2], pix[1]), (origin[2], origin[1], origin[0])
 
 
-def read_voxels(spark: SparkSession, manifest: DataFrame, files: str | Sequence[str]) -> DataFrame:
+VOXELS = "patient_id string, phase string, kind string, z int, y int, x int, value double, sz double, sy double, sx double, oz double, oy double, ox double"
+#: Voxels of a slab that a task hands on at once.
+SLAB = 1 << 20
+
+
+def _plain(path: Column) -> Column:
+    """A path as it is compared: local ones without their scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _named(manifest: DataFrame, phases: Sequence[str] | None, kinds: Sequence[str]) -> DataFrame:
+    """patient_id, phase, kind, path of the files to be read; only those of the phases and kinds asked for."""
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"{k}_path").alias("path")) for k in kinds))
+    out = manifest.select("patient_id", "phase", F.explode(each).alias("f")).select("patient_id", "phase", "f.kind", _plain(F.col("f.path")).alias("path")).filter("path IS NOT NULL")
+    return out.filter(F.col("phase").isin(*phases)) if phases else out
+
+
+def _content(spark: SparkSession, named: DataFrame, files: str | Sequence[str]) -> DataFrame:
+    """named with the content of each file that is there (null if not); no other file is opened."""
+    listed = spark.read.format("binaryFile").load(files).select(F.col("path").alias("_full"), _plain(F.col("path")).alias("_path"))  # paths only
+    there = named.select("path").distinct().join(listed, F.col("path") == F.col("_path")).select("_full")
+    paths = [r["_full"] for r in there.toLocalIterator()]  # as many as Spark lists of them
+    if not paths:
+        return named.withColumn("content", F.lit(None).cast("binary"))
+    content = spark.read.format("binaryFile").load(paths).select(_plain(F.col("path")).alias("_path"), "content")
+    return named.join(content, F.col("path") == F.col("_path"), "left").drop("_path")
+
+
+def _decoded(r) -> Iterator[pd.DataFrame]:
+    if r.content is None:
+        raise FileNotFoundError(f"missing or empty: {r.path}")
+    a, spacing, origin = decode_nifti(r.content)
+    step = max(1, SLAB // max(1, a.shape[1] * a.shape[2]))
+    for at in range(0, a.shape[0], step):
+        part = a[at : at + step]
+        z, y, x = (i.ravel() for i in np.indices(part.shape, dtype=np.int32))
+        yield pd.DataFrame({"patient_id": r.patient_id, "phase": r.phase, "kind": r.kind, "z": z + at, "y": y, "x": x, "value": part.ravel(), **dict(zip(("sz", "sy", "sx"), spacing, strict=True)), **dict(zip(("oz", "oy", "ox"), origin, strict=True))})
+
+
+def read_voxels(spark: SparkSession, manifest: DataFrame, files: str | Sequence[str], phases: Sequence[str] | None = None, kinds: Sequence[str] = ("ct", "mask")) -> DataFrame:
     """patient_id, phase, kind (ct, mask), z, y, x, value, and spacing and origin sz .. ox, of the files the manifest names.
 
-    files: paths or globs to list; each file is decoded in one task.
+    files: paths or globs to list; files go by their whole path, only those named (of the phases and kinds) are opened, and each is
+    decoded in one task, slab by slab. A file that is missing or broken ends the job; scan_volumes goes on past it.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for r in pdf.itertuples(index=False):
+                yield from _decoded(r)
+
+    return _content(spark, _named(manifest, phases, kinds), files).mapInPandas(run, VOXELS)
+
+
+def scan_volumes(spark: SparkSession, manifest: DataFrame, files: str | Sequence[str], phases: Sequence[str] | None = None, kinds: Sequence[str] = ("ct", "mask")) -> tuple[DataFrame, DataFrame]:
+    """read_voxels' rows of the files that can be read, and patient_id, phase, kind, feature_block, error_type, message, traceback_short of the others.
+
+    Both come from one pass that is written once. A file is decoded before its first row is handed on, so none is there in part.
     """
-    named = manifest.select("patient_id", "phase", F.explode(F.array(F.struct(F.lit("ct").alias("kind"), F.col("ct_path").alias("path")), F.struct(F.lit("mask").alias("kind"), F.col("mask_path").alias("path")))).alias("f")).select("patient_id", "phase", "f.*")
-    content = spark.read.format("binaryFile").load(files).select(F.col("path").alias("_path"), "content")
-    both = content.join(named, F.element_at(F.split("_path", "/"), -1) == F.element_at(F.split("path", "/"), -1))
-    schema = "patient_id string, phase string, kind string, z int, y int, x int, value double, sz double, sy double, sx double, oz double, oy double, ox double"
+    names = [f.split()[0] for f in VOXELS.split(", ")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             for r in pdf.itertuples(index=False):
-                a, spacing, origin = decode_nifti(r.content)
-                z, y, x = (i.ravel() for i in np.indices(a.shape, dtype=np.int32))
-                yield pd.DataFrame({"patient_id": r.patient_id, "phase": r.phase, "kind": r.kind, "z": z, "y": y, "x": x, "value": a.ravel(), **dict(zip(("sz", "sy", "sx"), spacing, strict=True)), **dict(zip(("oz", "oy", "ox"), origin, strict=True))})
+                slabs = _decoded(r)
+                try:
+                    first = next(slabs)
+                except Exception as e:
+                    row = {c: None for c in names} | {"patient_id": r.patient_id, "phase": r.phase, "kind": r.kind} | {f"_{c}": v for c, v in zip(ERROR, described(e), strict=True)}
+                    yield pd.DataFrame([row])
+                    continue
+                for slab in chain([first], slabs):
+                    yield slab.assign(**{f"_{c}": None for c in ERROR})
 
-    return both.select("patient_id", "phase", "kind", "content").mapInPandas(run, schema)
+    tagged = _content(spark, _named(manifest, phases, kinds), files).mapInPandas(run, VOXELS + "".join(f", _{c} string" for c in ERROR))
+    return split(stored(tagged, "volumes"), ["patient_id", "phase", "kind"], "read")
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", format: str = "parquet") -> None:

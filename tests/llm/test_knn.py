@@ -67,3 +67,17 @@ def test_bounds_never_leave_out_a_cell():
 def test_large_components_are_exact(spark):
     rows = [(0, [2.0**24, 1.0]), (1, [2.0**24, 3.0]), (2, [2.0**24, 2.0]), (3, [-(2.0**24), 2.0]), (20, [2.0**60, 1.0]), (4, [2.0**30, 1.0])]
     assert answered(spark, rows) == brute(rows, knn.K)
+
+
+def test_vectors_go_only_where_they_are_needed(spark):
+    """On clustered vectors each goes to the queries of few cells; the answers stay exact."""
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 4) for _ in range(6)] for _ in range(12)]
+    rows = [(i, [round(c + rng.gauss(0, 0.02), 2) for c in centres[i % 12]]) for i in range(1200)]
+    rows = [(i, [float(x) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent, kept, _ = knn.routed(df, F.col("vec_id") % 20 == 0, 5, "vec_id", "embedding", knn.SCALE, 24, 4)
+    groups = sent.select("asking").distinct().count()
+    assert groups >= 12 and kept.count() < 0.5 * len(rows) * groups
+    got = knn.top_k(df, F.col("vec_id") % 20 == 0, 5, pivots=24, block=4)
+    assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, 5)

@@ -7,8 +7,9 @@ bounds the scores in a cell from above and below. The lower bounds give each que
 are sure to reach; the query goes only to cells whose upper bound reaches it. Cells are solved locally and
 the best k of the local lists are the result, with ties to the smaller id.
 
-Large cells (many equal vectors, say) are cut into blocks, each solved by itself, and so are the queries of a
-cell: a task holds one block of each. Pivots are PIVOTS at most and so are the summaries, which go to the
+Queries are grouped by their own cell, so a group's queries need much the same cells, and a vector is sent only to the
+groups of which a query needs its cell. Large cells (many equal vectors, say) are cut into blocks, each solved by
+itself, and so are the queries of a cell: a task holds one block of each. Pivots are PIVOTS at most and so are the summaries, which go to the
 driver; nothing else does.
 
 Components become floor(scale * x), as doubles; beyond 63 bits they and the scores stop at the largest long.
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.llm.grouped import groups
-from voxcohort.plans.storage import stored
+from voxcohort.plans.storage import small_or_not, stored
 
 K = 20
 SCALE = 64
@@ -131,40 +132,72 @@ def local_best(qrow: np.ndarray, q: np.ndarray, xrow: np.ndarray, x: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
 
 
-def top_k(vectors: DataFrame, asks: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: the k largest inner products of each row for which asks holds with all others."""
-    spark = vectors.sparkSession
-    empty = spark.range(0).select(F.col("id").alias("query_id"), F.col("id").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+def routed(vectors: DataFrame, asks: Column, k: int, id_col: str, vec_col: str, scale: int, pivots: int, block: int) -> tuple[DataFrame, DataFrame, int] | None:
+    """Queries and vectors where they meet: cell, part, asking, side (0, 1), row, vec_id, v of each, and the number of components.
+
+    Queries stand in blocks of their own cell. A vector goes to the blocks of which a query needs its cell, and to no other.
+    """
     data = scaled(vectors.withColumn("asks", F.coalesce(asks, F.lit(False))), id_col, vec_col, scale, ("asks",))
     # The vectors with the smallest hashes of ids, then distinct ones: as many whatever the size of the table.
     first = data.select(F.xxhash64("vec_id").alias("_h"), "v").orderBy("_h", "v").limit(4 * pivots).collect()
     sample = list(dict.fromkeys(tuple(r["v"]) for r in first))[:pivots]
     if not sample:
-        return empty
+        return None
     dims = max(data.agg(F.max(F.size("v"))).first()[0], 1)
     p = np.zeros((len(sample), dims))
     for i, r in enumerate(sample):
         p[i, : len(r)] = r
     placed = stored(in_cells(data.withColumn("row", F.monotonically_increasing_id()), p), "voronoi")
-    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far"), F.min("norm"), F.max("norm")).orderBy("cell").collect()
-    summary = np.array([tuple(r) for r in cells], float)
-    blocks = {r[0]: -(-r[1] // block) for r in cells}
-    many = max(1, -(-placed.filter("asks").count() // block))  # blocks of queries
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far"), F.min("norm"), F.max("norm"), F.count_if("asks").alias("q")).orderBy("cell").collect()
+    summary = np.array([tuple(r)[:5] for r in cells], float)
+    blocks = {r["cell"]: -(-r["n"] // block) for r in cells}
+    asking = {r["cell"]: max(1, -(-r["q"] // block)) for r in cells}  # blocks of the queries of a cell
+    begin, total = {}, 0
+    for c in range(len(p)):
+        begin[c] = total
+        total += asking.get(c, 1)
+
+    def of_cell(values: dict[int, int]) -> Column:
+        return F.element_at(F.array(*(F.lit(values.get(c, 1)) for c in range(len(p)))), F.col("cell") + 1)
+
+    own = (of_cell(begin) + F.pmod(F.xxhash64("row"), of_cell(asking))).cast("int").alias("asking")
+    queries = placed.filter("asks").select(own, F.lit(0).alias("side"), "row", "vec_id", "v")
+
+    def needs(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(needed(_matrix(b.column("v"), dims), p, summary, k)) if b.num_rows else (np.zeros(0, int), np.zeros(0, int))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = np.zeros((total, len(summary)), bool)
+        for b in batches:
+            q, s = needs(b)
+            met[b.column("asking").to_numpy()[q], s] = True
+        a, s = np.nonzero(met)
+        yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(summary[s, 0].astype(np.int32))], ["asking", "cell"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = np.array([blocks[int(c)] for c in summary[:, 0]])
         for b in batches:
-            q, s = np.nonzero(needed(_matrix(b.column("v"), dims), p, summary, k)) if b.num_rows else (np.zeros(0, int), np.zeros(0, int))
+            q, s = needs(b)
             times = parts[s]
             q, s = np.repeat(q, times), np.repeat(s, times)
             part = np.arange(len(q)) - np.repeat(np.cumsum(times) - times, times)
             take = pa.array(q)
             yield pa.RecordBatch.from_arrays([pa.array(summary[s, 0].astype(np.int32)), pa.array(part.astype(np.int32)), *(b.column(c).take(take) for c in ("asking", "side", "row", "vec_id", "v"))], ["cell", "part", "asking", "side", "row", "vec_id", "v"])
 
-    asking = F.pmod(F.xxhash64("row"), F.lit(many)).cast("int").alias("asking")
-    sent = placed.filter("asks").select(asking, F.lit(0).alias("side"), "row", "vec_id", "v").mapInArrow(route, "cell int, part int, asking int, side int, row long, vec_id long, v array<double>")
-    per_cell = F.element_at(F.array(*(F.lit(blocks.get(c, 1)) for c in range(len(p)))), F.col("cell") + 1)
-    kept = placed.select("cell", F.pmod(F.xxhash64("row"), per_cell).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("asking"), F.lit(1).alias("side"), "row", "vec_id", "v")
+    # Blocks of queries times cells at most.
+    wanted = stored(queries.mapInArrow(named, "asking int, cell int").distinct(), "voronoi-needs")
+    sent = queries.mapInArrow(route, "cell int, part int, asking int, side int, row long, vec_id long, v array<double>")
+    kept = placed.select("cell", F.pmod(F.xxhash64("row"), of_cell(blocks)).cast("int").alias("part"), F.lit(1).alias("side"), "row", "vec_id", "v")
+    return sent, kept.join(small_or_not(wanted), "cell").select(*sent.columns), dims
+
+
+def top_k(vectors: DataFrame, asks: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: the k largest inner products of each row for which asks holds with all others."""
+    spark = vectors.sparkSession
+    found = routed(vectors, asks, k, id_col, vec_col, scale, pivots, block)
+    if found is None:
+        return spark.range(0).select(F.col("id").alias("query_id"), F.col("id").cast("int").alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score"))
+    sent, kept, dims = found
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, (side, row, ids, v) in groups(batches, ("cell", "part", "asking"), ("side", "row", "vec_id", "v")):

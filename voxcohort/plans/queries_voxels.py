@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcohort.operators import robust
+from voxcohort.operators import blocks, robust
 from voxcohort.operators import voxels as vx
 from voxcohort.plans.registry import query, rounded
 from voxcohort.plans.storage import stored, table
@@ -263,6 +263,22 @@ def assign_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vx.assign_bands(distances(spark, sf_dir)[0], vx.BANDS).groupBy(*vx.VOLUME, "inner", "outer").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"""
+WITH {VOX} SELECT patient_id, phase, z, y, x, (CASE WHEN par = 0 AND NOT (z = 0 AND y < 2 AND x < 2) THEN 2 ELSE 1 END)::INTEGER AS component FROM vox WHERE mask = 1""")
+def components_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of eight places a side, so that the large lesions cross borders."""
+    return blocks.components(voxels(spark, sf_dir), vx.VOLUME, 8)
+
+
+@query(f"""
+WITH {DISTANCES}, near AS (SELECT g.rad, g.par, g.z, g.y, g.x, min(sqrt(power((g.z - m.z) * 2.5, 2) + power(g.y - m.y, 2) + power(g.x - m.x, 2))) AS d FROM grd g JOIN grd m ON g.rad = m.rad AND g.par = m.par AND m.mask = 1 GROUP BY ALL)
+SELECT patient_id, phase, v.z, v.y, v.x, round(d, 6) AS distance FROM vox v JOIN near USING (rad, par, z, y, x)""")
+def distances_by_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every voxel's distance to the nearest voxel of the mask."""
+    v = voxels(spark, sf_dir).select(*vx.VOLUME, "z", "y", "x", "mask")
+    return rounded(blocks.distances(v, tuple(SPACING.values()), vx.VOLUME, "mask > 0").drop("mask"))
+
+
 #: The masks grown and shrunk by a voxel, their distances (voxels three times as large), and the five features of each variant.
 VARIANTS = f"""{VOX},
 grd AS (SELECT rad, par, z, y, x, (power((z - 4.5) * 2, 2) + power(y - 9.5, 2) + power(x - 9.5, 2) <= power(5 + 2 * rad, 2) OR (par = 0 AND z = 0 AND y < 2 AND x < 2))::INTEGER AS mask

@@ -81,3 +81,13 @@ def test_vectors_go_only_where_they_are_needed(spark):
     assert groups >= 12 and kept.count() < 0.5 * len(rows) * groups
     got = knn.top_k(df, F.col("vec_id") % 20 == 0, 5, pivots=24, block=4)
     assert sorted(tuple(r) for r in got.select("query_id", "rank", "vec_id", "score").collect()) == brute(rows, 5)
+
+
+def test_query_blocks_are_filled():
+    import numpy as np
+
+    pivots = np.array([[0.0], [10.0], [1.0], [11.0], [2.0]])
+    begin, many, total = knn.query_blocks(pivots, {0: 3, 1: 25, 2: 4, 3: 2, 4: 0}, 10)
+    assert begin[0] == begin[2] == begin[4] == 0 and many == {0: 1, 1: 3, 2: 1, 3: 1, 4: 1} and total == 5
+    assert begin[1] == 1 and begin[3] == 4
+    assert knn.query_blocks(pivots, {c: 2 for c in range(5)}, 10)[2] == 1

@@ -7,7 +7,7 @@ bounds the scores in a cell from above and below. The lower bounds give each que
 are sure to reach; the query goes only to cells whose upper bound reaches it. Cells are solved locally and
 the best k of the local lists are the result, with ties to the smaller id.
 
-Queries are grouped by their own cell, so a group's queries need much the same cells, and a vector is sent only to the
+Queries are grouped by their own cell (small cells with those near them), so a group's queries need much the same cells, and a vector is sent only to the
 groups of which a query needs its cell. Large cells (many equal vectors, say) are cut into blocks, each solved by
 itself, and so are the queries of a cell: a task holds one block of each. Pivots are PIVOTS at most and so are the summaries, which go to the
 driver; nothing else does.
@@ -132,10 +132,34 @@ def local_best(qrow: np.ndarray, q: np.ndarray, xrow: np.ndarray, x: np.ndarray,
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+def query_blocks(pivots: np.ndarray, queries: dict[int, int], block: int) -> tuple[dict[int, int], dict[int, int], int]:
+    """Per cell its first block of queries and its number of blocks, and the number of all blocks.
+
+    A cell of more queries than block has blocks of its own; smaller ones share a block with cells near them, so there are no more
+    blocks, and no more copies of vectors, than the queries fill.
+    """
+    order, rest = [], set(range(len(pivots)))
+    while rest:
+        near = min(rest, key=lambda c: (float(((pivots[c] - pivots[order[-1]]) ** 2).sum()) if order else 0.0, c))
+        order.append(near)
+        rest.remove(near)
+    begin, many, at, held = {}, {}, 0, 0
+    for c in order:
+        q = queries.get(c, 0)
+        if held and held + q > block:
+            at, held = at + 1, 0
+        begin[c], many[c] = at, max(1, -(-q // block))
+        if q > block:
+            at, held = at + many[c], 0
+        else:
+            held += q
+    return begin, many, at + 1
+
+
 def routed(vectors: DataFrame, asks: Column, k: int, id_col: str, vec_col: str, scale: int, pivots: int, block: int) -> tuple[DataFrame, DataFrame, int] | None:
     """Queries and vectors where they meet: cell, part, asking, side (0, 1), row, vec_id, v of each, and the number of components.
 
-    Queries stand in blocks of their own cell. A vector goes to the blocks of which a query needs its cell, and to no other.
+    Queries stand in blocks of their own cell, or of cells near each other. A vector goes to the blocks of which a query needs its cell, and to no other.
     """
     data = scaled(vectors.withColumn("asks", F.coalesce(asks, F.lit(False))), id_col, vec_col, scale, ("asks",))
     # The vectors with the smallest hashes of ids, then distinct ones: as many whatever the size of the table.
@@ -151,11 +175,7 @@ def routed(vectors: DataFrame, asks: Column, k: int, id_col: str, vec_col: str,
     cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far"), F.min("norm"), F.max("norm"), F.count_if("asks").alias("q")).orderBy("cell").collect()
     summary = np.array([tuple(r)[:5] for r in cells], float)
     blocks = {r["cell"]: -(-r["n"] // block) for r in cells}
-    asking = {r["cell"]: max(1, -(-r["q"] // block)) for r in cells}  # blocks of the queries of a cell
-    begin, total = {}, 0
-    for c in range(len(p)):
-        begin[c] = total
-        total += asking.get(c, 1)
+    begin, asking, total = query_blocks(p, {r["cell"]: r["q"] for r in cells}, block)
 
     def of_cell(values: dict[int, int]) -> Column:
         return F.element_at(F.array(*(F.lit(values.get(c, 1)) for c in range(len(p)))), F.col("cell") + 1)

@@ -320,7 +320,7 @@ ms AS (SELECT feature, v, n, 2 * sum(power((a + b) / 2 - g, 2)) / (n - 1) AS msr
   sum(power(a - (a + b) / 2 - ma + g, 2) + power(b - (a + b) / 2 - mb + g, 2)) / (n - 1) AS mse, avg(abs(b - a) / abs(a)) FILTER (abs(a) > 1e-6) * 100 AS pct,
   CASE WHEN var_pop(ra) > 0 AND var_pop(rb) > 0 THEN corr(ra, rb) END AS rho FROM gm GROUP BY feature, v, n),
 ic AS (SELECT *, CASE WHEN n >= 10 AND msr + mse + 2.0 / n * (msc - mse) >= 1e-10 THEN (msr - mse) / (msr + mse + 2.0 / n * (msc - mse)) END AS i FROM ms)
-SELECT feature, {", ".join(f"max(n) FILTER (v = '{v}') AS n_{v}, round(max(greatest(-1, least(1, i))) FILTER (v = '{v}'), 6) AS icc_{v}, round(max(pct) FILTER (v = '{v}'), 6) AS pct_change_{v}, round(max(rho) FILTER (v = '{v}'), 6) AS spearman_r_{v}, max(CASE WHEN i < 0.5 THEN 'poor' WHEN i < 0.75 THEN 'moderate' WHEN i < 0.9 THEN 'good' WHEN i IS NOT NULL THEN 'excellent' END) FILTER (v = '{v}') AS interp_{v}" for v in ("dil", "ero"))}
+SELECT feature, {", ".join(f"max(n) FILTER (v = '{v}') AS n_{v}, round(max(CASE WHEN i IS NOT NULL THEN greatest(-1, least(1, i)) END) FILTER (v = '{v}'), 6) AS icc_{v}, round(max(pct) FILTER (v = '{v}'), 6) AS pct_change_{v}, round(max(rho) FILTER (v = '{v}'), 6) AS spearman_r_{v}, max(CASE WHEN i < 0.5 THEN 'poor' WHEN i < 0.75 THEN 'moderate' WHEN i < 0.9 THEN 'good' WHEN i IS NOT NULL THEN 'excellent' ELSE '–' END) FILTER (v = '{v}') AS interp_{v}" for v in ("dil", "ero"))}
 FROM ic GROUP BY feature""")
 def robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary's limits and rank p-values have SQL of their own (icc2, spearman)."""

@@ -175,25 +175,3 @@ def nearest_centroid(df: DataFrame, keys: Sequence[str], id_col: str, class_col:
     centre = grid.join(part, on, "left").filter(left > 0).select(*keys, fold, "_c", *((F.col(f"_t_{c}") - F.coalesce(f"_s_{c}", F.lit(0.0))).__truediv__(left).alias(f"_m_{c}") for c in features))
     distance = sum((F.pow(F.col(c) - F.col(f"_m_{c}"), F.lit(2)) for c in features), F.lit(0.0))
     return _meet(df, centre, [*keys, fold]).groupBy(*keys, fold, id_col, class_col).agg(F.min(F.struct(distance.alias("d"), F.col("_c").alias("c")))["c"].alias("pred"))
-
-
-def permutation_test(df: DataFrame, id_col: str, class_col: str, features: Sequence[str], b: int = 1000, k: int = 5, seed: int = 42, chunk: int = 100) -> DataFrame:
-    """One row: observed macro F1 of nearest centroids over k folds, and what permuted labels reach, in chunks of b.
-
-    Every permutation is a key of the same grouped jobs; a chunk bounds the rows shuffled at once.
-    """
-    folds = stratified_folds(df.select(id_col, class_col, *features), id_col, class_col, k, seed)
-
-    def scores(labelled: DataFrame) -> DataFrame:
-        pred = nearest_centroid(labelled, ["b"], id_col, class_col, features)
-        each = class_metrics(pred.withColumnRenamed(class_col, "_true"), ["b", "fold"], "_true", "pred")
-        return each.groupBy("b", "fold").agg(F.avg("f1").alias("f")).groupBy("b").agg(F.avg("f").alias("score"))
-
-    observed = scores(folds.withColumn("b", F.lit(0))).select(F.col("score").alias("observed"))
-    out = None
-    for at in range(0, b, chunk):
-        named = permute_labels(folds, id_col, class_col, min(chunk, b - at), seed + at)
-        part = scores(named.join(folds.drop(class_col), id_col))
-        out = part if out is None else out.unionByName(part)
-    held = out.join(F.broadcast(observed), F.lit(True))  # one row
-    return held.agg(F.first("observed").alias("observed"), F.count("score").alias("permutation_n"), ((F.count_if(F.col("score") >= F.col("observed")) + 1) / (F.count("score") + 1)).alias("p_value"), F.avg("score").alias("perm_mean"), F.stddev_pop("score").alias("perm_std"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcohort.operators import evaluate, prep
+from voxcohort.operators import evaluate, permutation, prep
 from voxcohort.plans.registry import query, rounded
 from voxcohort.plans.storage import table
 
@@ -127,10 +127,28 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.nearest_centroid(x, [], "p_partkey", "p_brand", ["p_size", "p_retailprice"])
 
 
-@query()
+MIX = """g{n} AS (SELECT * REPLACE ((xor(u, u >> 16) * 73244475) & 4294967295 AS u, (xor(v, v >> 16) * 73244475) & 4294967295 AS v) FROM g{m})"""
+
+
+@query(f"""
+WITH x AS (SELECT vec_id, embedding::DOUBLE[] AS e, (label % 3)::VARCHAR AS class FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+t AS (SELECT *, (row_number() OVER (PARTITION BY class ORDER BY md5(vec_id || '|42'), vec_id) - 1) % 5 AS fold, md5(vec_id::VARCHAR) AS h FROM x),
+s AS (SELECT b, md5(b || '|42') AS h FROM range(1, 1001) r(b)),
+g0 AS (SELECT b, vec_id, xor(('0x' || t.h[1:8])::BIGINT, ('0x' || s.h[1:8])::BIGINT) AS u, xor(('0x' || t.h[9:16])::BIGINT, ('0x' || s.h[9:16])::BIGINT) AS v FROM t, s), {MIX.format(n=1, m=0)}, {MIX.format(n=2, m=1)},
+o AS (SELECT b, vec_id, row_number() OVER (PARTITION BY b ORDER BY xor(u, u >> 16), xor(v, v >> 16) >> 2) AS i FROM g2),
+c AS (SELECT class, row_number() OVER (ORDER BY class) AS i FROM t), l AS (SELECT b, vec_id, class FROM o JOIN c USING (i) UNION ALL SELECT 0, vec_id, class FROM t),
+a AS (SELECT b, vec_id, fold, l.class, e FROM l JOIN t USING (vec_id)), u AS (SELECT b, fold, class, unnest(e) AS e, unnest(range(len(e))) AS j FROM a),
+p AS (SELECT b, fold, class, j, count(*) AS n, sum(e) AS s FROM u GROUP BY ALL), q AS (SELECT b, class, j, sum(n) AS n, sum(s) AS s FROM p GROUP BY ALL),
+m AS (SELECT q.b, fold, class, list((q.s - coalesce(p.s, 0)) / (q.n - coalesce(p.n, 0)) ORDER BY j) AS m FROM (SELECT * FROM q, range(5) f(fold)) q LEFT JOIN p USING (b, fold, class, j) WHERE q.n > coalesce(p.n, 0) GROUP BY ALL),
+d AS (SELECT b, fold, vec_id, a.class, arg_min(m.class, (list_distance(e, m), m.class)) AS pred FROM a JOIN m USING (b, fold) GROUP BY ALL),
+k AS (SELECT b, fold, class, count(*) AS support, 0 AS p, count(*) FILTER (class = pred) AS hits FROM d GROUP BY ALL UNION ALL SELECT b, fold, pred, 0, count(*), 0 FROM d GROUP BY ALL),
+f AS (SELECT b, fold, class, 2 * sum(hits) / sum(p + support) AS f FROM k GROUP BY ALL), y AS (SELECT b, avg(f) AS f FROM (SELECT b, fold, avg(f) AS f FROM f GROUP BY ALL) GROUP BY b)
+SELECT round(any_value(z.f), 6) AS observed, count(*) AS permutation_n, round((count(*) FILTER (y.f >= z.f) + 1) / (count(*) + 1), 6) AS p_value, round(avg(y.f), 6) AS perm_mean, round(stddev_pop(y.f), 6) AS perm_std
+FROM y, (SELECT f FROM y WHERE b = 0) z WHERE b > 0""")
 def permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).cast("string").alias("class"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)))
-    return evaluate.permutation_test(c, "vec_id", "class", [f"x{i}" for i in range(4)], b=20, chunk=10)
+    """1000 permutations, all 64 components."""
+    c = table(spark, sf_dir, "embeddings").select("vec_id", (F.col("label") % 3).cast("string").alias("class"), *(F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(64)))
+    return rounded(permutation.permutation_test(c, "vec_id", "class", [f"x{i}" for i in range(64)], b=1000))
 
 
 @query("""

@@ -193,12 +193,14 @@ def enhancement(voxels: DataFrame, pre: str = "P") -> DataFrame:
 def necrosis(df: DataFrame, keys: Sequence[str] = VOLUME) -> DataFrame:
     """Share of mask voxels with 10 <= hu <= 40 and enhancement below 15, the rule used, and their mean depth by the largest.
 
-    df is what enhancement gives; a patient without the phase before contrast goes by intensity alone.
+    df is what enhancement or grids.enhancement_on gives; a patient without the phase before contrast goes by intensity alone,
+    and so does a volume onto whose grid that phase can't be brought (pre_failed).
     """
+    failed = F.coalesce(F.col("pre_failed"), F.lit(False)) if "pre_failed" in df.columns else F.lit(False)
     has = df.groupBy("patient_id").agg((F.count("enhancement") > 0).alias("_has"))
-    v = _meet(df.filter("mask > 0"), has, ["patient_id"])
+    v = _meet(df.filter("mask > 0"), has, ["patient_id"]).withColumn("_failed", failed).withColumn("_has", F.col("_has") & ~failed)
     dead = F.col("hu").between(10, 40) & (~F.col("_has") | (F.coalesce("enhancement", F.col("hu")) < 15))
-    out = v.groupBy(*keys).agg(F.avg(dead.cast("double")).alias("necrosis_fraction"), F.when(F.first("_has"), "hybrid_hu_band_plus_enhancement").otherwise("hu_band_only").alias("necrosis_qc_method"), F.avg(F.when(dead, F.col("dist_in"))).alias("_d"), F.max("dist_in").alias("_m"))
+    out = v.groupBy(*keys).agg(F.avg(dead.cast("double")).alias("necrosis_fraction"), F.when(F.first("_has"), "hybrid_hu_band_plus_enhancement").when(F.first("_failed"), "hu_band_only_resample_failed").otherwise("hu_band_only").alias("necrosis_qc_method"), F.avg(F.when(dead, F.col("dist_in"))).alias("_d"), F.max("dist_in").alias("_m"))
     return out.select(*keys, "necrosis_fraction", "necrosis_qc_method", F.when(F.col("_m") > 0, F.col("_d") / F.col("_m")).alias("necrosis_centrality"))
 
 
@@ -272,17 +274,49 @@ def lesion_reference(df: DataFrame, keys: Sequence[str] = VOLUME, ring_only: boo
     return out.select(*keys, (t / (r + 1e-5)).alias("tumor_liver_ratio"), (t - r).alias("tumor_liver_diff"), r.alias("liver_ref_median"), F.col("mad").alias("liver_ref_mad"), F.when(F.col("_has"), "liver_mask").otherwise("ring_fallback").alias("tlr_ref_source"), F.col("_has").cast("int").alias("tlr_liver_mask_available"))
 
 
-def resample_nearest(grid: DataFrame, source: DataFrame, keys: Sequence[str] = VOLUME) -> DataFrame:
-    """grid (keys, z, y, x, and spacing and origin sz .. ox) with the source's mask at the nearest voxel, 0 outside.
+def _turned(axes: Column) -> Column:
+    """Axes, or those of space where there are none."""
+    return F.coalesce(axes, F.array(*(F.lit(float(i == j)) for i in range(3) for j in range(3))))
+
+
+def determinant(axes: Column) -> Column:
+    return sum((axes[i] * (axes[3 + (i + 1) % 3] * axes[6 + (i + 2) % 3] - axes[3 + (i + 2) % 3] * axes[6 + (i + 1) % 3]) for i in range(3)), F.lit(0.0))
+
 
-    source: keys, z, y, x, mask and its spacing and origin on every row; axes are parallel.
+def _placed(grid: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """grid with _pz, _py, _px, where its voxels' centres lie among the source's voxels; null without a source.
+
+    Spacing and origin sz .. ox stand on every row of both; axes (orientation) on those of either, else they are space's.
     """
-    where = source.select(*keys, *(c for a in "zyx" for c in (f"s{a}", f"o{a}"))).distinct().select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(f"{t}{a}").alias(f"_{t}{a}") for a in "zyx" for t in "so"))
+    turned = "axes" in grid.columns or "axes" in source.columns
+    own = [c for c in (*(f"{t}{a}" for a in "zyx" for t in "so"), "axes") if c in source.columns]
+    where = source.select(*keys, *own).distinct().select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(c).alias(f"_{c}") for c in own))
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(k) == F.col(f"_{k}"))
-    index = {f"_i{a}": F.round((F.col(a) * F.col(f"s{a}") + F.col(f"o{a}") - F.col(f"_o{a}")) / F.col(f"_s{a}")).cast("int") for a in "zyx"}
-    placed = grid.join(where, on, "left").withColumns(index)
+    placed = grid.join(where, on, "left")
+    if not turned:
+        return placed.withColumns({f"_p{a}": (F.col(a) * F.col(f"s{a}") + F.col(f"o{a}") - F.col(f"_o{a}")) / F.col(f"_s{a}") for a in "zyx"})
+    here = _turned(F.col("axes") if "axes" in grid.columns else F.lit(None))
+    there = _turned(F.col("_axes") if "axes" in source.columns else F.lit(None))
+    space = {f"_g{r}": sum((here[3 * i + j] * F.col(c) * F.col(f"s{c}") for j, c in enumerate("zyx")), F.lit(0.0)) + F.col(f"o{r}") - F.col(f"_o{r}") for i, r in enumerate("zyx")}
+    placed = placed.withColumns(space)
+
+    def inverse(i: int, j: int) -> Column:  # the cofactor of (j, i)
+        rows, columns = [(j + n) % 3 for n in (1, 2)], [(i + n) % 3 for n in (1, 2)]
+        return there[3 * rows[0] + columns[0]] * there[3 * rows[1] + columns[1]] - there[3 * rows[0] + columns[1]] * there[3 * rows[1] + columns[0]]
+
+    # Rounded at 1e-9, as products of turned axes miss a voxel's edge by the last digits.
+    index = {f"_p{r}": F.round(F.try_divide(sum((inverse(i, j) * F.col(f"_g{c}") for j, c in enumerate("zyx")), F.lit(0.0)), determinant(there) * F.col(f"_s{r}")), 9) for i, r in enumerate("zyx")}
+    return placed.withColumns(index)
+
+
+def resample_nearest(grid: DataFrame, source: DataFrame, keys: Sequence[str] = VOLUME) -> DataFrame:
+    """grid (keys, z, y, x, and spacing and origin sz .. ox) with the source's mask at the nearest voxel, 0 outside.
+
+    source: keys, z, y, x, mask and its spacing and origin on every row; axes (see sources.volumes) on either, else parallel.
+    """
+    placed = _placed(grid, source, keys).withColumns({f"_i{a}": F.round(f"_p{a}").cast("int") for a in "zyx"})
     there = source.select(*(F.col(k).alias(f"_s_{k}") for k in keys), *(F.col(a).alias(f"_j{a}") for a in "zyx"), F.col("mask").alias("_mask"))
     meet = F.lit(True)
     for k in keys:
@@ -294,12 +328,7 @@ def resample_nearest(grid: DataFrame, source: DataFrame, keys: Sequence[str] = V
 
 def resample_linear(grid: DataFrame, source: DataFrame, keys: Sequence[str] = VOLUME) -> DataFrame:
     """grid with hu, the source's trilinear value, 0 outside its voxel centres; columns as in resample_nearest."""
-    where = source.select(*keys, *(c for a in "zyx" for c in (f"s{a}", f"o{a}"))).distinct().select(*(F.col(k).alias(f"_{k}") for k in keys), *(F.col(f"{t}{a}").alias(f"_{t}{a}") for a in "zyx" for t in "so"))
-    on = F.lit(True)
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    at = {f"_p{a}": (F.col(a) * F.col(f"s{a}") + F.col(f"o{a}") - F.col(f"_o{a}")) / F.col(f"_s{a}") for a in "zyx"}
-    placed = grid.join(where, on, "left").withColumns(at)
+    placed = _placed(grid, source, keys)
     corners = []
     for n in range(8):
         cell = {a: F.floor(f"_p{a}") + (n >> i & 1) for i, a in enumerate("zyx")}

@@ -28,14 +28,37 @@ def read_clinical(spark: SparkSession, path: str, schema: str = CLINICAL, id_col
     return df.select(*((F.trim(F.col(c).cast("string")) if c == id_col else F.col(c).cast(kinds[c])).alias(c) if c in df.columns else F.lit(None).cast(kinds[c]).alias(c) for c in fields))
 
 
-def decode_nifti(data: bytes) -> tuple[np.ndarray, tuple[float, float, float], tuple[float, float, float]]:
-    """Values as [z, y, x] doubles (a fourth axis averaged), spacing and origin (z, y, x) of an uncompressed or gzipped single file."""
+def orientation(data: bytes, end: str) -> tuple[tuple[float, ...], tuple[float, ...], list[float]]:
+    """Spacing, origin (z, y, x) and axes of a header.
+
+    axes: nine numbers, for each of the directions z, y, x of space the share of the voxel axes z, y, x. The matrix (sform) if
+    its code is positive, else the quaternion (qform) if its is, else axes parallel to space.
+    """
+    pix = struct.unpack(f"{end}8f", data[76:108])
+    qform, sform = struct.unpack(f"{end}2h", data[252:256])
+    b, c, d, *offset = struct.unpack(f"{end}6f", data[256:280])
+    spacing, turn = np.array(pix[1:4]), np.eye(3)
+    if sform > 0:
+        rows = np.array(struct.unpack(f"{end}12f", data[280:328])).reshape(3, 4)
+        offset, spacing = rows[:, 3], np.linalg.norm(rows[:, :3], axis=0)
+        turn = rows[:, :3] / np.where(spacing > 0, spacing, 1.0)
+    elif qform > 0:
+        a = max(0.0, 1 - b * b - c * c - d * d) ** 0.5
+        i, j, k = np.array([[0, -d, c], [d, 0, -b], [-c, b, 0]])  # the cross product with (b, c, d)
+        cross = np.array([i, j, k])
+        turn = np.eye(3) + 2 * a * cross + 2 * cross @ cross
+        turn[:, 2] *= -1 if pix[0] < 0 else 1
+    zyx = slice(None, None, -1)
+    return tuple(map(float, spacing[zyx])), tuple(float(o) for o in offset[zyx]), (turn[zyx, zyx] + 0.0).ravel().tolist()
+
+
+def decode_nifti(data: bytes) -> tuple[np.ndarray, tuple[float, ...], tuple[float, ...], list[float]]:
+    """Values as [z, y, x] doubles (a fourth axis averaged), spacing, origin (z, y, x) and axes of an uncompressed or gzipped single file."""
     if data[:2] == b"\x1f\x8b":
         data = gzip.decompress(data)
     end = "<" if struct.unpack("<i", data[:4])[0] == 348 else ">"
     dims = struct.unpack(f"{end}8h", data[40:56])
     kind, _ = struct.unpack(f"{end}2h", data[70:74])
-    pix = struct.unpack(f"{end}8f", data[76:108])
     start, slope, inter = struct.unpack(f"{end}3f", data[108:120])
     if kind not in TYPES:
         raise ValueError(f"unsupported sample type {kind}")
@@ -45,11 +68,10 @@ def decode_nifti(data: bytes) -> tuple[np.ndarray, tuple[float, float, float], t
         raw = raw * (slope or 1.0) + inter
     while raw.ndim > 3:
         raw = raw.mean(0)
-    origin = struct.unpack(f"{end}3f", data[268:280])
-    return raw, (pix[3], pix[2], pix[1]), (origin[2], origin[1], origin[0])
+    return raw, *orientation(data, end)
 
 
-VOXELS = "patient_id string, phase string, kind string, z int, y int, x int, value double, sz double, sy double, sx double, oz double, oy double, ox double"
+VOXELS = "patient_id string, phase string, kind string, z int, y int, x int, value double, sz double, sy double, sx double, oz double, oy double, ox double, axes array<double>"
 #: Voxels of a slab that a task hands on at once.
 SLAB = 1 << 20
 
@@ -80,16 +102,16 @@ def _content(spark: SparkSession, named: DataFrame, files: str | Sequence[str])
 def _decoded(r) -> Iterator[pd.DataFrame]:
     if r.content is None:
         raise FileNotFoundError(f"missing or empty: {r.path}")
-    a, spacing, origin = decode_nifti(r.content)
+    a, spacing, origin, axes = decode_nifti(r.content)
     step = max(1, SLAB // max(1, a.shape[1] * a.shape[2]))
     for at in range(0, a.shape[0], step):
         part = a[at : at + step]
         z, y, x = (i.ravel() for i in np.indices(part.shape, dtype=np.int32))
-        yield pd.DataFrame({"patient_id": r.patient_id, "phase": r.phase, "kind": r.kind, "z": z + at, "y": y, "x": x, "value": part.ravel(), **dict(zip(("sz", "sy", "sx"), spacing, strict=True)), **dict(zip(("oz", "oy", "ox"), origin, strict=True))})
+        yield pd.DataFrame({"patient_id": r.patient_id, "phase": r.phase, "kind": r.kind, "z": z + at, "y": y, "x": x, "value": part.ravel(), **dict(zip(("sz", "sy", "sx"), spacing, strict=True)), **dict(zip(("oz", "oy", "ox"), origin, strict=True)), "axes": [axes] * part.size})
 
 
 def read_voxels(spark: SparkSession, manifest: DataFrame, files: str | Sequence[str], phases: Sequence[str] | None = None, kinds: Sequence[str] = ("ct", "mask")) -> DataFrame:
-    """patient_id, phase, kind (ct, mask), z, y, x, value, and spacing and origin sz .. ox, of the files the manifest names.
+    """patient_id, phase, kind (ct, mask), z, y, x, value, and spacing, origin and axes sz .. ox, axes, of the files the manifest names.
 
     files: paths or globs to list; files go by their whole path, only those named (of the phases and kinds) are opened, and each is
     decoded in one task, slab by slab. A file that is missing or broken ends the job; scan_volumes goes on past it.

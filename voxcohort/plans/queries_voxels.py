@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxcohort.operators import blocks, robust
+from voxcohort.operators import blocks, grids, robust
 from voxcohort.operators import voxels as vx
 from voxcohort.plans.registry import query, rounded
 from voxcohort.plans.storage import stored, table
@@ -114,6 +114,35 @@ def resample_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(vx.resample_linear(grid, source).select("patient_id", "phase", "z", "y", "x", "hu"))
 
 
+@query(f"""
+WITH {VOX} SELECT v.patient_id, v.phase, v.z, v.y, v.x, v.hu, CASE WHEN v.par = 0 THEN v.mask ELSE coalesce(m.mask, 0) END AS mask
+FROM vox v LEFT JOIN vox m ON m.patient_id = v.patient_id AND m.phase = v.phase AND m.z = v.z AND m.y = v.y AND m.x = 18 - v.x""")
+def with_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of odd patients lack a column and run against the image's x; those of even ones have its size."""
+    v, odd = voxels(spark, sf_dir), F.col("patient_id").cast("int") % 2 == 1
+    place = {**{k: F.lit(s) for k, s in SPACING.items()}, "oz": F.lit(0.0), "oy": F.lit(0.0)}
+    ct = v.select("patient_id", "phase", F.lit("ct").alias("kind"), "z", "y", "x", F.col("hu").alias("value")).withColumns({**place, "ox": F.lit(0.0), "axes": F.lit(None).cast("array<double>")})
+    turned = F.array(*(F.lit(float(i)) for i in (1, 0, 0, 0, 1, 0, 0, 0, -1)))
+    mask = v.filter(~odd | (F.col("x") < NX - 1)).select("patient_id", "phase", F.lit("mask").alias("kind"), "z", "y", "x", F.col("mask").cast("double").alias("value"))
+    mask = mask.withColumns({**place, "ox": F.when(odd, NX - 2.0).otherwise(3.0), "axes": F.when(odd, turned)})
+    return grids.with_masks(ct.unionByName(mask)).select("patient_id", "phase", "z", "y", "x", "hu", "mask")
+
+
+@query(f"""
+WITH {VOX}, pre AS (SELECT * FROM vox WHERE phase = 'P'), o(a, b, c) AS (SELECT * FROM range(2) p(a), range(2) q(b), range(2) r(c)),
+half AS (SELECT patient_id, z - a AS z, y - b AS y, x - c AS x, avg(hu) AS hu FROM pre, o GROUP BY ALL HAVING count(*) = 8)
+SELECT v.patient_id, v.phase, v.z, v.y, v.x, v.phase = 'C2' AND v.patient_id::INTEGER % 7 = 0 AS pre_failed,
+  CASE WHEN v.phase <> 'C2' OR v.patient_id::INTEGER % 7 <> 0 THEN round(v.hu - CASE WHEN v.par = 0 THEN least(200, p.hu) ELSE least(200, coalesce(h.hu, 0)) END, 6) END AS enhancement
+FROM vox v JOIN pre p USING (patient_id, z, y, x) LEFT JOIN half h USING (patient_id, z, y, x) WHERE v.phase <> 'P'""")
+def enhancement_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phase before contrast of odd patients is half a voxel further back; a C2 of every seventh has no spacing."""
+    v, k = voxels(spark, sf_dir), F.col("patient_id").cast("int")
+    back = (F.col("phase") == "P") & (k % 2 == 1)
+    place = {**{c: F.lit(s) for c, s in SPACING.items()}, **{f"o{a}": F.when(back, -SPACING[f"s{a}"] / 2).otherwise(0.0) for a in "zyx"}}
+    placed = v.withColumns(place | {"sy": F.when((F.col("phase") == "C2") & (k % 7 == 0), 0.0).otherwise(SPACING["sy"])})
+    return rounded(grids.enhancement_on(placed).select("patient_id", "phase", "z", "y", "x", "pre_failed", "enhancement"))
+
+
 @query(f"""
 WITH {VOX}, t AS (SELECT patient_id, phase, z * 2.5 AS z, y::DOUBLE AS y, x::DOUBLE AS x, hu FROM vox WHERE mask = 1), c AS (SELECT patient_id, phase, avg(z) AS cz, avg(y) AS cy, avg(x) AS cx FROM t GROUP BY ALL),
 r AS (SELECT patient_id, phase, hu, z - cz AS dz, y - cy AS dy, x - cx AS dx, sqrt((z - cz) * (z - cz) + (y - cy) * (y - cy) + (x - cx) * (x - cx)) AS r FROM t JOIN c USING (patient_id, phase)),

@@ -80,6 +80,33 @@ def test_partitions_and_chunks_do_not_matter(spark):
     assert one == other
 
 
+def test_a_task_scores_one_chunk(spark, monkeypatch):
+    scored = cm._scored
+
+    def one_chunk_only(*sizes):
+        inner = scored(*sizes)
+
+        def run(batches):
+            seen = set()
+
+            def watched():
+                for b in batches:
+                    seen.update(b.column("chunk").to_pylist())
+                    assert len(seen) == 1, f"{len(seen)} chunks in a task"
+                    kinds.extend(b.column("kind").to_pylist())
+                    yield b
+
+            kinds = []
+            yield from inner(watched())
+            assert kinds == sorted(kinds)
+
+        return run
+
+    monkeypatch.setattr(cm, "_scored", one_chunk_only)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert cm.score(docs.repartition(17), rounds=1).count() == docs.count()
+
+
 def test_held_out_texts_score_above_the_base(spark):
     """Of tokens that the training texts have; the base gives any other string alike, so it is no distribution of them."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")

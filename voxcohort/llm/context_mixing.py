@@ -35,6 +35,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxcohort.llm.grouped import groups, slices
-from voxcohort.plans.storage import stored
+from voxcohort.plans.storage import small_or_not, stored
 
 #: Bytes of context of each predictor; the last one sees the word so far, at least NEAR bytes of it and before it.
 LONGEST = 5
@@ -358,6 +359,7 @@ class Chunk:
     def __init__(self) -> None:
         self.bytes = self.held = 0
         self.words: Counter[bytes] = Counter()
+        self.unlearned: set[bytes] = set()
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, texts: list[bytes | None], held_out: list[bool]) -> None:
@@ -367,11 +369,7 @@ class Chunk:
                 continue
             split = [tokens(t) for t in own]
             for w in split:
-                if out:
-                    for x in w:
-                        self.words.setdefault(x, 0)
-                else:
-                    self.words.update(w)
+                (self.unlearned if out else self.words).update(w)
             self.words[END] += 0 if out else len(own)
             code, n = np.unique(windows([b" ".join(w) + b" " if w else b"" for w in split])[0], return_counts=True)
             self.parts.append((code, n * (not out)))
@@ -381,6 +379,10 @@ class Chunk:
             self.parts = [self.windows()]
             self.held = len(self.parts[0][0]) // 2
 
+    def counted(self) -> dict[bytes, int]:
+        """How often the training texts have each word."""
+        return dict.fromkeys(self.unlearned, 0) | self.words
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         code = np.concatenate([c for c, _ in self.parts])
         order = np.argsort(code, kind="stable")
@@ -409,7 +411,8 @@ def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
             if own.parts:
                 code, n = own.windows()
                 yield _batch(name, WINDOWS, len(code), key=pa.array(code.view(np.int64)), n=pa.array(n))
-                yield _batch(name, WORDS, len(own.words), x=pa.array(list(own.words), pa.binary()), n=pa.array(list(own.words.values()), pa.int64()))
+                words = own.counted()
+                yield _batch(name, WORDS, len(words), x=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
 
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
@@ -496,7 +499,9 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
         stops = np.flatnonzero((code & np.uint64(255) == 32) | (code & np.uint64(255) == 0)) if len(code) else np.zeros(0, np.int64)
         spelled = np.add.reduceat(bits, np.concatenate(([0], stops[:-1] + 1))) * math.log10(2) if len(code) else bits
         sizes = np.fromiter((len(w) + 1 for w in split), np.int64, len(split))
-        c = np.fromiter((known[x] for w in split for x in (*w, END)), np.float64, int(sizes.sum()))
+        for w in split:
+            w.append(END)
+        c = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.float64, int(sizes.sum()))
         with np.errstate(divide="ignore"):
             word = np.log10(c) - whole
         cuts = np.cumsum(sizes) - sizes
@@ -531,6 +536,18 @@ def _scored(total: int, distinct: int) -> Callable[[Iterator[pa.RecordBatch]], I
     return run
 
 
+def _by_chunk(met: DataFrame, chunks: DataFrame) -> DataFrame:
+    """met, each chunk in a task of its own and in the order of kinds; chunks: their names.
+
+    By a hash of the name some tasks get four chunks of 32, and hold and sort them all.
+    """
+    places = chunks.select(F.col("chunk").alias("_chunk"), (F.row_number().over(Window.orderBy("chunk")) - 1).alias("_place"))
+    places = stored(places, "lm-chunks")  # a row per chunk
+    placed = met.join(small_or_not(places), F.col("chunk") == F.col("_chunk"))
+    placed = placed.repartitionById(max(1, places.count()), "_place").sortWithinPartitions(F.col("_place").cast("long") * 4 + F.col("kind"))  # one number is sorted by its digits
+    return placed.select(*met.columns)
+
+
 def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row; held-out rows teach nothing.
 
@@ -552,8 +569,6 @@ def score(docs: DataFrame, rounds: int = ROUNDS, id_col: str = "doc_id", text_co
     met = met.unionByName(same(words, WORDS, a=F.col("c"), x=F.col("x")))
     blobs = all_.filter(F.col("kind") == TEXTS)
     met = met.unionByName(same(blobs, TEXTS, x=F.col("x")))
-    many = max(1, blobs.select("chunk").distinct().count())  # a number given, as tasks of several chunks would hold them all to sort them
-    met = met.repartition(many, "chunk").sortWithinPartitions("chunk", "kind")
-    out = met.mapInArrow(_scored(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    out = _by_chunk(met, blobs.select("chunk").distinct()).mapInArrow(_scored(total, distinct), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     bits = -F.col("score") / F.lit(math.log10(2)) / F.greatest("n_bytes", F.lit(1))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", bits.alias("bits_per_byte"))

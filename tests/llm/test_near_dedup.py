@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 
 import corpus_pipeline
-from voxcohort.llm import near_dedup
+from voxcohort.llm import near_dedup, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -61,6 +61,27 @@ def test_small_blocks_link_a_large_group(spark):
     assert [r.doc_id for r in near_dedup.representatives(docs, block=7).collect()] == [0]
 
 
+def test_grid_links_without_bands(spark, monkeypatch):
+    """The stage's popcount grid finds copies of few differing bits by itself; the similarity decides."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+        rows.append((i, " ".join(words)))
+        words[1000] = "changed"
+        rows.append((i + 100, " ".join(words)))
+    often = "again and again and then " * 200  # decides the fingerprint, but has five shingles only
+    rows += [(200, "a b c d e"), (201, "A  b c d E"), (202, often + " ".join(f"x{i}" for i in range(40))), (203, often + " ".join(f"y{i}" for i in range(40)))]
+    assert (simhash.fingerprint(rows[-1][1].encode(), 5) ^ simhash.fingerprint(rows[-2][1].encode(), 5)).bit_count() <= simhash.BITS
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    bits = [(simhash.fingerprint(rows[k][1].encode(), 5) ^ simhash.fingerprint(rows[k + 1][1].encode(), 5)).bit_count() for k in range(0, 40, 2)]
+    linked = {rows[2 * k + 1][0] for k in range(20) if bits[k] <= simhash.BITS} | {201}
+    assert len(linked) > 15
+    monkeypatch.setattr(near_dedup, "buckets", lambda sigs: sigs.selectExpr("_row", "0L AS key", "2L AS n").limit(0))
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted({i for i, _ in rows} - linked)
+
+
 def test_rows_go_for_their_own_text(spark):
     """A null or repeated id does not take other rows with it."""
     long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen"

@@ -70,6 +70,24 @@ def test_links_connect_as_all_pairs_do(spark):
         assert {x: got.get(x, x) for x in signed} == want
 
 
+def test_own_links_are_links_and_connect(spark):
+    rng = random.Random(6)
+    fps = {rng.getrandbits(64) for _ in range(40)}
+    for f in list(fps):
+        for _ in range(12):  # chains
+            for b in rng.sample(range(64), rng.randint(1, 4)):
+                f ^= 1 << b
+            fps.add(f)
+    signed = [int(np.uint64(f).view(np.int64)) for f in sorted(fps)]
+    frame = spark.createDataFrame([(x,) for x in signed], "fp long")
+    want = components(list(zip(signed, sorted(fps), strict=True)))
+    for block in (2048, 5):
+        found = simhash.links(frame, block=block, own=True).cache()
+        assert all(((r.a ^ r.b) & (1 << 64) - 1).bit_count() <= simhash.BITS for r in found.collect())
+        got = {r.node: r.component for r in simhash.connected_components(found).collect()}
+        assert {x: got.get(x, x) for x in signed} == want
+
+
 def test_edge_rows(spark):
     rows = [(1, None, "x"), (2, "", "y"), (3, " ", None), (4, "same words here again", "z"), (4, "same words here again", "z"), (None, "same words here again", "q"), (9, "same words here again", "q")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp string")

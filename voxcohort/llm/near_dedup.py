@@ -1,17 +1,17 @@
 """Near copies by the Jaccard similarity of word shingles, for whole rows.
 
 Two texts are linked if the sets of their shingles (five words, A-Z lower-cased, split at ASCII white space)
-have a Jaccard similarity of at least 0.8. Candidates share one of 24 bands of five minhashes each: a pair
-at 0.8 shares one with probability 0.9999, a pair at 0.9 with 1 - 1e-9. (A SimHash of 64 bits differs in about
-10 bits at 0.8; a grid that finds those has cells of a large share of all texts.) Every candidate pair is then
-decided by its exact similarity, so nothing below the bound is linked.
-
-120 minhashes of a text, two bytes each, are kept of it for the search. It goes in two steps:
-
-1. Each text is held against one other of those that share a band with it: the one that shares bands with most texts.
-   In a group of copies that is the text they were made from, if it is there, and most are linked to it by that, however
-   large the group is.
-2. Where a band's bucket still holds texts of several components, their minhashes are compared across components:
+have a Jaccard similarity of at least 0.8. Every candidate pair is decided by its exact similarity, so nothing
+below the bound is linked. Candidates come in three steps:
+
+1. The popcount grid of simhash.py, on fingerprints of these shingles: its links (three differing bits at most), reduced to
+   trees of links, and texts of equal fingerprints. Stars make components of those that are similar.
+2. A SimHash of 64 bits differs in about 10 bits at 0.8, and a grid for those has cells of a large share of all texts. So texts
+   that share one of 24 bands of five minhashes each are candidates, too (120 minhashes of two bytes): a pair at 0.8 shares
+   one with probability 0.9999, a pair at 0.9 with 1 - 1e-9. Buckets of a band whose texts the grid has put into one
+   component are closed. In the others each text is held against the one that shares bands with most texts. In a group of
+   copies that is the text they were made from, if it is there, and most are linked to it by that, however large the group is.
+3. Where a band's bucket still holds texts of several components, their minhashes are compared across components:
    a bucket is cut into blocks, pairs of blocks are separate tasks' work. These texts get 512 minhashes more; pairs that agree in
    0.74 of all or more (nearly four deviations below 0.8) are candidates, once for all bands.
 
@@ -33,9 +33,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxcohort.llm import simhash
 from voxcohort.llm.grouped import HELD, ROW, groups, slices, with_row_key
 from voxcohort.plans.graph import connected_components
-from voxcohort.plans.storage import small_or_not, stored
+from voxcohort.plans.storage import attach, small_or_not, stored
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -51,15 +52,13 @@ BLOCK = 2048
 HASHES = 8192
 
 
+def _distinct(found: np.ndarray, seed: int) -> np.ndarray:
+    return np.unique(found) if len(found) else np.array([xxhash.xxh64_intdigest(b"", seed)], np.uint64)
+
+
 def shingles(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The distinct hashes of a text's shingles in order; a shorter text is one shingle."""
-    words = (text or b"").lower().split()
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= shingle:
-        return np.array([digest(joined, seed)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - shingle + 1].tolist()
-    return np.unique(np.array([digest(joined[i:j], seed) for i, j in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64))
+    """The distinct hashes of a text's shingles in order; a shorter text is one shingle, also a blank one."""
+    return _distinct(simhash.hashes(text, shingle, seed), seed)
 
 
 def _mixers(seed: int, n: int = BANDS * ROWS) -> tuple[np.ndarray, np.ndarray]:
@@ -78,17 +77,45 @@ def minhashes(found: np.ndarray, mixers: tuple[np.ndarray, np.ndarray], kind: ty
     return least.astype(kind)
 
 
-def signatures(rows: DataFrame, shingle: int, seed: int, fine: bool = False) -> DataFrame:
-    """_row, sig (fine: the further minhashes) of every text."""
-    name = "fine" if fine else "sig"
+def signatures(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """_row, fp (the fingerprint as a signed long), sig (the first minhashes) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixers, kind = (_mixers(seed + 1, FINE), np.uint8) if fine else (_mixers(seed), np.uint16)
+        mixers = _mixers(seed)
         for batch in batches:
             for b in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array([minhashes(shingles(t.as_py(), shingle, seed), mixers, kind).tobytes() for t in b.column("text")], pa.binary())], ["_row", name])
+                fp, sig = [], []
+                for t in b.column("text"):
+                    found = simhash.hashes(t.as_py(), shingle, seed)
+                    fp.append(simhash.majority(found))
+                    sig.append(minhashes(_distinct(found, seed), mixers).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(sig, pa.binary())], ["_row", "fp", "sig"])
+
+    return rows.mapInArrow(run, "_row long, fp long, sig binary")
 
-    return rows.mapInArrow(run, f"_row long, {name} binary")
+
+def further(rows: DataFrame, shingle: int, seed: int) -> DataFrame:
+    """_row, fine (the further minhashes) of every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixers = _mixers(seed + 1, FINE)
+        for batch in batches:
+            for b in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array([minhashes(shingles(t.as_py(), shingle, seed), mixers, np.uint8).tobytes() for t in b.column("text")], pa.binary())], ["_row", "fine"])
+
+    return rows.mapInArrow(run, "_row long, fine binary")
+
+
+def on_grid(sigs: DataFrame) -> DataFrame:
+    """a > b: pairs of rows whose fingerprints the popcount grid links, reduced to trees, and each row with the first of equal fingerprint."""
+    fps = sigs.select("_row", "fp")
+    classes = stored(fps.groupBy("fp").agg(F.min("_row").alias("first"), F.count(F.lit(1)).alias("n")), "near-classes")
+    found = stored(simhash.links(classes, own=True), "near-grid")
+    ends = [classes.select(F.col("fp").alias(c), F.col("first").alias(f"_{c}")) for c in ("a", "b")]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct()
+    several = classes.filter("n > 1").select(F.hex("fp").alias("fingerprint"), "first", "n")
+    equal = attach(fps.select("_row", F.hex("fp").alias("fingerprint")), several, "fingerprint", "n", fps.count())
+    return across.unionByName(equal.filter("first < _row").select(F.col("_row").alias("a"), F.col("first").alias("b")))
 
 
 def band_keys() -> Column:
@@ -106,14 +133,22 @@ def buckets(sigs: DataFrame) -> DataFrame:
     return at.join(small_or_not(several), "key").select("_row", "key", "n")
 
 
+def still_open(at: DataFrame, parts: DataFrame) -> DataFrame:
+    """_row, key, n, component (by parts: node, component; else the row itself): the buckets that hold several components."""
+    at = at.join(small_or_not(parts.withColumnRenamed("node", "_node")), F.col("_row") == F.col("_node"), "left")
+    at = at.select("_row", "key", "n", F.coalesce("component", "_row").alias("component"))
+    mixed = at.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key")
+    return stored(at.join(small_or_not(stored(mixed, "near-mixed")), "key"), "near-open")
+
+
 def pivots(at: DataFrame) -> DataFrame:
-    """a, b: for each row (a) of buckets the row that meets most others, among the best of its buckets; each pair once."""
+    """a, b: for each row (a) of buckets the row that meets most others, among the best of its buckets; each pair of different components once."""
     weight = stored(at.groupBy(F.col("_row").alias("_met")).agg(F.sum("n").alias("_weight")), "near-weights")
     at = at.join(small_or_not(weight), F.col("_row") == F.col("_met"))
-    order = F.struct("_weight", (-F.col("_row")).alias("_back"))
+    order = F.struct("_weight", (-F.col("_row")).alias("_back"), F.col("component").alias("_part"))
     best = stored(at.groupBy(F.col("key").alias("_key")).agg(F.max(order).alias("_best")), "near-pivots")
     chosen = at.join(small_or_not(best), F.col("key") == F.col("_key")).filter(F.col("_best._back") != -F.col("_row"))
-    chosen = chosen.groupBy("_row").agg(F.max("_best").alias("_best")).select("_row", (-F.col("_best._back")).alias("_pivot"))
+    chosen = chosen.groupBy("_row", "component").agg(F.max("_best").alias("_best")).filter(F.col("_best._part") != F.col("component")).select("_row", (-F.col("_best._back")).alias("_pivot"))
     return chosen.select(F.greatest("_row", "_pivot").alias("a"), F.least("_row", "_pivot").alias("b")).distinct()
 
 
@@ -139,13 +174,11 @@ def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similar: float, se
 
 
 def likely(at: DataFrame, sigs: DataFrame, rows: DataFrame, shingle: int, seed: int, block: int = BLOCK) -> DataFrame:
-    """a > b: distinct pairs of different components (_row, key, component) that meet in a bucket and agree in enough minhashes."""
-    mixed = at.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).filter("_lo < _hi").select("key", "_n")
-    at = stored(at.join(small_or_not(stored(mixed, "near-mixed")), "key"), "near-open")
+    """a > b: distinct pairs of different components (_row, key, n, component) that meet in a bucket and agree in enough minhashes."""
     some = stored(at.select(F.col("_row").alias("_some")).distinct(), "near-open-rows")
     texts = rows.join(small_or_not(some), F.col("_row") == F.col("_some"), "left_semi")
-    sigs = sigs.withColumn("keys", band_keys()).join(stored(signatures(texts, shingle, seed, True), "near-fine"), "_row")
-    at = at.withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    sigs = sigs.withColumn("keys", band_keys()).join(stored(further(texts, shingle, seed), "near-fine"), "_row")
+    at = at.withColumn("_blocks", F.ceil(F.col("n") / block).cast("int"))
     at = at.withColumn("block", F.pmod(F.xxhash64("_row", "key"), F.col("_blocks")).cast("int"))
     at = at.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     at = at.select("key", F.least("block", "_other").alias("lo"), F.greatest("block", "_other").alias("hi"), "block", "_row", "component").join(sigs, "_row")
@@ -172,11 +205,12 @@ def likely(at: DataFrame, sigs: DataFrame, rows: DataFrame, shingle: int, seed:
 def links(rows: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """a, b: links that connect rows (_row, text) as all links among candidates do."""
     sigs = stored(signatures(rows, shingle, seed), "near-signatures")
-    at = stored(buckets(sigs), "near-buckets")
-    found = stored(verified(stored(pivots(at), "near-first"), rows, shingle, similar, seed), "near-star")
-    parts = stored(connected_components(found), "near-parts")
-    at = at.join(small_or_not(parts.withColumnRenamed("node", "_node")), F.col("_row") == F.col("_node"), "left")
-    rest = stored(likely(at.select("_row", "key", F.coalesce("component", "_row").alias("component")), sigs, rows, shingle, seed, block), "near-likely")
+    found = stored(verified(stored(on_grid(sigs), "near-on-grid"), rows, shingle, similar, seed), "near-by-grid")
+    at = still_open(stored(buckets(sigs), "near-buckets"), stored(connected_components(found), "near-parts"))
+    star = stored(verified(stored(pivots(at), "near-first"), rows, shingle, similar, seed), "near-star")
+    found = found.unionByName(star)
+    at = still_open(at.select("_row", "key", "n"), stored(connected_components(found), "near-parts"))
+    rest = stored(likely(at, sigs, rows, shingle, seed, block), "near-likely")
     return found.unionByName(verified(rest, rows, shingle, similar, seed))
 
 

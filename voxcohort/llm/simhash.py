@@ -40,21 +40,30 @@ HASHES = 65536
 ZONES, SEGMENTS = 4, 8
 
 
-def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The fingerprint of a text in UTF-8, unsigned; lower case for A-Z, words split at ASCII white space."""
+def hashes(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's shingles in order, repeats included; lower case for A-Z, words split at ASCII white space."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     n = max(1, len(words) - shingle + 1)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     ends = ends[min(shingle, len(words)) - 1 :].tolist()
+    return np.concatenate([np.array([digest(joined[i:j], seed) for i, j in zip(starts[at : at + HASHES], ends[at : at + HASHES], strict=True)], np.uint64) for at in range(0, n, HASHES)])
+
+
+def majority(found: np.ndarray) -> int:
+    """The bits that over half of the hashes have, unsigned; zero without hashes."""
     set_in = np.zeros(64, np.int64)
-    for at in range(0, n, HASHES):
-        h = np.array([digest(joined[i:j], seed) for i, j in zip(starts[at : at + HASHES], ends[at : at + HASHES], strict=True)], np.uint64)
-        set_in += np.add.reduce(np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
-    return int(np.packbits(2 * set_in > n, bitorder="little").view(np.uint64)[0])
+    for at in range(0, len(found), HASHES):
+        set_in += np.add.reduce(np.unpackbits(found[at : at + HASHES].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), axis=0, dtype=np.uint32)
+    return int(np.packbits(2 * set_in > len(found), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The fingerprint of a text in UTF-8, unsigned."""
+    return majority(hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -80,12 +89,12 @@ def _cells() -> list:
     return out
 
 
-def _forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> np.ndarray:
-    """Links within a, or between a and b, reduced to trees: rows of two fingerprints."""
+def _forest(a: np.ndarray, b: np.ndarray | None, bits: int, own: bool = False) -> np.ndarray:
+    """Links within a, or between a and b, reduced to trees: rows of two fingerprints. own: the trees consist of links themselves."""
     f = a if b is None else np.concatenate((a, b))
     rest = f if b is None else b
     shift = 0 if b is None else len(a)
-    label = np.arange(len(f))
+    label, kept = np.arange(len(f)), [np.zeros((0, 2), np.uint64)]
     counts = np.bitwise_count(f.view(np.uint8)).reshape(-1, 8).view(np.int8)
     for at in range(0, len(a), 512):
         mine = counts[at : at + 512]
@@ -98,14 +107,22 @@ def _forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> np.ndarray:
             i, j = i[i < j], j[i < j]
         near = np.bitwise_count(f[i] ^ f[j]) <= bits
         i, j = i[near], j[near]
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
         while len(i):
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[j], low)
+            high, low = np.maximum(label[i], label[j]), np.minimum(label[i], label[j])
+            if own:  # one link for each tree that is hung below another
+                root, at_link = np.unique(high, return_index=True)
+                label[root] = low[at_link]
+                kept.append(np.stack((f[i[at_link]], f[j[at_link]]), axis=1))
+            else:
+                np.minimum.at(label, high, low)
             while (label[label] != label).any():
                 label = label[label]
             open_ = label[i] != label[j]
             i, j = i[open_], j[open_]
+    if own:
+        return np.concatenate(kept)
     order = np.argsort(label, kind="stable")
     sizes = np.unique(label, return_counts=True)[1]
     place = np.arange(len(f)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -114,8 +131,8 @@ def _forest(a: np.ndarray, b: np.ndarray | None, bits: int) -> np.ndarray:
     return np.stack((f[order[child]], f[order[parent]]), axis=1)
 
 
-def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
-    """a, b: links that connect the distinct fingerprints fp exactly as all links within the bound do."""
+def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK, own: bool = False) -> DataFrame:
+    """a, b: pairs that connect the distinct fingerprints fp exactly as all links within the bound do; own: each is such a link itself."""
     if not 0 <= bits < ZONES:
         raise ValueError(f"with {ZONES} zones at most {ZONES - 1} bits can differ")
     at = fps.select("fp", F.explode(F.array(*_cells())).alias("cell"))
@@ -127,9 +144,9 @@ def links(fps: DataFrame, bits: int = BITS, block: int = BLOCK) -> DataFrame:
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = [], 0
-        for (_, lo, hi), (own, fp) in groups(batches, ("cell", "lo", "hi"), ("block", "fp")):
+        for (_, lo, hi), (part, fp) in groups(batches, ("cell", "lo", "hi"), ("block", "fp")):
             f = fp.view(np.uint64)
-            found = _forest(f, None, bits) if lo == hi else _forest(f[own == lo], f[own == hi], bits)
+            found = _forest(f, None, bits, own) if lo == hi else _forest(f[part == lo], f[part == hi], bits, own)
             out.append(found)
             n += len(found)
             if n > 100_000:

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import numpy as np
 import sentencepiece
@@ -99,3 +100,17 @@ def test_kept_words_are_bounded_in_bytes(monkeypatch):
     e(["short"])
     assert sum(map(len, e.number)) < 100
     assert [x.tolist() for x in e(["q" * 5000])] == first
+
+
+def test_arrays_are_bounded_by_some_words_at_a_time(monkeypatch):
+    v, texts = sp.vocabulary(), [" ".join(f"w{i * j:x}" for j in range(1, 20_000)) for i in range(1, 7)] + ["é" * 3000, "", None]
+    sp.Encoder(v)(texts[-3:])
+    tracemalloc.start()
+    ids, per = sp.Encoder(v)(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    for most in (500, 1 << 30):
+        monkeypatch.setattr(sp, "PATHS", most)
+        again, sizes = sp.Encoder(v)(texts)
+        assert again.tolist() == ids.tolist() and sizes.tolist() == per.tolist()

@@ -8,6 +8,7 @@ itself, which comes back as a space.
 Pieces never cross into a marker from other characters (checked when a vocabulary is read; otherwise texts
 are encoded whole), so the best path of a text is that of its words. Words are encoded together, in arrays:
 first all positions walk the trie side by side, then the paths advance one position of every word at a time.
+Arrays hold some twenty numbers for each byte of the words in them, so words go through them some at a time.
 Encoded words are kept for the next batches up to a number of words and of bytes, a matter of speed only.
 
 The vocabulary is read from a given model file and is the only thing broadcast; it is as large as that file.
@@ -21,6 +22,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words that a task keeps encoded, and how many bytes of them (text without spaces is one long word).
 KEPT, KEPT_BYTES = 250_000, 16 << 20
+#: Bytes of words whose paths are looked for at once (a longer word alone), and of texts encoded at once.
+PATHS, TEXTS = 128 << 10, 512 << 10
 
 
 @dataclass
@@ -134,15 +138,17 @@ def best_paths(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     if not len(buf):
         return np.zeros(0, np.int32), np.zeros(len(words), np.int64)
-    begin = np.cumsum(sizes) - sizes
-    word = np.repeat(np.arange(len(words)), sizes)
-    left = np.repeat(begin + sizes, sizes) - np.arange(len(buf))
-    at = np.flatnonzero((buf & 0xC0) != 0x80)  # characters begin here
-    width = np.diff(np.append(at, len(buf)))
+    whole = np.int32 if len(buf) + len(words) < 1 << 31 else np.int64
+    begin = (np.cumsum(sizes) - sizes).astype(whole)
+    sizes = sizes.astype(whole)
+    word = np.repeat(np.arange(len(words), dtype=whole), sizes)
+    left = np.repeat(begin + sizes, sizes) - np.arange(len(buf), dtype=whole)
+    at = np.flatnonzero((buf & 0xC0) != 0x80).astype(whole)  # characters begin here
+    width = np.diff(np.append(at, whole(len(buf))))
     # All positions walk the trie together.
     pos, state, found = at, np.zeros(len(at), np.int32), []
     covered = np.zeros(len(buf), bool)
-    wide = np.zeros(len(buf), np.int64)
+    wide = np.zeros(len(buf), whole)
     wide[at] = width
     for depth in range(v.longest):
         on = left[pos] > depth
@@ -154,18 +160,19 @@ def best_paths(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
         pos, state = pos[ok], to[ok]
         ids = v.piece[state]
         hit = ids >= 0
-        found.append((pos[hit], np.full(int(hit.sum()), depth + 1), ids[hit]))
+        found.append((pos[hit], np.full(int(hit.sum()), depth + 1, whole), ids[hit]))
         covered[pos[hit & (wide[pos] == depth + 1)]] = True
     bare = at[~covered[at]]
-    found.append((bare, wide[bare], np.full(len(bare), v.unknown)))
+    found.append((bare, wide[bare], np.full(len(bare), v.unknown, np.int32)))
     start, length, ids = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found, left, covered, wide
     node = start + word[start]  # one node more than bytes in each word
     step = start - begin[word[start]]
     order = np.lexsort((node, step))
     start, length, ids, node, step = start[order], length[order], ids[order], node[order], step[order]
     gain = v.score[ids]
     best = np.full(len(buf) + len(words), -np.inf)
-    best[begin + np.arange(len(words))] = 0
+    best[begin + np.arange(len(words), dtype=whole)] = 0
     back = np.full(len(best), -1, np.int64)
     cuts = np.append(np.flatnonzero(np.diff(step, prepend=-1)), len(step)).tolist()
     for i, j in zip(cuts[:-1], cuts[1:], strict=True):
@@ -174,7 +181,7 @@ def best_paths(v: Vocabulary, words: list[bytes]) -> tuple[np.ndarray, np.ndarra
         better = np.flatnonzero(reach > best[to])
         best[to[better]] = reach[better]
         back[to[better]] = i + better
-    chosen, now = [], (begin + sizes + np.arange(len(words)))[sizes > 0]
+    chosen, now = [], (begin + sizes + np.arange(len(words), dtype=whole))[sizes > 0]
     while len(now):
         m = back[now]
         chosen.append(m)
@@ -205,6 +212,19 @@ class Encoder:
         self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.bytes = 0
 
+    def _parts(self, words: Iterator[str]) -> Iterator[list[bytes]]:
+        """The words' bytes, in lists of PATHS bytes at most; a longer word stands alone."""
+        part, held = [], 0
+        for x in words:
+            b = x.replace(" ", MARK).encode()
+            if part and held + len(b) > PATHS:
+                yield part
+                part, held = [], 0
+            part.append(b)
+            held += len(b)
+            self.bytes += len(b)
+        yield part
+
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
         if len(self.number) > KEPT or self.bytes > KEPT_BYTES:
@@ -219,10 +239,8 @@ class Encoder:
                     number[x] = len(number)
             seen.append(np.fromiter(map(number.__getitem__, w), np.int64, len(w)))
         if len(number) > had:
-            new = [x.replace(" ", MARK).encode() for x in list(number)[had:]]
-            ids, size = best_paths(self.v, new)
-            self.ids, self.size = np.concatenate((self.ids, ids)), np.concatenate((self.size, size))
-            self.bytes += sum(map(len, new))
+            ids, size = zip(*(best_paths(self.v, part) for part in self._parts(islice(number, had, None))), strict=True)
+            self.ids, self.size = np.concatenate((self.ids, *ids)), np.concatenate((self.size, *size))
         start = np.cumsum(self.size) - self.size
         w = np.concatenate(seen) if seen else np.zeros(0, np.int64)
         n = self.size[w]
@@ -254,7 +272,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = Encoder(held.value), Decoder(held.value)
         for batch in batches:
-            for b in slices(batch, "text", 2 << 20):
+            for b in slices(batch, "text", TEXTS):
                 texts = b.column("text").to_pylist()
                 ids, per = encoder(texts)
                 back = pa.array([d == (t or "").replace(MARK, " ") for d, t in zip(decoder(ids, per), texts, strict=True)])

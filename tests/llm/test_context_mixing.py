@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from voxcohort.llm import context_mixing as cm
@@ -168,3 +170,37 @@ def test_edge_rows(spark):
     assert got == sorted([(False, 1, 1), (False, 2, 1), (False, 3, 4), (False, 3, 4), (True, None, 3), (False, 7, 2), (False, 8, 2)], key=str)
     assert all(math.isfinite(r.score) and r.score < 0 for r in cm.score(docs, rounds=1).collect())
     assert cm.score(docs.limit(0), rounds=1).count() == 0
+
+
+def test_gathering_holds_and_gives_out_some_rows_at_a_time(monkeypatch):
+    class Here:
+        get = staticmethod(lambda: Here)
+        partitionId = staticmethod(lambda: 3)
+
+    class Rows:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    monkeypatch.setattr(cm, "TaskContext", Here)
+    texts = [" ".join(f"{(i * 4000 + j) * 2654435761 % 2**32:x}" for j in range(4000)).encode() for i in range(100)] + [b"a A b", None]
+    held_out = [i % 5 == 1 for i in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(held_out), pa.array(texts, pa.binary())], ["doc_id", "held_out", "text"])
+    run = cm.gathered(Rows)
+    tracemalloc.start()
+    sizes, words, codes = [b.num_rows for b in run(iter([batch]))], Counter(), Counter()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20 and max(sizes) <= 1 << 16
+    for b in run(iter([batch])):
+        if b.column("kind")[0].as_py() == cm.WORDS:
+            words.update(dict(zip(b.column("x").to_pylist(), b.column("n").to_pylist(), strict=True)))
+        elif b.column("kind")[0].as_py() == cm.WINDOWS:
+            codes.update(dict(zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True)))
+    want, want_codes = Counter(), Counter()
+    for x, out in zip(texts, held_out, strict=True):
+        found, n = cm.tokens(x), not out
+        for w in [*found, cm.END]:
+            want[w] += n
+        for c in cm.windows([cm.spelled(x)])[0].view(np.int64).tolist():
+            want_codes[c] += n
+    assert words == want and len(words) == len(want)
+    assert codes == want_codes and len(codes) == len(want_codes)

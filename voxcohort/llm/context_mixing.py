@@ -35,7 +35,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +70,8 @@ STEP = 1024
 SHARD = 1 << 16
 #: Bytes of text of a chunk, about.
 CHUNK = 32 << 20
+#: Of a task that gathers a chunk: bytes of text split at once, windows held before they are merged, rows of a batch given out.
+READ, PARTS, SENT = 512 << 10, 1_000_000, 1 << 16
 #: Tokens after which a text's last mixer is updated; the weight of words it starts with, and how many tokens that counts for.
 BLOCK, FIRST, START = 16, 0.2, 4.0
 END = b"\n"  # not a word
@@ -372,21 +374,24 @@ class Chunk:
                 (self.unlearned if out else self.words).update(w)
             self.words[END] += 0 if out else len(own)
             code, n = np.unique(windows([b" ".join(w) + b" " if w else b"" for w in split])[0], return_counts=True)
-            self.parts.append((code, n * (not out)))
+            self.parts.append((code, (n * (not out)).astype(np.int32)))  # a text has less than 2 GB
             self.held += len(code)
         self.bytes += sum(len(t or b"") for t in texts)
-        if self.held > 2_000_000:  # merged rarely, as that sorts all that is held
+        if self.held > PARTS:  # merged rarely, as that sorts all that is held
             self.parts = [self.windows()]
             self.held = len(self.parts[0][0]) // 2
 
-    def counted(self) -> dict[bytes, int]:
+    def counted(self) -> Iterator[tuple[bytes, int]]:
         """How often the training texts have each word."""
-        return dict.fromkeys(self.unlearned, 0) | self.words
+        return chain(self.words.items(), ((w, 0) for w in self.unlearned if w not in self.words))
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         code = np.concatenate([c for c, _ in self.parts])
+        n = np.concatenate([n for _, n in self.parts])
+        self.parts = []
         order = np.argsort(code, kind="stable")
-        code, n = code[order], np.concatenate([n for _, n in self.parts])[order]
+        code, n = code[order], n[order]
+        del order
         starts = np.concatenate(([0], np.flatnonzero(code[1:] != code[:-1]) + 1))
         return code[starts], np.add.reduceat(n, starts)
 
@@ -410,13 +415,18 @@ def gathered(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
         def close() -> Iterator[pa.RecordBatch]:
             if own.parts:
                 code, n = own.windows()
-                yield _batch(name, WINDOWS, len(code), key=pa.array(code.view(np.int64)), n=pa.array(n))
+                for at in range(0, len(code), SENT):
+                    key = code[at : at + SENT].view(np.int64)
+                    yield _batch(name, WINDOWS, len(key), key=pa.array(key), n=pa.array(n[at : at + SENT].astype(np.int64)))
+                del code, n
                 words = own.counted()
-                yield _batch(name, WORDS, len(words), x=pa.array(list(words), pa.binary()), n=pa.array(list(words.values()), pa.int64()))
+                while part := list(islice(words, SENT)):
+                    yield _batch(name, WORDS, len(part), x=pa.array([w for w, _ in part], pa.binary()), n=pa.array([c for _, c in part], pa.int64()))
 
         for batch in batches:
             for b in slices(batch, "text", 1 << 20):
-                own.add(b.column("text").to_pylist(), b.column("held_out").to_pylist())
+                for some in slices(b, "text", READ):
+                    own.add(some.column("text").to_pylist(), some.column("held_out").to_pylist())
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, b.schema) as stream:
                     stream.write_batch(b)

@@ -7,32 +7,55 @@ import numpy as np
 FAR = 1e30
 
 
-def _squared(f: np.ndarray, axis: int, step: float) -> np.ndarray:
-    """Along an axis, min over j of f[j] + (step (i - j))^2."""
-    f = np.moveaxis(f, axis, -1)
-    at = np.arange(f.shape[-1]) * step
+#: Numbers of a table of all pairs of places along an axis that is worked out at once.
+PAIRS = 1 << 18
+
+
+def least_along(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Along the last axis, min over j of f[j] + (at[i] - at[j])^2; FAR where all are."""
+    return np.minimum(np.moveaxis(_squared(np.moveaxis(f, -1, 0), at), 0, -1), FAR)
+
+
+def _squared(f: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Along the first axis, min over j of f[j] + (at[i] - at[j])^2."""
+    rest = (1,) * (f.ndim - 1)
+    if f.size * len(f) <= PAIRS:
+        return (f[None] + ((at[:, None] - at) ** 2).reshape(len(f), len(f), *rest)).min(axis=1)
     out = np.full(f.shape, FAR)
     for j, x in enumerate(at):
-        np.minimum(out, f[..., j, None] + (at - x) ** 2, out=out)
-    return np.moveaxis(out, -1, axis)
+        if (f[j] < FAR).any():
+            np.minimum(out, f[j] + ((at - x) ** 2).reshape(-1, *rest), out=out)
+    return out
+
+
+def _nearest(points: np.ndarray, step: float) -> np.ndarray:
+    """Squared distance of each place to the nearest true one along the last axis."""
+    n = points.shape[-1]
+    at = np.append(np.arange(n) * step, np.inf)
+    low = np.maximum.accumulate(np.where(points, np.arange(n), -1), axis=-1)  # -1: infinitely far
+    high = np.minimum.accumulate(np.where(points, np.arange(n), n)[..., ::-1], axis=-1)[..., ::-1]
+    return np.minimum(np.minimum((at[:-1] - at[low]) ** 2, (at[:-1] - at[high]) ** 2), FAR)
 
 
 def distance_to(points: np.ndarray, spacing: tuple[float, float, float]) -> np.ndarray:
     """Distance in mm of each voxel to the nearest true voxel, exact, axis by axis."""
-    d = np.where(points, 0.0, FAR)
-    for axis, step in enumerate(spacing):
-        d = _squared(d, axis, step)
-    return np.sqrt(d)
+    d = _nearest(points, spacing[2])
+    for axis in (1, 0):
+        d = np.moveaxis(_squared(np.moveaxis(d, axis, 0), np.arange(d.shape[axis]) * spacing[axis]), 0, axis)
+    return np.sqrt(np.minimum(d, FAR))
+
+
+def _beside(padded: np.ndarray) -> np.ndarray:
+    """Whether all six places across faces are true, for all but the border."""
+    out = padded[:-2, 1:-1, 1:-1] & padded[2:, 1:-1, 1:-1]
+    for a in (padded[1:-1, :-2, 1:-1], padded[1:-1, 2:, 1:-1], padded[1:-1, 1:-1, :-2], padded[1:-1, 1:-1, 2:]):
+        out &= a
+    return out
 
 
 def contour(mask: np.ndarray) -> np.ndarray:
     """Foreground voxels that have a background voxel across a face; outside the grid counts as background."""
-    padded = np.pad(mask, 1)
-    inner = np.ones_like(mask)
-    for axis in range(3):
-        for shift in (-1, 1):
-            inner &= np.roll(padded, shift, axis)[1:-1, 1:-1, 1:-1]
-    return mask & ~inner
+    return mask & ~_beside(np.pad(mask, 1))
 
 
 def signed_distances(mask: np.ndarray, spacing: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
@@ -51,12 +74,7 @@ def signed_distances(mask: np.ndarray, spacing: tuple[float, float, float]) -> t
 
 def _eroded_open(back: np.ndarray) -> np.ndarray:
     """Background voxels without a mask voxel across a face; outside the grid is background."""
-    padded = np.pad(back, 1, constant_values=True)
-    inner = back.copy()
-    for axis in range(3):
-        for shift in (-1, 1):
-            inner &= np.roll(padded, shift, axis)[1:-1, 1:-1, 1:-1]
-    return inner
+    return back & _beside(np.pad(back, 1, constant_values=True))
 
 
 def _kernel(sigma: float, step: float, order: int) -> np.ndarray:
@@ -74,9 +92,12 @@ def _kernel(sigma: float, step: float, order: int) -> np.ndarray:
 def _along(a: np.ndarray, k: np.ndarray, axis: int) -> np.ndarray:
     """Correlation with k along an axis, edges repeated."""
     r = len(k) // 2
-    p = np.pad(a, [(r, r) if i == axis else (0, 0) for i in range(3)], mode="edge")
-    n = a.shape[axis]
-    return sum(w * np.take(p, range(i, i + n), axis=axis) for i, w in enumerate(k))
+    a = np.moveaxis(a, axis, 0)
+    p = np.concatenate([a[:1]] * r + [a] + [a[-1:]] * r)
+    out, n = k[0] * p[: len(a)], len(a)
+    for i, w in enumerate(k[1:], 1):
+        out += w * p[i : i + n]
+    return np.moveaxis(out, 0, axis)
 
 
 def gradient_magnitude(a: np.ndarray, spacing: tuple[float, float, float], sigma: float = 0.5) -> np.ndarray:

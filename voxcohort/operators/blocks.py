@@ -64,30 +64,40 @@ def components(voxels: DataFrame, keys: Sequence[str] = ("patient_id", "phase"),
     return _meet(met, small_or_not(stored(numbers, "block-numbers")), [*keys, "_top"]).select(*keys, *AXES, "component")
 
 
-def _along(axis: str, other: str, step: float, names: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Over a plane, along an axis: the least of the squared distances that a line's voxels hand to each of its places."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        line, place = (np.unique(pdf[c].to_numpy(), return_inverse=True) for c in (other, axis))
-        held = np.full((len(line[0]), len(place[0])), geometry.FAR)
-        held[line[1], place[1]] = pdf["_d"].fillna(geometry.FAR)
-        at, out = place[0] * step, np.full(held.shape, geometry.FAR)
-        for j in np.flatnonzero((held < geometry.FAR).any(axis=0)):
-            np.minimum(out, held[:, j, None] + (at - at[j]) ** 2, out=out)
-        found = out[line[1], place[1]]
-        return pdf.assign(_d=np.where(found < geometry.FAR, found, np.nan))[names]
+def _along(axes: Sequence[tuple[str, str, float]], plane: str, names: list[str]) -> Callable[[pa.Table], pa.Table]:
+    """Over planes side by side, axis after axis: the least of the squared distances that a line's voxels hand to each of its places."""
+
+    def run(t: pa.Table) -> pa.Table:
+        d = pc.fill_null(t["_d"], geometry.FAR).to_numpy()
+        at = {a: np.unique(t[a].to_numpy(), return_inverse=True) for a in AXES}
+        for axis, other, step in axes:
+            place = at[axis][0] * step
+            index = at[plane][1], at[other][1], at[axis][1]
+            held = np.full((len(at[plane][0]), len(at[other][0]), len(place)), geometry.FAR)
+            held[index] = d
+            d = geometry.least_along(held, place)[index]
+        new = pa.array(d, mask=d >= geometry.FAR)
+        return pa.table([new if c == "_d" else t[c] for c in names], names)
 
     return run
 
 
-def distances(voxels: DataFrame, spacing: tuple[float, float, float], keys: Sequence[str] = ("patient_id", "phase"), where: str = "seed") -> DataFrame:
+def distances(voxels: DataFrame, spacing: tuple[float, float, float], keys: Sequence[str] = ("patient_id", "phase"), where: str = "seed", most: int = 65_536) -> DataFrame:
     """voxels with distance: in mm to the nearest voxel of its volume for which where holds; null in a volume without one.
 
-    Three passes, one along each axis; a pass works plane by plane, so a task holds a plane, whatever the size of a volume. Exact
-    where every place of the volume's box has one row.
+    Plane by plane: along x and y in the planes of one z, then along z in the planes of one y. A task holds a plane, whatever the
+    size of a volume, or as many neighbouring planes as have about most places together. Exact where every place of the volume's
+    box has one row.
     """
     keys, out = list(keys), voxels.withColumn("_d", F.when(F.expr(where), 0.0))
+    ends = voxels.groupBy(*keys).agg(*(f(a).alias(f"_{n}{a}") for a in AXES for n, f in (("lo", F.min), ("hi", F.max))))
+    span = {a: F.col(f"_hi{a}") - F.col(f"_lo{a}") + 1 for a in AXES}
+    several = lambda a, b: F.greatest(F.lit(1), F.floor(F.lit(most) / (span[a].cast("double") * span[b])))
+    ends = stored(ends.select(*keys, "_loz", "_loy", several("y", "x").alias("_nz"), several("z", "x").alias("_ny")), "plane-ends")
+    out = _meet(out, broadcast_or_merge(ends), keys)
+    out = out.withColumns({f"_p{a}": F.floor((F.col(a) - F.col(f"_lo{a}")) / F.col(f"_n{a}")) for a in "zy"}).drop("_loz", "_loy", "_nz", "_ny")
     schema = ", ".join(f"`{c}` {k}" for c, k in out.dtypes)
-    for axis, plane, other, step in (("x", "z", "y", spacing[2]), ("y", "z", "x", spacing[1]), ("z", "y", "x", spacing[0])):
-        out = out.groupBy(*keys, plane).applyInPandas(_along(axis, other, step, out.columns), schema)
-    return out.withColumn("distance", F.sqrt(F.when(~F.isnan("_d"), F.col("_d")))).drop("_d")
+    passes = ("z", (("x", "y", spacing[2]), ("y", "x", spacing[1]))), ("y", (("z", "x", spacing[0]),))
+    for plane, axes in passes:
+        out = out.groupBy(*keys, f"_p{plane}").applyInArrow(_along(axes, plane, out.columns), schema)
+    return out.withColumn("distance", F.sqrt("_d")).drop("_d", "_pz", "_py")

@@ -35,13 +35,14 @@ def ranked_counts(df: DataFrame, keys: Sequence[str], value: str, by: Sequence[s
     return _meet(cells, values, [*keys, "v"]) if by else values
 
 
-def average_rank(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """df with rank, the average rank of value among the rows of keys; null for null."""
+def average_rank(df: DataFrame, keys: Sequence[str], value: str, ties: str = "average") -> DataFrame:
+    """df with rank, the average rank of value among the rows of keys (ties "least": the least rank of equal values); null for null."""
     # A row's group and value in one key, so that rows of a value that very many share are spread out.
     key = F.sha2(F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(value).cast("double").alias("v"))), 256)
     ranks = ranked_counts(df, keys, value)
     named = F.sha2(F.to_json(F.struct(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col("v").alias("v"))), 256)
-    ranks = stored(ranks.select(named.alias("_value"), F.col("total").alias("_total"), "rank"), "value-ranks")
+    rank = F.col("rank") if ties == "average" else F.col("rank") - (F.col("total") - 1) / 2
+    ranks = stored(ranks.select(named.alias("_value"), F.col("total").alias("_total"), rank.alias("rank")), "value-ranks")
     rows = df.withColumn("_value", F.when(F.col(value).isNotNull(), key))
     return attach(rows, ranks, "_value", "_total", df.count()).drop("_value", "_total")
 
@@ -107,10 +108,10 @@ def anova_f(long: DataFrame, class_col: str) -> DataFrame:
     return w.join(between, "feature").select("feature", F.when((k > 1) & (n > k) & (F.col("inside") > 0), (F.col("between") / (k - 1)) / (F.col("inside") / (n - k))).alias("f"))
 
 
-def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """keys, n, rho, p over complete pairs."""
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, ties: str = "average") -> DataFrame:
+    """keys, n, rho, p over complete pairs; ties as in average_rank."""
     pairs = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    both = average_rank(average_rank(pairs, keys, "_x").withColumnRenamed("rank", "_rx"), keys, "_y").withColumnRenamed("rank", "_ry")
+    both = average_rank(average_rank(pairs, keys, "_x", ties).withColumnRenamed("rank", "_rx"), keys, "_y", ties).withColumnRenamed("rank", "_ry")
     out = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")).alias("_rho"))
     out = out.withColumn("rho", F.when(F.col("_rho").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("_rho"))))).drop("_rho")
     t = F.when(F.abs("rho") < 1, F.col("rho") * F.sqrt((F.col("n") - 2) / (1 - F.col("rho") * F.col("rho")))).when(F.col("rho").isNotNull(), F.lit(float("inf")))
@@ -162,9 +163,9 @@ def significant(stats: DataFrame, alpha: float = 0.05, q: str = "kw_q", by: str
     return stats.filter(F.col(q) < alpha).orderBy(F.col(by).desc(), "feature")
 
 
-def concordance(stats: DataFrame, attribution: DataFrame, effect: str = "eta_squared", score: str = "shap_weighted_mean_abs") -> DataFrame:
-    """Rows of both tables by trimmed feature name, with Spearman's rho and p of effect and score on each row."""
+def concordance(stats: DataFrame, attribution: DataFrame, effect: str = "eta_squared", score: str = "shap_weighted_mean_abs", ties: str = "average") -> DataFrame:
+    """Rows of both tables by trimmed feature name, with Spearman's rho and p of effect and score on each row; ties as in average_rank."""
     a = stats.select(F.trim("feature").alias("feature"), *(c for c in stats.columns if c != "feature"))
     both = stored(a.join(attribution.select(F.trim("feature").alias("feature"), score), "feature").dropna(), "concordance")
-    rho = spearman(both.withColumn("_all", F.lit(1)), ["_all"], effect, score).select(F.col("rho").alias("spearman_rho"), F.col("p").alias("spearman_p"))
+    rho = spearman(both.withColumn("_all", F.lit(1)), ["_all"], effect, score, ties).select(F.col("rho").alias("spearman_rho"), F.col("p").alias("spearman_p"))
     return both.join(F.broadcast(rho), F.lit(True), "left")  # one row

@@ -42,9 +42,10 @@ def volume_manifest(cohort: DataFrame, files: DataFrame, phases: Sequence[str],
         wanted = cohort.select(F.col(id_col).cast("string").alias("_id")).distinct().withColumn("phase", F.explode(F.array(*map(F.lit, phases))))
         tries = F.array(*(F.struct(F.lit(i).alias("i"), F.replace(F.replace(F.lit(n), F.lit("{id}"), F.col("_id")), F.lit("{phase}"), F.col("phase")).alias("name")) for i, n in enumerate(names)))
         tried = wanted.select("_id", "phase", F.explode(tries).alias("t")).select("_id", "phase", "t.i", "t.name")
-        return tried.join(files.select(F.col("name"), "path"), "name").groupBy("_id", "phase").agg(F.min(F.struct("i", "path"))["path"].alias(out))
+        # Names made of a few columns look few to the planner, which would broadcast them or the files.
+        return tried.join(files.select(F.col("name"), "path").hint("merge"), "name").groupBy("_id", "phase").agg(F.min(F.struct("i", "path"))["path"].alias(out))
 
-    return found(ct_names, "ct_path").join(found(mask_names, "mask_path"), ["_id", "phase"]).withColumnRenamed("_id", id_col)
+    return found(ct_names, "ct_path").join(found(mask_names, "mask_path").hint("merge"), ["_id", "phase"]).withColumnRenamed("_id", id_col)
 
 
 def complete_cases(manifest: DataFrame, required: Sequence[str], id_col: str = "patient_id", phase_col: str = "phase") -> DataFrame:
